@@ -35,3 +35,9 @@ def rnd(expr: str, digits: int = 10) -> str:
     return (f"(CASE WHEN {x} IS NULL THEN NULL WHEN isnan({x}) OR isinf({x}) OR {x} = 0 "
             f"THEN {x} + 0.0::double WHEN {e} >= 0 THEN round({x} * pow(10.0, {e})) / pow(10.0, {e}) + 0.0::double "
             f"ELSE round({x} / pow(10.0, -{e})) * pow(10.0, -{e}) + 0.0::double END)")
+
+
+def rnd_fixed(expr: str, decimals: int = 9) -> str:
+    """SQL twin of ``tables.fixed_round``."""
+    scale = float(10 ** decimals)
+    return f"(round(({expr})::double * {scale!r}) / {scale!r} + 0.0::double)"

@@ -46,12 +46,24 @@ def sig_round(c: Column, digits: int = SIG_DIGITS) -> Column:
     return F.when(special, c + F.lit(0.0)).when(e >= 0, up + F.lit(0.0)).otherwise(down + F.lit(0.0))
 
 
-def tidy(df: DataFrame, digits: int = SIG_DIGITS) -> DataFrame:
-    """Round every floating column with ``sig_round`` for comparison."""
+def fixed_round(c: Column, decimals: int) -> Column:
+    """Round to ``decimals`` places by scaling with an exact power of ten.
+
+    For values of bounded size (z-scores, correlations) whose relative error
+    grows near zero. Same operations as ``registry.rnd_fixed``.
+    """
+    scale = float(10 ** decimals)
+    return F.round(c.cast("double") * F.lit(scale), 0) / F.lit(scale) + F.lit(0.0)
+
+
+def tidy(df: DataFrame, digits: int = SIG_DIGITS, decimals: int | None = None) -> DataFrame:
+    """Round every floating column for comparison: to ``digits`` significant
+    digits, or to ``decimals`` places when given."""
     out = []
     for f in df.schema.fields:
         if isinstance(f.dataType, (T.DoubleType, T.FloatType)):
-            out.append(sig_round(F.col(f.name), digits).alias(f.name))
+            r = fixed_round(F.col(f.name), decimals) if decimals is not None else sig_round(F.col(f.name), digits)
+            out.append(r.alias(f.name))
         else:
             out.append(F.col(f.name))
     return df.select(*out)
