@@ -27,20 +27,38 @@ def udf_rowwise(df: DataFrame, fn: Callable[[pd.DataFrame], pd.DataFrame], schem
     return df.mapInPandas(run, schema)
 
 
+ROWS_PER_CALL = 100_000
+
+
 def udf_grouped(df: DataFrame, keys, fn: Callable[[pd.DataFrame], pd.DataFrame], schema,
-                max_group_rows: int = DEFAULT_MAX_GROUP_ROWS) -> DataFrame:
+                max_group_rows: int = DEFAULT_MAX_GROUP_ROWS, rows_per_call: int = ROWS_PER_CALL) -> DataFrame:
     """run an order- or group-dependent pandas function on whole groups.
 
     A group is one pandas frame in one task, so group sizes are checked first
-    (one aggregate, one number to the driver): a group above
+    (one aggregate, three numbers to the driver): a group above
     ``max_group_rows`` raises instead of running out of memory - split the
     logic into partial + merge (``udaf_partial``) for such keys.
+
+    Small groups are packed: rows are hashed on the keys into about
+    total / ``rows_per_call`` buckets and each bucket is one Arrow batch in
+    which pandas splits the groups - one Python call per bucket instead of
+    per group (thousands of tiny groups otherwise cost milliseconds each).
     """
     keys = [keys] if isinstance(keys, str) else list(keys)
-    biggest = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+    total, biggest = sizes.agg(F.sum("n"), F.max("n")).first()
+    total, biggest = total or 0, biggest or 0
     if biggest > max_group_rows:
         raise ValueError(f"largest group has {biggest} rows (> {max_group_rows}); use a partial + merge aggregate")
-    return df.groupBy(*keys).applyInPandas(fn, schema)
+    buckets = max(1, -(-total // max(1, rows_per_call)))
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.drop(columns="_bucket")
+        parts = [fn(g) for _, g in pdf.groupby(keys, sort=False, dropna=False)]
+        return pd.concat(parts, ignore_index=True) if parts else pdf.iloc[0:0]
+
+    bucket = F.pmod(F.xxhash64(*keys), F.lit(buckets))
+    return df.withColumn("_bucket", bucket).groupBy("_bucket").applyInPandas(run, schema)
 
 
 def udaf_partial(df: DataFrame, partial: Callable[[pd.DataFrame], pd.DataFrame], partial_schema,

@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablestats.operators.columns import resolve, value
+from tablestats.operators.columns import resolve, value, value_sql
 
 WIDE_COLUMNS = 48
 
@@ -36,24 +36,25 @@ def correlation_matrix(df: DataFrame, cols=None, strict: bool = False, wide: boo
         wide = len(cols) > WIDE_COLUMNS
     if wide:
         return _wide(df, cols)
-    vals = {c: value(df, c).cast("double") for c in cols}
+    vals = {c: f"CAST({value_sql(df, c)} AS DOUBLE)" for c in cols}
     aggs = []
     for i, a in enumerate(cols):
-        aggs += [F.stddev_pop(vals[a]).alias(f"_sd_{i}"),
-                 (F.min(vals[a]) == F.max(vals[a])).alias(f"_const_{i}")]
+        aggs += [f"stddev_pop({vals[a]}) AS _sd_{i}", f"min({vals[a]}) = max({vals[a]}) AS _const_{i}"]
         for j in range(i, len(cols)):
-            aggs.append(F.covar_pop(vals[a], vals[cols[j]]).alias(f"_cov_{i}_{j}"))
-    one = df.agg(*aggs)
+            aggs.append(f"covar_pop({vals[a]}, {vals[cols[j]]}) AS _cov_{i}_{j}")
+    one = df.agg(*[F.expr(a) for a in aggs])
     cells = []
     for i, a in enumerate(cols):
         for j, b in enumerate(cols):
             lo, hi = min(i, j), max(i, j)
-            zero = F.coalesce(F.col(f"_const_{i}"), F.lit(True)) | F.coalesce(F.col(f"_const_{j}"), F.lit(True)) \
-                | (F.col(f"_sd_{i}") == 0) | (F.col(f"_sd_{j}") == 0)
-            r = F.when(zero, F.lit(0.0)).otherwise(
-                F.col(f"_cov_{lo}_{hi}") / (F.col(f"_sd_{i}") * F.col(f"_sd_{j}")))
-            cells.append(F.struct(F.lit(a).alias("col_i"), F.lit(b).alias("col_j"), r.alias("corr")))
-    return one.select(F.inline(F.array(*cells)))
+            zero = (f"coalesce(_const_{i}, true) OR coalesce(_const_{j}, true) OR _sd_{i} = 0 OR _sd_{j} = 0")
+            r = f"CASE WHEN {zero} THEN 0.0D ELSE _cov_{lo}_{hi} / (_sd_{i} * _sd_{j}) END"
+            cells.append(f"named_struct('col_i', {_lit(a)}, 'col_j', {_lit(b)}, 'corr', {r})")
+    return one.selectExpr(f"inline(array({', '.join(cells)}))")
+
+
+def _lit(s: str) -> str:
+    return "'" + s.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
 def _wide(df: DataFrame, cols: list[str]) -> DataFrame:

@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tablestats.operators.columns import is_integral, resolve, value
+from tablestats.operators.columns import is_integral, resolve, value, value_sql
 
 DEFAULT_THRESHOLD = 20
 
@@ -123,29 +123,31 @@ def column_profile(df: DataFrame, cols=None, threshold=DEFAULT_THRESHOLD, strict
 
     Output ``(col_name, n, sum, min, max, mean, count_above, mean_above,
     std_pop, is_const)``; ``sum/min/max`` are doubles here so that the rows
-    share one type. The wide one-row aggregate is turned long with
-    ``inline(array(struct...))`` on that single row, which costs nothing.
+    share one type. Per column only six aggregate buffers are kept (count,
+    sum, min, max, count and sum above the threshold) plus the three of
+    ``stddev_pop``; mean, mean above and the constant flag are derived from
+    them, which keeps wide tables inside whole-stage code generation longer.
+    The wide one-row aggregate is turned long with ``inline`` on that single
+    row, which costs nothing.
     """
     cols = resolve(df, cols, strict)
-    aggs = []
-    for k, c in enumerate(cols):
-        d = value(df, c).cast("double")
-        aggs += [
-            F.count(d).alias(f"_{k}_n"),
-            F.sum(d).alias(f"_{k}_sum"),
-            F.min(d).alias(f"_{k}_min"),
-            F.max(d).alias(f"_{k}_max"),
-            F.avg(d).alias(f"_{k}_mean"),
-            count_above_expr(df, c, threshold).alias(f"_{k}_count_above"),
-            mean_above_expr(df, c, threshold).alias(f"_{k}_mean_above"),
-            F.stddev_pop(d).alias(f"_{k}_std_pop"),
-            constant_expr(df, c).alias(f"_{k}_is_const"),
-        ]
     if not cols:
         raise ValueError("no numeric columns to profile")
-    wide = df.agg(*aggs)
-    rows = F.array(*[
-        F.struct(F.lit(c).alias("col_name"), *[F.col(f"_{k}_{f}").alias(f) for f in PROFILE_FIELDS])
-        for k, c in enumerate(cols)
-    ])
-    return wide.select(F.inline(rows))
+    t = f"CAST({threshold!r} AS DOUBLE)"
+    aggs = ["count(1) AS _rows"]
+    for k, c in enumerate(cols):
+        v = f"CAST({value_sql(df, c)} AS DOUBLE)"
+        aggs += [f"count({v}) AS _{k}_n", f"sum({v}) AS _{k}_sum", f"min({v}) AS _{k}_min", f"max({v}) AS _{k}_max",
+                 f"count_if({v} > {t}) AS _{k}_ca", f"sum(CASE WHEN {v} > {t} THEN {v} END) AS _{k}_sa",
+                 f"stddev_pop({v}) AS _{k}_sd"]
+    wide = df.agg(*[F.expr(a) for a in aggs])
+    structs = []
+    for k, c in enumerate(cols):
+        name = c.replace("\\", "\\\\").replace("'", "\\'")
+        structs.append(
+            f"named_struct('col_name', '{name}', 'n', _{k}_n, 'sum', _{k}_sum, 'min', _{k}_min, 'max', _{k}_max, "
+            f"'mean', _{k}_sum / nullif(_{k}_n, 0), 'count_above', _{k}_ca, "
+            f"'mean_above', coalesce(_{k}_sa / nullif(_{k}_ca, 0), 0.0D), 'std_pop', _{k}_sd, "
+            f"'is_const', CASE WHEN _rows = 0 THEN CAST(NULL AS INT) WHEN _{k}_n = 0 THEN 1 "
+            f"WHEN _{k}_n = _rows AND _{k}_min = _{k}_max THEN 1 ELSE 0 END)")
+    return wide.selectExpr(f"inline(array({', '.join(structs)}))")

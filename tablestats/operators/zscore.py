@@ -11,17 +11,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablestats.operators.columns import resolve, value
+from tablestats.operators.columns import quote, resolve, value_sql
 
 
 def column_stats(df: DataFrame, cols: list[str]) -> DataFrame:
     """One row: ``_mean_k``, ``_std_k`` and ``_const_k`` for each column index k."""
     aggs = []
     for k, c in enumerate(cols):
-        v = value(df, c).cast("double")
-        aggs += [F.avg(v).alias(f"_mean_{k}"), F.stddev_pop(v).alias(f"_std_{k}"),
-                 (F.min(v) == F.max(v)).alias(f"_const_{k}")]
-    return df.agg(*aggs)
+        v = f"CAST({value_sql(df, c)} AS DOUBLE)"
+        aggs += [f"avg({v}) AS _mean_{k}", f"stddev_pop({v}) AS _std_{k}", f"min({v}) = max({v}) AS _const_{k}"]
+    return df.agg(*[F.expr(a) for a in aggs])
 
 
 def zscore(df: DataFrame, cols=None, keep=(), strict: bool = False) -> DataFrame:
@@ -35,10 +34,9 @@ def zscore(df: DataFrame, cols=None, keep=(), strict: bool = False) -> DataFrame
     cols = resolve(df, cols, strict)
     stats = F.broadcast(column_stats(df, cols))
     joined = df.crossJoin(stats)
-    out = [F.col(c) for c in keep]
+    out = [quote(c) for c in keep]
     for k, c in enumerate(cols):
-        v = value(joined, c).cast("double")
-        z = F.when(F.col(f"_const_{k}") | (F.col(f"_std_{k}") == 0), F.lit(0.0)) \
-             .otherwise((v - F.col(f"_mean_{k}")) / F.col(f"_std_{k}"))
-        out.append(F.when(v.isNull(), F.lit(None).cast("double")).otherwise(z).alias(c))
-    return joined.select(*out)
+        v = f"CAST({value_sql(df, c)} AS DOUBLE)"
+        out.append(f"CASE WHEN {v} IS NULL THEN CAST(NULL AS DOUBLE) WHEN _const_{k} OR _std_{k} = 0 THEN 0.0D "
+                   f"ELSE ({v} - _mean_{k}) / _std_{k} END AS {quote(c)}")
+    return joined.selectExpr(*out)

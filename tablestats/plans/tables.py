@@ -30,40 +30,49 @@ def lineitem_numeric(spark: SparkSession, sf_dir: str, with_const: bool = True)
 SIG_DIGITS = 10
 
 
-def sig_round(c: Column, digits: int = SIG_DIGITS) -> Column:
-    """Round a double to ``digits`` significant digits.
+def quote(name: str) -> str:
+    """A column name as a SQL identifier."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def sig_round_sql(x: str, digits: int = SIG_DIGITS) -> str:
+    """Round a double to ``digits`` significant digits (SQL text).
 
     Sums of doubles depend on the order partitions are combined in, so
     results are compared at 10 significant digits. Scaling by an exact power
     of ten and rounding half away from zero is done the same way in the SQL
     twin (``registry.rnd``); ``+ 0.0`` turns -0.0 into 0.0.
     """
-    c = c.cast("double")
-    e = F.lit(digits - 1) - F.floor(F.log10(F.abs(c)))
-    up = F.round(c * F.pow(F.lit(10.0), e), 0) / F.pow(F.lit(10.0), e)
-    down = F.round(c / F.pow(F.lit(10.0), -e), 0) * F.pow(F.lit(10.0), -e)
-    special = c.isNull() | F.isnan(c) | (c == 0) | (F.abs(c) == F.lit(float("inf")))
-    return F.when(special, c + F.lit(0.0)).when(e >= 0, up + F.lit(0.0)).otherwise(down + F.lit(0.0))
+    x = f"CAST({x} AS DOUBLE)"
+    e = f"({digits - 1} - floor(log10(abs({x}))))"
+    return (f"CASE WHEN {x} IS NULL OR isnan({x}) OR {x} = 0 OR abs({x}) = double('infinity') THEN {x} + 0.0D "
+            f"WHEN {e} >= 0 THEN round({x} * pow(10.0D, {e}), 0) / pow(10.0D, {e}) + 0.0D "
+            f"ELSE round({x} / pow(10.0D, -{e}), 0) * pow(10.0D, -{e}) + 0.0D END")
 
 
-def fixed_round(c: Column, decimals: int) -> Column:
+def fixed_round_sql(x: str, decimals: int) -> str:
     """Round to ``decimals`` places by scaling with an exact power of ten.
 
     For values of bounded size (z-scores, correlations) whose relative error
     grows near zero. Same operations as ``registry.rnd_fixed``.
     """
     scale = float(10 ** decimals)
-    return F.round(c.cast("double") * F.lit(scale), 0) / F.lit(scale) + F.lit(0.0)
+    return f"round(CAST({x} AS DOUBLE) * {scale!r}D, 0) / {scale!r}D + 0.0D"
+
+
+def sig_round(c: str, digits: int = SIG_DIGITS) -> Column:
+    return F.expr(sig_round_sql(quote(c), digits))
 
 
 def tidy(df: DataFrame, digits: int = SIG_DIGITS, decimals: int | None = None) -> DataFrame:
     """Round every floating column for comparison: to ``digits`` significant
-    digits, or to ``decimals`` places when given."""
+    digits, or to ``decimals`` places when given. One ``selectExpr``."""
     out = []
     for f in df.schema.fields:
+        q = quote(f.name)
         if isinstance(f.dataType, (T.DoubleType, T.FloatType)):
-            r = fixed_round(F.col(f.name), decimals) if decimals is not None else sig_round(F.col(f.name), digits)
-            out.append(r.alias(f.name))
+            r = fixed_round_sql(q, decimals) if decimals is not None else sig_round_sql(q, digits)
+            out.append(f"{r} AS {q}")
         else:
-            out.append(F.col(f.name))
-    return df.select(*out)
+            out.append(q)
+    return df.selectExpr(*out)
