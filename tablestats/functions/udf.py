@@ -31,7 +31,8 @@ ROWS_PER_CALL = 100_000
 
 
 def udf_grouped(df: DataFrame, keys, fn: Callable[[pd.DataFrame], pd.DataFrame], schema,
-                max_group_rows: int = DEFAULT_MAX_GROUP_ROWS, rows_per_call: int = ROWS_PER_CALL) -> DataFrame:
+                max_group_rows: int = DEFAULT_MAX_GROUP_ROWS, rows_per_call: int = ROWS_PER_CALL,
+                per_group: bool = True) -> DataFrame:
     """run an order- or group-dependent pandas function on whole groups.
 
     A group is one pandas frame in one task, so group sizes are checked first
@@ -40,9 +41,12 @@ def udf_grouped(df: DataFrame, keys, fn: Callable[[pd.DataFrame], pd.DataFrame],
     logic into partial + merge (``udaf_partial``) for such keys.
 
     Small groups are packed: rows are hashed on the keys into about
-    total / ``rows_per_call`` buckets and each bucket is one Arrow batch in
-    which pandas splits the groups - one Python call per bucket instead of
-    per group (thousands of tiny groups otherwise cost milliseconds each).
+    total / ``rows_per_call`` buckets (at least the cluster's parallelism)
+    and each bucket is one pandas frame holding whole groups - one Python
+    call per bucket instead of per group (thousands of tiny groups otherwise
+    cost milliseconds each). With ``per_group=False`` ``fn`` receives that
+    frame (several complete groups) and can work vectorised, e.g. with
+    ``groupby().cumsum()``; otherwise pandas splits it and calls ``fn`` per group.
     """
     keys = [keys] if isinstance(keys, str) else list(keys)
     sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
@@ -50,10 +54,13 @@ def udf_grouped(df: DataFrame, keys, fn: Callable[[pd.DataFrame], pd.DataFrame],
     total, biggest = total or 0, biggest or 0
     if biggest > max_group_rows:
         raise ValueError(f"largest group has {biggest} rows (> {max_group_rows}); use a partial + merge aggregate")
-    buckets = max(1, -(-total // max(1, rows_per_call)))
+    parallelism = df.sparkSession.sparkContext.defaultParallelism
+    buckets = max(1, -(-total // max(1, rows_per_call)), min(parallelism, total // 1000))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.drop(columns="_bucket")
+        if not per_group:
+            return fn(pdf)
         parts = [fn(g) for _, g in pdf.groupby(keys, sort=False, dropna=False)]
         return pd.concat(parts, ignore_index=True) if parts else pdf.iloc[0:0]
 

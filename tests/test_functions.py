@@ -54,3 +54,22 @@ def test_stream_partials_merge(spark):
     r = stream_partials_merge(spark, f"{base}/in", f"{base}/out", f"{base}/ckpt").first()
     expect = merge_partials(parts).first()
     assert tuple(r) == tuple(expect) == (500, 2750.0, 5.5, -5.0, 50.0)
+
+
+def test_udf_grouped_vectorised_equals_per_group(spark):
+    import random
+    rnd = random.Random(2)
+    rows = [(rnd.randint(0, 30), float(i)) for i in range(2000)]
+    df = spark.createDataFrame(rows, "k long, v double")
+
+    def per_group(p):
+        p = p.sort_values("v")
+        return pd.DataFrame({"k": p["k"], "v": p["v"], "c": p["v"].cumsum()})
+
+    def vectorised(p):
+        p = p.sort_values(["k", "v"])
+        return pd.DataFrame({"k": p["k"], "v": p["v"], "c": p.groupby("k")["v"].cumsum()})
+    schema = "k long, v double, c double"
+    a = sorted(tuple(r) for r in U.udf_grouped(df, "k", per_group, schema, rows_per_call=300).collect())
+    b = sorted(tuple(r) for r in U.udf_grouped(df, "k", vectorised, schema, rows_per_call=300, per_group=False).collect())
+    assert a == b and len(a) == 2000
