@@ -37,7 +37,9 @@ def running_extreme(df: DataFrame, keys, order_col: str, cand: Column, out_col:
     local_w = Window.partitionBy(*keys, "_bucket").orderBy(order_col, *tie_cols) \
         .rowsBetween(Window.unboundedPreceding, frame_end)
     local = data.withColumn("_local", agg("_cand").over(local_w))
-    per_bucket = data.groupBy(*keys, "_bucket").agg(agg("_cand").alias("_bext"))
+    # Derived from the windowed rows, which are already partitioned by
+    # (keys, bucket): no second scan and no second shuffle of the input.
+    per_bucket = local.groupBy(*keys, "_bucket").agg(agg("_cand").alias("_bext"))
     carry_w = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     carry = per_bucket.select(*keys, "_bucket", agg("_bext").over(carry_w).alias("_carry"))
     joined = local.join(carry, [*keys, "_bucket"], "left")
