@@ -103,12 +103,11 @@ def _moments_partial(col: str):
 
 def _moments_merge(parts: DataFrame) -> DataFrame:
     """Chan's merge: M2 = sum(m2_k) + sum(n_k * (mean_k - mean)^2), in two
-    passes over the partial table (global mean first, broadcast as one row)."""
-    total = parts.agg(F.sum("n").alias("_n"), F.sum("s").alias("_s"))
-    mean = F.col("_s") / F.col("_n")
-    joined = parts.crossJoin(F.broadcast(total))
+    passes over the partial table (global mean first, as a scalar subquery)."""
+    total = parts.agg(F.struct(F.sum("n").alias("n"), F.sum("s").alias("s")).alias("t")).scalar()
+    mean = total["s"] / total["n"]
     dev = F.col("s") / F.col("n") - mean
-    out = joined.agg(F.first("_n").alias("n"), F.first(mean).alias("mean"),
+    out = parts.agg(F.sum("n").alias("n"), F.first(mean).alias("mean"),
                      F.sum(F.col("m2") + F.col("n") * dev * dev).alias("_m2"),
                      F.min("lo").alias("min"), F.max("hi").alias("max"))
     return out.select(F.coalesce("n", F.lit(0)).alias("n"), "mean",

@@ -24,6 +24,7 @@ from tablestats.session import checkpoint_root
 
 _LOW_BITS = 33
 MAX_BROADCAST_PARTITIONS = 1_000_000
+MAX_BROADCAST_WORKERS = 100_000
 
 
 def _order_cols(order_by) -> list[Column]:
@@ -90,14 +91,16 @@ def round_robin(chunks: DataFrame, workers: DataFrame, chunk_col: str = "chunk_i
                 worker_pos_col: str = "pos") -> DataFrame:
     """Chunk i goes to the worker at position ``i mod w``.
 
-    ``workers`` is the list of nodes ``(pos, ...)``, pos 0-based; its size is
-    the cluster size, so it is broadcast.
+    ``workers`` is the list of nodes ``(pos, ...)``, pos 0-based. It is
+    counted first; up to ``MAX_BROADCAST_WORKERS`` rows it is broadcast,
+    beyond that an ordinary equi-join on the slot is used.
     """
     w = workers.count()
     if w == 0:
         raise ValueError("no workers")
     slot = F.pmod(F.col(chunk_col), F.lit(w))
-    return chunks.join(F.broadcast(workers), slot == F.col(worker_pos_col)).drop(worker_pos_col)
+    side = F.broadcast(workers) if w <= MAX_BROADCAST_WORKERS else workers
+    return chunks.join(side, slot == F.col(worker_pos_col)).drop(worker_pos_col)
 
 
 def py_slice_bounds(n: Column, lo, hi, step: int):

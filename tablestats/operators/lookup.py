@@ -87,9 +87,10 @@ def best_fit_lookup(df: DataFrame, need: Column, nodes: DataFrame, out_col: str
     node = F.struct(F.col(memory_col).alias("memory"), F.col(pos_col).alias("pos"),
                     *[F.col(c) for c in nodes.columns if c not in (memory_col, pos_col)])
     if n_nodes <= MAX_BROADCAST_NODES:
-        arr = nodes.agg(F.array_sort(F.collect_list(node)).alias("_nodes"))
-        joined = df.withColumn("_need", need).crossJoin(F.broadcast(arr))
-        return joined.withColumn(out_col, F.get(F.filter("_nodes", lambda x: x["memory"] >= F.col("_need")), 0)) \
+        arr = nodes.agg(F.array_sort(F.collect_list(node)).alias("_nodes")).scalar()
+        # The subquery is projected first: Spark does not allow one inside a lambda.
+        staged = df.withColumn("_need", need).withColumn("_nodes", arr)
+        return staged.withColumn(out_col, F.get(F.filter("_nodes", lambda x: x["memory"] >= F.col("_need")), 0)) \
             .drop("_nodes", "_need")
     # Distributed path: probes and nodes in one stream ordered by value descending,
     # nodes before probes at equal value; the running min of node structs is the answer.
@@ -115,7 +116,7 @@ def peak_step_usage(live: DataFrame, cost: DataFrame, step_col: str = "step", si
     cost - when a step has several, the last by ``cost_order_col`` (the
     largest without one). A step
     missing on either side counts 0 there. ``peak`` is the max usage over all
-    steps, attached from a one-row aggregate.
+    steps, attached as a scalar subquery (one aggregate, run once).
     """
     live_sum = live.groupBy(step_col).agg(F.sum(size_col).alias("live"))
     if cost_order_col:
@@ -125,5 +126,5 @@ def peak_step_usage(live: DataFrame, cost: DataFrame, step_col: str = "step", si
     per_step = live_sum.join(step_cost, step_col, "full").select(
         step_col, F.coalesce("live", F.lit(0)).alias("live"), F.coalesce("cost", F.lit(0)).alias("cost"))
     per_step = per_step.withColumn("usage", F.col("live") + F.col("cost"))
-    peak = per_step.agg(F.coalesce(F.max("usage"), F.lit(0)).alias("peak"))
-    return per_step.crossJoin(F.broadcast(peak))
+    peak = per_step.agg(F.coalesce(F.max("usage"), F.lit(0)).alias("peak")).scalar()
+    return per_step.withColumn("peak", peak)

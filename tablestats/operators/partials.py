@@ -95,11 +95,13 @@ def merge_by_tag(partials: DataFrame, tag: str, value_col: str = "partial", chun
     long = partials.select(*cols, F.posexplode(value_col).alias("pos", "v"))
     if tag == "c":
         sizes = partials.select(F.col(chunk_col), F.size(value_col).alias("_len"))
-        # One row per chunk: a window without partitioning is fine at this size.
+        # One row per chunk: a window without partitioning is fine at this
+        # size. No broadcast hint: adaptive execution broadcasts the offsets
+        # only when their measured size is below its threshold.
         offs = sizes.select(chunk_col, F.coalesce(F.sum("_len").over(
             Window.orderBy(chunk_col).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_off"))
-        return long.join(F.broadcast(offs), chunk_col).select((F.col("_off") + F.col("pos")).alias("pos"),
-                                                               F.col("v").alias("value"))
+        return long.join(offs, chunk_col).select((F.col("_off") + F.col("pos")).alias("pos"),
+                                                 F.col("v").alias("value"))
     agg = {
         "s": F.sum("v"),
         "l": F.sum("v"),

@@ -1,9 +1,9 @@
 """Per-cell z-score against whole-table mean and population std.
 
-Two passes by nature: one aggregate builds a single row of statistics, which
-is broadcast (its size is fixed: three values per column) and joined to
-every row. No window ``over ()`` is used: that would move the table into one
-partition.
+Two passes by nature: one aggregate builds a single row of statistics (three
+values per column), used as a scalar subquery - Spark runs it once and
+inlines the values into the per-row projection. No join and no window
+``over ()`` (which would move the table into one partition).
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablestats.operators.columns import quote, resolve, value_sql
+from tablestats.operators.columns import resolve, value_sql
 
 
 def column_stats(df: DataFrame, cols: list[str]) -> DataFrame:
@@ -32,11 +32,13 @@ def zscore(df: DataFrame, cols=None, keep=(), strict: bool = False) -> DataFrame
     cells give NULL.
     """
     cols = resolve(df, cols, strict)
-    stats = F.broadcast(column_stats(df, cols))
-    joined = df.crossJoin(stats)
-    out = [quote(c) for c in keep]
+    stats = column_stats(df, cols)
+    st = stats.select(F.struct(*stats.columns).alias("s")).scalar()
+    out = [F.col(c) for c in keep]
     for k, c in enumerate(cols):
-        v = f"CAST({value_sql(df, c)} AS DOUBLE)"
-        out.append(f"CASE WHEN {v} IS NULL THEN CAST(NULL AS DOUBLE) WHEN _const_{k} OR _std_{k} = 0 THEN 0.0D "
-                   f"ELSE ({v} - _mean_{k}) / _std_{k} END AS {quote(c)}")
-    return joined.selectExpr(*out)
+        v = F.expr(f"CAST({value_sql(df, c)} AS DOUBLE)")
+        mean, std, const = st[f"_mean_{k}"], st[f"_std_{k}"], st[f"_const_{k}"]
+        z = F.when(v.isNull(), F.lit(None).cast("double")).when(const | (std == 0), F.lit(0.0)) \
+            .otherwise((v - mean) / std)
+        out.append(z.alias(c))
+    return df.select(*out)

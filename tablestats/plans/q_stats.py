@@ -26,7 +26,7 @@ _ZSCORE_SQL = ("WITH " + _T + ", s AS (SELECT " + ", ".join(
     f"avg({c}) AS m_{c}, stddev_pop({c}) AS s_{c}, min({c}) = max({c}) AS k_{c}" for c in COLS)
     + " FROM t) SELECT l_orderkey, l_linenumber, " + ", ".join(
     f"{rnd_fixed(f'CASE WHEN {c} IS NULL THEN NULL WHEN k_{c} OR s_{c} = 0 THEN 0.0 ELSE ({c} - m_{c}) / s_{c} END', 6)} AS {c}"
-    for c in COLS) + " FROM t CROSS JOIN s")
+    for c in COLS) + " FROM t, s")
 
 
 @register("zscore", _ZSCORE_SQL)
