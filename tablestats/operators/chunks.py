@@ -36,12 +36,16 @@ def _order_cols(order_by) -> list[Column]:
 def with_row_index(df: DataFrame, order_by, index_col: str = "row_index", total_col: str | None = None) -> DataFrame:
     """Add the 0-based position of each row in ``order_by`` order.
 
-    ``order_by`` must be a total order (add key columns to break ties);
-    rows that tie completely get positions in an arbitrary but fixed order.
+    ``order_by`` should be a total order (add key columns to break ties);
+    rows that tie get positions in input order. That input position is also
+    the last sort key, so the range partitioner can put boundaries inside a
+    hot key value instead of sending all its rows to one task.
     ``total_col`` optionally adds the table's row count to every row.
     """
     checkpoint_root(df.sparkSession)
-    tagged = df.orderBy(*_order_cols(order_by)).withColumn("_mid", F.monotonically_increasing_id())
+    tie = df.withColumn("_tie", F.monotonically_increasing_id())
+    tagged = tie.orderBy(*_order_cols(order_by), "_tie").drop("_tie") \
+        .withColumn("_mid", F.monotonically_increasing_id())
     tagged = tagged.checkpoint(eager=True)
     pid = F.shiftright(F.col("_mid"), _LOW_BITS)
     counts = tagged.groupBy(pid.alias("_pid")).agg(F.count(F.lit(1)).alias("_cnt"))

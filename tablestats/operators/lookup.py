@@ -72,6 +72,7 @@ def group_by_dependency(edges: DataFrame, stmts: DataFrame, line_col: str) -> Da
 
 
 MAX_BROADCAST_NODES = 4096
+BUCKETS = 1024
 
 
 def best_fit_lookup(df: DataFrame, need: Column, nodes: DataFrame, out_col: str = "node",
@@ -92,20 +93,25 @@ def best_fit_lookup(df: DataFrame, need: Column, nodes: DataFrame, out_col: str
         staged = df.withColumn("_need", need).withColumn("_nodes", arr)
         return staged.withColumn(out_col, F.get(F.filter("_nodes", lambda x: x["memory"] >= F.col("_need")), 0)) \
             .drop("_nodes", "_need")
-    # Distributed path: probes and nodes in one stream ordered by value descending,
-    # nodes before probes at equal value; the running min of node structs is the answer.
-    cols = df.columns
-    probes = df.select(F.struct(*cols).alias("_row"), need.cast("double").alias("_v"), F.lit(1).alias("_kind"),
-                       F.lit(None).cast(nodes.select(node.alias("n")).schema["n"].dataType).alias("_node"))
-    cands = nodes.select(F.lit(None).cast(df.select(F.struct(*cols).alias("r")).schema["r"].dataType).alias("_row"),
-                         F.col(memory_col).cast("double").alias("_v"), F.lit(0).alias("_kind"), node.alias("_node"))
+    # Distributed path. The answer depends only on the need value, so the
+    # lookup runs on distinct needs (a value held by a third of the rows is one
+    # row here) and is joined back by value (adaptive execution splits a hot
+    # join key). Needs and nodes form one stream ordered by value descending,
+    # nodes before needs at equal value; the running minimum of node structs
+    # is the answer, computed per value-range bucket with a carried minimum.
+    node_type = nodes.select(node.alias("n")).schema["n"].dataType
+    needs = df.select(need.cast("double").alias("_v")).where(F.col("_v").isNotNull()).distinct()
+    probes = needs.select("_v", F.lit(1).alias("_kind"), F.lit(None).cast(node_type).alias("_node"))
+    cands = nodes.select(F.col(memory_col).cast("double").alias("_v"), F.lit(0).alias("_kind"), node.alias("_node"))
     both = probes.unionByName(cands).withColumn("_ord", -F.col("_v"))
-    bucket = None
-    if bucket_width:
-        bucket = F.floor(F.col("_ord") / F.lit(float(bucket_width)))
-    out = running_extreme(both, [], "_ord", F.col("_node"), out_col, "min", include_current=True,
-                          bucket=bucket, tie_cols=["_kind"])
-    return out.where(F.col("_kind") == 1).select("_row.*", out_col)
+    if bucket_width is None:
+        lo, hi = both.agg(F.min("_ord"), F.max("_ord")).first()
+        bucket_width = max(((hi or 0.0) - (lo or 0.0)) / BUCKETS, 1e-300)
+    bucket = F.floor(F.col("_ord") / F.lit(float(bucket_width)))
+    found = running_extreme(both, [], "_ord", F.col("_node"), out_col, "min", include_current=True,
+                            bucket=bucket, tie_cols=["_kind"])
+    answers = found.where(F.col("_kind") == 1).select("_v", out_col)
+    return df.withColumn("_v", need.cast("double")).join(answers, "_v", "left").drop("_v")
 
 
 def peak_step_usage(live: DataFrame, cost: DataFrame, step_col: str = "step", size_col: str = "size",
