@@ -21,18 +21,22 @@ def select_numeric(df: DataFrame) -> DataFrame:
     return df.select(*numeric_columns(df))
 
 
-def resolve(df: DataFrame, cols: list[str] | None = None, strict: bool = False) -> list[str]:
+def resolve(df: DataFrame, cols: list[str] | None = None, strict: bool = False,
+            text_ok: bool = False) -> list[str]:
     """Columns an aggregate runs over.
 
     ``None`` means every numeric column. Non-numeric columns are skipped, or
     raise with ``strict=True`` (the source programs fail on text cells).
+    ``text_ok`` keeps string columns named in ``cols`` (min, max and the
+    constant test are defined on text; strings order by code point).
     """
     types = {f.name: f.dataType for f in df.schema.fields}
     wanted = list(types) if cols is None else list(cols)
     missing = [c for c in wanted if c not in types]
     if missing:
         raise ValueError(f"unknown columns: {missing}")
-    bad = [c for c in wanted if not isinstance(types[c], NUMERIC)]
+    ok = NUMERIC + ((T.StringType,) if text_ok and cols is not None else ())
+    bad = [c for c in wanted if not isinstance(types[c], ok)]
     if bad and strict:
         raise TypeError(f"non-numeric columns: {bad}")
     return [c for c in wanted if c not in bad]

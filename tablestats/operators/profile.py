@@ -81,13 +81,13 @@ def column_mean(df: DataFrame, cols=None, strict: bool = False) -> DataFrame:
 
 def column_min(df: DataFrame, cols=None, strict: bool = False) -> DataFrame:
     """D3: minimum per column; integer columns keep their type."""
-    cols = resolve(df, cols, strict)
+    cols = resolve(df, cols, strict, text_ok=True)
     return _wide(df, cols, lambda c: F.min(value(df, c)))
 
 
 def column_max(df: DataFrame, cols=None, strict: bool = False) -> DataFrame:
     """Maximum per column."""
-    cols = resolve(df, cols, strict)
+    cols = resolve(df, cols, strict, text_ok=True)
     return _wide(df, cols, lambda c: F.max(value(df, c)))
 
 
@@ -111,7 +111,7 @@ def mean_above(df: DataFrame, cols=None, threshold=DEFAULT_THRESHOLD, strict: bo
 
 def constant_columns(df: DataFrame, cols=None, strict: bool = False) -> DataFrame:
     """1 for a column whose rows all hold one value, else 0."""
-    cols = resolve(df, cols, strict)
+    cols = resolve(df, cols, strict, text_ok=True)
     return _wide(df, cols, lambda c: constant_expr(df, c))
 
 

@@ -98,16 +98,24 @@ def read_table(spark: SparkSession, path: str, schema=None, exact: bool = False,
 
 
 def write_table(df: DataFrame, path: str, header: bool = True, order_by=None, line_sep: str = "\r\n",
-                mode: str = "overwrite") -> None:
+                mode: str = "overwrite", python_floats: bool = True) -> None:
     """A5: write rows as CSV the way Python's ``csv.writer`` does.
 
     CRLF line ends, minimal quoting with doubled quotes, empty strings and
-    NULLs as empty fields, no whitespace trimming. ``order_by`` sorts first
-    (range partitioning, so part files follow the order). Each part file
-    carries its own header line, which ``read_table`` expects.
+    NULLs as empty fields, no whitespace trimming, and (``python_floats``)
+    floats printed like Python's ``str`` (``1e+16``, ``0.0001``, ``nan``).
+    ``order_by`` sorts first (range partitioning, so part files follow the
+    order). Each part file carries its own header line, which ``read_table``
+    expects.
     """
     if order_by is not None:
         df = df.orderBy(order_by)
+    if python_floats:
+        from pyspark.sql import types as T
+
+        from tablestats.functions.scalar import py_float_str
+        df = df.select(*[py_float_str(f.name).alias(f.name) if isinstance(f.dataType, (T.DoubleType, T.FloatType))
+                         else F.col(f.name) for f in df.schema.fields])
     (df.write.mode(mode)
        .option("header", header)
        .option("lineSep", line_sep)

@@ -24,12 +24,15 @@ def running_fold(stream: DataFrame) -> DataFrame:
 
 
 def stream_partials_merge(spark: SparkSession, source_dir: str, out_path: str, checkpoint_path: str,
-                          available_now: bool = True, max_files_per_trigger: int | None = None) -> DataFrame:
+                          available_now: bool = True, max_files_per_trigger: int | None = None):
     """Fold every partial file in ``source_dir`` and return the merged report.
 
     The sink writes the complete one-row state per micro-batch to
     ``out_path`` (``foreachBatch``); ``checkpoint_path`` (in the shared
     checkpoint folder) lets a restarted query resume without refolding.
+    With ``available_now=False`` the query keeps running on new files and its
+    ``StreamingQuery`` handle is returned instead (read ``out_path`` with
+    ``merge_partials`` for the current report).
     """
     reader = spark.readStream.schema(PARTIAL_FILE_DDL)
     if max_files_per_trigger:
@@ -43,6 +46,6 @@ def stream_partials_merge(spark: SparkSession, source_dir: str, out_path: str, c
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="10 seconds")
     query = writer.start()
     if not available_now:
-        return folded
+        return query
     query.awaitTermination()
     return merge_partials(spark.read.parquet(out_path))

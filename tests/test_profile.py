@@ -80,3 +80,9 @@ def test_profile_is_one_scan(spark):
     plan = P.column_profile(lineitem_numeric(spark, SF))._jdf.queryExecution().executedPlan().toString()
     assert plan.count("FileScan") == 1
     assert "l_orderkey" not in plan.split("ReadSchema")[1].split("\n")[0]
+
+
+def test_text_columns_for_min_max_const(spark):
+    df = spark.createDataFrame([("b", "x"), ("a", "x"), ("é", "x")], "s string, t string")
+    assert one(P.column_min(df, ["s"])).s == "a" and one(P.column_max(df, ["s"])).s == "é"
+    assert one(P.constant_columns(df, ["s", "t"])).asDict() == {"s": 0, "t": 1}

@@ -83,6 +83,17 @@ def test_sink_roundtrip_and_python_csv_format(spark):
     assert text == 'id,s,t\r\n1,,\r\n2,"b,c"," q""x "\r\n'
 
 
+def test_sink_python_float_text(spark):
+    d = tempfile.mkdtemp(prefix="ts-sink-")
+    df = spark.createDataFrame([(1, 1e16, 0.0001), (2, 2.5, float("nan")), (3, -1.5e-7, 100.0)], "id int, a double, b double")
+    TT.write_table(df.coalesce(1), d + "/out", order_by="id")
+    text = "".join(open(os.path.join(d, "out", f), newline="").read()
+                   for f in sorted(os.listdir(d + "/out")) if f.endswith(".csv"))
+    assert text == "id,a,b\r\n1,1e+16,0.0001\r\n2,2.5,nan\r\n3,-1.5e-07,100.0\r\n"
+    back = TT.read_table(spark, d + "/out", exact=True).orderBy("id").collect()
+    assert back[0].a == 1e16 and back[2].a == -1.5e-07
+
+
 def test_footprint(spark):
     d = _write("a,b\n1,2\n")
     r = TT.table_footprint(spark, d).first()
