@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def _c(x) -> Column:
@@ -81,44 +82,32 @@ def py_sqrt(x) -> Column:
     return F.sqrt(_c(x))
 
 
-def py_float_str(x) -> Column:
-    """``str(x)`` / ``repr(x)`` of a Python float, from the JVM's digit string.
+def with_python_float_text(df, cols):
+    """Replace double/float columns by their text as Python's ``str`` prints it
+    (``0.0001``, ``1e+16``, ``-1.5e-07``, ``inf``, ``nan``).
 
-    Python prints fixed notation for decimal exponents -4..15 (``0.0001``,
-    ``1e+16``), otherwise ``d.ddde+XX`` with at least two exponent digits;
-    ``inf``, ``-inf``, ``nan``. The significant digits are the JVM's
-    (shortest round-trip on current JVMs; Java 17 is longer in rare cases).
+    An Arrow-batched pandas UDF applies Python's own float formatting - a
+    small per-value helper in the sink; NULL stays NULL (Arrow hands NULL to
+    pandas as NaN, so it is masked outside the UDF).
     """
-    j = f"CAST(CAST({_sql(x)} AS DOUBLE) AS STRING)"
-    a = f"regexp_replace({j}, '^-', '')"
-    neg = f"startswith({j}, '-')"
-    mant = f"split_part({a}, 'E', 1)"
-    ipart = f"split_part({mant}, '.', 1)"
-    fpart = f"split_part({mant}, '.', 2)"
-    has_e = f"contains({a}, 'E')"
-    lead = f"length(regexp_extract({fpart}, '^0*', 0))"
-    # Decimal exponent of the first significant digit, and the significant digits.
-    exp10 = (f"CASE WHEN {has_e} THEN CAST(split_part({a}, 'E', 2) AS INT) "
-             f"WHEN {ipart} <> '0' THEN length({ipart}) - 1 ELSE -({lead} + 1) END")
-    raw = f"CASE WHEN {ipart} <> '0' OR {has_e} THEN concat({ipart}, {fpart}) ELSE substr({fpart}, {lead} + 1) END"
-    digits = f"regexp_replace({raw}, '0+$', '')"
-    d = f"CASE WHEN {digits} = '' THEN '0' ELSE {digits} END"
-    fixed_pos = f"rpad({d}, greatest({exp10} + 1, length({d})), '0')"
-    int_part = f"substr({fixed_pos}, 1, {exp10} + 1)"
-    frac_part = f"substr({fixed_pos}, {exp10} + 2)"
-    fixed = (f"CASE WHEN {exp10} >= 0 THEN concat({int_part}, '.', CASE WHEN {frac_part} = '' THEN '0' "
-             f"ELSE {frac_part} END) ELSE concat('0.', repeat('0', -{exp10} - 1), {d}) END")
-    sci = (f"concat(substr({d}, 1, 1), CASE WHEN length({d}) > 1 THEN concat('.', substr({d}, 2)) ELSE '' END, "
-           f"'e', CASE WHEN {exp10} < 0 THEN '-' ELSE '+' END, CASE WHEN abs({exp10}) < 10 THEN '0' ELSE '' END, "
-           f"CAST(abs({exp10}) AS STRING))")
-    body = f"CASE WHEN {d} = '0' THEN '0.0' WHEN {exp10} BETWEEN -4 AND 15 THEN {fixed} ELSE {sci} END"
-    expr = (f"CASE WHEN {_sql(x)} IS NULL THEN NULL WHEN isnan(CAST({_sql(x)} AS DOUBLE)) THEN 'nan' "
-            f"WHEN {a} = 'Infinity' THEN CASE WHEN {neg} THEN '-inf' ELSE 'inf' END "
-            f"ELSE concat(CASE WHEN {neg} THEN '-' ELSE '' END, {body}) END")
-    return F.expr(expr)
-
-
-def _sql(x) -> str:
-    if isinstance(x, str):
-        return "`" + x.replace("`", "``") + "`"
-    raise TypeError("py_float_str takes a column name")
+    cols = list(cols)
+    if not cols:
+        return df
+    out = []
+    for f in df.schema.fields:
+        c = F.col(_quoted(f.name))
+        if f.name in cols:
+            out.append(F.when(c.isNull(), F.lit(None).cast("string")).otherwise(_float_text(c.cast("double")))
+                       .alias(f.name))
+        else:
+            out.append(c)
+    return df.select(*out)
+
+
+@F.pandas_udf(T.StringType())
+def _float_text(v):  # pragma: no cover - runs in the Python workers
+    return v.map(repr)
+
+
+def _quoted(c: str) -> str:
+    return "`" + c.replace("`", "``") + "`"

@@ -113,9 +113,9 @@ def write_table(df: DataFrame, path: str, header: bool = True, order_by=None, li
     if python_floats:
         from pyspark.sql import types as T
 
-        from tablestats.functions.scalar import py_float_str
-        df = df.select(*[py_float_str(f.name).alias(f.name) if isinstance(f.dataType, (T.DoubleType, T.FloatType))
-                         else F.col(f.name) for f in df.schema.fields])
+        from tablestats.functions.scalar import with_python_float_text
+        df = with_python_float_text(df, [f.name for f in df.schema.fields
+                                         if isinstance(f.dataType, (T.DoubleType, T.FloatType))])
     (df.write.mode(mode)
        .option("header", header)
        .option("lineSep", line_sep)
