@@ -4,9 +4,13 @@ A pair whose either side has zero variance gets 0, also on the diagonal.
 Spark's ``corr`` cannot be used as is: under ANSI it raises on a constant
 column and it returns 1.0 for ``corr(c, c)`` of a constant ``c``.
 
-Narrow tables (up to ``WIDE_COLUMNS`` columns): one aggregate computes
-``covar_pop`` for every pair i <= j plus the population std and min/max of
-each column - a single scan, partial aggregates per task, one-row result.
+Narrow tables (up to ``WIDE_COLUMNS`` columns): one aggregate computes, for
+every pair i < j, the co-moment and both second moments over the rows where
+both values are present (``regr_sxy/sxx/syy`` - pandas' pairwise-complete
+rule), plus each column's variance for the diagonal - a single scan, partial
+aggregates per task, one-row result. The moments are merged with the
+streaming (Welford) update, under which a constant column has a second
+moment of exactly 0, so the zero-variance test is exact.
 
 Wide tables: the p(p+1)/2 aggregates would bloat the generated code, so the
 columns are centred by their means (one small aggregate, broadcast) and
@@ -29,7 +33,7 @@ def correlation_matrix(df: DataFrame, cols=None, strict: bool = False, wide: boo
 
     Rows with a NULL or NaN in one of the two columns are left out of that
     pair (pairwise deletion) on the narrow path; the wide path drops rows
-    with a NULL in any column.
+    with a NULL in any column. The diagonal is 1 (0 for a constant column).
     """
     cols = resolve(df, cols, strict)
     if wide is None:
@@ -39,16 +43,22 @@ def correlation_matrix(df: DataFrame, cols=None, strict: bool = False, wide: boo
     vals = {c: f"CAST({value_sql(df, c)} AS DOUBLE)" for c in cols}
     aggs = []
     for i, a in enumerate(cols):
-        aggs += [f"stddev_pop({vals[a]}) AS _sd_{i}", f"min({vals[a]}) = max({vals[a]}) AS _const_{i}"]
-        for j in range(i, len(cols)):
-            aggs.append(f"covar_pop({vals[a]}, {vals[cols[j]]}) AS _cov_{i}_{j}")
+        aggs.append(f"var_pop({vals[a]}) AS _v_{i}")
+        for j in range(i + 1, len(cols)):
+            x, y = vals[a], vals[cols[j]]
+            aggs += [f"regr_sxy({y}, {x}) AS _sxy_{i}_{j}", f"regr_sxx({y}, {x}) AS _sxx_{i}_{j}",
+                     f"regr_syy({y}, {x}) AS _syy_{i}_{j}"]
     one = df.agg(*[F.expr(a) for a in aggs])
     cells = []
     for i, a in enumerate(cols):
         for j, b in enumerate(cols):
-            lo, hi = min(i, j), max(i, j)
-            zero = (f"coalesce(_const_{i}, true) OR coalesce(_const_{j}, true) OR _sd_{i} = 0 OR _sd_{j} = 0")
-            r = f"CASE WHEN {zero} THEN 0.0D ELSE _cov_{lo}_{hi} / (_sd_{i} * _sd_{j}) END"
+            if i == j:
+                r = f"CASE WHEN coalesce(_v_{i}, 0.0D) = 0.0D THEN 0.0D ELSE 1.0D END"
+            else:
+                lo, hi = min(i, j), max(i, j)
+                sxx, syy, sxy = f"_sxx_{lo}_{hi}", f"_syy_{lo}_{hi}", f"_sxy_{lo}_{hi}"
+                r = (f"CASE WHEN coalesce({sxx}, 0.0D) = 0.0D OR coalesce({syy}, 0.0D) = 0.0D THEN 0.0D "
+                     f"ELSE {sxy} / sqrt({sxx} * {syy}) END")
             cells.append(f"named_struct('col_i', {_lit(a)}, 'col_j', {_lit(b)}, 'corr', {r})")
     return one.selectExpr(f"inline(array({', '.join(cells)}))")
 
