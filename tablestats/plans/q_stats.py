@@ -145,7 +145,7 @@ def q_merge_by_tag(spark, sf_dir):
         F.array(F.count(F.lit(1)).cast("double")).alias("l"),
         F.array(F.max("o_totalprice") / F.avg("o_totalprice")).alias("i"),
         F.count(F.lit(1)).alias("cnt"),
-    )
+    ).checkpoint()  # one row per chunk; every tag below reads it instead of re-deriving it
     out = None
     for tag in ["s", "a", "m", "n", "l", "i", "c"]:
         col = "l" if tag == "c" else tag
