@@ -139,6 +139,14 @@ def row_slice(df: DataFrame, order_by, lo=None, hi=None, step: int = 1, index_co
     return indexed.where(keep).withColumn("slice_pos", pos.cast("bigint")).drop("_n")
 
 
+def row_at(df: DataFrame, order_by, i: int, index_col: str = "row_index") -> DataFrame:
+    """B9 with a single index: the row at Python position ``i`` (negative
+    counts from the end); no row when out of range."""
+    if i < 0:
+        return row_slice(df, order_by, i, (i + 1) or None, 1, index_col)
+    return row_slice(df, order_by, i, i + 1, 1, index_col)
+
+
 def row_concat(*dfs: DataFrame, part_col: str = "part_id") -> DataFrame:
     """Concatenation in argument order (bag semantics, no dedup).
 

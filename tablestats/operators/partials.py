@@ -72,6 +72,21 @@ def merge_frequencies(freq: DataFrame, k: int = 5, key_col: str = "key", count_c
 TAGS = {"c", "a", "s", "m", "n", "l", "i"}
 
 
+def parse_aggregation_tag(text: str) -> tuple[str, str]:
+    """Split a ``"type:name"`` merge annotation (``"s:result"``, ``":data"``).
+
+    Returns ``(tag, name)``; the tag must be one of ``TAGS`` or empty (run
+    unsplit), and the name must be present.
+    """
+    tag, sep, name = text.partition(":")
+    tag, name = tag.strip(), name.strip()
+    if not sep or not name:
+        raise ValueError(f"aggregation must look like 'type:name', got {text!r}")
+    if tag not in TAGS and tag != "":
+        raise ValueError(f"invalid aggregation tag {tag!r}")
+    return tag, name
+
+
 def merge_by_tag(partials: DataFrame, tag: str, value_col: str = "partial", chunk_col: str = "chunk_id",
                  weight_col: str | None = None) -> DataFrame:
     """Combine per-chunk result vectors position by position.

@@ -119,3 +119,18 @@ def test_merge_by_tag(spark):
 def test_sort_top_k_stable(spark):
     df = spark.createDataFrame([(3, 1.0), (1, 2.0), (2, 1.0), (0, 5.0)], "pos int, v double")
     assert [r.pos for r in C.sort_top_k(df, "v", 3, tie_by=["pos"]).collect()] == [2, 3, 1]
+
+
+def test_parse_aggregation_tag():
+    assert PM.parse_aggregation_tag("s:result") == ("s", "result")
+    assert PM.parse_aggregation_tag(":data") == ("", "data")
+    for bad in ("q:x", "s", "s:", "x"):
+        with pytest.raises(ValueError):
+            PM.parse_aggregation_tag(bad)
+
+
+def test_row_at(spark):
+    df = spark.range(10).repartition(3)
+    assert [r.id for r in C.row_at(df, "id", 3).collect()] == [3]
+    assert [r.id for r in C.row_at(df, "id", -1).collect()] == [9]
+    assert C.row_at(df, "id", 10).collect() == []
