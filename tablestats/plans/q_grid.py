@@ -129,7 +129,7 @@ def q_arr_mutators(spark, sf_dir):
 @register("arr_access", f"WITH {_P} SELECT vec_id, len(px) AS n, px[-1] AS last, "
           "array_to_string(list_slice(px, 3, 50, 3), ',') AS sliced, "
           "array_to_string(list_slice(list_reverse(px), 1, len(px), 5), ',') AS rev_sliced, "
-          "len(list_filter(px, lambda x: x = 0)) AS zeros, list_position(px, list_max(px)) - 1 AS argmax, "
+          "len(list_filter(px, lambda x: x = 0)) AS zeros, (list_position(px, list_max(px)) - 1)::BIGINT AS argmax, "
           "array_to_string(list_concat(px[1:3], px[5:]), ',') AS del_item, "
           "array_to_string(list_concat(px[1:10], px[21:]), ',') AS del_slice FROM p")
 def q_arr_access(spark, sf_dir):
@@ -167,9 +167,9 @@ def q_arr_compose(spark, sf_dir):
 
 @register("arr_iterate", f"WITH {_P} SELECT vec_id, array_to_string(range(0, len(px), 7), ',') AS rng, "
           "array_to_string(range(len(px), 0, -9), ',') AS rng_desc, "
-          "list_sum(list_transform(px, lambda x, i: x * (i - 1))) AS enum_dot, "
-          "list_sum(list_transform(px[1:10], lambda x, i: x * list_reverse(px[1:10])[i])) AS zip_dot, "
-          "list_sum(px) AS loop_total FROM p")
+          "list_sum(list_transform(px, lambda x, i: x * (i - 1)))::BIGINT AS enum_dot, "
+          "list_sum(list_transform(px[1:10], lambda x, i: x * list_reverse(px[1:10])[i]))::BIGINT AS zip_dot, "
+          "list_sum(px)::BIGINT AS loop_total FROM p")
 def q_arr_iterate(spark, sf_dir):
     p = _ipx(spark, sf_dir)
     px = F.col("px")
