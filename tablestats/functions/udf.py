@@ -32,7 +32,7 @@ ROWS_PER_CALL = 100_000
 
 def udf_grouped(df: DataFrame, keys, fn: Callable[[pd.DataFrame], pd.DataFrame], schema,
                 max_group_rows: int = DEFAULT_MAX_GROUP_ROWS, rows_per_call: int = ROWS_PER_CALL,
-                per_group: bool = True) -> DataFrame:
+                per_group: bool = True, allow_keyless: bool = False) -> DataFrame:
     """run an order- or group-dependent pandas function on whole groups.
 
     A group is one pandas frame in one task, so group sizes are checked first
@@ -49,6 +49,8 @@ def udf_grouped(df: DataFrame, keys, fn: Callable[[pd.DataFrame], pd.DataFrame],
     ``groupby().cumsum()``; otherwise pandas splits it and calls ``fn`` per group.
     """
     keys = [keys] if isinstance(keys, str) else list(keys)
+    if not keys and not allow_keyless:
+        raise ValueError("udf_grouped without keys runs the whole table as one group; pass allow_keyless=True")
     sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
     total, biggest = sizes.agg(F.sum("n"), F.max("n")).first()
     total, biggest = total or 0, biggest or 0
@@ -64,7 +66,7 @@ def udf_grouped(df: DataFrame, keys, fn: Callable[[pd.DataFrame], pd.DataFrame],
         parts = [fn(g) for _, g in pdf.groupby(keys, sort=False, dropna=False)]
         return pd.concat(parts, ignore_index=True) if parts else pdf.iloc[0:0]
 
-    bucket = F.pmod(F.xxhash64(*keys), F.lit(buckets))
+    bucket = F.pmod(F.xxhash64(*keys), F.lit(buckets)) if keys else F.lit(0)
     return df.withColumn("_bucket", bucket).groupBy("_bucket").applyInPandas(run, schema)
 
 

@@ -76,3 +76,20 @@ def work_dir(spark: SparkSession, name: str = "work") -> str:
     if "://" not in path or path.startswith("file:"):
         os.makedirs(path.replace("file:", "", 1) if path.startswith("file:") else path, exist_ok=True)
     return path
+
+
+def sizing_conf(input_bytes: int, cores: int, partition_bytes: int = 256 << 20) -> dict:
+    """Shuffle and scan settings for an input of ``input_bytes``.
+
+    About one shuffle partition per ``partition_bytes`` of input (at least
+    two per core), so a partition fits executor memory without spilling;
+    adaptive execution coalesces them when a stage's output is smaller, and
+    splits skewed join partitions. Scan splits of the same size.
+    """
+    parts = max(2 * cores, -(-input_bytes // partition_bytes))
+    return {
+        "spark.sql.shuffle.partitions": str(parts),
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(partition_bytes),
+        "spark.sql.files.maxPartitionBytes": str(partition_bytes),
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(4 * partition_bytes),
+    }

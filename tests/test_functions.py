@@ -73,3 +73,18 @@ def test_udf_grouped_vectorised_equals_per_group(spark):
     a = sorted(tuple(r) for r in U.udf_grouped(df, "k", per_group, schema, rows_per_call=300).collect())
     b = sorted(tuple(r) for r in U.udf_grouped(df, "k", vectorised, schema, rows_per_call=300, per_group=False).collect())
     assert a == b and len(a) == 2000
+
+
+def test_udf_grouped_keyless_needs_opt_in(spark):
+    df = spark.range(5).selectExpr("cast(id as double) v")
+    fn = lambda p: pd.DataFrame({"s": [p["v"].sum()]})
+    with pytest.raises(ValueError):
+        U.udf_grouped(df, [], fn, "s double")
+    assert U.udf_grouped(df, [], fn, "s double", allow_keyless=True, per_group=False).first().s == 10.0
+
+
+def test_sizing_conf():
+    from tablestats.session import sizing_conf
+    conf = sizing_conf(100 << 40, cores=8000)  # 100 TB on 8000 cores
+    assert int(conf["spark.sql.shuffle.partitions"]) == 409600
+    assert int(sizing_conf(1 << 20, cores=8)["spark.sql.shuffle.partitions"]) == 16
