@@ -13,9 +13,10 @@ streaming (Welford) update, under which a constant column has a second
 moment of exactly 0, so the zero-variance test is exact.
 
 Wide tables: the p(p+1)/2 aggregates would bloat the generated code, so the
-columns are centred by their means (one small aggregate, broadcast) and
-handed to MLlib's ``Correlation``, which tree-aggregates a p x p Gram
-matrix; only that p x p result reaches the driver.
+columns are centred by their means (one small aggregate) and each task
+folds its rows into a p x p Gram matrix with numpy (Arrow batches); the
+tasks' upper triangles are summed by a keyed aggregate. Nothing of size
+p x p passes through the driver.
 """
 
 from __future__ import annotations
@@ -68,21 +69,48 @@ def _lit(s: str) -> str:
 
 
 def _wide(df: DataFrame, cols: list[str]) -> DataFrame:
-    from pyspark.ml.functions import array_to_vector
-    from pyspark.ml.stat import Correlation
-
-    spark = df.sparkSession
-    vals = {c: value(df, c).cast("double") for c in cols}
-    stats = df.agg(*[F.avg(vals[c]).alias(f"_m_{k}") for k, c in enumerate(cols)],
-                   *[(F.min(vals[c]) == F.max(vals[c])).alias(f"_c_{k}") for k, c in enumerate(cols)]).first()
-    const = [bool(stats[f"_c_{k}"]) if stats[f"_c_{k}"] is not None else True for k in range(len(cols))]
-    centred = df.select(F.array(*[vals[c] - F.lit(stats[f"_m_{k}"] or 0.0) for k, c in enumerate(cols)]).alias("a")) \
-        .dropna().where(~F.exists("a", lambda x: F.isnan(x)))
-    vec = centred.select(array_to_vector("a").alias("v"))
-    matrix = Correlation.corr(vec, "v", "pearson").first()[0].toArray()
-    rows = []
-    for i, a in enumerate(cols):
-        for j, b in enumerate(cols):
-            r = matrix[i][j]
-            rows.append((a, b, 0.0 if const[i] or const[j] or r != r else float(r)))
-    return spark.createDataFrame(rows, "col_i string, col_j string, corr double")
+    """Complete rows only. Pass 1: column means and constant flags (2p values
+    to the driver). Pass 2: every task folds its Arrow batches into a centred
+    p x p Gram matrix with numpy and emits its upper triangle as rows; a
+    keyed sum adds the tasks' triangles, and the diagonal (p rows) normalises."""
+    import numpy as np
+    import pandas as pd
+
+    p = len(cols)
+    # One array column per row: p separate aliased, NULL-filtered columns make
+    # the optimizer's constraint inference grow with p.
+    row = F.array(*[F.expr(f"CAST({value_sql(df, c)} AS DOUBLE)") for c in cols])
+    x = df.select(row.alias("v")).where(~F.exists("v", lambda e: e.isNull()))
+    stats = x.agg(*[F.avg(F.get("v", k)) for k in range(p)],
+                  *[(F.min(F.get("v", k)) == F.max(F.get("v", k))) for k in range(p)]).first()
+    means = np.array([stats[k] if stats[k] is not None else 0.0 for k in range(p)], dtype=np.float64)
+    const = [stats[p + k] is None or bool(stats[p + k]) for k in range(p)]
+    iu, ju = np.triu_indices(p)
+
+    def gram(batches):
+        acc = np.zeros((p, p))
+        seen = False
+        for pdf in batches:
+            if len(pdf):
+                m = np.stack(pdf["v"].to_numpy()).astype(np.float64) - means
+                acc += m.T @ m
+                seen = True
+        if seen:
+            yield pd.DataFrame({"i": iu.astype(np.int32), "j": ju.astype(np.int32), "s": acc[iu, ju]})
+
+    tri = x.mapInPandas(gram, "i int, j int, s double").groupBy("i", "j").agg(F.sum("s").alias("s"))
+    diag = tri.where(F.col("i") == F.col("j")).select(F.col("i").alias("k"), F.col("s").alias("d"))
+    di, dj = diag.select(F.col("k").alias("ki"), F.col("d").alias("di")), diag.select(
+        F.col("k").alias("kj"), F.col("d").alias("dj"))
+    joined = tri.join(F.broadcast(di), F.col("i") == F.col("ki")).join(F.broadcast(dj), F.col("j") == F.col("kj"))
+    flags = F.array(*[F.lit(c) for c in const])
+    zero = F.element_at(flags, F.col("i") + 1) | F.element_at(flags, F.col("j") + 1) | (F.col("di") == 0) \
+        | (F.col("dj") == 0)
+    r = F.when(zero, F.lit(0.0)).when(F.col("i") == F.col("j"), F.lit(1.0)) \
+        .otherwise(F.col("s") / F.sqrt(F.col("di") * F.col("dj")))
+    upper = joined.select("i", "j", r.alias("corr"))
+    both = upper.unionByName(upper.where(F.col("i") != F.col("j")).select(
+        F.col("j").alias("i"), F.col("i").alias("j"), "corr"))
+    names = F.array(*[F.lit(c) for c in cols])
+    return both.select(F.element_at(names, F.col("i") + 1).alias("col_i"),
+                       F.element_at(names, F.col("j") + 1).alias("col_j"), "corr")

@@ -55,6 +55,27 @@ def q_correlation_matrix(spark, sf_dir):
     return tidy(correlation_matrix(_lineitem(spark, sf_dir, keys=False), COLS), decimals=9)
 
 
+DIMS = 64
+_WIDE_CORR_SQL = (
+    "WITH e AS (SELECT vec_id, unnest(range(0, len(embedding))) AS k, unnest(embedding)::double AS v FROM embeddings), "
+    "m AS (SELECT k, avg(v) AS mu, min(v) = max(v) AS c FROM e GROUP BY k), "
+    "x AS (SELECT e.vec_id, e.k, e.v - m.mu AS d, m.c FROM e JOIN m USING (k)), "
+    "q AS (SELECT k, sum(d * d) AS ss, any_value(c) AS c FROM x GROUP BY k), "
+    "g AS (SELECT a.k AS i, b.k AS j, sum(a.d * b.d) AS s FROM x a JOIN x b ON a.vec_id = b.vec_id GROUP BY a.k, b.k) "
+    "SELECT 'd' || g.i AS col_i, 'd' || g.j AS col_j, "
+    + rnd_fixed("CASE WHEN qi.c OR qj.c OR qi.ss = 0 OR qj.ss = 0 THEN 0.0 WHEN g.i = g.j THEN 1.0 "
+                "ELSE g.s / sqrt(qi.ss * qj.ss) END")
+    + " AS corr FROM g JOIN q qi ON qi.k = g.i JOIN q qj ON qj.k = g.j")
+
+
+@register("correlation_matrix_wide", _WIDE_CORR_SQL)
+def q_correlation_matrix_wide(spark, sf_dir):
+    """D9 on a 64-column table (each embedding dimension a column): the wide path."""
+    e = table(spark, sf_dir, "embeddings")
+    wide = e.select(*[F.get("embedding", k).cast("double").alias(f"d{k}") for k in range(DIMS)])
+    return tidy(correlation_matrix(wide), decimals=9)
+
+
 _MERGE_SQL = (f"SELECT count(value) AS total_records_processed, {rnd('coalesce(sum(value), 0)')} AS overall_sum, "
               f"{rnd('CASE WHEN count(value) > 0 THEN sum(value) / count(value) ELSE 0 END')} AS overall_average, "
               f"{rnd('min(value)')} AS overall_minimum, {rnd('max(value)')} AS overall_maximum "

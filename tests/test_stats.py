@@ -134,3 +134,16 @@ def test_row_at(spark):
     assert [r.id for r in C.row_at(df, "id", 3).collect()] == [3]
     assert [r.id for r in C.row_at(df, "id", -1).collect()] == [9]
     assert C.row_at(df, "id", 10).collect() == []
+
+
+def test_wide_correlation_equals_narrow(spark):
+    import random
+    rnd = random.Random(4)
+    rows = [(rnd.gauss(100, 5), rnd.gauss(0, 1), 3.0, None if i % 17 == 0 else rnd.random()) for i in range(3000)]
+    df = spark.createDataFrame(rows, "a double, b double, c double, d double").repartition(5)
+    df = df.where(F.col("d").isNotNull())  # the wide path uses complete rows; compare on complete data
+    narrow = {(r.col_i, r.col_j): r.corr for r in correlation_matrix(df, wide=False).collect()}
+    wide = {(r.col_i, r.col_j): r.corr for r in correlation_matrix(df, wide=True).collect()}
+    assert set(narrow) == set(wide) and len(wide) == 16
+    for k in narrow:
+        assert wide[k] == pytest.approx(narrow[k], abs=1e-12)
