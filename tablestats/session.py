@@ -53,8 +53,10 @@ def checkpoint_root(spark: SparkSession) -> str:
     """The shared checkpoint folder named by the cluster.
 
     Read from the session (``spark.checkpoint.dir`` or an earlier
-    ``setCheckpointDir``). Only when neither is set, as in local tests, a
-    folder is created and registered; a cluster must always name one.
+    ``setCheckpointDir``). Only when neither is set and the master is local
+    (tests), a folder is created and registered; on a cluster a missing
+    setting is an error - a machine-local folder would not survive the loss
+    of an executor or be visible to the others.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -64,6 +66,8 @@ def checkpoint_root(spark: SparkSession) -> str:
     if configured:
         sc.setCheckpointDir(configured)
         return sc.getCheckpointDir() or configured
+    if not (sc.master or "").startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a shared folder (e.g. on HDFS or object storage)")
     local = tempfile.mkdtemp(prefix="tablestats-ckpt-")
     sc.setCheckpointDir(local)
     return sc.getCheckpointDir() or local
