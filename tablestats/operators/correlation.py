@@ -98,7 +98,9 @@ def _wide(df: DataFrame, cols: list[str]) -> DataFrame:
         if seen:
             yield pd.DataFrame({"i": iu.astype(np.int32), "j": ju.astype(np.int32), "s": acc[iu, ju]})
 
-    tri = x.mapInPandas(gram, "i int, j int, s double").groupBy("i", "j").agg(F.sum("s").alias("s"))
+    # p(p+1)/2 rows; checkpointed so the pass over the data runs once although
+    # the triangle is read three times below.
+    tri = x.mapInPandas(gram, "i int, j int, s double").groupBy("i", "j").agg(F.sum("s").alias("s")).checkpoint()
     diag = tri.where(F.col("i") == F.col("j")).select(F.col("i").alias("k"), F.col("s").alias("d"))
     di, dj = diag.select(F.col("k").alias("ki"), F.col("d").alias("di")), diag.select(
         F.col("k").alias("kj"), F.col("d").alias("dj"))
