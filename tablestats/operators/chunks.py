@@ -162,13 +162,31 @@ def row_concat(*dfs: DataFrame, part_col: str = "part_id") -> DataFrame:
     return out
 
 
-def sort_top_k(df: DataFrame, by: str, k: int, tie_by=(), ascending: bool = True) -> DataFrame:
+def input_position(df: DataFrame) -> list[Column]:
+    """Columns giving each row's position in its input files.
+
+    For file sources: ``(_metadata.file_path, _metadata.row_index)`` (row
+    index exists for Parquet). Otherwise the row's position in the current
+    partitioning, which is stable only for the same input splits.
+    """
+    for cols in (["_metadata.file_path", "_metadata.row_index"], ["_metadata.file_path"]):
+        try:
+            df.select(*cols).schema
+            return [F.col(c) for c in cols]
+        except Exception:  # noqa: BLE001 - not a file source, or no row index for this format
+            continue
+    return [F.monotonically_increasing_id()]
+
+
+def sort_top_k(df: DataFrame, by: str, k: int, tie_by=None, ascending: bool = True) -> DataFrame:
     """Stable ascending (or descending) sort by one field, first ``k`` rows.
 
-    ``tie_by`` carries the input position (or key columns) that decides ties;
-    planned as TakeOrderedAndProject, each task keeps only its best k.
+    ``tie_by`` names the columns that decide ties; by default the input
+    position (``input_position``), i.e. a stable sort. Planned as
+    TakeOrderedAndProject: each task keeps only its best k.
     """
     if k < 0 or k != math.floor(k):
         raise ValueError("k must be a non-negative integer")
     first = F.asc_nulls_last(by) if ascending else F.desc_nulls_last(by)
-    return df.orderBy(first, *[F.asc(c) for c in tie_by]).limit(k)
+    ties = [F.asc(c) for c in tie_by] if tie_by is not None else [c.asc() for c in input_position(df)]
+    return df.orderBy(first, *ties).limit(k)

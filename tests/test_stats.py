@@ -147,3 +147,14 @@ def test_wide_correlation_equals_narrow(spark):
     assert set(narrow) == set(wide) and len(wide) == 16
     for k in narrow:
         assert wide[k] == pytest.approx(narrow[k], abs=1e-12)
+
+
+def test_sort_top_k_default_is_input_order(spark):
+    import os
+    import tempfile
+    d = tempfile.mkdtemp(prefix="ts-topk-")
+    rows = [(i, float(i % 3)) for i in range(30)]
+    spark.createDataFrame(rows, "pos int, v double").coalesce(1).write.parquet(os.path.join(d, "t"))
+    df = spark.read.parquet(os.path.join(d, "t"))
+    got = [r.pos for r in C.sort_top_k(df, "v", 5).collect()]
+    assert got == [0, 3, 6, 9, 12]
