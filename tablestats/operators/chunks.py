@@ -27,7 +27,10 @@ MAX_BROADCAST_PARTITIONS = 1_000_000
 MAX_BROADCAST_WORKERS = 100_000
 
 
-def _order_cols(order_by) -> list[Column]:
+def _order_cols(df: DataFrame, order_by) -> list[Column]:
+    """Sort columns; ``None`` means input order (``input_position``)."""
+    if order_by is None:
+        return input_position(df)
     if isinstance(order_by, (str, Column)):
         order_by = [order_by]
     return [F.col(c) if isinstance(c, str) else c for c in order_by]
@@ -37,14 +40,15 @@ def with_row_index(df: DataFrame, order_by, index_col: str = "row_index", total_
     """Add the 0-based position of each row in ``order_by`` order.
 
     ``order_by`` should be a total order (add key columns to break ties);
-    rows that tie get positions in input order. That input position is also
+    rows that tie get positions in input order; ``None`` orders by input
+    position, like a list index. That input position is also
     the last sort key, so the range partitioner can put boundaries inside a
     hot key value instead of sending all its rows to one task.
     ``total_col`` optionally adds the table's row count to every row.
     """
     checkpoint_root(df.sparkSession)
     tie = df.withColumn("_tie", F.monotonically_increasing_id())
-    tagged = tie.orderBy(*_order_cols(order_by), "_tie").drop("_tie") \
+    tagged = tie.orderBy(*_order_cols(df, order_by), "_tie").drop("_tie") \
         .withColumn("_mid", F.monotonically_increasing_id())
     tagged = tagged.checkpoint(eager=True)
     pid = F.shiftright(F.col("_mid"), _LOW_BITS)

@@ -158,3 +158,14 @@ def test_sort_top_k_default_is_input_order(spark):
     df = spark.read.parquet(os.path.join(d, "t"))
     got = [r.pos for r in C.sort_top_k(df, "v", 5).collect()]
     assert got == [0, 3, 6, 9, 12]
+
+
+def test_chunks_default_to_input_order(spark):
+    import os
+    import tempfile
+    d = tempfile.mkdtemp(prefix="ts-chunk-")
+    spark.createDataFrame([(i, 100 - i) for i in range(10)], "pos int, v int").coalesce(1) \
+        .write.parquet(os.path.join(d, "t"))
+    df = spark.read.parquet(os.path.join(d, "t"))
+    got = sorted((r.row_index, r.pos, r.chunk_id) for r in C.chunk_rows(df, 3, None).collect())
+    assert [g[1] for g in got] == list(range(10)) and [g[2] for g in got] == [0, 0, 0, 0, 1, 1, 1, 1, 2, 2]
