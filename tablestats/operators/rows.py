@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tablestats.operators.columns import select_numeric  # noqa: F401  (B5 lives there)
 
 
 def cast_numeric_strict(df: DataFrame, cols=None) -> DataFrame:
