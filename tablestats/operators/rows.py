@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-
 def cast_numeric_strict(df: DataFrame, cols=None) -> DataFrame:
     """B1: every cell ``float(x)``; a cell that is not a number raises (ANSI cast)."""
     cols = cols or df.columns
