@@ -126,3 +126,30 @@ def merge_by_tag(partials: DataFrame, tag: str, value_col: str = "partial", chun
         "a": (F.sum(F.col("v") * F.col("_w")) / F.sum("_w")) if weight_col else F.avg("v"),
     }[tag]
     return long.groupBy("pos").agg(agg.alias("value"))
+
+
+def merge_tagged(partials: DataFrame, tags: dict, chunk_col: str = "chunk_id",
+                 weight_col: str | None = None) -> DataFrame:
+    """D12 for several result vectors at once: ``tags`` maps each array column
+    of ``partials`` to its tag (``s a m n l i``; use ``merge_by_tag`` for ``c``).
+
+    All vectors are exploded together and merged by one aggregate keyed by
+    (column, position) - one shuffle for all of them. Returns
+    ``(name, tag, pos, value)``.
+    """
+    bad = {c: t for c, t in tags.items() if t not in TAGS - {"c"}}
+    if bad:
+        raise ValueError(f"merge_tagged handles s/a/m/n/l/i, got {bad}")
+    w = F.col(weight_col).cast("double") if weight_col else F.lit(1.0)
+    def labelled(c):
+        return F.transform(F.col(c), lambda x, i: F.struct(F.lit(c).alias("name"), i.alias("pos"),
+                                                            x.cast("double").alias("v")))
+    cells = [labelled(c) for c in tags]
+    long = partials.select(w.alias("_w"), F.explode(F.concat(*cells)).alias("e")).select("_w", "e.*")
+    merged = long.groupBy("name", "pos").agg(
+        F.sum("v").alias("_s"), F.max("v").alias("_m"), F.min("v").alias("_n"), F.product("v").alias("_i"),
+        (F.sum(F.col("v") * F.col("_w")) / F.sum("_w")).alias("_a"))
+    tag_of = F.create_map(*[x for c, t in tags.items() for x in (F.lit(c), F.lit(t))])[F.col("name")]
+    value = (F.when(tag_of.isin("s", "l"), F.col("_s")).when(tag_of == "m", F.col("_m"))
+             .when(tag_of == "n", F.col("_n")).when(tag_of == "i", F.col("_i")).otherwise(F.col("_a")))
+    return merged.select("name", tag_of.alias("tag"), "pos", value.alias("value"))

@@ -167,13 +167,11 @@ def q_merge_by_tag(spark, sf_dir):
         F.array(F.max("o_totalprice") / F.avg("o_totalprice")).alias("i"),
         F.count(F.lit(1)).alias("cnt"),
     ).checkpoint()  # one row per chunk; every tag below reads it instead of re-deriving it
-    out = None
-    for tag in ["s", "a", "m", "n", "l", "i", "c"]:
-        col = "l" if tag == "c" else tag
-        merged = PM.merge_by_tag(per_chunk, tag, value_col=col, weight_col="cnt" if tag == "a" else None)
-        merged = merged.select(F.lit(tag).alias("tag"), F.col("pos").cast("bigint").alias("pos"),
-                               F.col("value").cast("double").alias("value"))
-        out = merged if out is None else out.unionByName(merged)
+    merged = PM.merge_tagged(per_chunk, {t: t for t in ["s", "a", "m", "n", "l", "i"]}, weight_col="cnt")
+    concat = PM.merge_by_tag(per_chunk, "c", value_col="l")
+    out = merged.select("tag", F.col("pos").cast("bigint").alias("pos"), "value").unionByName(
+        concat.select(F.lit("c").alias("tag"), F.col("pos").cast("bigint").alias("pos"),
+                      F.col("value").cast("double").alias("value")))
     return tidy(out)
 
 

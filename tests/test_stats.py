@@ -169,3 +169,12 @@ def test_chunks_default_to_input_order(spark):
     df = spark.read.parquet(os.path.join(d, "t"))
     got = sorted((r.row_index, r.pos, r.chunk_id) for r in C.chunk_rows(df, 3, None).collect())
     assert [g[1] for g in got] == list(range(10)) and [g[2] for g in got] == [0, 0, 0, 0, 1, 1, 1, 1, 2, 2]
+
+
+def test_merge_tagged_equals_merge_by_tag(spark):
+    p = spark.createDataFrame([(0, [1.0, 5.0], [2.0], 2), (1, [3.0, 1.0], [4.0], 6)],
+                              "chunk_id int, a1 array<double>, a2 array<double>, w long")
+    got = {(r.name, r.pos): r.value for r in PM.merge_tagged(p, {"a1": "a", "a2": "i"}, weight_col="w").collect()}
+    assert got == {("a1", 0): 2.5, ("a1", 1): 2.0, ("a2", 0): 8.0}
+    with pytest.raises(ValueError):
+        PM.merge_tagged(p, {"a1": "c"})
