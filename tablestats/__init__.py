@@ -13,8 +13,8 @@ from tablestats.operators.correlation import correlation_matrix
 from tablestats.operators.grid import (grid_flatten, grid_mean3x3, grid_reshape, grid_sobel, mean3x3, smooth_images,
                                        sobel, sobel_images)
 from tablestats.operators.lookup import best_fit_lookup, group_by_dependency, last_writer_edges, peak_step_usage
-from tablestats.operators.partials import (frequency_partials, merge_by_tag, merge_frequencies, merge_partials, merge_tagged,
-                                           parse_aggregation_tag, partials_by)
+from tablestats.operators.partials import (frequency_partials, merge_by_tag, merge_frequencies, merge_partials,
+                                           merge_tagged, parse_aggregation_tag, partials_by)
 from tablestats.operators.profile import (column_max, column_mean, column_min, column_profile, column_std_pop,
                                           column_sum, constant_columns, count_above, mean_above)
 from tablestats.operators.rows import (cast_numeric_coerce_drop, cast_numeric_strict, cell_arith, filter_above,
