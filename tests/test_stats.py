@@ -27,10 +27,8 @@ def test_zscore_goldens(spark):
 def test_zscore_has_no_single_partition_window(spark):
     df = spark.range(100).selectExpr("cast(id as double) x")
     plan = zscore(df, ["x"])._jdf.queryExecution().executedPlan().toString()
-    # Statistics come from one scalar subquery; the rows are never joined or windowed.
-    assert "Subquery" in plan and "NestedLoopJoin" not in plan and "Window" not in plan
-    main = plan.split("Subquery")[0]
-    assert "Exchange" not in main
+    # Statistics are fitted by one aggregate; the rows pass through one projection.
+    assert "Join" not in plan and "Window" not in plan and "Exchange" not in plan and "Subquery" not in plan
 
 
 PARTIALS = [(500.0, 100, 1.0, 25.0, {"apple": 10, "banana": 15}),
