@@ -25,7 +25,7 @@ from tablestats.session import build_session, sizing_conf, work_dir
 from tablestats.sources.cells import infer_cell, infer_cells, infer_schema_profile
 from tablestats.sources.images import image_pixels, pixel_row_check
 from tablestats.sources.synth import synth_ints
-from tablestats.sources.text_table import header_cells, read_table, table_footprint, write_table
+from tablestats.sources.text_table import header_cells, read_cells, read_table, table_footprint, write_table
 from tablestats.streaming.partials import stream_partials_merge
 
 __all__ = [name for name in dir() if not name.startswith("_")]
