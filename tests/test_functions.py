@@ -88,3 +88,36 @@ def test_sizing_conf():
     conf = sizing_conf(100 << 40, cores=8000)  # 100 TB on 8000 cores
     assert int(conf["spark.sql.shuffle.partitions"]) == 409600
     assert int(sizing_conf(1 << 20, cores=8)["spark.sql.shuffle.partitions"]) == 16
+
+
+def test_checkpoint_root_rules():
+    from tablestats.session import checkpoint_root
+
+    class Conf:
+        def __init__(self, value=None):
+            self.value = value
+
+        def get(self, key, default=None):
+            return self.value if key == "spark.checkpoint.dir" and self.value else default
+
+    class SC:
+        def __init__(self, master, configured=None):
+            self.master, self._dir, self._conf = master, None, Conf(configured)
+
+        def getCheckpointDir(self):
+            return self._dir
+
+        def getConf(self):
+            return self._conf
+
+        def setCheckpointDir(self, d):
+            self._dir = d
+
+    class Session:
+        def __init__(self, sc):
+            self.sparkContext, self.conf = sc, Conf()
+
+    with pytest.raises(RuntimeError):
+        checkpoint_root(Session(SC("yarn")))
+    assert checkpoint_root(Session(SC("yarn", "hdfs:///shared/ckpt"))) == "hdfs:///shared/ckpt"
+    assert checkpoint_root(Session(SC("local[2]"))).startswith("/")
