@@ -121,3 +121,17 @@ def test_checkpoint_root_rules():
         checkpoint_root(Session(SC("yarn")))
     assert checkpoint_root(Session(SC("yarn", "hdfs:///shared/ckpt"))) == "hdfs:///shared/ckpt"
     assert checkpoint_root(Session(SC("local[2]"))).startswith("/")
+
+
+def test_stream_partials_merge_continuous(spark):
+    base = work_dir(spark, "test-stream-cont")
+    rows = [(10.0, 2, 1.0, 9.0), (5.0, 1, 5.0, 5.0)]
+    schema = "total_sum double, item_count bigint, min_value double, max_value double"
+    spark.createDataFrame(rows, schema).write.parquet(f"{base}/in/a")
+    q = stream_partials_merge(spark, f"{base}/in/*", f"{base}/out", f"{base}/ckpt", available_now=False)
+    try:
+        q.processAllAvailable()
+        r = merge_partials(spark.read.parquet(f"{base}/out")).first()
+        assert tuple(r) == (3, 15.0, 5.0, 1.0, 9.0)
+    finally:
+        q.stop()
