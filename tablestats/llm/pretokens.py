@@ -35,12 +35,17 @@ WHITE_SPACE = [0x09, 0x0A, 0x0B, 0x0C, 0x0D, 0x20, 0x85, 0xA0, 0x1680, *range(0x
 _SAFE = regex.compile(r"(?<=\S)(?=\s)|(?<=\p{L})(?=[^\s\p{L}\p{N}])")
 
 
+#: Code points from here on are looked up by the library (rare scripts, private use).
+TABLE = 0x33480
+
+
 @functools.cache
 def classes() -> np.ndarray:
     """Class of every code point."""
     of = {"L": LETTER, "N": NUMBER}
-    out = np.fromiter((of.get(unicodedata.category(chr(c))[0], OTHER) for c in range(sys.maxunicode + 1)), np.uint8, sys.maxunicode + 1)
-    out[[c for c in range(sys.maxunicode + 1) if out[c] == OTHER and unicodedata.category(chr(c)) == "Cn"]] = UNKNOWN
+    kinds = [unicodedata.category(c) for c in map(chr, range(TABLE))]
+    out = np.full(sys.maxunicode + 1, UNKNOWN, np.uint8)
+    out[:TABLE] = [UNKNOWN if k == "Cn" else of.get(k[0], OTHER) for k in kinds]
     out[WHITE_SPACE] = SPACE
     return out
 
