@@ -15,7 +15,7 @@ from tablestats.session import checkpoint_root, work_dir
 #: (``bytes.split`` splits on exactly these six).
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 
-__all__ = ["WORD_PATTERN", "table", "saved", "checkpoint_root", "work_dir", "map_rows", "column", "column_or_null",
+__all__ = ["WORD_PATTERN", "table", "saved", "written", "checkpoint_root", "work_dir", "map_rows", "column", "column_or_null",
            "shuffle_partitions"]
 
 
@@ -29,6 +29,13 @@ def saved(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame) -> DataFrame:
+    """The rows written once as a compressed table in the shared checkpoint folder, and read back."""
+    path = work_dir(df.sparkSession, "table") + "/rows"
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 

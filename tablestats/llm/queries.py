@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tablestats.llm import bpe, html_text, line_dedup, mixing, quality, simhash, token_store
+from tablestats.llm import bpe, fingerprint, html_text, line_dedup, mixing, quality, simhash, token_store
 from tablestats.llm.common import table
 
 
@@ -28,6 +28,10 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, quality.learn(docs, table(spark, sf_dir, "labels")))
 
 
+def op7_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.edited_fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op8_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -61,6 +65,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_html_text": op2_html_text,
     "op3_simhash": op3_simhash,
     "op6_quality": op6_quality,
+    "op7_fingerprint": op7_fingerprint,
     "op8_token_store": op8_token_store,
     "op9_mixing": op9_mixing,
     "op10_line_dedup": op10_line_dedup,
