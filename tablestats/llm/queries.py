@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tablestats.llm import bpe, fingerprint, html_text, line_dedup, mixing, quality, simhash, token_store
+from tablestats.llm import bpe, fingerprint, html_text, line_dedup, mixing, quality, simhash, substring, token_store
 from tablestats.llm.common import table
 
 
@@ -23,6 +23,10 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op4_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.substring_dedup(table(spark, sf_dir, "documents"))
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return quality.score(docs, quality.learn(docs, table(spark, sf_dir, "labels")))
@@ -64,6 +68,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_html_text": op2_html_text,
     "op3_simhash": op3_simhash,
+    "op4_substring": op4_substring,
     "op6_quality": op6_quality,
     "op7_fingerprint": op7_fingerprint,
     "op8_token_store": op8_token_store,
