@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tablestats.llm import bpe, fingerprint, html_text, line_dedup, mixing, quality, simhash, substring, token_store
+from tablestats.llm import bpe, covertree, fingerprint, html_text, line_dedup, mixing, quality, simhash, substring, token_store
 from tablestats.llm.common import table
 
 
@@ -27,6 +27,10 @@ def op4_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.substring_dedup(table(spark, sf_dir, "documents"))
 
 
+def op5_cover_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return covertree.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return quality.score(docs, quality.learn(docs, table(spark, sf_dir, "labels")))
@@ -69,6 +73,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_html_text": op2_html_text,
     "op3_simhash": op3_simhash,
     "op4_substring": op4_substring,
+    "op5_cover_tree": op5_cover_tree,
     "op6_quality": op6_quality,
     "op7_fingerprint": op7_fingerprint,
     "op8_token_store": op8_token_store,
