@@ -62,8 +62,9 @@ def drop_boilerplate(pages: DataFrame, host: str = "source", text: str = "text",
     # A page is known by host and text: equal pages lose the same lines.
     own = pages.select(column(pages, host).alias("__host"), column(pages, text).cast("string").alias("__text"))
     held = (own.where("__text IS NOT NULL")
-            .select("__host", F.unhex(F.sha2("__text", 256)).alias("__page"), F.explode(F.transform(F.array_distinct(_lines(F.col("__text"))), lambda x: F.when(x != "", _digest(x)))).alias("__line"))
-            .where("__line IS NOT NULL"))
+            # The page's digest is taken once, below the line rows.
+            .select("__host", F.unhex(F.sha2("__text", 256)).alias("__page"), F.transform(F.array_distinct(_lines(F.col("__text"))), lambda x: F.when(x != "", _digest(x))).alias("__lines"))
+            .select("__host", "__page", F.explode("__lines").alias("__line")).where("__line IS NOT NULL"))
     hits = (held.join(bad, held["__host"].eqNullSafe(bad["host"]) & (held["__line"] == bad["line"]))
             .groupBy("__host", "__page").agg(F.collect_set("__line").alias("__bad"))
             .select(F.col("__host").alias("__h"), F.col("__page").alias("__p"), "__bad"))
