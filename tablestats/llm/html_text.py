@@ -215,7 +215,7 @@ def article(nodes: list[Node], blocks: list[Block], texts: list[str]) -> list[No
         if not x.cut and x.chars and (s := _score(x)) > top:
             best, top = x, s
     if best is None:
-        return [nodes[0]]
+        return []
     # An <article> or <main> around the best container is the whole article.
     up = best
     while up is not None:
