@@ -45,7 +45,6 @@ BLOCK_PARAGRAPHS, BLOCK_BITS = 64, 14
 #: Documents in a group whose neighbours one task looks up, the most groups, and the id quantiles they are cut by.
 GROUP, MAX_GROUPS, KNOTS = 200, 16_384, 128
 _MOD = 0xFFFFFFFF
-_ALL = 2**31 - 1
 _SPACES = r"[\x20\x09-\x0D]+"
 _LAST = -(2**63)
 
@@ -105,13 +104,13 @@ def sketches(rows: DataFrame, keys: list[str], text: str) -> DataFrame:
     pieces = (rows.select(*keys, F.posexplode(paragraphs(F.col(text))).alias("at", "paragraph"))
               .select(*keys, F.floor(F.col("at") / BLOCK_PARAGRAPHS).cast("int").alias("block"), words.alias("words"))
               # The last word's neighbour is null, which leaves its hash as it is.
-              .select(*keys, "block", F.posexplode_outer(F.zip_with("words", F.slice("words", 2, _ALL), lambda a, b: F.xxhash64(a, b))).alias("at", "h")))
+              .select(*keys, "block", F.posexplode_outer(F.zip_with("words", F.slice("words", F.lit(2), F.size("words")), lambda a, b: F.xxhash64(a, b))).alias("at", "h")))
     sums = [F.coalesce(F.sum(F.shiftrightunsigned("h", i).bitwiseAND(F.lit(_MASK))), F.lit(0)).alias(f"s{i}") for i in range(PACKED)]
     blocks = pieces.groupBy(*keys, "block", F.shiftright("at", BLOCK_BITS).alias("part")).agg(*sums, F.count("h").alias("n"))
     parts = blocks.groupBy(*keys).agg(F.collect_list(F.struct(*[f"s{i}" for i in range(PACKED)], "n")).alias("parts"))
     unpack = lambda p: F.array(*[F.shiftrightunsigned(p[f"s{i}"], 21 * k).bitwiseAND(F.lit((1 << 21) - 1)) for i in range(PACKED) for k in range(3)], p["n"])
     # Nearly every document is one block; those of longer ones are added.
-    return parts.select(*keys, F.aggregate(F.transform(F.slice("parts", 2, _ALL), unpack), unpack(F.element_at("parts", 1)), combine).alias("sketch"))
+    return parts.select(*keys, F.aggregate(F.transform(F.slice("parts", F.lit(2), F.size("parts")), unpack), unpack(F.element_at("parts", 1)), combine).alias("sketch"))
 
 
 def fingerprint_lanes(docs: DataFrame, keys: list[str], text_col: str = "text") -> DataFrame:

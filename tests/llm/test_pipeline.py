@@ -1,0 +1,84 @@
+import hashlib
+from collections import Counter
+
+import numpy as np
+import public_tokenizers
+import pytest
+
+import corpus_pipeline
+from tablestats.llm import bpe, line_dedup, mixing, quality, simhash
+
+SF = "/root/testdata/sf0.001"
+
+
+@pytest.fixture(scope="module")
+def stages(spark):
+    """(name, rows before, rows after) of every stage."""
+    docs, out = spark.read.parquet(f"{SF}/documents.parquet"), []
+    for name, f in corpus_pipeline.STAGES:
+        after = f(spark, docs, SF)
+        rows = after.collect()
+        out.append((name, docs.collect(), rows))
+        docs = spark.createDataFrame(rows, after.schema)
+    return out
+
+
+def test_columns(spark, stages):
+    names = spark.read.parquet(f"{SF}/documents.parquet").columns
+    for _, before, _ in stages:
+        assert list(before[0].asDict()) == names
+
+
+def test_quality(spark, stages):
+    _, before, after = stages[0]
+    model = quality.learn(spark.createDataFrame(before), spark.read.parquet(f"{SF}/labels.parquet"))
+    scores = model.scorer().scores([r["text"] or "" for r in before])
+    assert Counter(after) == Counter(r for r, s in zip(before, scores) if s >= 0.3) and len(after) > 0.7 * len(before)
+
+
+def test_lines(stages):
+    _, before, after = stages[1]
+    pages, held = Counter(r["source"] for r in before), Counter((r["source"], x) for r in before for x in set(r["text"].split("\n")) if x)
+    bad = {k for k, n in held.items() if n > line_dedup.MAX_RATIO * pages[k[0]] and n >= line_dedup.MIN_PAGES}
+    want = {r["doc_id"]: "\n".join(x for x in r["text"].split("\n") if (r["source"], x) not in bad) for r in before}
+    assert {r["doc_id"]: r["text"] for r in after} == want
+    assert all(r["n_chars"] == len(r["text"]) for r in after)
+
+
+def test_near_copies(stages):
+    _, before, after = stages[2]
+    prints = {r["doc_id"]: simhash.fingerprint(r["text"]) for r in before}
+    ids, root = sorted(prints), {i: i for i in prints}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for k, a in enumerate(ids):
+        for b in ids[k + 1:]:
+            if (prints[a] ^ prints[b]).bit_count() <= 2:
+                x, y = find(a), find(b)
+                root[max(x, y)] = min(x, y)
+    assert sorted(r["doc_id"] for r in after) == sorted({find(i) for i in ids})
+    assert set(after) <= set(before)
+
+
+def test_mix(spark, stages):
+    _, before, after = stages[3]
+    plan = {r["doc_id"]: r["taken"] // r["size"] for r in mixing.mix(spark.createDataFrame(before)).collect() if r["taken"]}
+    assert Counter(r["doc_id"] for r in after) == Counter(plan) and set(after) <= set(before)
+
+
+def test_encoding(stages):
+    _, before, after = stages[4]
+    enc = bpe.encoding(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    want = Counter()
+    for r in before:
+        ids = enc.encode_ordinary(r["text"])
+        want[r["doc_id"], len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256(r["text"].encode()).hexdigest()] += 1
+    assert Counter(map(tuple, after)) == want
+
+
+def test_run_is_the_stages_in_order(spark, stages):
+    assert Counter(map(tuple, corpus_pipeline.run(spark, SF).collect())) == Counter(map(tuple, stages[4][2]))
