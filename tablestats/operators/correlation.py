@@ -4,115 +4,110 @@ A pair whose either side has zero variance gets 0, also on the diagonal.
 Spark's ``corr`` cannot be used as is: under ANSI it raises on a constant
 column and it returns 1.0 for ``corr(c, c)`` of a constant ``c``.
 
-Narrow tables (up to ``WIDE_COLUMNS`` columns): one aggregate computes, for
-every pair i < j, the co-moment and both second moments over the rows where
-both values are present (``regr_sxy/sxx/syy`` - pandas' pairwise-complete
-rule), plus each column's variance for the diagonal - a single scan, partial
-aggregates per task, one-row result. The moments are merged with the
-streaming (Welford) update, under which a constant column has a second
-moment of exactly 0, so the zero-variance test is exact.
-
-Wide tables: the p(p+1)/2 aggregates would bloat the generated code, so the
-columns are centred by their means (one small aggregate) and each task
-folds its rows into a p x p Gram matrix with numpy (Arrow batches); the
-tasks' upper triangles are summed by a keyed aggregate. Nothing of size
-p x p passes through the driver.
+There is one path for any number of columns p, two passes over the data. Pass 1
+is an ordinary aggregate: mean, minimum and maximum per column (3p numbers to
+the driver). Pass 2: every task folds its Arrow batches, centred by the means,
+into a p x p Gram matrix with numpy; the tasks' matrices travel as rows of p
+numbers and are added row by row, each row in one task. Nothing of size p x p
+passes through the driver, and no generated code grows with p.
+
+Missing values (NULL or NaN) follow one stated rule, ``missing``:
+
+* ``"complete"`` (default): a row with a missing value in any of the columns is
+  left out, as the comparison scripts of the source programs do. The answer for
+  a pair then depends on which columns take part.
+* ``"pairwise"``: a row is left out of the pairs it has a missing value in (the
+  rule of pandas' ``corr``). The same Gram matrices are built for values, squares
+  and presence, so adding a column never changes the other pairs.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tablestats.operators.columns import resolve, value_sql
-
-WIDE_COLUMNS = 48
-
-
-def correlation_matrix(df: DataFrame, cols=None, strict: bool = False, wide: bool | None = None) -> DataFrame:
-    """Long result ``(col_i, col_j, corr)`` with p * p rows.
-
-    Rows with a NULL or NaN in one of the two columns are left out of that
-    pair (pairwise deletion) on the narrow path; the wide path drops rows
-    with a NULL in any column. The diagonal is 1 (0 for a constant column).
-    """
+from tablestats.session import checkpoint_root
+
+MISSING = ("complete", "pairwise")
+#: Tasks that build a Gram matrix, per core; more splits are read by one task one after the other.
+TASKS_PER_CORE = 4
+#: A pair's variance below this share of its rows' mean square deviation is rounding noise of a constant.
+NOISE = 1e-14
+
+
+def _gram(batches: Iterator[pa.RecordBatch], means: np.ndarray, pairwise: bool) -> Iterator[pa.RecordBatch]:
+    """One task's sums of products: rows (i, kind, values)."""
+    p = len(means)
+    acc = np.zeros((4 if pairwise else 1, p, p))
+    for b in batches:
+        x = np.asarray(b.column(0).flatten(), np.float64).reshape(-1, p) - means
+        if pairwise:
+            there = ~np.isnan(x)
+            x = np.where(there, x, 0.0)
+            there = there.astype(np.float64)
+            # Of rows where both are present: sums of products, of the first, of its square, and their number.
+            acc += np.stack([x.T @ x, x.T @ there, (x * x).T @ there, there.T @ there])
+        else:
+            acc[0] += x.T @ x
+    kinds, rows = np.divmod(np.arange(len(acc) * p), p)
+    yield pa.RecordBatch.from_arrays([pa.array(rows.astype(np.int32)), pa.array(kinds.astype(np.int32)), pa.array(list(acc.reshape(-1, p)), pa.list_(pa.float64()))], ["i", "kind", "s"])
+
+
+def _add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of the same (i, kind), which are in this task, added up."""
+    acc: dict[tuple[int, int], np.ndarray] = {}
+    for b in batches:
+        for i, kind, s in zip(b.column("i").to_pylist(), b.column("kind").to_pylist(), b.column("s")):
+            v = np.asarray(s.values)
+            acc[i, kind] = acc[i, kind] + v if (i, kind) in acc else v.copy()
+    yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in acc], pa.int32()), pa.array([k[1] for k in acc], pa.int32()), pa.array(list(acc.values()), pa.list_(pa.float64()))], ["i", "kind", "s"])
+
+
+def correlation_matrix(df: DataFrame, cols=None, strict: bool = False, missing: str = "complete") -> DataFrame:
+    """Long result ``(col_i, col_j, corr)`` with p * p rows; the diagonal is 1 (0 for a constant column)."""
+    if missing not in MISSING:
+        raise ValueError(f"missing must be one of {MISSING}")
     cols = resolve(df, cols, strict)
-    if wide is None:
-        wide = len(cols) > WIDE_COLUMNS
-    if wide:
-        return _wide(df, cols)
-    vals = {c: f"CAST({value_sql(df, c)} AS DOUBLE)" for c in cols}
-    aggs = []
-    for i, a in enumerate(cols):
-        aggs.append(f"var_pop({vals[a]}) AS _v_{i}")
-        for j in range(i + 1, len(cols)):
-            x, y = vals[a], vals[cols[j]]
-            aggs += [f"regr_sxy({y}, {x}) AS _sxy_{i}_{j}", f"regr_sxx({y}, {x}) AS _sxx_{i}_{j}",
-                     f"regr_syy({y}, {x}) AS _syy_{i}_{j}"]
-    one = df.agg(*[F.expr(a) for a in aggs])
-    cells = []
-    for i, a in enumerate(cols):
-        for j, b in enumerate(cols):
-            if i == j:
-                r = f"CASE WHEN coalesce(_v_{i}, 0.0D) = 0.0D THEN 0.0D ELSE 1.0D END"
-            else:
-                lo, hi = min(i, j), max(i, j)
-                sxx, syy, sxy = f"_sxx_{lo}_{hi}", f"_syy_{lo}_{hi}", f"_sxy_{lo}_{hi}"
-                r = (f"CASE WHEN coalesce({sxx}, 0.0D) = 0.0D OR coalesce({syy}, 0.0D) = 0.0D THEN 0.0D "
-                     f"ELSE {sxy} / sqrt({sxx} * {syy}) END")
-            cells.append(f"named_struct('col_i', {_lit(a)}, 'col_j', {_lit(b)}, 'corr', {r})")
-    return one.selectExpr(f"inline(array({', '.join(cells)}))")
-
-
-def _lit(s: str) -> str:
-    return "'" + s.replace("\\", "\\\\").replace("'", "\\'") + "'"
-
-
-def _wide(df: DataFrame, cols: list[str]) -> DataFrame:
-    """Complete rows only. Pass 1: column means and constant flags (2p values
-    to the driver). Pass 2: every task folds its Arrow batches into a centred
-    p x p Gram matrix with numpy and emits its upper triangle as rows; a
-    keyed sum adds the tasks' triangles, and the diagonal (p rows) normalises."""
-    import numpy as np
-    import pandas as pd
-
-    p = len(cols)
+    if not cols:
+        raise ValueError("no numeric columns to correlate")
+    p, pairwise = len(cols), missing == "pairwise"
     # One array column per row: p separate aliased, NULL-filtered columns make
     # the optimizer's constraint inference grow with p.
     row = F.array(*[F.expr(f"CAST({value_sql(df, c)} AS DOUBLE)") for c in cols])
-    x = df.select(row.alias("v")).where(~F.exists("v", lambda e: e.isNull()))
-    stats = x.agg(*[F.avg(F.get("v", k)) for k in range(p)],
-                  *[(F.min(F.get("v", k)) == F.max(F.get("v", k))) for k in range(p)]).first()
-    means = np.array([stats[k] if stats[k] is not None else 0.0 for k in range(p)], dtype=np.float64)
-    const = [stats[p + k] is None or bool(stats[p + k]) for k in range(p)]
-    iu, ju = np.triu_indices(p)
-
-    def gram(batches):
-        acc = np.zeros((p, p))
-        seen = False
-        for pdf in batches:
-            if len(pdf):
-                m = np.stack(pdf["v"].to_numpy()).astype(np.float64) - means
-                acc += m.T @ m
-                seen = True
-        if seen:
-            yield pd.DataFrame({"i": iu.astype(np.int32), "j": ju.astype(np.int32), "s": acc[iu, ju]})
-
-    # p(p+1)/2 rows; checkpointed so the pass over the data runs once although
-    # the triangle is read three times below.
-    tri = x.mapInPandas(gram, "i int, j int, s double").groupBy("i", "j").agg(F.sum("s").alias("s")).checkpoint()
-    diag = tri.where(F.col("i") == F.col("j")).select(F.col("i").alias("k"), F.col("s").alias("d"))
-    di, dj = diag.select(F.col("k").alias("ki"), F.col("d").alias("di")), diag.select(
-        F.col("k").alias("kj"), F.col("d").alias("dj"))
-    joined = tri.join(F.broadcast(di), F.col("i") == F.col("ki")).join(F.broadcast(dj), F.col("j") == F.col("kj"))
-    flags = F.array(*[F.lit(c) for c in const])
-    zero = F.element_at(flags, F.col("i") + 1) | F.element_at(flags, F.col("j") + 1) | (F.col("di") == 0) \
-        | (F.col("dj") == 0)
-    r = F.when(zero, F.lit(0.0)).when(F.col("i") == F.col("j"), F.lit(1.0)) \
-        .otherwise(F.col("s") / F.sqrt(F.col("di") * F.col("dj")))
-    upper = joined.select("i", "j", r.alias("corr"))
-    both = upper.unionByName(upper.where(F.col("i") != F.col("j")).select(
-        F.col("j").alias("i"), F.col("i").alias("j"), "corr"))
-    names = F.array(*[F.lit(c) for c in cols])
-    return both.select(F.element_at(names, F.col("i") + 1).alias("col_i"),
-                       F.element_at(names, F.col("j") + 1).alias("col_j"), "corr")
+    x = df.select(row.alias("v"))
+    if not pairwise:
+        x = x.where(~F.exists("v", lambda e: e.isNull()))
+    stats = x.select(F.posexplode("v").alias("k", "e")).groupBy("k").agg(F.avg("e").alias("m"), F.min("e").alias("lo"), F.max("e").alias("hi")).collect()
+    means, const = np.zeros(p), [True] * p
+    for r in stats:  # p rows
+        means[r.k], const[r.k] = r.m or 0.0, r.lo is None or r.lo == r.hi
+    checkpoint_root(df.sparkSession)
+    tasks = TASKS_PER_CORE * df.sparkSession.sparkContext.defaultParallelism
+    ddl = "i int, kind int, s array<double>"
+    sums = x.coalesce(tasks).mapInArrow(lambda it: _gram(it, means, pairwise), ddl).repartition(min(p, tasks), "i").mapInArrow(_add, ddl).checkpoint()
+    cells = sums.where("kind = 0").select("i", F.posexplode("s").alias("j", "xy"))
+    if pairwise:
+        def of(kind, names):
+            return sums.where(f"kind = {kind}").select("i", F.posexplode("s").alias("j", "s")).select(*names, "s")
+
+        for kind, name in ((1, "x"), (2, "xx"), (3, "n")):
+            cells = cells.join(of(kind, ["i", "j"]).withColumnRenamed("s", name), ["i", "j"])
+        for kind, name in ((1, "y"), (2, "yy")):  # the same for the pair's other side
+            cells = cells.join(of(kind, [F.col("j").alias("i"), F.col("i").alias("j")]).withColumnRenamed("s", name), ["i", "j"])
+        vx, vy = F.col("xx") - F.col("x") * F.col("x") / F.col("n"), F.col("yy") - F.col("y") * F.col("y") / F.col("n")
+        sxy = F.col("xy") - F.col("x") * F.col("y") / F.col("n")
+        flat = (F.col("n") < 2) | (vx <= NOISE * F.col("xx")) | (vy <= NOISE * F.col("yy"))
+    else:
+        diag = cells.where("i = j").select(F.col("i").alias("k"), F.col("xy").alias("d"))
+        cells = (cells.join(diag.withColumnsRenamed({"k": "i", "d": "di"}), "i").join(diag.withColumnsRenamed({"k": "j", "d": "dj"}), "j"))
+        vx, vy, sxy = F.col("di"), F.col("dj"), F.col("xy")
+        flat = (vx <= 0) | (vy <= 0)
+    flags, names = F.array(*[F.lit(c) for c in const]), F.array(*[F.lit(c) for c in cols])
+    zero = F.get(flags, F.col("i")) | F.get(flags, F.col("j")) | flat
+    r = F.when(zero, F.lit(0.0)).when(F.col("i") == F.col("j"), F.lit(1.0)).otherwise(sxy / F.sqrt(vx * vy))
+    return cells.select(F.get(names, F.col("i")).alias("col_i"), F.get(names, F.col("j")).alias("col_j"), r.alias("corr"))

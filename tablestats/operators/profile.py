@@ -64,6 +64,8 @@ def constant_expr(df: DataFrame, c: str) -> Column:
 
 
 def _wide(df: DataFrame, cols, make) -> DataFrame:
+    if not cols:
+        raise ValueError("no columns of a suitable type to aggregate")
     return df.agg(*[make(c).alias(c) for c in cols])
 
 
@@ -116,6 +118,9 @@ def constant_columns(df: DataFrame, cols=None, strict: bool = False) -> DataFram
 
 
 PROFILE_FIELDS = ["n", "sum", "min", "max", "mean", "count_above", "mean_above", "std_pop", "is_const"]
+#: Columns profiled by one row of the aggregate: its 11 buffers a column stay
+#: below 100 fields, where whole-stage code generation works and pays.
+GROUP_COLUMNS = 8
 
 
 def column_profile(df: DataFrame, cols=None, threshold=DEFAULT_THRESHOLD, strict: bool = False) -> DataFrame:
@@ -123,31 +128,54 @@ def column_profile(df: DataFrame, cols=None, threshold=DEFAULT_THRESHOLD, strict
 
     Output ``(col_name, n, sum, min, max, mean, count_above, mean_above,
     std_pop, is_const)``; ``sum/min/max`` are doubles here so that the rows
-    share one type. Per column only six aggregate buffers are kept (count,
-    sum, min, max, count and sum above the threshold) plus the three of
-    ``stddev_pop``; mean, mean above and the constant flag are derived from
-    them, which keeps wide tables inside whole-stage code generation longer.
-    The wide one-row aggregate is turned long with ``inline`` on that single
-    row, which costs nothing.
+    share one type. Whether a column is constant is decided on its own type,
+    by a hash of the value that is one-to-one for 64-bit values, so integers
+    beyond 2^53 are told apart.
+
+    A row is dealt out as one row per ``GROUP_COLUMNS`` columns, and one
+    aggregate by group computes all statistics of a group's columns, so the
+    generated code is the same for 5 and for 5,000 columns.
     """
     cols = resolve(df, cols, strict)
     if not cols:
         raise ValueError("no numeric columns to profile")
     t = f"CAST({threshold!r} AS DOUBLE)"
+    width = min(GROUP_COLUMNS, len(cols))
+    groups = [cols[i:i + width] for i in range(0, len(cols), width)]
+    # v_k: the values as doubles; h_k: their hashes (NULL for a missing value).
+    flat, tuples = [], []
+    for g, names in enumerate(groups):
+        for k in range(width):
+            v = value_sql(df, names[k]) if k < len(names) else None
+            flat.append(f"CAST({v or 'NULL'} AS DOUBLE) AS v_{g}_{k}")
+            flat.append(f"CASE WHEN {v} IS NOT NULL THEN xxhash64({v}) END AS h_{g}_{k}" if v else f"CAST(NULL AS BIGINT) AS h_{g}_{k}")
+        tuples.append("(" + ", ".join(f"v_{g}_{k}, h_{g}_{k}" for k in range(width)) + f") AS `{g}`")
+    rows = df.selectExpr(*flat)
+    if len(groups) > 1:
+        out = ", ".join(f"v_{k}, h_{k}" for k in range(width))
+        rows = df.sparkSession.sql(f"SELECT * FROM {{rows}} UNPIVOT INCLUDE NULLS (({out}) FOR g IN ({', '.join(tuples)}))", rows=rows)
+    else:
+        rows = rows.selectExpr("'0' AS g", *[f"{c}_0_{k} AS {c}_{k}" for k in range(width) for c in "vh"])
     aggs = ["count(1) AS _rows"]
-    for k, c in enumerate(cols):
-        v = f"CAST({value_sql(df, c)} AS DOUBLE)"
+    for k in range(width):
+        v, h = f"v_{k}", f"h_{k}"
         aggs += [f"count({v}) AS _{k}_n", f"sum({v}) AS _{k}_sum", f"min({v}) AS _{k}_min", f"max({v}) AS _{k}_max",
                  f"count_if({v} > {t}) AS _{k}_ca", f"sum(CASE WHEN {v} > {t} THEN {v} END) AS _{k}_sa",
-                 f"stddev_pop({v}) AS _{k}_sd"]
-    wide = df.agg(*[F.expr(a) for a in aggs])
-    structs = []
-    for k, c in enumerate(cols):
-        name = c.replace("\\", "\\\\").replace("'", "\\'")
-        structs.append(
-            f"named_struct('col_name', '{name}', 'n', _{k}_n, 'sum', _{k}_sum, 'min', _{k}_min, 'max', _{k}_max, "
-            f"'mean', _{k}_sum / nullif(_{k}_n, 0), 'count_above', _{k}_ca, "
-            f"'mean_above', coalesce(_{k}_sa / nullif(_{k}_ca, 0), 0.0D), 'std_pop', _{k}_sd, "
-            f"'is_const', CASE WHEN _rows = 0 THEN CAST(NULL AS INT) WHEN _{k}_n = 0 THEN 1 "
-            f"WHEN _{k}_n = _rows AND _{k}_min = _{k}_max THEN 1 ELSE 0 END)")
-    return wide.selectExpr(f"inline(array({', '.join(structs)}))")
+                 f"stddev_pop({v}) AS _{k}_sd", f"min({h}) AS _{k}_lo", f"max({h}) AS _{k}_hi"]
+    wide = rows.groupBy("g").agg(*[F.expr(a) for a in aggs])
+    if len(groups) == 1:  # one row also for an empty table
+        wide = rows.agg(*[F.expr(a) for a in aggs]).selectExpr("'0' AS g", "*")
+    else:
+        empty = df.sparkSession.range(len(groups)).selectExpr("CAST(id AS STRING) AS g")
+        wide = empty.join(wide, "g", "left")
+    lists = F.array(*[F.array(*[F.lit(n) for n in names]) for names in groups])
+    rows_n = "coalesce(_rows, 0)"
+    structs = [
+        f"named_struct('k', {k}, 'n', coalesce(_{k}_n, 0), 'sum', _{k}_sum, 'min', _{k}_min, 'max', _{k}_max, "
+        f"'mean', _{k}_sum / nullif(_{k}_n, 0), 'count_above', coalesce(_{k}_ca, 0), "
+        f"'mean_above', coalesce(_{k}_sa / nullif(_{k}_ca, 0), 0.0D), 'std_pop', _{k}_sd, "
+        f"'is_const', CASE WHEN {rows_n} = 0 THEN CAST(NULL AS INT) WHEN _{k}_n = 0 THEN 1 "
+        f"WHEN _{k}_n = {rows_n} AND _{k}_lo = _{k}_hi THEN 1 ELSE 0 END)" for k in range(width)]
+    long = wide.selectExpr("g", f"inline(array({', '.join(structs)}))")
+    name = F.get(F.get(lists, F.col("g").cast("int")), F.col("k"))
+    return long.withColumn("col_name", name).where("col_name IS NOT NULL").select("col_name", *PROFILE_FIELDS)

@@ -25,15 +25,23 @@ def column_stats(df: DataFrame, cols: list[str]) -> DataFrame:
     return df.agg(*[F.expr(a) for a in aggs])
 
 
-def zscore(df: DataFrame, cols=None, keep=(), strict: bool = False) -> DataFrame:
+def zscore(df: DataFrame, cols=None, keep=(), strict: bool = False, missing: str = "skip") -> DataFrame:
     """Replace each numeric column by ``(v - mean) / std``; 0.0 where std is 0.
 
     ``keep`` names columns passed through unchanged (row keys). A column is
     treated as zero-variance when its min equals its max, which avoids the
-    floating residue a two-pass variance leaves on constant data. NULL and NaN
-    cells give NULL.
+    floating residue a two-pass variance leaves on constant data.
+
+    ``missing``: with ``"skip"`` (default) a NULL or NaN cell gives NULL and every
+    other cell counts; with ``"complete"`` a row with such a cell in any of the
+    columns is left out, of the statistics and of the result, as the comparison
+    script of the source program does.
     """
+    if missing not in ("skip", "complete"):
+        raise ValueError("missing must be 'skip' or 'complete'")
     cols = resolve(df, cols, strict)
+    if missing == "complete":
+        df = df.where(F.expr(" AND ".join(f"({value_sql(df, c)}) IS NOT NULL" for c in cols) or "true"))
     st = column_stats(df, cols).first()
     out = [F.col(c) for c in keep]
     for k, c in enumerate(cols):

@@ -55,7 +55,6 @@ def q_correlation_matrix(spark, sf_dir):
     return tidy(correlation_matrix(_lineitem(spark, sf_dir, keys=False), COLS), decimals=9)
 
 
-DIMS = 64
 _WIDE_CORR_SQL = (
     "WITH e AS (SELECT vec_id, unnest(range(0, len(embedding))) AS k, unnest(embedding)::double AS v FROM embeddings), "
     "m AS (SELECT k, avg(v) AS mu, min(v) = max(v) AS c FROM e GROUP BY k), "
@@ -70,12 +69,43 @@ _WIDE_CORR_SQL = (
 
 @register("correlation_matrix_wide", _WIDE_CORR_SQL)
 def q_correlation_matrix_wide(spark, sf_dir):
-    """D9 on a 64-column table (each embedding dimension a column): the wide path."""
+    """D9 with each embedding dimension a column, as many as the vectors have."""
     e = table(spark, sf_dir, "embeddings")
-    wide = e.select(*[F.get("embedding", k).cast("double").alias(f"d{k}") for k in range(DIMS)])
+    dims = e.agg(F.max(F.size("embedding"))).first()[0] or 1
+    wide = e.select(*[F.get("embedding", k).cast("double").alias(f"d{k}") for k in range(dims)])
     return tidy(correlation_matrix(wide), decimals=9)
 
 
+# A column that is missing where the quantity is a multiple of 7, and one that is missing on odd lines.
+_HOLES = {"q": "CASE WHEN CAST(l_quantity AS BIGINT) % 7 = 0 THEN NULL ELSE l_quantity END", "price": "l_extendedprice",
+          "tax": "CASE WHEN l_linenumber % 2 = 1 THEN NULL ELSE l_tax END", "disc": "l_discount"}
+
+
+def _holes_sql():
+    h = list(_HOLES)
+    pairs = [f"SELECT '{a}' AS col_i, '{b}' AS col_j, " + rnd_fixed("1.0" if a == b else f"(SELECT corr({a}, {b}) FROM t WHERE {{w}})", 8) + " AS corr"
+             for a in h for b in h]
+    base = "t AS (SELECT " + ", ".join(f"{e} AS {c}" for c, e in _HOLES.items()) + " FROM lineitem)"
+    full = " AND ".join(f"{c} IS NOT NULL" for c in h)
+    return [f"WITH {base} " + " UNION ALL ".join(p.replace("{w}", w) for p in pairs) for w in (full, "true")]
+
+
+def _holes(spark, sf_dir):
+    return table(spark, sf_dir, "lineitem").selectExpr(*[f"{e} AS {c}" for c, e in _HOLES.items()])
+
+
+@register("correlation_complete", _holes_sql()[0])
+def q_correlation_complete(spark, sf_dir):
+    """D9 on columns with missing values, rows with any left out."""
+    return tidy(correlation_matrix(_holes(spark, sf_dir)), decimals=8)
+
+
+@register("correlation_pairwise", _holes_sql()[1])
+def q_correlation_pairwise(spark, sf_dir):
+    """D9 on columns with missing values, left out pair by pair."""
+    return tidy(correlation_matrix(_holes(spark, sf_dir), missing="pairwise"), decimals=8)
+
+
 _MERGE_SQL = (f"SELECT count(value) AS total_records_processed, {rnd('coalesce(sum(value), 0)')} AS overall_sum, "
               f"{rnd('CASE WHEN count(value) > 0 THEN sum(value) / count(value) ELSE 0 END')} AS overall_average, "
               f"{rnd('min(value)')} AS overall_minimum, {rnd('max(value)')} AS overall_maximum "

@@ -10,18 +10,15 @@ from pyspark.sql import SparkSession
 
 # Settings the operators are tuned for: adaptive execution (coalescing small
 # shuffle partitions, splitting skewed join partitions), UTC so timestamps
-# agree with other engines, Arrow for the few Python stages, wider code
-# generation, and no UI server.
+# agree with other engines, Arrow for the few Python stages, and no UI server.
 DEFAULT_CONF = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
-    # A column profile keeps ~9 aggregate buffers per column; the default limit
-    # of 100 fields turns whole-stage code generation off beyond ~11 columns
-    # (10M x 20 profile: 13.4 s at 100, 4.7 s at 1000 on local[8]).
-    "spark.sql.codegen.maxFields": "1000",
+    # Checkpoint files go with the last reference to their DataFrame.
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
 }
@@ -73,10 +70,27 @@ def checkpoint_root(spark: SparkSession) -> str:
     return sc.getCheckpointDir() or local
 
 
+_made: list[str] = []
+
+
+def release_work(spark: SparkSession) -> int:
+    """Delete the work folders made by this process; returns how many.
+
+    For use when the results read from them are no longer needed; each holds a
+    copy of what was written to it.
+    """
+    n = 0
+    while _made:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_made.pop())
+        n += bool(path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True))
+    return n
+
+
 def work_dir(spark: SparkSession, name: str = "work") -> str:
     """A fresh, uniquely named folder under the shared checkpoint root."""
     root = checkpoint_root(spark)
     path = f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _made.append(path)
     if "://" not in path or path.startswith("file:"):
         os.makedirs(path.replace("file:", "", 1) if path.startswith("file:") else path, exist_ok=True)
     return path

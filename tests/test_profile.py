@@ -86,3 +86,35 @@ def test_text_columns_for_min_max_const(spark):
     df = spark.createDataFrame([("b", "x"), ("a", "x"), ("é", "x")], "s string, t string")
     assert one(P.column_min(df, ["s"])).s == "a" and one(P.column_max(df, ["s"])).s == "é"
     assert one(P.constant_columns(df, ["s", "t"])).asDict() == {"s": 0, "t": 1}
+
+
+@pytest.mark.parametrize("fields", ["100", "1000"])
+@pytest.mark.parametrize("p", [5, 8, 9, 40, 100, 200])
+def test_profile_at_any_width(spark, p, fields):
+    before = spark.conf.get("spark.sql.codegen.maxFields")
+    spark.conf.set("spark.sql.codegen.maxFields", fields)
+    try:
+        df = spark.range(50).selectExpr(*[f"id * {k % 7} + {k} AS c{k}" for k in range(p)])
+        got = {r.col_name: r for r in P.column_profile(df).collect()}
+    finally:
+        spark.conf.set("spark.sql.codegen.maxFields", before)
+    assert set(got) == {f"c{k}" for k in range(p)}
+    for k in range(p):
+        v = [i * (k % 7) + k for i in range(50)]
+        r = got[f"c{k}"]
+        assert (r.n, r.sum, r.min, r.max, r.count_above, r.is_const) == (50, sum(v), min(v), max(v), sum(x > 20 for x in v), int(k % 7 == 0))
+
+
+def test_profile_tells_large_integers_apart(spark):
+    df = spark.createDataFrame([(2**53, 2**53), (2**53 + 1, 2**53)], "a long, b long")
+    got = {r.col_name: r.is_const for r in P.column_profile(df).collect()}
+    assert got == {"a": 0, "b": 1}
+    empty = P.column_profile(df.selectExpr(*[f"a AS x{k}" for k in range(20)]).where("false")).collect()
+    assert len(empty) == 20 and all(r.n == 0 and r.is_const is None for r in empty)
+
+
+def test_aggregates_without_numeric_columns_say_so(spark):
+    df = spark.createDataFrame([("a",)], "t string")
+    for f in (P.column_sum, P.column_mean, P.count_above, P.constant_columns):
+        with pytest.raises(ValueError):
+            f(df)

@@ -9,8 +9,8 @@ from tablestats.operators.zscore import zscore
 
 def test_correlation_goldens(spark):
     df = spark.createDataFrame([(1.0, 2.0, 7.0), (2.0, 4.0, 7.0), (3.0, 6.0, 7.0)], "x double, y double, c double")
-    for wide in (False, True):
-        m = {(r.col_i, r.col_j): r.corr for r in correlation_matrix(df, wide=wide).collect()}
+    for rule in ("complete", "pairwise"):
+        m = {(r.col_i, r.col_j): r.corr for r in correlation_matrix(df, missing=rule).collect()}
         assert m[("x", "y")] == pytest.approx(1.0)
         assert m[("x", "x")] == pytest.approx(1.0)
         assert m[("x", "c")] == 0.0 and m[("c", "x")] == 0.0 and m[("c", "c")] == 0.0
@@ -134,17 +134,40 @@ def test_row_at(spark):
     assert C.row_at(df, "id", 10).collect() == []
 
 
-def test_wide_correlation_equals_narrow(spark):
-    import random
-    rnd = random.Random(4)
-    rows = [(rnd.gauss(100, 5), rnd.gauss(0, 1), 3.0, None if i % 17 == 0 else rnd.random()) for i in range(3000)]
-    df = spark.createDataFrame(rows, "a double, b double, c double, d double").repartition(5)
-    df = df.where(F.col("d").isNotNull())  # the wide path uses complete rows; compare on complete data
-    narrow = {(r.col_i, r.col_j): r.corr for r in correlation_matrix(df, wide=False).collect()}
-    wide = {(r.col_i, r.col_j): r.corr for r in correlation_matrix(df, wide=True).collect()}
-    assert set(narrow) == set(wide) and len(wide) == 16
-    for k in narrow:
-        assert wide[k] == pytest.approx(narrow[k], abs=1e-12)
+@pytest.mark.parametrize("p", [2, 9, 10, 24, 64])
+def test_correlation_equals_numpy_at_any_width(spark, p):
+    import numpy as np
+    rng = np.random.default_rng(p)
+    x = rng.normal(size=(400, p)) + 1000 * rng.normal(size=p)
+    x[:, -1] = 0.1  # a constant that sums to a rounded value
+    hole = x.copy()
+    hole[rng.random(x.shape) < 0.01] = np.nan
+    df = spark.createDataFrame([tuple(None if np.isnan(v) else float(v) for v in r) for r in hole], ", ".join(f"c{k} double" for k in range(p))).repartition(3)
+    for rule in ("complete", "pairwise"):
+        got = {(int(r.col_i[1:]), int(r.col_j[1:])): r.corr for r in correlation_matrix(df, missing=rule).collect()}
+        assert len(got) == p * p
+        whole = hole[~np.isnan(hole).any(1)]
+        for i in range(p):
+            for j in range(p):
+                y = whole[:, [i, j]] if rule == "complete" else hole[~np.isnan(hole[:, [i, j]]).any(1)][:, [i, j]]
+                want = 0.0 if p - 1 in (i, j) else 1.0 if i == j else np.corrcoef(y.T)[0, 1]
+                assert got[i, j] == pytest.approx(want, abs=1e-9)
+
+
+def test_a_column_more_changes_no_other_pair(spark):
+    df = spark.range(200).selectExpr("cast(id % 17 as double) a", "cast(id % 5 as double) b", "if(id % 3 = 0, null, cast(id as double)) c")
+    for rule, cols in (("pairwise", ["a", "b", "c"]), ("complete", ["a", "b"])):
+        base = correlation_matrix(df, ["a", "b"], missing=rule).where("col_i = 'a' AND col_j = 'b'").first().corr
+        more = correlation_matrix(df, cols, missing=rule).where("col_i = 'a' AND col_j = 'b'").first().corr
+        assert more == pytest.approx(base, abs=1e-12)
+    with pytest.raises(ValueError):
+        correlation_matrix(df, missing="other")
+
+
+def test_zscore_complete_rows(spark):
+    df = spark.createDataFrame([(1, 1.0, 5.0), (2, None, 6.0), (3, 3.0, float("nan")), (4, 2.0, 7.0)], "id int, x double, y double")
+    rows = {r.id: (r.x, r.y) for r in zscore(df, ["x", "y"], keep=["id"], missing="complete").collect()}
+    assert rows == {1: (-1.0, -1.0), 4: (1.0, 1.0)}
 
 
 def test_sort_top_k_default_is_input_order(spark):
