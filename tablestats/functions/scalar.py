@@ -7,6 +7,9 @@ returns an int. Division by zero raises, as in Python (ANSI mode).
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -16,12 +19,32 @@ def _c(x) -> Column:
     return x if isinstance(x, Column) else F.lit(x)
 
 
+def _float_mod(a: Column, b: Column) -> Column:
+    """Python's ``%`` on floats: the exact remainder with the divisor's sign."""
+    a, b = a.cast("double"), b.cast("double")
+    m = a % b
+    fixed = F.when((m != 0) & ((m < 0) != (b < 0)), m + b).otherwise(m)
+    return F.when(fixed == 0, F.when(b < 0, F.lit(-0.0)).otherwise(F.lit(0.0))).otherwise(fixed)
+
+
+def _float_floordiv(a: Column, b: Column) -> Column:
+    """Python's ``//`` on floats: the exact remainder taken off, divided, rounded to the nearest integer."""
+    a, b = a.cast("double"), b.cast("double")
+    m = a % b
+    d = (a - m) / b
+    d = F.when((m != 0) & ((m < 0) != (b < 0)), d - 1).otherwise(d)
+    # From 2^52 on a double is whole (and may be too large for a long).
+    whole = F.when(F.abs(d) >= 2.0**52, d).otherwise(F.floor(F.when(F.abs(d) < 2.0**52, d)).cast("double"))
+    return F.when(d - whole > 0.5, whole + 1).otherwise(whole)
+
+
 def py_floordiv(a, b, integral: bool = True) -> Column:
     """``a // b``. For integers exact at any size: truncating ``div`` minus one
-    when the remainder is non-zero and the signs differ."""
+    when the remainder is non-zero and the signs differ. For floats as Python
+    does it, from the exact remainder (``1.0 // 0.1`` is 9.0)."""
     a, b = _c(a), _c(b)
     if not integral:
-        return F.floor(a / b).cast("double")
+        return _float_floordiv(a, b)
     trunc = _div(a, b)
     adjust = (F.when((a % b != 0) & ((a < 0) != (b < 0)), F.lit(1)).otherwise(F.lit(0))).cast("long")
     return trunc - adjust
@@ -40,15 +63,22 @@ def py_mod(a, b, integral: bool = True) -> Column:
     """
     a, b = _c(a), _c(b)
     if not integral:
-        return a - b * F.floor(a / b)
+        return _float_mod(a, b)
     return a.cast("long") - b.cast("long") * py_floordiv(a, b)
 
 
 def py_pow(a, b, integral: bool = False) -> Column:
-    """``a ** b``; with ``integral`` the result is an exact bigint (non-negative
-    integer exponent, overflow raises under ANSI)."""
-    p = F.pow(_c(a), _c(b))
-    return p.cast("long") if integral else p
+    """``a ** b``. With ``integral`` (integer base, exponent 0 to 127) the result is
+    exact, ``decimal(38,0)``, by repeated squaring; more than 38 digits raise under ANSI."""
+    if not integral:
+        return F.pow(_c(a), _c(b))
+    n, power = _c(b).cast("int"), _c(a).cast("decimal(38,0)")
+    out = F.when(n < 0, F.raise_error(F.lit("integer power with a negative exponent")).cast("decimal(38,0)")).otherwise(F.lit(1).cast("decimal(38,0)"))
+    for k in range(7):
+        # A square is only taken where the exponent needs it, so it cannot overflow for nothing.
+        out = F.when(n.bitwiseAND(F.lit(1 << k)) != 0, (out * power).cast("decimal(38,0)")).otherwise(out)
+        power = F.when(n >= 1 << (k + 1), (power * power).cast("decimal(38,0)"))
+    return out
 
 
 def py_round(x) -> Column:
@@ -84,29 +114,35 @@ def py_sqrt(x) -> Column:
 
 def with_python_float_text(df, cols):
     """Replace double/float columns by their text as Python's ``str`` prints it
-    (``0.0001``, ``1e+16``, ``-1.5e-07``, ``inf``, ``nan``).
-
-    An Arrow-batched pandas UDF applies Python's own float formatting - a
-    small per-value helper in the sink; NULL stays NULL (Arrow hands NULL to
-    pandas as NaN, so it is masked outside the UDF).
-    """
+    (``0.0001``, ``1e+16``, ``-1.5e-07``, ``inf``, ``nan``); NULL stays NULL."""
     cols = list(cols)
     if not cols:
         return df
-    out = []
-    for f in df.schema.fields:
-        c = F.col(_quoted(f.name))
-        if f.name in cols:
-            out.append(F.when(c.isNull(), F.lit(None).cast("string")).otherwise(_float_text(c.cast("double")))
-                       .alias(f.name))
-        else:
-            out.append(c)
-    return df.select(*out)
-
-
-@F.pandas_udf(T.StringType())
-def _float_text(v):  # pragma: no cover - runs in the Python workers
-    return v.map(repr)
+    return df.select(*[float_text(F.col(_quoted(f.name)).cast("double")).alias(f.name) if f.name in cols else F.col(_quoted(f.name))
+                       for f in df.schema.fields])
+
+
+def float_text(v: Column) -> Column:
+    """A double as Python's ``repr`` prints it.
+
+    The cast to string is no substitute: it writes ``1.0E16`` for ``1e+16`` and, on
+    Java 17, digits that are not always the shortest. Arrow prints the shortest
+    digits of a whole batch; only values whose text has an exponent in one of the
+    two notations are formatted one by one.
+    """
+    return _float_text(v)
+
+
+@F.arrow_udf(T.StringType())
+def _float_text(v: pa.Array) -> pa.Array:  # pragma: no cover - runs in the Python workers
+    x = v.to_numpy(zero_copy_only=False)
+    text = pc.cast(v, pa.string())
+    power = pc.fill_null(pc.match_substring(text, "e"), False).to_numpy(zero_copy_only=False)
+    text = pc.if_else(pc.match_substring(text, "."), text, pc.binary_join_element_wise(text, ".0", ""))
+    with np.errstate(invalid="ignore"):
+        plain = ((x == 0) & ~np.signbit(x) | (np.abs(x) >= 1e-3) & (np.abs(x) < 1e15)) & ~power
+    odd = np.flatnonzero(~plain & ~v.is_null().to_numpy(zero_copy_only=False))
+    return pc.replace_with_mask(text, pa.array(np.isin(np.arange(len(x)), odd)), pa.array([repr(float(y)) for y in x[odd]], pa.string())) if len(odd) else text
 
 
 def _quoted(c: str) -> str:

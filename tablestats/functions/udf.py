@@ -10,12 +10,10 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-DEFAULT_MAX_GROUP_ROWS = 5_000_000
-
+from tablestats.session import checkpoint_root
 
 def udf_rowwise(df: DataFrame, fn: Callable[[pd.DataFrame], pd.DataFrame], schema) -> DataFrame:
     """apply a row-local pandas function to every Arrow batch (tag ``c``:
@@ -27,46 +25,41 @@ def udf_rowwise(df: DataFrame, fn: Callable[[pd.DataFrame], pd.DataFrame], schem
     return df.mapInPandas(run, schema)
 
 
-ROWS_PER_CALL = 100_000
-
-
 def udf_grouped(df: DataFrame, keys, fn: Callable[[pd.DataFrame], pd.DataFrame], schema,
-                max_group_rows: int = DEFAULT_MAX_GROUP_ROWS, rows_per_call: int = ROWS_PER_CALL,
+                max_group_rows: int | None = None, buckets: int | None = None,
                 per_group: bool = True, allow_keyless: bool = False) -> DataFrame:
     """run an order- or group-dependent pandas function on whole groups.
 
-    A group is one pandas frame in one task, so group sizes are checked first
-    (one aggregate, three numbers to the driver): a group above
-    ``max_group_rows`` raises instead of running out of memory - split the
-    logic into partial + merge (``udaf_partial``) for such keys.
-
-    Small groups are packed: rows are hashed on the keys into about
-    total / ``rows_per_call`` buckets (at least the cluster's parallelism)
-    and each bucket is one pandas frame holding whole groups - one Python
-    call per bucket instead of per group (thousands of tiny groups otherwise
-    cost milliseconds each). With ``per_group=False`` ``fn`` receives that
-    frame (several complete groups) and can work vectorised, e.g. with
-    ``groupby().cumsum()``; otherwise pandas splits it and calls ``fn`` per group.
+    A group is one pandas frame in one task, by the nature of such a function; a
+    key that outgrows a task's memory needs logic split into partial + merge
+    (``udaf_partial``). ``max_group_rows`` is the caller's own limit (default
+    none): a larger frame raises in its task.
+
+    Small groups are packed: rows are hashed on the keys into ``buckets`` (by
+    default the shuffle partition setting) and each bucket is one pandas frame
+    holding whole groups - one Python call per bucket instead of per group
+    (thousands of tiny groups otherwise cost milliseconds each). With
+    ``per_group=False`` ``fn`` receives that frame (several complete groups) and
+    can work vectorised, e.g. with ``groupby().cumsum()``; otherwise pandas splits
+    it and calls ``fn`` per group. The input is read once, with one shuffle.
     """
     keys = [keys] if isinstance(keys, str) else list(keys)
     if not keys and not allow_keyless:
         raise ValueError("udf_grouped without keys runs the whole table as one group; pass allow_keyless=True")
-    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-    total, biggest = sizes.agg(F.sum("n"), F.max("n")).first()
-    total, biggest = total or 0, biggest or 0
-    if biggest > max_group_rows:
-        raise ValueError(f"largest group has {biggest} rows (> {max_group_rows}); use a partial + merge aggregate")
-    parallelism = df.sparkSession.sparkContext.defaultParallelism
-    buckets = max(1, -(-total // max(1, rows_per_call)), min(parallelism, total // 1000))
+    n = buckets or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.drop(columns="_bucket")
+        if max_group_rows is not None and len(pdf) > max_group_rows:
+            biggest = int(pdf.groupby(keys, sort=False, dropna=False).size().max()) if keys else len(pdf)
+            if biggest > max_group_rows:
+                raise ValueError(f"a group has {biggest} rows (> {max_group_rows}); use a partial + merge aggregate")
         if not per_group:
             return fn(pdf)
-        parts = [fn(g) for _, g in pdf.groupby(keys, sort=False, dropna=False)]
+        parts = [fn(g) for _, g in pdf.groupby(keys, sort=False, dropna=False)] if keys else [fn(pdf)]
         return pd.concat(parts, ignore_index=True) if parts else pdf.iloc[0:0]
 
-    bucket = F.pmod(F.xxhash64(*keys), F.lit(buckets)) if keys else F.lit(0)
+    bucket = F.pmod(F.xxhash64(*keys), F.lit(n)) if keys else F.lit(0)
     return df.withColumn("_bucket", bucket).groupBy("_bucket").applyInPandas(run, schema)
 
 
@@ -76,16 +69,17 @@ def udaf_partial(df: DataFrame, partial: Callable[[pd.DataFrame], pd.DataFrame],
 
     ``partial`` turns a batch into a few rows of partial state; ``merge``
     folds the (small) partial table with ordinary ``agg`` expressions. The
-    partial table is persisted, so a merge that reads it twice does not run
-    the Python stage over the input twice.
+    partial table is written once (reliable checkpoint), so a merge that reads it
+    twice does not run the Python stage over the input twice, and nothing stays
+    cached.
     """
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             out = partial(pdf)
             if len(out):
                 yield out
-    parts = df.mapInPandas(run, partial_schema).persist(StorageLevel.MEMORY_AND_DISK)
-    return merge(parts)
+    checkpoint_root(df.sparkSession)
+    return merge(df.mapInPandas(run, partial_schema).checkpoint())
 
 
 MOMENTS_SCHEMA = "n long, s double, m2 double, lo double, hi double"

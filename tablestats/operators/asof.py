@@ -19,8 +19,24 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+ROWS_PER_BUCKET, MAX_BUCKETS = 1_000_000, 1000
 
-def running_extreme(df: DataFrame, keys, order_col: str, cand: Column, out_col: str, extreme: str = "max",
+
+def quantile_bucket(df: DataFrame, order_col: str, rows_per_bucket: int = ROWS_PER_BUCKET) -> Column:
+    """A non-decreasing bucket of ``order_col`` with about ``rows_per_bucket`` rows of ``df`` in each.
+
+    Cut at quantiles of the rows, so neither gaps nor dense stretches of the
+    values matter; at most ``MAX_BUCKETS`` numbers come to the driver.
+    """
+    n = df.agg(F.count(order_col)).first()[0]
+    buckets = min(MAX_BUCKETS, -(-n // rows_per_bucket))
+    if buckets < 2:
+        return F.lit(0)
+    cuts = df.agg(F.percentile_approx(order_col, [k / buckets for k in range(1, buckets)], 10 * buckets)).first()[0]
+    return F.size(F.filter(F.lit(sorted(set(cuts))), lambda c: c <= F.col(order_col)))
+
+
+def running_extreme(df: DataFrame, keys, order_col: str | Column, cand: Column, out_col: str, extreme: str = "max",
                     include_current: bool = False, bucket: Column | None = None, tie_cols=()) -> DataFrame:
     """Add ``out_col``: the max (or min) of ``cand`` over the earlier rows of the same ``keys``.
 

@@ -11,12 +11,18 @@ partition (what an unpartitioned ``row_number()`` window would do):
 4. count rows per partition (one row per partition), turn the counts into
    start offsets, broadcast that table (its size is the partition count,
    checked) and add the offset to the in-partition position.
+
+For input order (``order_by=None``) on whole Parquet files nothing is sorted or
+written: a row's position in its file is known to the reader, and one count per
+file gives the offsets. Project to the needed columns before indexing; the sorted
+way writes what it is given.
 """
 
 from __future__ import annotations
 
 import math
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,6 +31,7 @@ from tablestats.session import checkpoint_root
 _LOW_BITS = 33
 MAX_BROADCAST_PARTITIONS = 1_000_000
 MAX_BROADCAST_WORKERS = 100_000
+MAX_FILES = 100_000
 
 
 def _order_cols(df: DataFrame, order_by) -> list[Column]:
@@ -46,6 +53,8 @@ def with_row_index(df: DataFrame, order_by, index_col: str = "row_index", total_
     hot key value instead of sending all its rows to one task.
     ``total_col`` optionally adds the table's row count to every row.
     """
+    if order_by is None and (found := _by_file_position(df, index_col, total_col)) is not None:
+        return found
     checkpoint_root(df.sparkSession)
     tie = df.withColumn("_tie", F.monotonically_increasing_id())
     tagged = tie.orderBy(*_order_cols(df, order_by), "_tie").drop("_tie") \
@@ -66,6 +75,35 @@ def with_row_index(df: DataFrame, order_by, index_col: str = "row_index", total_
     return out.drop("_mid", "_pid", "_off", "_total")
 
 
+def _by_file_position(df: DataFrame, index_col: str, total_col: str | None) -> DataFrame | None:
+    """Input positions from the Parquet reader's own row numbers; None where ``df`` is not whole Parquet files."""
+    own = [F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_at")]
+    try:
+        placed = df.select("*", *own)
+    except AnalysisException:  # not read from Parquet files
+        return None
+    per_file = df.select(*own).groupBy("_file").agg(F.count(F.lit(1)).alias("_n"), (F.max("_at") + 1).alias("_end"))
+    per_file.persist()
+    try:
+        whole, files = per_file.agg(F.coalesce(F.bool_and(F.col("_n") == F.col("_end")), F.lit(True)), F.count(F.lit(1))).first()
+        if not whole:  # rows were filtered out: positions have gaps
+            return None
+        rows = per_file.select("_file", "_n").orderBy("_file").collect() if files <= MAX_FILES else None
+    finally:
+        per_file.unpersist()
+    if rows is None:
+        return None
+    starts, total = [], 0
+    for r in rows:
+        starts.append((r["_file"], total))
+        total += r["_n"]
+    offsets = df.sparkSession.createDataFrame(starts, "_file string, _off long")
+    out = placed.join(F.broadcast(offsets), "_file").withColumn(index_col, F.col("_off") + F.col("_at"))
+    if total_col:
+        out = out.withColumn(total_col, F.lit(total).cast("long"))
+    return out.drop("_file", "_at", "_off")
+
+
 def chunk_size(n: Column, k: int) -> Column:
     """ceil(n / min(k, n)) - the reference's equal range length."""
     return F.ceil(n / F.least(F.lit(k), n)).cast("bigint")
@@ -177,7 +215,7 @@ def input_position(df: DataFrame) -> list[Column]:
         try:
             df.select(*cols).schema
             return [F.col(c) for c in cols]
-        except Exception:  # noqa: BLE001 - not a file source, or no row index for this format
+        except AnalysisException:  # not a file source, or no row index for this format
             continue
     return [F.monotonically_increasing_id()]
 

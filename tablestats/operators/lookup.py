@@ -13,10 +13,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tablestats.operators.asof import running_extreme
-
-DEFAULT_BUCKET_WIDTH = 1 << 20
+from tablestats.operators.asof import ROWS_PER_BUCKET, quantile_bucket, running_extreme
+from tablestats.session import checkpoint_root
 
 
 def dependency_rows(stmts: DataFrame, line_col: str, reads_col: str, writes_col: str) -> DataFrame:
@@ -30,17 +30,18 @@ def dependency_rows(stmts: DataFrame, line_col: str, reads_col: str, writes_col:
 
 
 def last_writer_edges(stmts: DataFrame, line_col: str, reads_col: str, writes_col: str,
-                      bucket_width: int = DEFAULT_BUCKET_WIDTH) -> DataFrame:
+                      rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
     """G1: edges ``(src, dest, names)``: ``src`` is the last statement strictly
     before ``dest`` (in ``line_col`` order, unique per statement) that wrote
     each name ``dest`` reads; names without an earlier writer give no edge.
     ``names`` is sorted (the reference lists them in read order).
 
     The "last earlier writer" is a running max of writer lines per name,
-    split into ``bucket_width``-line ranges so one busy name is not one task.
+    split into ranges of about ``rows_per_bucket`` statements (quantiles of the
+    lines, however sparse they are) so one busy name is not one task.
     """
     rows = dependency_rows(stmts, line_col, reads_col, writes_col)
-    bucket = F.floor(F.col("line") / F.lit(bucket_width))
+    bucket = quantile_bucket(stmts.select(F.col(line_col).alias("line")), "line", rows_per_bucket)
     found = running_extreme(rows, ["name"], "line", F.when(F.col("writes"), F.col("line")), "src", "max",
                             include_current=False, bucket=bucket)
     edges = found.where(F.col("reads") & F.col("src").isNotNull())
@@ -48,70 +49,69 @@ def last_writer_edges(stmts: DataFrame, line_col: str, reads_col: str, writes_co
 
 
 def dependency_signatures(edges: DataFrame) -> DataFrame:
-    """Per destination, its dependencies as sorted text ``name:src`` joined by ``;``."""
+    """Per destination, the set of its dependencies: sorted ``array<struct<name, src>>``."""
     pairs = edges.select("dest", F.explode("names").alias("name"), "src")
-    return pairs.groupBy("dest").agg(
-        F.array_join(F.array_sort(F.collect_list(F.concat_ws(":", "name", F.col("src").cast("string")))), ";")
-        .alias("signature"))
+    return pairs.groupBy("dest").agg(F.array_sort(F.collect_set(F.struct("name", "src"))).alias("signature"))
 
 
 def group_by_dependency(edges: DataFrame, stmts: DataFrame, line_col: str) -> DataFrame:
     """``(line, signature, group_size)`` for every statement.
 
-    Statements without dependencies share the empty signature. Groups stay
-    long (one row per member) instead of one list per group: a popular
-    signature would otherwise be one huge row. ``group_size`` comes from an
-    aggregate joined back (adaptive execution splits a hot signature).
+    The signature is the set of (name, src) structs; statements without
+    dependencies share the empty one. Groups stay long (one row per member)
+    instead of one list per group: a popular signature would otherwise be one
+    huge row. Members are written once and counted and joined from there
+    (adaptive execution splits a hot signature).
     """
     sigs = dependency_signatures(edges)
+    kind = sigs.schema["signature"].dataType
     lines = stmts.select(F.col(line_col).alias("line"))
+    checkpoint_root(stmts.sparkSession)
     member = lines.join(sigs, lines["line"] == sigs["dest"], "left") \
-        .select("line", F.coalesce(F.col("signature"), F.lit("")).alias("signature"))
+        .select("line", F.coalesce(F.col("signature"), F.array().cast(kind)).alias("signature")).checkpoint()
     sizes = member.groupBy("signature").agg(F.count(F.lit(1)).alias("group_size"))
     return member.join(sizes, "signature").select("line", "signature", "group_size")
 
 
-MAX_BROADCAST_NODES = 4096
-BUCKETS = 1024
+def _common(a, b):
+    """Type in which needs and capacities compare without loss where there is one."""
+    exact = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.DecimalType)
+    if a == b:
+        return a
+    if isinstance(a, exact) and isinstance(b, exact):
+        scale = max(t.scale if isinstance(t, T.DecimalType) else 0 for t in (a, b))
+        return T.DecimalType(38, scale)
+    return T.DoubleType()
 
 
 def best_fit_lookup(df: DataFrame, need: Column, nodes: DataFrame, out_col: str = "node",
-                    memory_col: str = "memory", pos_col: str = "pos", bucket_width: float | None = None) -> DataFrame:
+                    memory_col: str = "memory", pos_col: str = "pos", rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
     """Add ``out_col`` = the node struct with the smallest ``memory >= need``.
 
     Ties go to the smallest ``pos`` (first in the node list); NULL when no
-    node is large enough. A node list up to ``MAX_BROADCAST_NODES`` is sorted
-    into one array and broadcast (its size is checked first); longer lists use
-    a distributed running minimum over value ranges instead.
+    node is large enough or the need is NULL. Integer and decimal values are compared exactly.
+
+    The answer depends only on the need, so the lookup runs once for every
+    distinct need (a value held by a third of the rows is one row here) and is
+    joined back by value (adaptive execution broadcasts a small answer table and
+    splits a hot join key). Needs and nodes form one stream in descending order
+    of value, nodes before needs at equal value; the running minimum of node
+    structs is the answer, taken per range of values with a carried minimum. The
+    same for any number of nodes.
     """
-    n_nodes = nodes.count()
     node = F.struct(F.col(memory_col).alias("memory"), F.col(pos_col).alias("pos"),
                     *[F.col(c) for c in nodes.columns if c not in (memory_col, pos_col)])
-    if n_nodes <= MAX_BROADCAST_NODES:
-        arr = nodes.agg(F.array_sort(F.collect_list(node)).alias("_nodes")).scalar()
-        # The subquery is projected first: Spark does not allow one inside a lambda.
-        staged = df.withColumn("_need", need).withColumn("_nodes", arr)
-        return staged.withColumn(out_col, F.get(F.filter("_nodes", lambda x: x["memory"] >= F.col("_need")), 0)) \
-            .drop("_nodes", "_need")
-    # Distributed path. The answer depends only on the need value, so the
-    # lookup runs on distinct needs (a value held by a third of the rows is one
-    # row here) and is joined back by value (adaptive execution splits a hot
-    # join key). Needs and nodes form one stream ordered by value descending,
-    # nodes before needs at equal value; the running minimum of node structs
-    # is the answer, computed per value-range bucket with a carried minimum.
+    kind = _common(df.select(need.alias("n")).schema["n"].dataType, nodes.schema[memory_col].dataType)
     node_type = nodes.select(node.alias("n")).schema["n"].dataType
-    needs = df.select(need.cast("double").alias("_v")).where(F.col("_v").isNotNull()).distinct()
+    needs = df.select(need.cast(kind).alias("_v")).where(F.col("_v").isNotNull()).distinct()
     probes = needs.select("_v", F.lit(1).alias("_kind"), F.lit(None).cast(node_type).alias("_node"))
-    cands = nodes.select(F.col(memory_col).cast("double").alias("_v"), F.lit(0).alias("_kind"), node.alias("_node"))
-    both = probes.unionByName(cands).withColumn("_ord", -F.col("_v"))
-    if bucket_width is None:
-        lo, hi = both.agg(F.min("_ord"), F.max("_ord")).first()
-        bucket_width = max(((hi or 0.0) - (lo or 0.0)) / BUCKETS, 1e-300)
-    bucket = F.floor(F.col("_ord") / F.lit(float(bucket_width)))
-    found = running_extreme(both, [], "_ord", F.col("_node"), out_col, "min", include_current=True,
+    cands = nodes.where(F.col(memory_col).isNotNull()).select(F.col(memory_col).cast(kind).alias("_v"), F.lit(0).alias("_kind"), node.alias("_node"))
+    both = probes.unionByName(cands)
+    bucket = -quantile_bucket(both, "_v", rows_per_bucket)
+    found = running_extreme(both, [], F.col("_v").desc(), F.col("_node"), out_col, "min", include_current=True,
                             bucket=bucket, tie_cols=["_kind"])
     answers = found.where(F.col("_kind") == 1).select("_v", out_col)
-    return df.withColumn("_v", need.cast("double")).join(answers, "_v", "left").drop("_v")
+    return df.withColumn("_v", need.cast(kind)).join(answers, "_v", "left").drop("_v")
 
 
 def peak_step_usage(live: DataFrame, cost: DataFrame, step_col: str = "step", size_col: str = "size",

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tablestats.operators.columns import value
+from tablestats.operators.columns import INTEGRAL, value
 
 PARTIAL_DDL = ("total_sum double, item_count bigint, min_value double, max_value double, "
                "frequency_map map<string,bigint>")
@@ -32,6 +32,16 @@ def partials_by(df: DataFrame, node_col: str, value_col: str) -> DataFrame:
     )
 
 
+def partials_by_task(df: DataFrame, value_col: str) -> DataFrame:
+    """One partial per input partition: a task's rows are folded before any shuffle."""
+    return partials_by(df.withColumn("_task", F.spark_partition_id()), "_task", value_col).drop("_task")
+
+
+def frequency_partials_by_task(df: DataFrame, key_col: str) -> DataFrame:
+    """Frequency rows ``(key, count)`` per input partition."""
+    return frequency_partials(df.withColumn("_task", F.spark_partition_id()), "_task", key_col).drop("_task")
+
+
 def frequency_partials(df: DataFrame, node_col: str, key_col: str) -> DataFrame:
     """Per-node frequency maps kept long: ``(node, key, count)``.
 
@@ -41,18 +51,31 @@ def frequency_partials(df: DataFrame, node_col: str, key_col: str) -> DataFrame:
     return df.groupBy(node_col, F.col(key_col).cast("string").alias("key")).agg(F.count(F.lit(1)).alias("count"))
 
 
-def merge_partials(partials: DataFrame) -> DataFrame:
-    """Fold partials into the one-row report."""
+def merge_partials(partials: DataFrame, frequencies: DataFrame | None = None, k: int = 5) -> DataFrame:
+    """Fold partials into the one-row report.
+
+    With ``frequencies`` (long rows ``(key, count)``), or if the partials carry a
+    ``frequency_map``, the report ends in ``most_common``: the ``k`` most frequent
+    keys of all partials together, as an array of (item, frequency) in that order.
+    """
     cnt = F.coalesce(F.sum("item_count"), F.lit(0)).cast("bigint")
     total = F.coalesce(F.sum("total_sum"), F.lit(0.0))
     has = cnt > 0
-    return partials.agg(
+    report = partials.agg(
         cnt.alias("total_records_processed"),
         total.alias("overall_sum"),
         F.when(has, total / cnt).otherwise(F.lit(0.0)).alias("overall_average"),
         F.when(has, F.min("min_value")).alias("overall_minimum"),
         F.when(has, F.max("max_value")).alias("overall_maximum"),
     )
+    if frequencies is None and "frequency_map" in partials.columns:
+        frequencies = partials
+    if frequencies is None:
+        return report
+    entry = F.struct((-F.col("frequency")).alias("o"), "item", "frequency")
+    top = merge_frequencies(frequencies, k).agg(F.array_sort(F.collect_list(entry)).alias("t"))
+    top = top.select(F.transform("t", lambda x: F.struct(x["item"].alias("item"), x["frequency"].alias("frequency"))).alias("t"))
+    return report.withColumn("most_common", top.scalar())
 
 
 def merge_frequencies(freq: DataFrame, k: int = 5, key_col: str = "key", count_col: str = "count") -> DataFrame:
@@ -135,21 +158,29 @@ def merge_tagged(partials: DataFrame, tags: dict, chunk_col: str = "chunk_id",
 
     All vectors are exploded together and merged by one aggregate keyed by
     (column, position) - one shuffle for all of them. Returns
-    ``(name, tag, pos, value)``.
+    ``(name, tag, pos, value, exact)``: ``exact`` is the value as ``decimal(38,0)``
+    where the vector holds integers and the tag keeps them whole (s, l, m, n),
+    so sums beyond 2^53 lose nothing; NULL otherwise.
     """
     bad = {c: t for c, t in tags.items() if t not in TAGS - {"c"}}
     if bad:
         raise ValueError(f"merge_tagged handles s/a/m/n/l/i, got {bad}")
     w = F.col(weight_col).cast("double") if weight_col else F.lit(1.0)
+
     def labelled(c):
-        return F.transform(F.col(c), lambda x, i: F.struct(F.lit(c).alias("name"), i.alias("pos"),
-                                                            x.cast("double").alias("v")))
+        whole = isinstance(partials.schema[c].dataType.elementType, INTEGRAL)
+        return F.transform(F.col(c), lambda x, i: F.struct(
+            F.lit(c).alias("name"), i.alias("pos"), x.cast("double").alias("v"),
+            (x if whole else F.lit(None)).cast("decimal(38,0)").alias("d")))
+
     cells = [labelled(c) for c in tags]
     long = partials.select(w.alias("_w"), F.explode(F.concat(*cells)).alias("e")).select("_w", "e.*")
     merged = long.groupBy("name", "pos").agg(
         F.sum("v").alias("_s"), F.max("v").alias("_m"), F.min("v").alias("_n"), F.product("v").alias("_i"),
-        (F.sum(F.col("v") * F.col("_w")) / F.sum("_w")).alias("_a"))
+        (F.sum(F.col("v") * F.col("_w")) / F.sum("_w")).alias("_a"),
+        F.sum("d").alias("_ds"), F.max("d").alias("_dm"), F.min("d").alias("_dn"))
     tag_of = F.create_map(*[x for c, t in tags.items() for x in (F.lit(c), F.lit(t))])[F.col("name")]
     value = (F.when(tag_of.isin("s", "l"), F.col("_s")).when(tag_of == "m", F.col("_m"))
              .when(tag_of == "n", F.col("_n")).when(tag_of == "i", F.col("_i")).otherwise(F.col("_a")))
-    return merged.select("name", tag_of.alias("tag"), "pos", value.alias("value"))
+    exact = F.when(tag_of.isin("s", "l"), F.col("_ds")).when(tag_of == "m", F.col("_dm")).when(tag_of == "n", F.col("_dn"))
+    return merged.select("name", tag_of.alias("tag"), "pos", value.alias("value"), exact.alias("exact"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tablestats.functions import udf as U
 from tablestats.operators import partials as PM
 from tablestats.operators.rows import filter_above
-from tablestats.plans.q_stats import _MERGE_SQL
+from tablestats.plans.q_stats import _REPORT_SQL, report_rows
 from tablestats.plans.registry import register, rnd
 from tablestats.plans.steps import NamedSteps
 from tablestats.plans.tables import CONST_COL, LINEITEM_NUMERIC, lineitem_numeric, table, tidy
@@ -79,11 +79,13 @@ def q_udaf_partial(spark, sf_dir):
     return tidy(U.moments(table(spark, sf_dir, "lineitem"), "l_extendedprice"))
 
 
-@register("stream_partials_merge", _MERGE_SQL)
+@register("stream_partials_merge", _REPORT_SQL)
 def q_stream_partials_merge(spark, sf_dir):
-    """Per-user partials of events land as parquet files; a streaming fold merges them."""
+    """Per-task partials of events, with their frequency maps, land as parquet files; a streaming fold merges them."""
     base = work_dir(spark, "stream")
-    partials = PM.partials_by(table(spark, sf_dir, "events"), "user_id", "value").drop("user_id")
+    events = table(spark, sf_dir, "events").withColumn("_task", F.spark_partition_id())
+    # A handful of event types: a map per task stays small.
+    maps = PM.frequency_partials(events, "_task", "event_type").groupBy("_task").agg(F.map_from_entries(F.collect_list(F.struct("key", "count"))).alias("frequency_map"))
+    partials = PM.partials_by(events, "_task", "value").join(maps, "_task").drop("_task")
     partials.write.mode("overwrite").parquet(f"{base}/in")
-    report = stream_partials_merge(spark, f"{base}/in", f"{base}/out", f"{base}/checkpoint")
-    return tidy(report)
+    return report_rows(stream_partials_merge(spark, f"{base}/in", f"{base}/out", f"{base}/checkpoint"))

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from tablestats.functions import arrays as A
 from tablestats.operators import grid as G
+from tablestats.operators.rows import row_length_filter
 from tablestats.plans.registry import register
 from tablestats.plans.tables import table
 
@@ -19,7 +20,7 @@ S = 8
 
 
 def _pixels(spark, sf_dir):
-    e = table(spark, sf_dir, "embeddings")
+    e = row_length_filter(table(spark, sf_dir, "embeddings"), "embedding", S * S)
     return e.select("vec_id", "label", F.transform("embedding", lambda x: F.round(x.cast("double") * 100.0, 0)).alias("px"))
 
 
@@ -37,7 +38,7 @@ def _explode(df, arr: Column):
 
 _G = ("g AS (SELECT vec_id, p, p // 8 AS i, p % 8 AS j, v FROM (SELECT vec_id, "
       "unnest(range(0, len(embedding))) AS p, unnest(list_transform(embedding, lambda x: round(x::double * 100.0))) AS v "
-      "FROM embeddings))")
+      "FROM embeddings WHERE len(embedding) = 64))")
 _BORDER = "(a.i = 0 OR a.j = 0 OR a.i = 7 OR a.j = 7)"
 _MEAN_SQL = (f"WITH {_G} SELECT a.vec_id, a.p AS pos, CAST(CASE WHEN {_BORDER} THEN a.v "
              "ELSE round_even(sum(b.v) / 9.0, 0) END AS BIGINT) AS value FROM g a JOIN g b ON a.vec_id = b.vec_id "
@@ -93,6 +94,19 @@ def q_sobel_images(spark, sf_dir):
     return _explode(out, F.col("cells"))
 
 
+# 16 copies of the 64 pixels make a 32 x 32 image, the source programs' own size; the label picks a brightness.
+_BIG = (_G.replace("p // 8 AS i, p % 8 AS j", "p // 32 AS i, p % 32 AS j").replace("range(0, len(embedding))", "range(0, 1024)")
+        .replace("unnest(list_transform(embedding, lambda x: round(x::double * 100.0)))",
+                 "unnest(list_transform(range(0, 1024), lambda k: round(embedding[k % 64 + 1]::double * 100.0) * (k // 64 + 1)))"))
+
+
+@register("sobel_images_32", f"WITH {_BIG} " + _SOBEL_SQL.split(") SELECT a.vec_id", 1)[1].join(["SELECT a.vec_id", ""]).replace("a.i = 7", "a.i = 31").replace("a.j = 7", "a.j = 31"))
+def q_sobel_images_32(spark, sf_dir):
+    px = _pixels(spark, sf_dir)
+    tiled = F.flatten(F.transform(F.sequence(F.lit(1), F.lit(16)), lambda k: F.transform("px", lambda x: (x * k).cast("string"))))
+    return _explode(G.sobel_images(px.select("vec_id", tiled.alias("cells")), "cells", 32), F.col("cells"))
+
+
 def _s(a: Column) -> Column:
     return F.array_join(F.transform(a, lambda x: x.cast("string")), ",")
 

@@ -10,50 +10,56 @@ from tablestats.plans.tables import table, tidy
 
 
 def _event_stmts(spark, sf_dir):
-    """Every event reads its user's name; click events also write it."""
+    """Every event reads its user, its type and, where the id is even, the user's group of ten; clicks write the user, every seventh event its type."""
     e = table(spark, sf_dir, "events")
-    name = F.array(F.col("user_id").cast("string"))
-    return e.select("event_id", name.alias("reads"),
-                    F.when(F.col("event_type") == "click", name).otherwise(F.array().cast("array<string>"))
-                    .alias("writes"))
+    user, kind = F.concat(F.lit("u"), F.col("user_id").cast("string")), F.col("event_type")
+    group = F.concat(F.lit("g:"), (F.col("user_id") % 10).cast("string"))
+    reads = F.when(F.col("event_id") % 2 == 0, F.array(user, kind, group)).otherwise(F.array(user, kind))
+    writes = F.filter(F.array(F.when(kind == "click", user), F.when(F.col("event_id") % 7 == 0, kind), F.when(F.col("event_id") % 5 == 0, group)), lambda x: x.isNotNull())
+    return e.select("event_id", reads.alias("reads"), writes.alias("writes"))
 
 
-_DEPS = ("d AS (SELECT e.event_id AS line, e.user_id, (SELECT max(w.event_id) FROM events w WHERE w.user_id = e.user_id "
-         "AND w.event_type = 'click' AND w.event_id < e.event_id) AS src FROM events e)")
+# The last writer of each name before an event, as a running maximum.
+_DEPS = ("w AS (SELECT event_id AS line, 'u' || user_id AS name, true AS r, event_type = 'click' AS w FROM events "
+         "UNION ALL SELECT event_id, event_type, true, event_id % 7 = 0 FROM events "
+         "UNION ALL SELECT event_id, 'g:' || (user_id % 10), event_id % 2 = 0, event_id % 5 = 0 FROM events), "
+         "x AS (SELECT line, name, r, max(CASE WHEN w THEN line END) OVER (PARTITION BY name ORDER BY line "
+         "ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS src FROM w), "
+         "d AS (SELECT line, name, src FROM x WHERE r AND src IS NOT NULL)")
 
 
-@register("last_writer_edges", f"WITH {_DEPS} SELECT src, line AS dest, user_id::VARCHAR AS names FROM d "
-                               "WHERE src IS NOT NULL")
+@register("last_writer_edges", f"WITH {_DEPS} SELECT src, line AS dest, string_agg(name, ',' ORDER BY name) AS names FROM d GROUP BY src, line")
 def q_last_writer_edges(spark, sf_dir):
     edges = L.last_writer_edges(_event_stmts(spark, sf_dir), "event_id", "reads", "writes")
     return edges.select("src", "dest", F.array_join("names", ",").alias("names"))
 
 
-@register("group_by_dependency", f"WITH {_DEPS}, s AS (SELECT line, CASE WHEN src IS NULL THEN '' ELSE "
-                                 "user_id::VARCHAR || ':' || src::VARCHAR END AS signature FROM d) "
-                                 "SELECT line, signature, count(*) OVER (PARTITION BY signature) AS group_size FROM s")
+@register("group_by_dependency", f"WITH {_DEPS}, s AS (SELECT line, list(DISTINCT {{'name': name, 'src': src}}) AS q FROM d GROUP BY line), "
+          "t AS (SELECT e.event_id AS line, list_sort(coalesce(s.q, [])) AS q FROM events e LEFT JOIN s ON e.event_id = s.line) "
+          "SELECT line, array_to_string(list_transform(q, lambda x: x.name || '=' || x.src), ' ') AS signature, "
+          "count(*) OVER (PARTITION BY q) AS group_size FROM t")
 def q_group_by_dependency(spark, sf_dir):
     stmts = _event_stmts(spark, sf_dir)
     edges = L.last_writer_edges(stmts, "event_id", "reads", "writes")
-    return L.group_by_dependency(edges, stmts, "event_id")
+    out = L.group_by_dependency(edges, stmts, "event_id")
+    text = F.array_join(F.transform("signature", lambda x: F.concat(x["name"], F.lit("="), x["src"].cast("string"))), " ")
+    return out.select("line", text.alias("signature"), "group_size")
 
 
-# Node list of the capacity lookup (a parameter, like a cluster's node sizes).
-NODES = [("n1", 10.0), ("n2", 25.0), ("n3", 40.0), ("n4", 40.0)]
-_NODES_SQL = "nodes AS (SELECT * FROM (VALUES " + ", ".join(
-    f"('{n}', {m}::double, {k})" for k, (n, m) in enumerate(NODES)) + ") t(name, memory, pos))"
+# Capacities are the parts' retail prices, needs a share of the lines' prices.
 
 
-@register("best_fit_lookup", f"WITH {_NODES_SQL} SELECT l_orderkey, l_linenumber, l_quantity, "
-          "(SELECT name FROM nodes WHERE memory >= l_quantity ORDER BY memory, pos LIMIT 1) AS node_name, "
-          "(SELECT memory FROM nodes WHERE memory >= l_quantity ORDER BY memory, pos LIMIT 1) AS node_memory "
-          "FROM lineitem")
+@register("best_fit_lookup", "WITH n AS (SELECT CAST(p_retailprice AS DECIMAL(18, 2)) AS memory, min(p_partkey) AS pos FROM part GROUP BY 1), "
+          "l AS (SELECT l_orderkey, l_linenumber, CAST(round(l_extendedprice * 0.04, 2) AS DECIMAL(18, 2)) AS need FROM lineitem) "
+          "SELECT l_orderkey, l_linenumber, need::DOUBLE AS need, n.pos AS part, n.memory::DOUBLE AS capacity "
+          "FROM l ASOF LEFT JOIN n ON l.need <= n.memory")
 def q_best_fit_lookup(spark, sf_dir):
-    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity")
-    nodes = spark.createDataFrame([(n, m, k) for k, (n, m) in enumerate(NODES)], "name string, memory double, pos int")
-    out = L.best_fit_lookup(li, F.col("l_quantity"), nodes)
-    return out.select("l_orderkey", "l_linenumber", "l_quantity", F.col("node.name").alias("node_name"),
-                      F.col("node.memory").alias("node_memory"))
+    need = F.round(F.col("l_extendedprice") * 0.04, 2).cast("decimal(18,2)")
+    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", need.alias("need"))
+    nodes = table(spark, sf_dir, "part").select(F.col("p_retailprice").cast("decimal(18,2)").alias("memory"), F.col("p_partkey").alias("pos"))
+    out = L.best_fit_lookup(li, F.col("need"), nodes)
+    return out.select("l_orderkey", "l_linenumber", F.col("need").cast("double").alias("need"), F.col("node.pos").alias("part"),
+                      F.col("node.memory").cast("double").alias("capacity"))
 
 
 @register("peak_step_usage", "WITH l AS (SELECT CAST(l_shipdate AS DATE) AS step, sum(l_extendedprice) AS live "

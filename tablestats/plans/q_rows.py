@@ -82,7 +82,9 @@ _Y = "(2 * l_linenumber - 7)::BIGINT"
 
 
 @register("scalar_arith", f"SELECT l_orderkey, l_linenumber, CAST(floor({_X}::double / {_Y}) AS BIGINT) AS fdiv, "
-          f"(({_X} % {_Y}) + {_Y}) % {_Y} AS fmod, CAST({_Y} * {_Y} * {_Y} AS BIGINT) AS cube, "
+          f"(({_X} % {_Y}) + {_Y}) % {_Y} AS fmod, CAST({_Y}::HUGEINT * {_Y} * {_Y} AS DECIMAL(38,0)) AS cube, "
+          # Floats: the divisors are exact, so the quotient's floor and the remainder are too.
+          "floor(l_quantity / -0.75) AS ffdiv, l_quantity - floor(l_quantity / -0.75) * -0.75 AS ffmod, "
           "CAST(round_even(l_extendedprice / 7.0, 0) AS BIGINT) AS rounded, "
           "CAST(trunc(l_extendedprice / -3.0) AS BIGINT) AS truncated, "
           f"least({_X}, {_Y}) AS smaller, {rnd(f'{_X}::double / {_Y}')} AS quotient, "
@@ -96,6 +98,8 @@ def q_scalar_arith(spark, sf_dir):
         S.py_floordiv(x, y).alias("fdiv"),
         S.py_mod(x, y).alias("fmod"),
         S.py_pow(y, 3, integral=True).alias("cube"),
+        (S.py_floordiv(F.col("l_quantity"), F.lit(-0.75), integral=False) + 0.0).alias("ffdiv"),
+        (S.py_mod(F.col("l_quantity"), F.lit(-0.75), integral=False) + 0.0).alias("ffmod"),
         S.py_round(F.col("l_extendedprice") / 7.0).alias("rounded"),
         S.py_int(F.col("l_extendedprice") / -3.0).alias("truncated"),
         S.py_min(x, y).alias("smaller"),

@@ -112,17 +112,26 @@ _MERGE_SQL = (f"SELECT count(value) AS total_records_processed, {rnd('coalesce(s
               "FROM (SELECT CASE WHEN isnan(value) THEN NULL ELSE value END AS value FROM events)")
 
 
-@register("partials_merge", _MERGE_SQL)
+_REPORT_SQL = (f"SELECT r.*, m.most_common FROM ({_MERGE_SQL}) r, (SELECT string_agg(item || '=' || frequency, ' ' ORDER BY frequency DESC, item) "
+               "AS most_common FROM (SELECT event_type AS item, count(*) AS frequency FROM events GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 5)) m")
+
+
+def report_rows(report):
+    """The report with its most common items as text."""
+    text = F.array_join(F.transform("most_common", lambda x: F.concat(x["item"], F.lit("="), x["frequency"].cast("string"))), " ")
+    return tidy(report.withColumn("most_common", text))
+
+
+@register("partials_merge", _REPORT_SQL)
 def q_partials_merge(spark, sf_dir):
     events = table(spark, sf_dir, "events")
-    return tidy(PM.merge_partials(PM.partials_by(events, "user_id", "value")))
+    return report_rows(PM.merge_partials(PM.partials_by_task(events, "value"), PM.frequency_partials_by_task(events, "event_type")))
 
 
 @register("frequency_top5", "SELECT event_type AS item, count(*) AS frequency FROM events "
                             "GROUP BY event_type ORDER BY frequency DESC, item ASC LIMIT 5")
 def q_frequency_top5(spark, sf_dir):
-    events = table(spark, sf_dir, "events")
-    return PM.merge_frequencies(PM.frequency_partials(events, "user_id", "event_type"), k=5)
+    return PM.merge_frequencies(PM.frequency_partials_by_task(table(spark, sf_dir, "events"), "event_type"), k=5)
 
 
 K_CHUNKS = 7
@@ -131,8 +140,9 @@ _ORDERS_CHUNKED = ("o AS (SELECT *, row_number() OVER (ORDER BY o_orderkey) - 1
                    f"c AS (SELECT *, row_index // CAST(ceil(n / least({K_CHUNKS}, n)) AS BIGINT) AS chunk_id FROM o)")
 
 
-def _orders_chunked(spark, sf_dir):
-    return C.chunk_rows(table(spark, sf_dir, "orders"), K_CHUNKS, "o_orderkey")
+def _orders_chunked(spark, sf_dir, *cols):
+    # Only what the queries below use is sorted and written.
+    return C.chunk_rows(table(spark, sf_dir, "orders").select("o_orderkey", *cols), K_CHUNKS, "o_orderkey")
 
 
 @register("chunk_rows", f"WITH {_ORDERS_CHUNKED} SELECT o_orderkey, row_index, chunk_id FROM c")
@@ -140,24 +150,12 @@ def q_chunk_rows(spark, sf_dir):
     return _orders_chunked(spark, sf_dir).select("o_orderkey", "row_index", "chunk_id")
 
 
-@register("chunk_factor", "SELECT o_orderkey, CAST(greatest(ceil(o_totalprice / 50000.0), 2) AS BIGINT) AS chunk_factor "
-                          "FROM orders")
-def q_chunk_factor(spark, sf_dir):
-    o = table(spark, sf_dir, "orders")
-    return o.select("o_orderkey", C.chunk_factor(F.col("o_totalprice"), F.lit(50000.0)).alias("chunk_factor"))
-
-
-# Worker list for the round-robin placement (a parameter of the query, like a cluster's node list).
-WORKERS = ["node_a", "node_b", "node_c"]
-
-
-@register("round_robin", f"WITH {_ORDERS_CHUNKED} SELECT chunk_id, min(row_index) AS start_index, "
-                         "max(row_index) + 1 AS end_index, CASE chunk_id % 3 WHEN 0 THEN 'node_a' WHEN 1 "
-                         "THEN 'node_b' ELSE 'node_c' END AS worker FROM c GROUP BY chunk_id")
-def q_round_robin(spark, sf_dir):
-    workers = spark.createDataFrame(list(enumerate(WORKERS)), "pos long, worker string")
-    ranges = C.chunk_ranges(_orders_chunked(spark, sf_dir))
-    return C.round_robin(ranges, workers)
+@register("chunk_rows_input_order", "WITH o AS (SELECT s_suppkey, file_row_number AS row_index, count(*) OVER () AS n FROM "
+                                    "(SELECT s_suppkey, row_number() OVER () - 1 AS file_row_number FROM supplier)) "
+                                    f"SELECT s_suppkey, row_index, row_index // CAST(ceil(n / least({K_CHUNKS}, n)) AS BIGINT) AS chunk_id FROM o")
+def q_chunk_rows_input_order(spark, sf_dir):
+    """E2 by position in the input file, without a sort."""
+    return C.chunk_rows(table(spark, sf_dir, "supplier").select("s_suppkey"), K_CHUNKS, None).select("s_suppkey", "row_index", "chunk_id")
 
 
 @register("chunk_partials", f"WITH {_ORDERS_CHUNKED} SELECT count(o_totalprice) AS total_records_processed, "
@@ -165,7 +163,7 @@ def q_round_robin(spark, sf_dir):
                             f"{rnd('min(o_totalprice)')} AS overall_minimum, {rnd('max(o_totalprice)')} AS overall_maximum "
                             "FROM c")
 def q_chunk_partials(spark, sf_dir):
-    chunked = _orders_chunked(spark, sf_dir)
+    chunked = _orders_chunked(spark, sf_dir, "o_totalprice")
     return tidy(PM.merge_partials(PM.partials_by(chunked, "chunk_id", "o_totalprice")))
 
 
@@ -187,7 +185,7 @@ def _merge_tag_sql():
 
 @register("merge_by_tag", _merge_tag_sql())
 def q_merge_by_tag(spark, sf_dir):
-    chunked = _orders_chunked(spark, sf_dir).withColumn("o_custkey", F.col("o_custkey").cast("double"))
+    chunked = _orders_chunked(spark, sf_dir, "o_totalprice", "o_custkey").withColumn("o_custkey", F.col("o_custkey").cast("double"))
     per_chunk = chunked.groupBy("chunk_id").agg(
         F.array(F.sum("o_totalprice"), F.sum("o_custkey")).alias("s"),
         F.array(F.avg("o_totalprice"), F.avg("o_custkey")).alias("a"),

@@ -4,7 +4,7 @@ Each step takes earlier results (or sources) by name and returns one
 DataFrame. Building a step only extends the lazy plan; nothing runs until a
 result is used. A result consumed by more than one later step is persisted
 (memory and disk), so it is computed once; a lost executor's blocks are
-recomputed from the plan. DataFrames are immutable, which gives the copy
+recomputed from the plan. ``release`` frees them when the results are done with. DataFrames are immutable, which gives the copy
 semantics of the source programs for free.
 """
 
@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 
 class NamedSteps:
     def __init__(self) -> None:
+        self._held: list[DataFrame] = []
         self._steps: list[tuple[str, Callable[..., DataFrame], tuple[str, ...], bool]] = []
 
     def add(self, name: str, fn: Callable[..., DataFrame], *inputs: str, persist: bool | None = None) -> "NamedSteps":
@@ -37,5 +38,11 @@ class NamedSteps:
             out = fn(*[env[i] for i in inputs])
             if persist or (persist is None and uses[name] > 1):
                 out = out.persist(StorageLevel.MEMORY_AND_DISK)
+                self._held.append(out)
             env[name] = out
         return env
+
+    def release(self) -> None:
+        """Drop what ``run`` has persisted."""
+        while self._held:
+            self._held.pop().unpersist()

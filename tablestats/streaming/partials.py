@@ -1,46 +1,67 @@
 """The partial-aggregate merge as a Structured Streaming job.
 
-Partials arrive as parquet files in a folder; a keyless streaming aggregate
-keeps the running fold (sum of sums, sum of counts, min of mins, max of
-maxes) in the state store, and every trigger rewrites the complete result.
-No watermark: the fold has no event time and no late-data rule. With
-``availableNow`` the query processes what is in the folder and stops; with a
-processing-time trigger it keeps folding new files.
+Partials arrive as parquet files in a folder, with their frequency maps. A
+streaming aggregate by frequency key keeps the running fold in the state store
+(sum of counts per key; the four numbers under a key of their own), and every
+trigger writes the complete state as a new version, ``epoch=N``: readers of an
+earlier version are never disturbed, and a restarted trigger rewrites its own.
+Versions before the last two are deleted. No watermark: the fold has no event
+time and no late-data rule. With ``availableNow`` the query processes what is in
+the folder and stops; with a processing-time trigger it keeps folding new files.
 """
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablestats.operators.partials import merge_partials
+from tablestats.operators.partials import PARTIAL_DDL, merge_partials
 
-PARTIAL_FILE_DDL = "total_sum double, item_count bigint, min_value double, max_value double"
+STATE_DDL = "key string, count bigint, total_sum double, item_count bigint, min_value double, max_value double"
 
 
 def running_fold(stream: DataFrame) -> DataFrame:
-    return stream.groupBy().agg(F.sum("total_sum").alias("total_sum"), F.sum("item_count").alias("item_count"),
-                                F.min("min_value").alias("min_value"), F.max("max_value").alias("max_value"))
+    """State rows: one per frequency key, and one (NULL key) with the four numbers."""
+    number = F.struct(F.lit(None).cast("string").alias("key"), F.lit(None).cast("bigint").alias("count"), "total_sum", "item_count", "min_value", "max_value")
+    gone = {c: F.lit(None).cast(t).alias(c) for c, t in (("total_sum", "double"), ("item_count", "bigint"), ("min_value", "double"), ("max_value", "double"))}
+    counts = F.transform(F.coalesce(F.map_entries("frequency_map"), F.array()), lambda e: F.struct(e["key"].alias("key"), e["value"].alias("count"), *gone.values()))
+    rows = stream.select(F.explode(F.concat(F.array(number), counts)).alias("r")).select("r.*")
+    return rows.groupBy("key").agg(F.sum("count").alias("count"), F.sum("total_sum").alias("total_sum"), F.sum("item_count").alias("item_count"),
+                                   F.min("min_value").alias("min_value"), F.max("max_value").alias("max_value"))
+
+
+def current_report(spark: SparkSession, out_path: str, k: int = 5) -> DataFrame:
+    """The report of the last complete version; the empty report if there is none."""
+    try:
+        state = spark.read.parquet(out_path)
+        last = state.agg(F.max("epoch")).first()[0]
+        state = state.where(F.col("epoch") == last)
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
+            raise
+        state = spark.createDataFrame([], STATE_DDL)
+    return merge_partials(state.where("key IS NULL"), state.where("key IS NOT NULL").select("key", "count"), k)
 
 
 def stream_partials_merge(spark: SparkSession, source_dir: str, out_path: str, checkpoint_path: str,
-                          available_now: bool = True, max_files_per_trigger: int | None = None):
+                          available_now: bool = True, max_files_per_trigger: int | None = None, k: int = 5):
     """Fold every partial file in ``source_dir`` and return the merged report.
 
-    The sink writes the complete one-row state per micro-batch to
-    ``out_path`` (``foreachBatch``); ``checkpoint_path`` (in the shared
-    checkpoint folder) lets a restarted query resume without refolding.
-    With ``available_now=False`` the query keeps running on new files and its
-    ``StreamingQuery`` handle is returned instead (read ``out_path`` with
-    ``merge_partials`` for the current report).
+    ``checkpoint_path`` (in the shared checkpoint folder) lets a restarted query
+    resume without refolding. With ``available_now=False`` the query keeps running
+    on new files and its ``StreamingQuery`` handle is returned instead (use
+    ``current_report``).
     """
-    reader = spark.readStream.schema(PARTIAL_FILE_DDL)
+    reader = spark.readStream.schema(PARTIAL_DDL)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
     folded = running_fold(reader.parquet(source_dir))
 
     def sink(batch: DataFrame, epoch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(out_path)
+        batch.write.mode("overwrite").parquet(f"{out_path}/epoch={epoch_id}")
+        old = spark._jvm.org.apache.hadoop.fs.Path(f"{out_path}/epoch={epoch_id - 2}")
+        old.getFileSystem(spark._jsc.hadoopConfiguration()).delete(old, True)
 
     writer = folded.writeStream.outputMode("complete").option("checkpointLocation", checkpoint_path).foreachBatch(sink)
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="10 seconds")
@@ -48,4 +69,4 @@ def stream_partials_merge(spark: SparkSession, source_dir: str, out_path: str, c
     if not available_now:
         return query
     query.awaitTermination()
-    return merge_partials(spark.read.parquet(out_path))
+    return current_report(spark, out_path, k)

@@ -50,6 +50,35 @@ def test_image_chain_drops_short_rows_and_raises_on_text(spark):
         G.smooth_images(bad, "cells", 3).collect()
 
 
+def test_wrong_lengths_are_no_images(spark):
+    df = spark.createDataFrame([(1, [1.0] * 9), (2, [1.0] * 7), (3, [1.0] * 12), (4, None), (5, [])], "id int, px array<double>")
+    for op in (G.mean3x3, G.sobel, G.grid_reshape):
+        assert {r.id for r in df.select("id", op(F.col("px"), 3).alias("o")).where("o IS NOT NULL").collect()} == {1}
+    cells = df.select("id", F.col("px").cast("array<string>").alias("cells"))
+    assert [r.id for r in G.sobel_images(cells, "cells", 3).collect()] == [1]
+
+
+def test_filters_equal_loops(spark):
+    rng = random.Random(6)
+    n = 7
+    imgs = [[float(rng.randint(0, 255)) for _ in range(n * n)] for _ in range(30)]
+    df = spark.createDataFrame(list(enumerate(imgs)), "id int, px array<double>").repartition(3)
+    out = {r.id: r for r in df.select("id", G.mean3x3(F.col("px"), n).alias("m"), G.sobel(F.col("px"), n).alias("s")).collect()}
+    for k, px in enumerate(imgs):
+        g = [px[i * n:(i + 1) * n] for i in range(n)]
+        for i in range(n):
+            for j in range(n):
+                if i in (0, n - 1) or j in (0, n - 1):
+                    mean, edge = g[i][j], 0.0
+                else:
+                    block = [[g[i + a][j + b] for b in (-1, 0, 1)] for a in (-1, 0, 1)]
+                    mean = round(sum(map(sum, block)) / 9)
+                    gx = sum(block[a][b] * G.SOBEL_GX[a][b] for a in range(3) for b in range(3))
+                    gy = sum(block[a][b] * G.SOBEL_GY[a][b] for a in range(3) for b in range(3))
+                    edge = round(min((gx * gx + gy * gy) ** 0.5, 255))
+                assert out[k].m[i * n + j] == mean and out[k].s[i * n + j] == edge
+
+
 def test_list_mutators(spark):
     df = spark.createDataFrame([([1, 2, 1],)], "a array<int>")
     a = F.col("a")

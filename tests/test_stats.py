@@ -42,6 +42,7 @@ def test_partials_merge_golden(spark):
     r = PM.merge_partials(p).first()
     assert (r.total_records_processed, r.overall_sum, r.overall_average) == (500, 2750.0, 5.5)
     assert (r.overall_minimum, r.overall_maximum) == (-5.0, 50.0)
+    assert [tuple(x) for x in r.most_common] == [("apple", 35), ("grape", 30), ("orange", 30), ("banana", 25)]
     top = [(x.item, x.frequency) for x in PM.merge_frequencies(p).collect()]
     assert top == [("apple", 35), ("grape", 30), ("orange", 30), ("banana", 25)]
 
@@ -199,3 +200,24 @@ def test_merge_tagged_equals_merge_by_tag(spark):
     assert got == {("a1", 0): 2.5, ("a1", 1): 2.0, ("a2", 0): 8.0}
     with pytest.raises(ValueError):
         PM.merge_tagged(p, {"a1": "c"})
+
+
+def test_merge_tagged_keeps_integers_exact(spark):
+    p = spark.createDataFrame([(0, [2**53, 1], [1.5]), (1, [1, 2**62], [2.0])], "chunk_id int, s array<long>, d array<double>")
+    got = {(r.name, r.pos): r.exact for r in PM.merge_tagged(p, {"s": "s", "d": "s"}).collect()}
+    assert got == {("s", 0): 2**53 + 1, ("s", 1): 2**62 + 1, ("d", 0): None}
+
+
+def test_input_order_index_without_sort(spark):
+    from tablestats.session import work_dir
+    path = work_dir(spark, "test") + "/t"
+    spark.range(1000).selectExpr("id * 7 % 1000 AS v", "id", "'x' AS wide").coalesce(3).write.parquet(path)
+    df = spark.read.parquet(path).select("v")
+    out = C.chunk_rows(df, 4, None)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Sort" not in plan and "Exchange hashpartitioning" not in plan and "wide" not in plan
+    files = sorted(r[0] for r in spark.read.parquet(path).select("_metadata.file_path").distinct().collect())
+    want = [r.v for f in files for r in spark.read.parquet(f).select("v", "_metadata.row_index").orderBy("row_index").collect()]
+    assert [r.v for r in out.orderBy("row_index").collect()] == want and out.agg(F.max("chunk_id")).first()[0] == 3
+    part = C.with_row_index(df.where("v % 2 = 0"), None)
+    assert sorted(r.row_index for r in part.collect()) == list(range(500))
