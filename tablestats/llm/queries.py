@@ -68,6 +68,35 @@ SELECT doc_id, source, CASE WHEN text IS NULL THEN NULL WHEN len(kept) = 0 THEN
 FROM k
 """
 
+_N = substring.LENGTH
+
+OP4_SQL = f"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, w, unnest(range(1, len(w) - {_N - 2})) AS i FROM d),
+g AS (SELECT doc_id, i, count(*) OVER (PARTITION BY array_to_string(w[i:i + {_N - 1}], ' ')) AS c FROM s),
+r AS (SELECT doc_id, i FROM g WHERE c > 1),
+p AS (SELECT doc_id, unnest(range(1, len(w) + 1)) AS pos, unnest(w) AS word FROM d),
+c AS (SELECT p.doc_id, p.pos, p.word, max(r.i) OVER (PARTITION BY p.doc_id ORDER BY p.pos ROWS UNBOUNDED PRECEDING) AS last
+      FROM p LEFT JOIN r ON p.doc_id = r.doc_id AND p.pos = r.i),
+k AS (SELECT doc_id, string_agg(word, ' ' ORDER BY pos) AS t, count(*) AS n FROM c WHERE last IS NULL OR pos >= last + {_N} GROUP BY doc_id)
+SELECT d.doc_id, len(w)::bigint AS n_words, (len(w) - coalesce(k.n, 0))::bigint AS n_removed, sha256(coalesce(k.t, '')) AS kept_sha256
+FROM d LEFT JOIN k ON d.doc_id = k.doc_id
+"""
+
+# The transitive closure is fine for the few linked vectors of the small tables.
+OP5_SQL = f"""
+WITH RECURSIVE v AS (SELECT vec_id, label, embedding::double[] AS e FROM embeddings),
+ok AS (SELECT * FROM v WHERE label IS NOT NULL AND e IS NOT NULL AND len(list_filter(e, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
+       AND len(list_filter(e, lambda x: x <> 0)) > 0),
+l AS (SELECT a.vec_id AS x, b.vec_id AS y FROM ok a JOIN ok b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+      WHERE list_cosine_similarity(a.e, b.e) >= {covertree.THRESHOLD}),
+r AS (SELECT vec_id AS x, vec_id AS y FROM v UNION SELECT r.x, l.y FROM r JOIN l ON r.y = l.x),
+c AS (SELECT x, min(y) AS component_id FROM r GROUP BY x),
+n AS (SELECT x, count(*) AS n FROM l GROUP BY x)
+SELECT v.vec_id, coalesce(n.n, 0)::bigint AS n_links, c.component_id, v.vec_id = c.component_id AS kept
+FROM v JOIN c ON v.vec_id = c.x LEFT JOIN n ON v.vec_id = n.x
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_html_text": op2_html_text,
@@ -82,5 +111,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLES: dict[str, str] = {
+    "op4_substring": OP4_SQL,
+    "op5_cover_tree": OP5_SQL,
     "op10_line_dedup": OP10_SQL,
 }
