@@ -10,13 +10,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tablestats.operators import profile as P
-from tablestats.plans.q_profile import _PROFILE_SQL, THRESHOLD
+from tablestats.operators.correlation import correlation_matrix
 from tablestats.plans.registry import register
-from tablestats.plans.tables import lineitem_numeric, table, tidy
+from tablestats.plans.tables import table
 from tablestats.session import work_dir
 from tablestats.sources import cells as CE
 from tablestats.sources import text_table as TT
-from tablestats.sources.images import pixel_row_check
+from tablestats.sources.images import pixel_row_check, resized_pixels
 
 
 def _written(spark, df, name, **kw):
@@ -25,13 +25,31 @@ def _written(spark, df, name, **kw):
     return path
 
 
-@register("csv_scan", "SELECT c_custkey, c_name, c_nationkey::BIGINT AS c_nationkey, c_acctbal, c_mktsegment "
-                      "FROM customer")
+# Lines as only the exact mode reads them: blank ones, short ones with a stray quote, padded cells, 21-digit integers.
+@register("csv_scan", "SELECT CASE WHEN m = 0 THEN '' ELSE k::VARCHAR END AS k, CASE m WHEN 0 THEN NULL WHEN 1 THEN '\"quoted' WHEN 2 THEN 'a b' "
+          "ELSE o_orderstatus END AS label, CASE WHEN m > 1 THEN CAST('123456789012345' || lpad((k % 1000000)::VARCHAR, 6, '0') AS DECIMAL(38, 0)) END AS big, "
+          "CASE WHEN m = 2 THEN 1000.0 WHEN m > 2 THEN o_totalprice END::DOUBLE AS x "
+          "FROM (SELECT *, o_orderkey AS k, o_orderkey % 10 AS m FROM orders)")
 def q_csv_scan(spark, sf_dir):
-    path = _written(spark, table(spark, sf_dir, "customer"), "customer-csv")
+    o = table(spark, sf_dir, "orders")
+    k, m = F.col("o_orderkey").cast("string"), F.col("o_orderkey") % 10
+    big = F.concat(F.lit("123456789012345"), F.lpad((F.col("o_orderkey") % 1000000).cast("string"), 6, "0"))
+    line = (F.when(m == 0, F.lit("")).when(m == 1, F.concat(k, F.lit(',"quoted'))).when(m == 2, F.concat(F.lit("  "), k, F.lit(", a b ,"), big, F.lit(",1e3\t")))
+            .otherwise(F.concat_ws(",", k, "o_orderstatus", big, F.col("o_totalprice").cast("string"))))
+    path = work_dir(spark, "orders-text")
+    # Every part file starts with the header, as the sink writes them.
+    first = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)) == 0
+    o.select(F.when(first, F.concat(F.lit("k,label,big,x\n"), line)).otherwise(line).alias("value")).write.mode("overwrite").text(path)
     return TT.read_table(spark, path, exact=True)
 
 
+@register("csv_declared", "SELECT c_custkey::INTEGER AS c_custkey, c_name, c_nationkey::INTEGER AS c_nationkey, c_acctbal FROM customer")
+def q_csv_declared(spark, sf_dir):
+    """A declared schema in exact, strict mode: one pass, types as declared."""
+    c = table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_nationkey", "c_acctbal")
+    return TT.read_table(spark, _written(spark, c, "customer-csv"), "c_custkey int, c_name string, c_nationkey int, c_acctbal double", exact=True, strict=True)
+
+
 # SQL twins of cells.infer_cell (DuckDB: regexp_replace needs 'g' to replace every match).
 def _strip_sql(c):
     return f"regexp_replace({c}, '{CE.STRIP_RE}', '', 'g')"
@@ -44,33 +62,36 @@ def _kind_sql(c):
 
 
 def _cells_sql():
-    return ("c AS (SELECT p_partkey, unnest(range(0, 6)) AS pos, unnest(string_split(concat_ws(',', p_partkey, "
-            "p_name, p_size, p_retailprice, p_brand, p_type), ',')) AS cell FROM part), "
+    return ("c AS (SELECT p_partkey, unnest(range(0, 7)) AS pos, unnest(string_split(concat_ws(',', p_partkey, "
+            "p_name, p_size, p_retailprice, p_brand, p_type, '99999999999999' || p_partkey), ',')) AS cell FROM part), "
             f"k AS (SELECT *, {_kind_sql('cell')} AS kind, regexp_replace({_strip_sql('cell')}, '_', '', 'g') AS plain, "
             f"{_strip_sql('cell')} AS stripped FROM c)")
 
 
 def _part_cells(spark, sf_dir):
     p = table(spark, sf_dir, "part")
-    line = F.concat_ws(",", "p_partkey", "p_name", "p_size", "p_retailprice", "p_brand", "p_type")
+    line = F.concat_ws(",", "p_partkey", "p_name", "p_size", "p_retailprice", "p_brand", "p_type",
+                       F.concat(F.lit("99999999999999"), F.col("p_partkey").cast("string")))
     return p.select("p_partkey", F.split(line, ",", -1).alias("cells"))
 
 
 @register("infer_cell_type", f"WITH {_cells_sql()} SELECT p_partkey, pos, kind, "
           "CASE WHEN kind = 'int' THEN TRY_CAST(plain AS BIGINT) END AS i, "
           "CASE WHEN kind IN ('int', 'float') THEN TRY_CAST(plain AS DOUBLE) END AS d, "
-          "CASE WHEN kind = 'str' THEN stripped END AS s FROM k")
+          "CASE WHEN kind = 'str' THEN stripped END AS s, CASE WHEN kind = 'int' THEN TRY_CAST(plain AS DECIMAL(38, 0)) END AS n FROM k")
 def q_infer_cell_type(spark, sf_dir):
     cells = _part_cells(spark, sf_dir)
     long = cells.select("p_partkey", F.posexplode_outer("cells").alias("pos", "cell")).where(F.col("pos").isNotNull())
     info = long.select("p_partkey", F.col("pos").cast("bigint").alias("pos"), CE.infer_cell(F.col("cell")).alias("x"))
-    return info.select("p_partkey", "pos", "x.kind", "x.i", "x.d", "x.s")
+    return info.select("p_partkey", "pos", "x.kind", "x.i", "x.d", "x.s", "x.n")
 
 
 @register("infer_schema_profile", f"WITH {_cells_sql()} SELECT pos, count(*) FILTER (WHERE kind = 'int') AS n_int, "
           "count(*) FILTER (WHERE kind = 'float') AS n_float, count(*) FILTER (WHERE kind = 'str') AS n_str, "
+          "count(*) FILTER (WHERE kind = 'int' AND TRY_CAST(plain AS BIGINT) IS NULL) AS n_big, 0::BIGINT AS n_huge, "
           "CASE WHEN count(*) FILTER (WHERE kind = 'str') > 0 THEN 'string' "
-          "WHEN count(*) FILTER (WHERE kind = 'float') > 0 THEN 'double' ELSE 'bigint' END AS col_type "
+          "WHEN count(*) FILTER (WHERE kind = 'float') > 0 THEN 'double' "
+          "WHEN count(*) FILTER (WHERE kind = 'int' AND TRY_CAST(plain AS BIGINT) IS NULL) > 0 THEN 'decimal(38,0)' ELSE 'bigint' END AS col_type "
           "FROM k GROUP BY pos")
 def q_infer_schema_profile(spark, sf_dir):
     prof = CE.infer_schema_profile(_part_cells(spark, sf_dir))
@@ -87,12 +108,63 @@ def q_header_split(spark, sf_dir):
         .select(F.col("pos").cast("bigint").alias("pos"), "name", "body_rows")
 
 
-@register("csv_sink", "SELECT col_name, n, sum, min, max, mean, count_above, mean_above, std_pop, "
-                      f"is_const::BIGINT AS is_const FROM ({_PROFILE_SQL})")
+@register("csv_sink", "SELECT l_orderkey, l_linenumber, l_extendedprice, l_discount / 3 AS rate, l_tax * 1e-7 AS small, "
+                      "'ship \"' || l_linestatus || '\", ' || l_returnflag AS note FROM lineitem")
 def q_csv_sink(spark, sf_dir):
-    prof = tidy(P.column_profile(lineitem_numeric(spark, sf_dir), threshold=THRESHOLD))
-    path = _written(spark, prof, "profile-csv", order_by="col_name")
-    return TT.read_table(spark, path, exact=True)
+    """Rows of lineitem's size with float text, commas and quotes, written and read back."""
+    li = table(spark, sf_dir, "lineitem").select(
+        "l_orderkey", "l_linenumber", "l_extendedprice", (F.col("l_discount") / 3).alias("rate"), (F.col("l_tax") * 1e-7).alias("small"),
+        F.concat(F.lit('ship "'), "l_linestatus", F.lit('", '), "l_returnflag").alias("note"))
+    path = _written(spark, li, "lineitem-csv")
+    return TT.read_table(spark, path, li.schema, strict=True)
+
+
+_MM = ["l_quantity", "l_extendedprice", "l_discount"]
+
+
+@register("csv_min_max", " UNION ALL ".join(f"SELECT {k}::INTEGER AS row, '{f}' AS label, " + ", ".join(f"{f}({c}) + 0.0 AS {c}" for c in _MM) + " FROM lineitem"
+                                            for k, f in ((1, "min"), (2, "max"))))
+def q_csv_min_max(spark, sf_dir):
+    """The label/vector layout: a row of minima, a row of maxima."""
+    li = table(spark, sf_dir, "lineitem").select(*_MM)
+    rows = TT.labelled_layout({"min": P.column_min(li), "max": P.column_max(li)}).select("row", "label", *[(F.col(c) + 0.0).alias(c) for c in _MM])
+    return TT.read_table(spark, _written(spark, rows, "min-max-csv", order_by="row"), rows.schema, strict=True)
+
+
+@register("csv_matrix", "WITH t AS (SELECT * FROM lineitem) " + " UNION ALL ".join(
+    f"SELECT {i + 1}::BIGINT AS row, " + ", ".join((f"round(corr({a}, {b}), 8) + 0.0" if a != b else "1.0::DOUBLE") + f" AS {b}" for b in _MM) + " FROM t"
+    for i, a in enumerate(_MM)))
+def q_csv_matrix(spark, sf_dir):
+    """The p x p layout of a correlation matrix."""
+    long = correlation_matrix(table(spark, sf_dir, "lineitem").select(*_MM))
+    m = TT.matrix_layout(long.withColumn("corr", F.round("corr", 8) + 0.0), _MM).withColumn("row", F.col("row").cast("long"))
+    return TT.read_table(spark, _written(spark, m, "matrix-csv", order_by="row"), m.schema, strict=True)
+
+
+@register("csv_pixel_rows", "SELECT vec_id, " + ", ".join(f"round(embedding[{k + 1}]::DOUBLE * 100.0) + 0.0 AS p{k + 1}" for k in range(64)) + " FROM embeddings WHERE len(embedding) = 64")
+def q_csv_pixel_rows(spark, sf_dir):
+    """The layout of pixel rows, ``p1..p64``."""
+    e = table(spark, sf_dir, "embeddings").where(F.size("embedding") == 64)
+    px = e.select("vec_id", F.transform("embedding", lambda x: F.round(x.cast("double") * 100.0, 0) + 0.0).alias("px"))
+    rows = TT.pixel_layout(px, "px", 8, keep=["vec_id"])
+    return TT.read_table(spark, _written(spark, rows, "pixels-csv"), rows.schema, strict=True)
+
+
+# Three colour bytes of every embedding entry, as an 8 x 8 image; 2 x 2 blocks of it are averaged.
+@register("image_pixels", "WITH e AS (SELECT vec_id, unnest(range(0, 64)) AS p, unnest(list_transform(embedding, lambda x: CAST(round(abs(x::DOUBLE) * 1000.0) AS BIGINT))) AS v "
+          "FROM embeddings WHERE len(embedding) = 64), "
+          "g AS (SELECT vec_id, p // 8 AS i, p % 8 AS j, ((v % 256) * 1868 + (v * 3 % 256) * 9617 + (v * 7 % 256) * 4899 + 8192) >> 14 AS grey FROM e) "
+          "SELECT vec_id, (i // 2) * 4 + j // 2 AS pos, ((sum(grey) + 2) // 4)::BIGINT AS value FROM g GROUP BY vec_id, i // 2, j // 2")
+def q_image_pixels(spark, sf_dir):
+    e = table(spark, sf_dir, "embeddings").where(F.size("embedding") == 64)
+
+    def bgr(x):
+        v = F.round(F.abs(x.cast("double")) * 1000.0, 0).cast("long")
+        return F.concat(*[F.lpad(F.hex(v * k % 256), 2, "0") for k in (1, 3, 7)])
+
+    raw = e.select("vec_id", F.unhex(F.array_join(F.transform("embedding", bgr), "")).alias("data"))
+    px = raw.select("vec_id", resized_pixels("data", F.lit(8), F.lit(8), F.lit(3), 4).alias("px"))
+    return px.select("vec_id", F.posexplode("px").alias("pos", "value")).select("vec_id", F.col("pos").cast("long").alias("pos"), F.col("value").cast("long").alias("value"))
 
 
 @register("table_footprint", "SELECT count(*)::BIGINT AS rows, sum(len(c_custkey::VARCHAR || ',' || c_name || ',' "
@@ -103,9 +175,13 @@ def q_table_footprint(spark, sf_dir):
     return TT.table_footprint(spark, path)
 
 
-@register("pixel_row_filter", "SELECT vec_id, CASE WHEN len(embedding) <> 64 THEN 'length' END AS reason, "
-                              "len(embedding) = 64 AS ok FROM embeddings")
+# Rows as a pixel file may hold them: short ones, a word, an empty cell, padded and signed numbers.
+@register("pixel_row_filter", "SELECT vec_id, CASE WHEN len(embedding) <> 64 OR m = 0 THEN 'length' WHEN m IN (1, 2) THEN 'non-numeric' END AS reason, "
+                              "NOT (len(embedding) <> 64 OR m < 3) AS ok FROM (SELECT *, vec_id % 5 AS m FROM embeddings)")
 def q_pixel_row_filter(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings")
     cells = F.transform("embedding", lambda x: F.round(x.cast("double") * 100.0, 0).cast("long").cast("string"))
+    m = F.col("vec_id") % 5
+    cells = (F.when(m == 0, F.slice(cells, 1, 63)).when(m == 1, F.concat(F.slice(cells, 1, 63), F.array(F.lit("dark"))))
+             .when(m == 2, F.concat(F.array(F.lit("")), F.slice(cells, 2, 63))).when(m == 3, F.transform(cells, lambda c: F.concat(F.lit(" "), c, F.lit(".0 ")))).otherwise(cells))
     return pixel_row_check(e.select("vec_id", cells.alias("cells")), "cells", 8).select("vec_id", "reason", "ok")

@@ -6,9 +6,10 @@ parses, ``1_000`` does not), so each cell is first matched against Python's
 number grammar and only then cast. The grammar regexes below are written in
 the common subset of Java and RE2 syntax, so the SQL oracle uses them as is.
 
-A cell becomes ``struct(kind, i, d, s)``: ``kind`` is int/float/str; ``i``
+A cell becomes ``struct(kind, i, d, s, n)``: ``kind`` is int/float/str; ``i``
 the bigint value (NULL when an int does not fit 64 bits), ``d`` the double
-value of int and float cells, ``s`` the stripped text of str cells.
+value of int and float cells, ``s`` the stripped text of str cells, ``n`` the
+exact value of an int cell of up to 38 digits (``decimal(38,0)``).
 """
 
 from __future__ import annotations
@@ -38,7 +39,7 @@ def _special(stripped: Column) -> Column:
 
 
 def infer_cell(c: Column) -> Column:
-    """A2: the cell as ``struct(kind string, i bigint, d double, s string)``."""
+    """A2: the cell as ``struct(kind string, i bigint, d double, s string, n decimal(38,0))``."""
     stripped = py_strip(c)
     plain = F.regexp_replace(stripped, "_", "")
     is_int = c.rlike(INT_RE)
@@ -49,7 +50,8 @@ def infer_cell(c: Column) -> Column:
     i = F.when(is_int, plain.try_cast("bigint"))
     d = F.when(is_special & ~is_int, _special(stripped)).when(is_int | is_float, plain.try_cast("double"))
     s = F.when(c.isNotNull() & ~is_int & ~is_float, stripped)
-    return F.struct(kind.alias("kind"), i.alias("i"), d.alias("d"), s.alias("s"))
+    n = F.when(is_int, plain.try_cast("decimal(38,0)"))
+    return F.struct(kind.alias("kind"), i.alias("i"), d.alias("d"), s.alias("s"), n.alias("n"))
 
 
 def infer_cells(cells: Column) -> Column:
@@ -60,36 +62,54 @@ def infer_cells(cells: Column) -> Column:
 def infer_schema_profile(df: DataFrame, cells_col: str = "cells") -> DataFrame:
     """A3: per column position, the number of int/float/str cells and the type to use.
 
-    Widest rule: any str -> string, else any float -> double, else bigint.
+    Widest rule: any str, or an int of more than 38 digits -> string, else any
+    float -> double, else any int beyond 64 bits -> decimal(38,0), else bigint; so
+    no cell is lost. ``n_big`` and ``n_huge`` count the two kinds of long ints.
     One aggregate keyed by position (p groups, partial aggregation per task).
     """
     long = df.select(F.posexplode_outer(cells_col).alias("pos", "cell")).where(F.col("pos").isNotNull())
-    kinds = long.select("pos", infer_cell(F.col("cell"))["kind"].alias("kind"))
+    kinds = long.select("pos", infer_cell(F.col("cell")).alias("x"))
+    is_int = F.col("x.kind") == "int"
     prof = kinds.groupBy("pos").agg(
-        F.count_if(F.col("kind") == "int").alias("n_int"),
-        F.count_if(F.col("kind") == "float").alias("n_float"),
-        F.count_if(F.col("kind") == "str").alias("n_str"),
+        F.count_if(is_int).alias("n_int"),
+        F.count_if(F.col("x.kind") == "float").alias("n_float"),
+        F.count_if(F.col("x.kind") == "str").alias("n_str"),
+        F.count_if(is_int & F.col("x.i").isNull() & F.col("x.n").isNotNull()).alias("n_big"),
+        F.count_if(is_int & F.col("x.n").isNull()).alias("n_huge"),
     )
-    col_type = (F.when(F.col("n_str") > 0, F.lit("string")).when(F.col("n_float") > 0, F.lit("double"))
-                .otherwise(F.lit("bigint")))
+    col_type = (F.when((F.col("n_str") > 0) | (F.col("n_huge") > 0), F.lit("string")).when(F.col("n_float") > 0, F.lit("double"))
+                .when(F.col("n_big") > 0, F.lit("decimal(38,0)")).otherwise(F.lit("bigint")))
     return prof.withColumn("col_type", col_type)
 
 
+def typed_cell(cell: Column, kind: str) -> Column:
+    """A text cell as a value of a SQL type; NULL where it is not one."""
+    info = infer_cell(cell)
+    if kind == "bigint":
+        return info["i"]
+    if kind == "decimal(38,0)":
+        return info["n"]
+    if kind in ("int", "smallint", "tinyint"):
+        return info["n"].try_cast(kind)
+    if kind in ("double", "float"):
+        return info["d"].cast(kind)
+    return py_strip(cell) if kind == "string" else py_strip(cell).try_cast(kind)
+
+
 def typed_columns(df: DataFrame, names: list[str], types: list[str], cells_col: str = "cells",
-                  keep=()) -> DataFrame:
+                  keep=(), strict: bool = False) -> DataFrame:
     """Turn a cells array into typed, named columns (cell i -> ``names[i]``).
 
-    Missing cells of short rows are NULL, extra cells are ignored.
+    Missing cells of short rows and empty cells of columns that are not text are
+    NULL, extra cells are ignored. A cell that is not of its column's type is NULL,
+    or raises with ``strict``.
     """
     out = [F.col(c) for c in keep]
-    for k, (name, typ) in enumerate(zip(names, types)):
+    for k, (name, kind) in enumerate(zip(names, types)):
         cell = F.get(F.col(cells_col), k)
-        info = infer_cell(cell)
-        if typ == "bigint":
-            v = info["i"]
-        elif typ == "double":
-            v = info["d"]
-        else:
-            v = py_strip(cell)
+        v = typed_cell(cell, kind)
+        if strict and kind != "string":
+            wrong = F.concat(F.lit(f"column {name}: not {kind}: "), cell)
+            v = F.when(v.isNull() & (py_strip(cell) != ""), F.raise_error(wrong).cast(kind)).otherwise(v)
         out.append(v.alias(name))
     return df.select(*out)

@@ -60,13 +60,18 @@ def image_pixels(spark: SparkSession, path: str, size: int = 32) -> DataFrame:
     """
     imgs = spark.read.format("image").option("dropInvalid", True).load(path)
 
+    return imgs.select(F.col("image.origin").alias("origin"),
+                       resized_pixels("image.data", "image.height", "image.width", "image.nChannels", size).alias("px"))
+
+
+def resized_pixels(data, height, width, channels, size: int):
+    """Grey pixels, resized to S x S, of raw image columns (bytes, height, width, channels)."""
     @F.pandas_udf(T.ArrayType(T.DoubleType()))
     def to_pixels(data: pd.Series, h: pd.Series, w: pd.Series, c: pd.Series) -> pd.Series:
         return pd.Series([grey_resize(bytes(d), int(hh), int(ww), int(cc), size)
                           for d, hh, ww, cc in zip(data, h, w, c)])
 
-    return imgs.select(F.col("image.origin").alias("origin"),
-                       to_pixels("image.data", "image.height", "image.width", "image.nChannels").alias("px"))
+    return to_pixels(data, height, width, channels)
 
 
 def pixel_row_check(df: DataFrame, cells_col: str, size: int) -> DataFrame:

@@ -9,33 +9,45 @@ Two read modes:
   empty cell; cells are typed per cell (``cells.infer_cell``) and the column
   type is chosen by ``cells.infer_schema_profile``.
 
-In exact mode the first line of every file is its header. It is found
-without a shuffle: lines are tagged with ``monotonically_increasing_id``
-(file splits are read in order), and the smallest tag among lines of a
-file's first split is the header; that per-file table (one row per file) is
-broadcast back.
+In exact mode the first line of every file is its header. It is told by the
+stream of lines itself: a task reads a file's splits in order, so the first line
+that comes with the file's block at offset 0 is the header. One pass over the text
+marks headers and gives the lines; with a declared schema that is all that is read.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tablestats.sources.cells import infer_cell, infer_schema_profile, py_strip, typed_columns
 
-MAX_BROADCAST_FILES = 1_000_000
+def _mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Lines with a flag on the first of each file."""
+    last: tuple = (None, None)
+    for b in batches:
+        path, block = b.column("file_path"), b.column("block")
+        at_start = pc.equal(block, 0).to_numpy(zero_copy_only=False)
+        new = np.ones(b.num_rows, bool)
+        if b.num_rows > 1:
+            same = pc.and_(pc.equal(path.slice(1), path.slice(0, b.num_rows - 1)), pc.equal(block.slice(1), block.slice(0, b.num_rows - 1)))
+            new[1:] = ~same.to_numpy(zero_copy_only=False)
+        if b.num_rows:
+            new[0] = (path[0].as_py(), block[0].as_py()) != last
+            last = (path[-1].as_py(), block[-1].as_py())
+        yield pa.RecordBatch.from_arrays([path, b.column("value"), pa.array(at_start & new)], ["file_path", "value", "is_header"])
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """All lines with ``is_header`` (first line of its file) and ``file_path``."""
-    raw = spark.read.text(path).select(
-        "value", F.col("_metadata.file_path").alias("file_path"),
-        F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_mid"))
-    firsts = raw.where(F.col("_block") == 0).groupBy("file_path").agg(F.min("_mid").alias("_first"))
-    if len(spark.read.text(path).inputFiles()) <= MAX_BROADCAST_FILES:
-        firsts = F.broadcast(firsts)
-    joined = raw.join(firsts, "file_path", "left")
-    return joined.select("file_path", "value", (F.col("_mid") == F.col("_first")).alias("is_header"))
+    """All lines with ``is_header`` (first line of its file) and ``file_path``; one pass."""
+    raw = spark.read.text(path).select(F.col("_metadata.file_path").alias("file_path"), F.col("_metadata.file_block_start").alias("block"), "value")
+    return raw.mapInArrow(_mark, "file_path string, value string, is_header boolean")
 
 
 def split_cells(line) -> F.Column:
@@ -69,22 +81,21 @@ def read_table(spark: SparkSession, path: str, schema=None, exact: bool = False,
                strict: bool = False) -> DataFrame:
     """A1: read a comma-separated table with a header row.
 
-    ``schema`` (DDL string or StructType) skips inference in both modes. In
-    exact mode without a schema the column types come from one aggregate
-    over the cells (a p-row result). ``strict`` makes the fast mode fail on
-    malformed lines and the exact mode fail on rows of the wrong width.
+    ``schema`` (DDL string or StructType) is honoured in both modes and skips
+    inference. In exact mode without a schema the column types come from one
+    aggregate over the cells (a p-row result), so the text is read twice; with
+    one, once. ``strict`` makes the fast mode fail on malformed lines, and the
+    exact mode on rows of the wrong width and on cells that are not of their
+    column's type.
     """
     if not exact:
-        reader = spark.read.option("header", header).option("mode", "FAILFAST" if strict else "PERMISSIVE")
+        reader = spark.read.option("header", header).option("escape", '"').option("mode", "FAILFAST" if strict else "PERMISSIVE")
         reader = reader.schema(schema) if schema is not None else reader.option("inferSchema", True)
         return reader.csv(path)
     body = read_cells(spark, path, header)
     if schema is not None:
-        from pyspark.sql.types import StructType
-        st = schema if isinstance(schema, StructType) else StructType.fromDDL(schema)
-        names = [f.name for f in st.fields]
-        types = ["bigint" if f.dataType.typeName() in ("long", "integer", "short", "byte") else
-                 "double" if f.dataType.typeName() in ("double", "float") else "string" for f in st.fields]
+        st = schema if isinstance(schema, T.StructType) else T.StructType.fromDDL(schema)
+        names, types = [f.name for f in st.fields], [f.dataType.simpleString() for f in st.fields]
     else:
         names = header_cells(spark, path) if header else None
         prof = {r.pos: r.col_type for r in infer_schema_profile(body).collect()}
@@ -93,8 +104,29 @@ def read_table(spark: SparkSession, path: str, schema=None, exact: bool = False,
         types = [prof.get(k, "string") for k in range(len(names))]
     if strict:
         body = body.withColumn("cells", F.when(F.size("cells") == len(names), F.col("cells"))
-                               .otherwise(F.raise_error(F.lit("row width differs from the header"))))
-    return typed_columns(body, names, types)
+                               .otherwise(F.raise_error(F.lit("row width differs from the header")).cast("array<string>")))
+    return typed_columns(body, names, types, strict=strict)
+
+
+def matrix_layout(long: DataFrame, names: list[str], row: str = "col_i", col: str = "col_j", value: str = "corr") -> DataFrame:
+    """A5: a long matrix as one row per ``row`` value in the order of ``names``, one column per name."""
+    at = F.array_position(F.array(*[F.lit(n) for n in names]), F.col(row))
+    cells = [F.max(F.when(F.col(col) == n, F.col(value))).alias(n) for n in names]
+    return long.groupBy(at.alias("row")).agg(*cells)
+
+
+def labelled_layout(vectors: dict[str, DataFrame]) -> DataFrame:
+    """A5: one-row results as rows ``label, value per column``, e.g. min and max."""
+    out = None
+    for k, (label, df) in enumerate(vectors.items()):
+        row = df.select(F.lit(k + 1).alias("row"), F.lit(label).alias("label"), *df.columns)
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+def pixel_layout(df: DataFrame, px: str, size: int, keep=()) -> DataFrame:
+    """A5: pixel arrays as columns ``p1..pN``, N = size * size."""
+    return df.select(*keep, *[F.get(F.col(px), k).alias(f"p{k + 1}") for k in range(size * size)])
 
 
 def write_table(df: DataFrame, path: str, header: bool = True, order_by=None, line_sep: str = "\r\n",
@@ -111,8 +143,6 @@ def write_table(df: DataFrame, path: str, header: bool = True, order_by=None, li
     if order_by is not None:
         df = df.orderBy(order_by)
     if python_floats:
-        from pyspark.sql import types as T
-
         from tablestats.functions.scalar import with_python_float_text
         df = with_python_float_text(df, [f.name for f in df.schema.fields
                                          if isinstance(f.dataType, (T.DoubleType, T.FloatType))])
@@ -140,4 +170,4 @@ def table_footprint(spark: SparkSession, path: str) -> DataFrame:
 
 
 __all__ = ["read_table", "read_lines", "read_cells", "header_cells", "write_table", "table_footprint",
-           "split_cells", "infer_cell"]
+           "split_cells", "infer_cell", "matrix_layout", "labelled_layout", "pixel_layout"]

@@ -143,3 +143,69 @@ def test_synth_ints(spark):
     df = synth_ints(spark, n=1000, c=3, seed=5)
     r = df.agg(F.min("Product_1"), F.max("Product_3"), F.count(F.lit(1))).first()
     assert r[0] >= 1000 and r[1] < 10000 and r[2] == 1000 and df.columns == ["Product_1", "Product_2", "Product_3"]
+
+
+def _text_file(spark, files):
+    import os
+
+    from tablestats.session import work_dir
+    base = work_dir(spark, "test-text").replace("file:", "")
+    for k, text in enumerate(files):
+        with open(os.path.join(base, f"f{k}.csv"), "w") as f:
+            f.write(text)
+    return base
+
+
+def test_exact_mode_loses_no_cell(spark):
+    from decimal import Decimal
+
+    from tablestats.sources import text_table as TT
+    path = _text_file(spark, ["id,big,huge,x\n1,123456789012345678901," + "9" * 40 + ",1\n\n2,7,8,2.5\n", "id,big,huge,x\n3,-5,0,\"q\n"])
+    rows = TT.read_table(spark, path, exact=True).collect()
+    assert sorted((r.id, r.big, r.huge, r.x) for r in rows if r.id) == [
+        ("1", Decimal(123456789012345678901), "9" * 40, "1"), ("2", Decimal(7), "8", "2.5"), ("3", Decimal(-5), "0", '"q')]
+    assert [tuple(r) for r in rows if not r.id] == [("", None, None, None)]
+
+
+def test_declared_schema_is_honoured_and_checked(spark):
+    import datetime
+
+    import pytest
+
+    from tablestats.sources import text_table as TT
+    path = _text_file(spark, ["id,v,d\n1,2,2024-01-02\n2,1.5,x\n3,text,\n"])
+    df = TT.read_table(spark, path, "id int, v int, d date", exact=True)
+    assert [f.dataType.simpleString() for f in df.schema.fields] == ["int", "int", "date"]
+    assert sorted(tuple(r) for r in df.collect()) == [(1, 2, datetime.date(2024, 1, 2)), (2, None, None), (3, None, None)]
+    with pytest.raises(Exception, match="not int"):
+        TT.read_table(spark, path, "id int, v int, d string", exact=True, strict=True).collect()
+
+
+def test_one_pass_to_read_and_one_to_infer(spark):
+    from tablestats.sources import text_table as TT
+    path = _text_file(spark, ["a,b\n1,2\n", "a,b\n3,4\n"])
+    df = TT.read_table(spark, path, exact=True)
+    assert df._jdf.queryExecution().executedPlan().toString().count("FileScan text") == 1
+    assert sorted(tuple(r) for r in df.collect()) == [(1, 2), (3, 4)]
+
+
+def test_headers_are_found_in_any_split(spark):
+    from tablestats.sources import text_table as TT
+    files = ["h,k\n" + "".join(f"{f},{i}\n" for i in range(400)) + "h,k\n" for f in range(6)]
+    path = _text_file(spark, files)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        for size in ("700b", "5kb", "128mb"):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            lines = TT.read_lines(spark, path)
+            assert lines.where("is_header").count() == 6 and lines.where("NOT is_header").count() == 6 * 401
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_layouts(spark):
+    from tablestats.sources import text_table as TT
+    long = spark.createDataFrame([("a", "a", 1.0), ("a", "b", 0.5), ("b", "a", 0.5), ("b", "b", 1.0)], "col_i string, col_j string, corr double")
+    assert sorted(tuple(r) for r in TT.matrix_layout(long, ["b", "a"]).collect()) == [(1, 1.0, 0.5), (2, 0.5, 1.0)]
+    px = spark.createDataFrame([(7, [1.0, 2.0, 3.0, 4.0])], "id int, px array<double>")
+    assert TT.pixel_layout(px, "px", 2, keep=["id"]).first().asDict() == {"id": 7, "p1": 1.0, "p2": 2.0, "p3": 3.0, "p4": 4.0}
