@@ -3,11 +3,8 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Iterator
 
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from tablestats.session import checkpoint_root, work_dir
 
@@ -15,7 +12,7 @@ from tablestats.session import checkpoint_root, work_dir
 #: (``bytes.split`` splits on exactly these six).
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 
-__all__ = ["WORD_PATTERN", "table", "saved", "written", "checkpoint_root", "work_dir", "map_rows", "column", "column_or_null",
+__all__ = ["WORD_PATTERN", "table", "saved", "written", "checkpoint_root", "work_dir", "column", "free_names",
            "shuffle_partitions"]
 
 
@@ -45,10 +42,12 @@ def column(df: DataFrame, name: str):
     return df["`" + re.sub("`", "``", name) + "`"]
 
 
-def column_or_null(df: DataFrame, name: str | None, kind: str):
-    return column(df, name).cast(kind) if name is not None else F.lit(None).cast(kind)
-
-
-def map_rows(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """``mapInArrow``: ``fn`` sees the partition as a stream of Arrow batches."""
-    return df.mapInArrow(fn, schema)
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """The names, lengthened until no column of ``df`` has them."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for n in names:
+        while n.lower() in taken:
+            n += "_"
+        out.append(n)
+    return out

@@ -3,8 +3,9 @@
 Each page is parsed into a tree. Parts that are never article text (menus,
 headers, footers, sidebars, notices, adverts, forms, scripts, styles, reader
 comments) are cut out by tag, role, class or id. Every block of running text then
-passes points to its ancestors: one, one per comma, and one per 100 characters
-up to three; all of it to the parent, half to the grandparent, and so on. A
+passes points to the containers around it: one, one per comma, and one per 100 characters
+up to three; all of it to the innermost, half to the next, and so on
+(lists, quotes and tables are parts of a text, not containers). A
 container's points are discounted by its link density. The best container is the
 article; siblings of it are kept with it where they score at least a fifth of it,
 or are running text with few links.
@@ -32,18 +33,22 @@ from tablestats.llm.common import column
 
 # HTML's own element names (fixed values).
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template iframe textarea title svg math object xmp".split())
+RAW = frozenset("script style noscript template iframe textarea title svg".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr br img nobr".split())
 #: Elements whose content is never article text.
-CUT_TAGS = frozenset("nav header footer aside form button select option dialog menu head fieldset figcaption".split()) | RAW
+CUT_TAGS = frozenset("nav header footer aside form button select option dialog menu head fieldset".split()) | RAW
 CUT_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 #: Class or id words of parts that are not article text.
 CUT_WORDS = frozenset("""ad ads adv advert adverts advertisement advertising advertorial sponsor sponsored sponsors promo promos promotion banner banners
     nav navbar navigation menu menus breadcrumb breadcrumbs pagination pager sidebar side aside widget widgets footer foot header masthead topbar
     comment comments reply replies respond disqus notice notices cookie cookies consent gdpr popup modal overlay newsletter subscribe subscription signup login
     share sharing social related recommended recommendations toolbar""".split())
+#: A class that says what a container has or lacks, not what it is.
+ABOUT_WORDS = frozenset("has have with without no".split())
 #: Whole-page containers, never cut for their class.
 KEEP_TAGS = frozenset("html body article main".split())
+#: Parts of running text, lists, quotes and tables: never an article by themselves, their points go to the container around.
+PARTS = frozenset("p li ul ol dl dt dd table caption thead tbody tfoot tr td th h1 h2 h3 h4 h5 h6 pre blockquote figure figcaption address hr details summary".split())
 #: An open element that a start tag ends (HTML's optional end tags; fixed values).
 P_ENDS = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",), "thead": ("tr", "td", "th"), "tbody": ("thead", "tbody", "tr", "td", "th"), "tfoot": ("tbody", "tr", "td", "th")}
@@ -81,8 +86,10 @@ def _is_cut(tag: str, attrs: str) -> bool:
     for m in _ATTR.finditer(attrs):
         name, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
         if name in ("class", "id"):
-            if any(w in CUT_WORDS for w in re.split(r"[^a-z]+", value)):
-                return True
+            for word in value.split():
+                parts = set(re.split(r"[^a-z]+", word))
+                if parts & CUT_WORDS and not parts & ABOUT_WORDS:
+                    return True
         elif name == "role" and value in CUT_ROLES or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none", value):
             return True
     return bool(re.search(r"(?:^|\s)hidden(?:\s|=|/|$)", attrs, re.I))
@@ -189,7 +196,7 @@ def _clean(block: Block) -> str:
     return _SPACE.sub(" ", html.unescape("".join(block.parts))).strip()
 
 
-#: Blocks of these tags are running text; other containers' own text counts too.
+#: Containers that a block passes points to.
 PASSES = 4
 
 
@@ -200,6 +207,8 @@ def article(nodes: list[Node], blocks: list[Block], texts: list[str]) -> list[No
         if t:
             points, share, up = 1 + t.count(",") + t.count("、") + t.count("，") + min(len(t) / 100, 3), 1.0, node.parent or node
             for _ in range(PASSES):
+                while up.tag in PARTS and up.parent is not None:
+                    up = up.parent
                 up.points += points * share
                 share /= 2
                 if up.parent is None:

@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tablestats.llm.common import column, saved
+from tablestats.llm.common import column, free_names, saved
 
 MAX_RATIO = 0.05
 MIN_PAGES = 5
@@ -60,21 +60,21 @@ def drop_boilerplate(pages: DataFrame, host: str = "source", text: str = "text",
     """
     bad = saved(boilerplate(pages, host, text, max_ratio, min_pages))
     # A page is known by host and text: equal pages lose the same lines.
-    own = pages.select(column(pages, host).alias("__host"), column(pages, text).cast("string").alias("__text"))
-    held = (own.where("__text IS NOT NULL")
+    own = pages.select(column(pages, host).alias("host_"), column(pages, text).cast("string").alias("text_"))
+    held = (own.where("text_ IS NOT NULL")
             # The page's digest is taken once, below the line rows.
-            .select("__host", F.unhex(F.sha2("__text", 256)).alias("__page"), F.transform(F.array_distinct(_lines(F.col("__text"))), lambda x: F.when(x != "", _digest(x))).alias("__lines"))
-            .select("__host", "__page", F.explode("__lines").alias("__line")).where("__line IS NOT NULL"))
-    hits = (held.join(bad, held["__host"].eqNullSafe(bad["host"]) & (held["__line"] == bad["line"]))
-            .groupBy("__host", "__page").agg(F.collect_set("__line").alias("__bad"))
-            .select(F.col("__host").alias("__h"), F.col("__page").alias("__p"), "__bad"))
+            .select("host_", F.unhex(F.sha2("text_", 256)).alias("page_"), F.transform(F.array_distinct(_lines(F.col("text_"))), lambda x: F.when(x != "", _digest(x))).alias("lines_"))
+            .select("host_", "page_", F.explode("lines_").alias("line_")).where("line_ IS NOT NULL"))
+    h, p, b = free_names(pages, "host_", "page_", "bad_")
+    hits = (held.join(bad, held["host_"].eqNullSafe(bad["host"]) & (held["line_"] == bad["line"]))
+            .groupBy(F.col("host_").alias(h), F.col("page_").alias(p)).agg(F.collect_set("line_").alias(b)))
+    page = F.unhex(F.sha2(column(pages, text).cast("string"), 256))
+    both = pages.join(hits, column(pages, host).eqNullSafe(hits[h]) & (page == hits[p]), "left")
     own_text = column(pages, text).cast("string")
-    both = pages.withColumns({"__host": column(pages, host), "__page": F.unhex(F.sha2(own_text, 256))})
-    both = both.join(hits, both["__host"].eqNullSafe(hits["__h"]) & (both["__page"] == hits["__p"]), "left")
-    lines = _lines(column(both, text).cast("string"))
-    kept = F.when(F.col("__bad").isNull(), lines).otherwise(F.filter(lines, lambda x: ~F.array_contains(F.col("__bad"), _digest(x))))
-    new = F.when(F.col("__bad").isNull(), column(both, text).cast("string")).otherwise(F.array_join(kept, "\n"))
-    out = [new.alias(c) if c == text else column(both, c) for c in pages.columns]
+    lines, found = _lines(own_text), hits[b]
+    kept = F.when(found.isNull(), lines).otherwise(F.filter(lines, lambda x: ~F.array_contains(found, _digest(x))))
+    new = F.when(found.isNull(), own_text).otherwise(F.array_join(kept, "\n"))
+    out = [new.alias(c) if c == text else column(pages, c) for c in pages.columns]
     if counts:
         out += [F.coalesce(F.size(lines), F.lit(0)).cast("long").alias(counts[0]),
                 F.coalesce(F.size(lines) - F.size(kept), F.lit(0)).cast("long").alias(counts[1])]

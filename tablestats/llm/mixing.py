@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tablestats.llm.common import WORD_PATTERN, column, saved
+from tablestats.llm.common import WORD_PATTERN, column, free_names, saved
 from tablestats.operators.chunks import with_row_index
 
 WEIGHTS = (5.0, 2.0, 1.0)
@@ -147,8 +147,9 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", tex
 def mixed(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", seed: int = SEED) -> DataFrame:
     """The mix itself: every row of ``docs`` as often as it is taken."""
     plan = mix_rows(_sized(docs, id_col, source_col, text_col), seed).where("copies > 0")
-    plan = saved(plan.select(F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("size").alias("__size"), F.col("copies").alias("__copies")).distinct())
-    own = (column(docs, id_col).cast("long").eqNullSafe(plan["__id"]) & column(docs, source_col).cast("string").eqNullSafe(plan["__source"])
-           & (word_count(column(docs, text_col).cast("string")) == plan["__size"]))
+    i, s, z, n, k = free_names(docs, "id_", "source_", "size_", "copies_", "copy_")
+    plan = saved(plan.select(F.col("doc_id").alias(i), F.col("source").alias(s), F.col("size").alias(z), F.col("copies").alias(n)).distinct())
+    own = (column(docs, id_col).cast("long").eqNullSafe(plan[i]) & column(docs, source_col).cast("string").eqNullSafe(plan[s])
+           & (word_count(column(docs, text_col).cast("string")) == plan[z]))
     both = docs.join(plan, own)
-    return both.select(*[column(docs, c) for c in docs.columns], F.explode(F.sequence(F.lit(1).cast("long"), "__copies")).alias("__copy")).drop("__copy")
+    return both.select(*[column(docs, c) for c in docs.columns], F.explode(F.sequence(F.lit(1).cast("long"), plan[n])).alias(k)).drop(k)

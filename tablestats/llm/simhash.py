@@ -131,6 +131,6 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def keep_representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, max_bits: int = MAX_BITS) -> DataFrame:
     """One row of ``docs`` for each group of near-duplicates, the one with the smallest id; rows without an id stay."""
     groups = near_duplicates(docs, id_col, text_col, shingle, max_bits)
-    stay = saved(groups.where("doc_id = component_id").select(F.col("doc_id").alias("__stay")).distinct())
-    first = docs.join(stay, column(docs, id_col).cast("long") == stay["__stay"], "left_semi").dropDuplicates([id_col])
+    stay = saved(groups.where("doc_id = component_id").select("doc_id").distinct())
+    first = docs.join(stay, column(docs, id_col).cast("long") == stay["doc_id"], "left_semi").dropDuplicates([id_col])
     return first.unionByName(docs.where(column(docs, id_col).isNull()))

@@ -14,6 +14,8 @@ PARA = "A first paragraph, with commas, and some words in it, so that it scores
     (f"<main><p>{PARA}</p><form><input><button>Go</button></form><div class=\"cookie-notice\">We use cookies, yes</div><ul><li>one<li>two</ul></main>", f"{PARA}\none\ntwo"),
     (f"<div class=sidebar>{PARA}</div><div class=story><p>{PARA} It goes on.</p></div>", f"{PARA} It goes on."),
     (f"<p>{PARA}</p><!-- a <p>comment</p> --><p>AT&ampT &#233;&nbsp;&#x41;</p>", f"{PARA}\nAT&T é A"),
+    (f"<div class='page has-sidebar no-comments'><p>{PARA}</p><figure><img><figcaption>A caption</figcaption></figure></div>", f"{PARA}\nA caption"),
+    (f"<table><tr><td>{PARA}<td>second<tr><td>third</table>", f"{PARA}\nsecond\nthird"),
     ("<ul><li><a href=1>only, links, here</a></li></ul>", ""),
     ("<div><div><div><div><p>deep, deep, deep text</div>", "deep, deep, deep text"),
     ("</p></div><p>stray, ends</p><", "stray, ends\n<"),

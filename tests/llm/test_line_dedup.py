@@ -17,7 +17,7 @@ def brute(rows, ratio, least):
 def test_against_brute_force(docs_of):
     rows = [(i, f"Menu\nline {i}\n\nMenu\nshared {i % 7}\nfoot ", "abc"[i % 3 % 2]) for i in range(60)]
     rows += [(100, None, "a"), (101, "", "a"), (102, "Menu", None), (None, "Menu\nown", "a"), (103, "Menu", "lonely"), (3, rows[3][1], rows[3][2]), (104, "x" * 200_000, "b")]
-    docs = docs_of(rows, "line")
+    docs = docs_of(rows, "host_")
     got = line_dedup.drop_boilerplate(docs, max_ratio=0.2, min_pages=4)
     assert got.columns == docs.columns
     key = lambda x: (str(x[0]), str(x[1]))

@@ -77,7 +77,7 @@ def test_mix(docs_of):
 
 def test_mixed_rows_follow_the_plan(docs_of):
     rows = [(i, "word " * (1 + i % 9), f"s{i % 4}") for i in range(120)] + [(None, "w", "s1"), (500, "w", None)]
-    docs = docs_of(rows, "size")
+    docs = docs_of(rows, "copy_")
     plan = defaultdict(int)
     for r in mixing.mix(docs).collect():
         plan[r["doc_id"]] += r["taken"] // r["size"]
