@@ -26,11 +26,11 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tablestats.functions.arrays import slice_bounds
 from tablestats.session import checkpoint_root
 
 _LOW_BITS = 33
 MAX_BROADCAST_PARTITIONS = 1_000_000
-MAX_BROADCAST_WORKERS = 100_000
 MAX_FILES = 100_000
 
 
@@ -128,39 +128,6 @@ def chunk_ranges(chunked: DataFrame, chunk_col: str = "chunk_id", index_col: str
                                           (F.max(index_col) + 1).alias("end_index"))
 
 
-def chunk_factor(required: Column, capacity: Column, minimum: int = 2) -> Column:
-    """Number of pieces a job needs, ceil(required / capacity), at least ``minimum``."""
-    return F.greatest(F.ceil(required / capacity), F.lit(minimum)).cast("bigint")
-
-
-def round_robin(chunks: DataFrame, workers: DataFrame, chunk_col: str = "chunk_id",
-                worker_pos_col: str = "pos") -> DataFrame:
-    """Chunk i goes to the worker at position ``i mod w``.
-
-    ``workers`` is the list of nodes ``(pos, ...)``, pos 0-based. It is
-    counted first; up to ``MAX_BROADCAST_WORKERS`` rows it is broadcast,
-    beyond that an ordinary equi-join on the slot is used.
-    """
-    w = workers.count()
-    if w == 0:
-        raise ValueError("no workers")
-    slot = F.pmod(F.col(chunk_col), F.lit(w))
-    side = F.broadcast(workers) if w <= MAX_BROADCAST_WORKERS else workers
-    return chunks.join(side, slot == F.col(worker_pos_col)).drop(worker_pos_col)
-
-
-def py_slice_bounds(n: Column, lo, hi, step: int):
-    """Normalised (start, stop) of Python ``[lo:hi:step]`` on n items as columns."""
-    def norm(x, default, low, high):
-        if x is None:
-            return default
-        v = F.lit(x) + n if x < 0 else F.lit(x)
-        return F.least(F.greatest(v, low), high)
-    if step > 0:
-        return norm(lo, F.lit(0), F.lit(0), n), norm(hi, n, F.lit(0), n)
-    return norm(lo, n - 1, F.lit(-1), n - 1), norm(hi, F.lit(-1), F.lit(-1), n - 1)
-
-
 def row_slice(df: DataFrame, order_by, lo=None, hi=None, step: int = 1, index_col: str = "row_index") -> DataFrame:
     """Rows ``[lo:hi:step]`` with Python slice semantics on the ordered table.
 
@@ -170,7 +137,7 @@ def row_slice(df: DataFrame, order_by, lo=None, hi=None, step: int = 1, index_co
     if step == 0:
         raise ValueError("slice step cannot be zero")
     indexed = with_row_index(df, order_by, index_col, total_col="_n")
-    start, stop = py_slice_bounds(F.col("_n"), lo, hi, step)
+    start, stop = slice_bounds(F.col("_n"), lo, hi, step)
     idx = F.col(index_col)
     if step > 0:
         keep = (idx >= start) & (idx < stop) & (F.pmod(idx - start, F.lit(step)) == 0)

@@ -72,18 +72,6 @@ def test_row_index_equals_position_for_any_partitioning(spark):
         assert [r[1] for r in sorted(rows, key=lambda r: r[2])] == list(range(1000))
 
 
-def test_round_robin(spark):
-    chunks = spark.range(5).withColumnRenamed("id", "chunk_id")
-    workers = spark.createDataFrame([(0, "w0"), (1, "w1")], "pos long, name string")
-    got = [r.name for r in C.round_robin(chunks, workers).orderBy("chunk_id").collect()]
-    assert got == ["w0", "w1", "w0", "w1", "w0"]
-
-
-def test_chunk_factor(spark):
-    df = spark.createDataFrame([(10.0, 100.0), (250.0, 100.0), (1000.0, 100.0)], "r double, c double")
-    assert [r.k for r in df.select(C.chunk_factor(F.col("r"), F.col("c")).alias("k")).collect()] == [2, 3, 10]
-
-
 @pytest.mark.parametrize("lo,hi,step", [(None, None, 1), (2, 8, 3), (-3, None, 1), (None, None, -2), (8, 1, -3),
                                         (-100, 100, 4), (5, 2, 1)])
 def test_row_slice_python_semantics(spark, lo, hi, step):

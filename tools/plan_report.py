@@ -19,7 +19,7 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 from tablestats.session import build_session  # noqa: E402
 
-PY_NODES = ("ArrowEvalPython", "MapInPandas", "FlatMapGroupsInPandas", "BatchEvalPython")
+PY_NODES = ("ArrowEvalPython", "MapInPandas", "MapInArrow", "PythonMapInArrow", "FlatMapGroupsInPandas", "BatchEvalPython")
 
 
 def summarise(plan: str) -> dict:
