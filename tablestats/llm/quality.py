@@ -112,8 +112,12 @@ def _dictionary(texts: list[str]) -> bytes:
         return b"".join(pieces)[-DICT_BYTES:]
 
 
-def fit(rows: list[tuple[str, int]], seed: int = 17) -> QualityModel:
-    """Fit on (text, label) rows: dictionaries of all texts, the curve by cross-fitting."""
+def fit(rows: list[tuple[str, int]], seed: int = 17, odds: float | None = None) -> QualityModel:
+    """Fit on (text, label) rows: dictionaries of all texts, the curve by cross-fitting.
+
+    ``odds``: good to bad labels where the rows come from, if they were drawn evenly;
+    the score is then a probability there.
+    """
     by = {k: sorted(t for t, y in rows if y == k) for k in (0, 1)}
     none = np.zeros(0)
     if min(len(by[0]), len(by[1])) < 4:
@@ -131,13 +135,38 @@ def fit(rows: list[tuple[str, int]], seed: int = 17) -> QualityModel:
     y = np.repeat([0.0, 1.0], [len(rest[0]), len(rest[1])])
     low, high, mean, scale = x.min(0), x.max(0), x.mean(0), x.std(0) + 1e-9
     a = _design((x - mean) / scale)
-    w = np.zeros(a.shape[1])
-    for _ in range(40):  # Newton steps of ridge logistic regression
-        p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
-        w += np.linalg.solve((a * (p * (1 - p) + 1e-6)[:, None]).T @ a + 0.02 * np.eye(len(w)), a.T @ (y - p) - 0.02 * w)
+    w = _curve(a, y)
+    if odds:
+        w[0] += np.log(odds * (1 - y).sum() / y.sum())
     return QualityModel(built[1], built[0], mean, scale, low, high, w, float(y.mean()))
 
 
+def _curve(a: np.ndarray, y: np.ndarray, ridge: float = 0.02) -> np.ndarray:
+    """Weights of ridge logistic regression, by Newton steps that are halved until they lower the loss.
+
+    The two kinds may be told apart perfectly; then the ridge keeps the weights finite,
+    and full steps would overshoot.
+    """
+    sign = 2 * y - 1
+
+    def loss(w: np.ndarray) -> float:
+        return float(np.logaddexp(0, -sign * (a @ w)).sum() + ridge / 2 * w @ w)
+
+    w = np.zeros(a.shape[1])
+    now = loss(w)
+    for _ in range(100):
+        p = 1 / (1 + np.exp(-np.clip(a @ w, -500, 500)))
+        gradient = a.T @ (p - y) + ridge * w
+        step = np.linalg.solve((a * (p * (1 - p))[:, None]).T @ a + ridge * np.eye(len(w)), gradient)
+        size = 1.0
+        while (new := loss(w - size * step)) > now and size > 1e-9:
+            size /= 2
+        if now - new < 1e-9:
+            break
+        w, now = w - size * step, new
+    return w
+
+
 def held_out(id_column: Column) -> Column:
     """Rows whose labels are never learnt from."""
     return F.coalesce(F.crc32(id_column.cast("string").cast("binary")) % FOLDS == 0, F.lit(False))
@@ -154,7 +183,8 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     texts = docs.select(column(docs, id_col).cast("long").alias("doc_id"), F.coalesce(column(docs, text_col).cast("string"), F.lit("")).alias("text"))
     rows = (texts.where(F.char_length("text") <= MAX_SAMPLE_CHARS)
             .join(F.broadcast(some[0].unionByName(some[1]).dropDuplicates(["doc_id"])), "doc_id").limit(4 * max_per_label).collect())
-    return fit([(r["text"], r["label"]) for r in rows])
+    good, bad = known.agg(F.count_if(F.col("label") == 1), F.count_if(F.col("label") == 0)).first()
+    return fit([(r["text"], r["label"]) for r in rows], odds=good / bad if good and bad else None)
 
 
 def score(docs: DataFrame, model: QualityModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

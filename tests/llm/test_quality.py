@@ -1,6 +1,7 @@
 import random
 import zlib
 
+import numpy as np
 import pytest
 
 from tablestats.llm import quality
@@ -54,6 +55,17 @@ def test_kept_rows_are_unchanged(trained, docs_of):
     assert set(kept.collect()) <= set(docs.collect())
 
 
+@pytest.mark.parametrize("gap", [0.0, 0.5, 5.0])
+def test_the_curve_settles_even_where_labels_are_separable(gap):
+    rng = np.random.default_rng(1)
+    x = np.concatenate([rng.normal(size=(300, 4)), rng.normal(size=(300, 4)) + 6 + gap])
+    y = np.repeat([0.0, 1.0], 300)
+    x = (x - x.mean(0)) / x.std(0)
+    w = quality._curve(quality._design(x), y)
+    p = 1 / (1 + np.exp(-(quality._design(x) @ w)))
+    assert np.abs(w).max() < 50 and ((p >= 0.3) == y).mean() > 0.99
+
+
 def test_without_labels_nothing_is_rejected(spark, docs_of):
     docs = docs_of([(1, "a"), (2, None)])
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
