@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablestats.llm.common import column, saved
+from tablestats.llm.common import column, saved, small_batches
 from tablestats.llm.pretokens import pretoken_ends, safe_cut
 
 #: Characters in a chunk, and the least that neighbours share.
@@ -181,6 +181,7 @@ def long_pieces(parts: DataFrame, path: str, pattern: str) -> DataFrame:
 def encode_digests(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", chunk: int = CHUNK) -> DataFrame:
     """One row per document: n_tokens, and SHA-256 of its ids (little-endian
     unsigned 32-bit) and of the bytes decoded from them."""
+    small_batches(docs.sparkSession)
     rows = docs.select(column(docs, id_col).cast("long").alias("doc_id"), column(docs, text_col).cast("string").alias("text"))
     # Written once: both kinds of row come from one pass over the texts.
     parts = saved(rows.mapInArrow(lambda it: _split(it, path, pattern, chunk), _SPLIT_DDL))
@@ -192,6 +193,7 @@ def encode_digests(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_
 
 def encode_ids(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", chunk: int = CHUNK) -> DataFrame:
     """The ids themselves, in order of ``piece``: (doc_id, piece, ids array<int>); a text of one chunk has one piece."""
+    small_batches(docs.sparkSession)
     rows = docs.select(column(docs, id_col).cast("long").alias("doc_id"), column(docs, text_col).cast("string").alias("text"))
 
     def ids_of(it):

@@ -12,7 +12,7 @@ from tablestats.session import checkpoint_root, work_dir
 #: (``bytes.split`` splits on exactly these six).
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 
-__all__ = ["WORD_PATTERN", "table", "saved", "written", "checkpoint_root", "work_dir", "column", "free_names",
+__all__ = ["WORD_PATTERN", "table", "saved", "written", "checkpoint_root", "work_dir", "column", "free_names", "small_batches",
            "shuffle_partitions"]
 
 
@@ -33,6 +33,21 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Rows of texts in an Arrow batch: with texts of up to 100 KB a batch stays near 100 MB.
+BATCH_ROWS = 1000
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lower the session's Arrow batch size for texts, unless it is lower already.
+
+    Python and the JVM hold a few batches each; at Spark's 10,000 rows those of long
+    texts are most of a task's memory.
+    """
+    if not 0 < int(spark.conf.get(_BATCH)) <= BATCH_ROWS:
+        spark.conf.set(_BATCH, str(BATCH_ROWS))
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 

@@ -29,7 +29,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tablestats.llm.common import column
+from tablestats.llm.common import column, small_batches
 
 # HTML's own element names (fixed values).
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -255,6 +255,7 @@ def main_text(page: str) -> str:
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """One row per page: page_id, url, text, n_chars."""
+    small_batches(pages.sparkSession)
     rows = pages.select(column(pages, id_col).cast("long").alias("page_id"), column(pages, url_col).cast("string").alias("url"), column(pages, html_col).cast("string").alias("html"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablestats.llm.common import column, saved, written
+from tablestats.llm.common import column, saved, small_batches, written
 
 LENGTH = 35
 SEED = 8
@@ -214,6 +214,7 @@ def _remove(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Recor
 
 def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, seed: int = SEED) -> DataFrame:
     """One row per document: doc_id, n_words, n_removed, kept_sha256 (of the words left, joined by a space)."""
+    small_batches(docs.sparkSession)
     rows = docs.select(column(docs, id_col).cast("long").alias("doc_id"), column(docs, text_col).cast("string").alias("text"))
     scanned = written(rows.mapInArrow(lambda it: _scan(it, length, seed), "doc_id long, key binary, n_words long, all_sha256 string, anchors array<bigint>"))
     texts, repeats = repeated_windows(rows, scanned, length, seed)

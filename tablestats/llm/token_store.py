@@ -45,7 +45,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tablestats.llm.common import column, shuffle_partitions, work_dir
+from tablestats.llm.common import column, shuffle_partitions, small_batches, work_dir
 from tablestats.llm.pretokens import code_points, safe_pieces, starts, uncertain
 
 SHARD_IDS = 1_000_000
@@ -314,6 +314,7 @@ def _write(batches: Iterator[pa.RecordBatch], path: str, end_id: int) -> Iterato
 
 def write_store(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> None:
     """Tokenise ``docs`` into a store under ``folder`` (a shared one)."""
+    small_batches(docs.sparkSession)
     rows = docs.select(column(docs, id_col).cast("long").alias("doc_id"), column(docs, text_col).cast("string").alias("text"))
     n = shuffle_partitions(docs.sparkSession)
     ordered = rows.repartitionByRange(n, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
