@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablestats.llm.common import column, saved, small_batches
+from tablestats.llm.common import column, saved, shuffle_partitions, small_batches
 from tablestats.llm.graph import components
 
 SHINGLE = 3
@@ -100,6 +100,8 @@ def links(prints: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     """(x, y): links that connect the same fingerprints as all pairs within ``max_bits`` bits; ``prints`` has a distinct column fp."""
     if not 0 <= max_bits <= 2:
         raise ValueError("the grid has steps for at most 2 differing bits")
+    # The few bytes of a fingerprint become some 50 points: spread them first.
+    prints = prints.repartition(shuffle_partitions(prints.sparkSession), "fp")
     points = prints.selectExpr("fp", f"{_EMBED} AS e").selectExpr("fp", f"explode({_POINTS}) AS p").selectExpr("fp", "p.step AS step", "p.point AS point")
     crowd = points.groupBy("point").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     shared = saved(points.join(saved(crowd), "point"))
