@@ -43,7 +43,7 @@ def summarise(plan: str) -> dict:
 
 def main(argv):
     sf_dir = argv[1] if len(argv) > 1 else "/root/testdata/sf0.01"
-    import __spark_entry__ as entry
+    from tablestats.plans import QUERIES
     spark = build_session("local[8]", 8)
     print("# Executed plans of the registered queries\n")
     print(f"Final adaptive plans at `{sf_dir}` (`tools/plan_report.py`). `single` counts exchanges into one "
@@ -53,7 +53,7 @@ def main(argv):
     print("| --- | --- | --- | --- | --- | --- | --- | --- | --- | --- | --- |")
     sc = spark.sparkContext
     tracker = sc.statusTracker()
-    for name, fn in sorted(entry.queries().items()):
+    for name, fn in sorted(QUERIES.items()):
         group = f"plan-{name}"
         sc.setJobGroup(group, name)
         df = fn(spark, sf_dir)
