@@ -17,10 +17,11 @@ worked on piece by piece.
 
 from __future__ import annotations
 
+import bisect
 import functools
 import sys
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import regex
@@ -110,11 +111,16 @@ def safe_cut(text: str, at: int) -> int:
     return m.start() if m else len(text)
 
 
-def safe_pieces(text: str, size: int) -> Iterator[str]:
-    """The text in pieces of about ``size`` characters, cut at safe boundaries."""
+def safe_pieces(text: str, size: int, uncut: Sequence[str] = ()) -> Iterator[str]:
+    """The text in pieces of about ``size`` characters, cut at safe boundaries and never inside one of the literals ``uncut`` (longest first)."""
+    held = [m.span() for m in regex.finditer("|".join(map(regex.escape, uncut)), text)] if len(text) > size and any(x in text for x in uncut) else []
     at = 0
     while len(text) - at > size:
         end = safe_cut(text, at + size)
+        k = bisect.bisect_left(held, (end,)) - 1  # the last literal that begins before the cut
+        while k >= 0 and end < held[k][1]:
+            end = safe_cut(text, held[k][1])
+            k = bisect.bisect_left(held, (end,)) - 1
         yield text[at:end]
         at = end
     if at < len(text) or not text:

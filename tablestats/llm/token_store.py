@@ -23,7 +23,9 @@ runs twice leaves one copy.
 
 Tokenising: texts are split into pre-tokens for a whole batch at once; each
 distinct pre-token goes through the tokenizer once, and a bounded cache keeps
-the ids from batch to batch.
+the ids from batch to batch. The tokenizer's added tokens (such as
+``<|endoftext|>``) are found as the library finds them by default: a piece of text
+that holds one goes to the library whole, and no text is cut inside one.
 
 Edge cases: a null text is an empty one (just the end id); null ids come first;
 repeated ids stay side by side, in order of their texts' hash; an empty table
@@ -36,7 +38,7 @@ import functools
 import math
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -166,7 +168,11 @@ class PretokenEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        added = self.tokenizer.get_added_tokens_decoder().values()
+        #: Literals that the library takes out of a text before it splits it, the longest first.
+        self.added = tuple(sorted((t.content for t in added if t.content), key=len, reverse=True))
+        #: Those of them that also look at, or take in, what is around them.
+        self.wide = tuple(t.content for t in added if t.content and (t.lstrip or t.rstrip or t.single_word))
         self.vocabulary = self.tokenizer.get_vocab_size(with_added_tokens=True)
         names = self.tokenizer.get_vocab(with_added_tokens=True)
         self.token_bytes = np.zeros(max(names.values()) + 1, np.int64)
@@ -189,9 +195,12 @@ class PretokenEncoder:
         spaced, solid, rest = [], [], []
         for i, w in enumerate(words):
             (rest if w.isspace() or w[0] > 127 and w.decode().isspace() else spaced if w[0] == 0x20 else solid).append(i)
+        joined = ["".join(words[i].decode() for i in spaced), "".join("\n" + words[i].decode() for i in solid)]
+        if any(map(self._holds_added, joined)):  # an added token with a space or a line break in it
+            joined, rest, spaced, solid = [], rest + spaced + solid, [], []
         order = spaced + [x for i in solid for x in (-1, i)] + rest
         ids: list[int] = []
-        for text in ("".join(words[i].decode() for i in spaced), "".join("\n" + words[i].decode() for i in solid), *(words[i].decode() for i in rest)):
+        for text in (*joined, *(words[i].decode() for i in rest)):
             ids += self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
         flat = np.array(ids, np.int32)
         ends = np.searchsorted(np.cumsum(self.token_bytes[flat]), np.cumsum([1 if i < 0 else len(words[i]) for i in order])) + 1
@@ -221,12 +230,24 @@ class PretokenEncoder:
         self.used += total
         self.known.update(zip(words, range(n, n + len(words))))
 
+    def _holds_added(self, text: str) -> bool:
+        return any(x in text for x in self.added)
+
+    def _library(self, pieces: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, np.int32) for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
+
     def _slice(self, pieces: list[str]) -> list[np.ndarray]:
         """Ids of non-empty pieces."""
+        whole = [self._holds_added(p) for p in pieces]
+        if any(whole):
+            library = iter(self._library([p for p, w in zip(pieces, whole) if w]))
+            others = [p for p, w in zip(pieces, whole) if not w]
+            own = iter(self._slice(others) if others else ())
+            return [next(library if w else own) for w in whole]
         text = "".join(pieces)
         points = code_points(text)
         if uncertain(points):
-            return [np.array(e.ids, np.int32) for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
+            return self._library(pieces)
         firsts = np.cumsum([0, *map(len, pieces[:-1])])
         at = np.flatnonzero(starts(points, firsts))
         raw = text.encode()
@@ -251,6 +272,11 @@ class PretokenEncoder:
         cuts = ends[np.searchsorted(at, firsts[1:]) - 1] if len(firsts) > 1 else []
         return np.split(ids, cuts)
 
+    def _pieces(self, text: str) -> Iterable[str]:
+        if len(text) > SLICE and any(x in text for x in self.wide):
+            return (text,)
+        return safe_pieces(text, SLICE, self.added)
+
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         out: list[list[np.ndarray]] = [[] for _ in texts]
         owners, pieces, weight = [], [], 0
@@ -263,7 +289,7 @@ class PretokenEncoder:
             owners, pieces, weight = [], [], 0
 
         for i, t in enumerate(texts):
-            for p in safe_pieces(t, SLICE) if t else ():
+            for p in self._pieces(t) if t else ():
                 owners.append(i)
                 pieces.append(p)
                 weight += len(p)

@@ -1,3 +1,4 @@
+import functools
 import zlib
 
 import numpy as np
@@ -5,7 +6,7 @@ import public_tokenizers
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
-from tokenizers import Tokenizer
+from tokenizers import AddedToken, Tokenizer
 
 from tablestats.llm import token_store
 from tablestats.llm.common import work_dir
@@ -74,3 +75,50 @@ def test_repeated_ids_and_empty(spark, docs_of):
     got = sorted(tuple(r)[:3] for r in token_store.round_trip(docs_of([(3, "a"), (3, "a"), (3, "a b")]), PATH).collect())
     assert [g[0] for g in got] == [3, 3, 3] and sorted(g[2] for g in got) == [2, 2, 3] and len({g[1] for g in got}) == 3
     assert token_store.round_trip(docs_of([]), PATH).collect() == []
+
+
+from_file = functools.lru_cache(Tokenizer.from_file)
+
+
+def unmodified(text, path=PATH):
+    return from_file(path).encode(text or "", add_special_tokens=False).ids
+
+
+END = "<|endoftext|>"
+
+
+def test_added_tokens_are_found_as_the_library_finds_them():
+    texts = [f"one {END} two", END, f"{END}{END}'s", "<|endoftext", "|>", f"a  {END}  b\n\n{END}\n", f"x{END}y \u0378", "none here", ""]
+    assert [x.tolist() for x in token_store.PretokenEncoder(PATH).encode(texts)] == [unmodified(t) for t in texts]
+    assert unmodified(texts[0]) == [505, 220, 50256, 734]
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.sampled_from([END, "<|", "endoftext", "|>", " ", "  \n", "words", "'s", "é", "1", "."]), max_size=40).map("".join), st.integers(1, 30))
+def test_no_cut_inside_an_added_token(text, size):
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(token_store, "SLICE", size)
+        assert token_store.encoder(PATH).encode([text])[0].tolist() == unmodified(text)
+
+
+@pytest.mark.parametrize("flags", [{}, {"lstrip": True}, {"rstrip": True}, {"single_word": True}])
+def test_other_added_tokens(tmp_path, monkeypatch, flags):
+    t = Tokenizer.from_file(PATH)
+    t.add_tokens([AddedToken(x, normalized=False, **flags) for x in ("new york", "york\nold", "wo", "word")])
+    t.save(path := str(tmp_path / "t.json"))
+    monkeypatch.setattr(token_store, "SLICE", 9)
+    texts = ["in new york or york\nold", "in new  york", "a  word  of words, wo", "a new then a york one", "york then old", "york, old"]
+    assert [x.tolist() for x in token_store.PretokenEncoder(path).encode(texts)] == [unmodified(x, path) for x in texts]
+    monkeypatch.setattr(token_store, "SLICE", 1000)
+    assert [x.tolist() for x in token_store.PretokenEncoder(path).encode(texts)] == [unmodified(x, path) for x in texts]
+
+
+def test_round_trip_with_an_added_token(spark, docs_of):
+    rows = [(1, "before"), (2, f"one {END} two"), (3, "after")]
+    got = sorted(tuple(r) for r in token_store.round_trip(docs_of(rows), PATH).collect())
+    want, at = [], 0
+    for i, t in rows:
+        ids = unmodified(t) + [0]
+        want.append((i, at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
+        at += len(ids)
+    assert got == want
