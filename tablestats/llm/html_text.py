@@ -2,7 +2,12 @@
 
 Each page is parsed into a tree. Parts that are never article text (menus,
 headers, footers, sidebars, notices, adverts, forms, scripts, styles, reader
-comments) are cut out by tag, role, class or id. Every block of running text then
+comments) are cut out by tag, role, class or id. A class or id cuts containers
+only, never headings, paragraphs or code, nor words out of a running sentence: where
+it is made of such words alone (``share-buttons``), or, where it only has one among
+others (``related-work``), if the container is mostly links or has a few words
+without a heading or paragraph. A container that holds nearly all text around it
+stays, unless it is of reader comments or notices. Every block of running text then
 passes points to the containers around it: one, one per comma, and one per 100 characters
 up to three; all of it to the innermost, half to the next, and so on
 (lists, quotes and tables are parts of a text, not containers). A
@@ -45,6 +50,18 @@ CUT_WORDS = frozenset("""ad ads adv advert adverts advertisement advertising adv
     share sharing social related recommended recommendations toolbar""".split())
 #: A class that says what a container has or lacks, not what it is.
 ABOUT_WORDS = frozenset("has have with without no".split())
+#: Words that say nothing more where they stand beside a cut word.
+BESIDE_WORDS = frozenset("area list section wrapper wrap container box block inner body item items button buttons bar link links icon icons panel top bottom left right site main".split())
+#: Reader comments and notices may hold more text than the article.
+LONG_WORDS = frozenset("comment comments reply replies respond disqus notice notices cookie cookies consent gdpr popup modal".split())
+#: What reader comments are about.
+TOLD_WORDS = frozenset("post article entry page user reader".split())
+#: Never cut for their class.
+TEXT_TAGS = frozenset("p h1 h2 h3 h4 h5 h6 pre".split())
+#: A container with a cut word among others goes with fewer characters, or a larger share of links.
+SHORT, LINKED = 100, 0.5
+#: A container with more of the text around it than this stays.
+BULK = 0.8
 #: Whole-page containers, never cut for their class.
 KEEP_TAGS = frozenset("html body article main".split())
 #: Parts of running text, lists, quotes and tables: never an article by themselves, their points go to the container around.
@@ -55,50 +72,68 @@ CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "t
 SCOPE = frozenset("table ul ol dl div article section body main td th".split())
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
-_ATTR = re.compile(r"""([^\s=/"'>]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
+_ATTR = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 _NAMED = re.compile(r"\b(?:class|id|role|hidden|aria-hidden|style)\b", re.I)
 _WORDS = re.compile(r"[A-Za-z]+|[^A-Za-z]+")
 _SPACE = re.compile(r"\s+")
 
 
 class Node:
-    __slots__ = ("tag", "parent", "cut", "points", "chars", "link_chars", "at", "end")
+    __slots__ = ("tag", "parent", "cut", "doubt", "points", "chars", "link_chars", "told", "at", "end")
 
-    def __init__(self, tag: str, parent: Node | None, cut: bool, at: int):
-        self.tag, self.parent, self.cut, self.at, self.end = tag, parent, cut, at, 0
+    def __init__(self, tag: str, parent: Node | None, cut: bool, at: int, doubt: int = 0):
+        self.tag, self.parent, self.cut, self.doubt, self.at, self.end = tag, parent, cut, doubt, at, 0
+        self.told = False
         self.points, self.chars, self.link_chars = 0.0, 0, 0
 
 
 class Block:
     """Running text between two block borders."""
 
-    __slots__ = ("node", "parts", "link_chars", "at")
+    __slots__ = ("node", "parts", "link_chars", "doubted", "at")
 
     def __init__(self, node: Node, at: int):
         self.node, self.parts, self.link_chars, self.at = node, [], 0, at
+        self.doubted = 0  # parts inside inline elements with a cut word
 
 
-def _is_cut(tag: str, attrs: str) -> bool:
+#: What a class or id says: nothing, a cut word among others, cut words alone, reader comments or notices.
+NONE, SOME, ALONE, LONG = range(4)
+
+
+def _doubt(names: str) -> int:
+    most = NONE
+    for word in names.split():
+        parts = set(re.split(r"[^a-z]+", word)) - {""}
+        cut = parts & CUT_WORDS
+        if not cut or parts & ABOUT_WORDS:
+            continue
+        beside = BESIDE_WORDS | TOLD_WORDS if cut & LONG_WORDS else BESIDE_WORDS
+        most = max(most, SOME if parts - cut - beside else LONG if cut & LONG_WORDS else ALONE)
+    return most
+
+
+def _attributes(tag: str, attrs: str) -> tuple[bool, int]:
+    """Whether an element is cut, and what its class and id say."""
     if tag in CUT_TAGS:
-        return True
+        return True, NONE
     if not attrs or tag in KEEP_TAGS or not _NAMED.search(attrs):
-        return False
+        return False, NONE
+    doubt = NONE
     for m in _ATTR.finditer(attrs):
         name, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
         if name in ("class", "id"):
-            for word in value.split():
-                parts = set(re.split(r"[^a-z]+", word))
-                if parts & CUT_WORDS and not parts & ABOUT_WORDS:
-                    return True
-        elif name == "role" and value in CUT_ROLES or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none", value):
-            return True
-    return bool(re.search(r"(?:^|\s)hidden(?:\s|=|/|$)", attrs, re.I))
+            doubt = max(doubt, _doubt(value))
+        elif name == "role" and value in CUT_ROLES or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none", value) or name == "hidden":
+            return True, NONE
+    return False, NONE if tag in TEXT_TAGS else doubt
 
 
 def parse(page: str) -> tuple[list[Node], list[Block]]:
     """Containers in page order and the blocks of text outside cut parts."""
     root = Node("html", None, False, 0)
     nodes, stack, blocks, block, links = [root], [root], [], None, 0
+    doubts: list[str] = []  # open inline elements with a cut word
     at, n = 0, 0
 
     def text(raw: str) -> None:
@@ -113,6 +148,8 @@ def parse(page: str) -> tuple[list[Node], list[Block]]:
             block = Block(stack[-1], n)
             blocks.append(block)
         block.parts.append(raw)
+        if doubts or raw.isspace():
+            block.doubted += 1
         if links:
             block.link_chars += len(raw)
 
@@ -138,8 +175,10 @@ def parse(page: str) -> tuple[list[Node], list[Block]]:
             if tag == "a":
                 links = max(0, links - 1)
             if tag in INLINE:
+                if tag in doubts:
+                    del doubts[len(doubts) - 1 - doubts[::-1].index(tag):]
                 continue
-            block = None
+            block, doubts = None, []
             for i in range(len(stack) - 1, 0, -1):
                 if stack[i].tag == tag:
                     while len(stack) > i:
@@ -154,15 +193,20 @@ def parse(page: str) -> tuple[list[Node], list[Block]]:
         if tag in INLINE:
             if tag == "a":
                 links += 1
-            if not _is_cut(tag, m[3]):
+            cut, doubt = _attributes(tag, m[3])
+            if not cut:
+                if tag in VOID:
+                    continue
+                if doubts and tag == doubts[-1] or doubt >= ALONE or doubt and tag == "a":
+                    doubts.append(tag)
                 continue
-            # An inline element cut for its class: skip to its end.
+            # An inline element that is not shown: skip to its end.
             end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
             if tag == "a":
                 links -= 1
             at = end.end() if end else at
             continue
-        block = None
+        block, doubts = None, []
         if tag in VOID:
             continue
         if tag in RAW:
@@ -184,7 +228,8 @@ def parse(page: str) -> tuple[list[Node], list[Block]]:
                 pop()
         links = 0 if tag in ("p", "div", "article", "section", "main") else links
         n += 1
-        node = Node(tag, stack[-1], stack[-1].cut or _is_cut(tag, m[3]), n)
+        cut, doubt = _attributes(tag, m[3])
+        node = Node(tag, stack[-1], stack[-1].cut or cut, n, doubt)
         nodes.append(node)
         stack.append(node)
     while stack:
@@ -196,6 +241,43 @@ def _clean(block: Block) -> str:
     return _SPACE.sub(" ", html.unescape("".join(block.parts))).strip()
 
 
+def settle(nodes: list[Node], blocks: list[Block], texts: list[str]) -> tuple[list[Block], list[str]]:
+    """Cuts the containers whose class or id and text say so; the blocks that stay."""
+    # A short block of nothing but inline elements with a cut word (a share link) goes.
+    kept = [(b, t) for b, t in zip(blocks, texts) if not 0 < b.doubted == len(b.parts) or len(t) >= SHORT or any(x in TEXT_TAGS for x in _tags(b.node))]
+    if any(x.doubt for x in nodes):
+        for b, t in kept:
+            b.node.chars += len(t)
+            b.node.link_chars += min(b.link_chars, len(t))
+        for x in reversed(nodes):
+            x.told |= x.tag in TEXT_TAGS and x.chars > 0
+            if x.parent is not None:
+                x.parent.chars += x.chars
+                x.parent.link_chars += x.link_chars
+                x.parent.told |= x.told
+        for x in nodes:
+            if x.parent is None:
+                continue
+            x.cut |= x.parent.cut
+            if x.doubt and not x.cut and x.chars:
+                around = x.parent
+                while around.parent is not None and around.tag not in ("article", "main"):
+                    around = around.parent
+                few = x.link_chars >= LINKED * x.chars or x.chars < SHORT and not x.told
+                bulk = x.chars - x.link_chars > BULK * (around.chars - around.link_chars)
+                x.cut = x.doubt == LONG or not bulk and (x.doubt == ALONE or few)
+        for x in nodes:
+            x.chars = x.link_chars = 0
+        kept = [(b, t) for b, t in kept if not b.node.cut]
+    return [b for b, _ in kept], [t for _, t in kept]
+
+
+def _tags(node: Node | None) -> Iterator[str]:
+    while node is not None and node.tag in PARTS:
+        yield node.tag
+        node = node.parent
+
+
 #: Containers that a block passes points to.
 PASSES = 4
 
@@ -248,7 +330,7 @@ def _score(x: Node) -> float:
 def main_text(page: str) -> str:
     """The article of one page."""
     nodes, blocks = parse(page or "")
-    texts = [_clean(b) for b in blocks]
+    blocks, texts = settle(nodes, blocks, [_clean(b) for b in blocks])
     spans = [(x.at, x.end) for x in article(nodes, blocks, texts)]
     return "\n".join(t for b, t in zip(blocks, texts) if t and any(s <= b.at <= e for s, e in spans))
 

@@ -39,3 +39,19 @@ def test_very_long_page():
 
 def test_deep_nesting_is_no_recursion():
     assert html_text.main_text("<div>" * 5000 + PARA) == PARA
+
+
+@pytest.mark.parametrize("page,text", [
+    (f"<article><h2 id=related-work>Related work</h2><p>{PARA}</p><section id='social-effects'><h3>Social</h3><p>Short.</p></section></article>", f"Related work\n{PARA}\nSocial\nShort."),
+    (f"<body><div class='post comments-open'><h1 id=comments>T</h1><p class=notice>{PARA}</p></div></body>", f"T\n{PARA}"),
+    (f"<article><p title='The hidden cost'>{PARA}</p><p>see <a href=x title=\"A hidden gem\">these words</a> too <a href=/a/hidden/b>b</a></p></article>", f"{PARA}\nsee these words too b"),
+    (f"<article><p>{PARA}</p><p hidden>no</p><p HIDDEN=''>no</p><div class=x hidden=until-found>no</div><p data-hidden=1 alt=hidden>yes</p>one <span hidden>no</span>two</article>", f"{PARA}\nyes\none two"),
+    (f"<article><p>{PARA} <span class='share'>some</span> <a class=social-link href=x>words</a> on.</p><pre><span class=hljs-comment># code</span></pre></article>", f"{PARA} some words on.\n# code"),
+    (f"<article><p>{PARA}</p><div><a class=share-button href=x>Share</a> <a class=share-button href=y>Post</a></div></article>", PARA),
+    (f"<article><p>{PARA}</p><div class=related-stories><p><a href=x>{PARA}</a></p></div><div class='promo-inline'>Buy now</div><div class=share-buttons><p>{PARA}</p></div></article>", PARA),
+    (f"<body><div class=widget><p>{PARA}</p><p>{PARA}</p></div><p>end</p></body>", f"{PARA}\n{PARA}\nend"),
+    (f"<article><div><img class=banner>A caption</div><p>{PARA}</p></article>", f"A caption\n{PARA}"),
+    (f"<article><p>{PARA}</p><div id=comments class=comments-area>" + f"<p>{PARA}</p>" * 30 + "</div></article>", PARA),
+])
+def test_class_and_id_words_and_attribute_names(page, text):
+    assert html_text.main_text(page) == text
