@@ -12,8 +12,11 @@ passes points to the containers around it: one, one per comma, and one per 100 c
 up to three; all of it to the innermost, half to the next, and so on
 (lists, quotes and tables are parts of a text, not containers). A
 container's points are discounted by its link density. The best container is the
-article; siblings of it are kept with it where they score at least a fifth of it,
-or are running text with few links.
+article, or the <article> or <main> around it with those siblings that score at least a
+fifth of it or are paragraphs with few links. Without these two, whatever stands beside
+the best container and is not mostly links is kept with it, of any tag and length, and
+text directly in the container around as well; a container around it without other
+text counts as the best one.
 
 Inside the article every block is kept in page order: character references
 decoded, white space turned into one space, trimmed; blocks are joined by one
@@ -278,12 +281,14 @@ def _tags(node: Node | None) -> Iterator[str]:
         node = node.parent
 
 
+#: A sibling of the article with a smaller share of links goes with it.
+FEW_LINKS = 0.3
 #: Containers that a block passes points to.
 PASSES = 4
 
 
-def article(nodes: list[Node], blocks: list[Block], texts: list[str]) -> list[Node]:
-    """The best container and those of its siblings that go with it."""
+def article(nodes: list[Node], blocks: list[Block], texts: list[str]) -> list[Node | Block]:
+    """The best container and what goes with it beside it."""
     for b, t in zip(blocks, texts):
         node = b.node
         if t:
@@ -314,11 +319,18 @@ def article(nodes: list[Node], blocks: list[Block], texts: list[str]) -> list[No
             best = up
             break
         up = up.parent
-    kept = [best]
+    kept: list[Node | Block] = [best]
+    if up is None:
+        while best.tag not in ("html", "body") and best.parent is not None and best.parent.tag not in ("html", "body") and best.parent.chars == best.chars:
+            best = best.parent
+        if best.tag in ("html", "body"):
+            return kept
+        kept = [x for x in nodes if x is best or x.parent is best.parent and not x.cut and x.chars and x.link_chars < FEW_LINKS * x.chars]
+        return kept + [b for b, t in zip(blocks, texts) if b.node is best.parent and t and b.link_chars < FEW_LINKS * len(t)]
     for x in nodes:
         if x is not best and x.parent is best.parent and not x.cut and x.chars and best.tag not in ("html", "body"):
             links = x.link_chars / x.chars
-            if _score(x) >= max(2.0, 0.2 * top) and links < 0.3 or x.tag in ("p", "h1", "h2", "h3") and links < 0.25:
+            if _score(x) >= max(2.0, 0.2 * top) and links < FEW_LINKS or x.tag in ("p", "h1", "h2", "h3") and links < 0.25:
                 kept.append(x)
     return kept
 
@@ -331,7 +343,7 @@ def main_text(page: str) -> str:
     """The article of one page."""
     nodes, blocks = parse(page or "")
     blocks, texts = settle(nodes, blocks, [_clean(b) for b in blocks])
-    spans = [(x.at, x.end) for x in article(nodes, blocks, texts)]
+    spans = [(x.at, x.end if isinstance(x, Node) else x.at) for x in article(nodes, blocks, texts)]
     return "\n".join(t for b, t in zip(blocks, texts) if t and any(s <= b.at <= e for s, e in spans))
 
 

@@ -55,3 +55,18 @@ def test_deep_nesting_is_no_recursion():
 ])
 def test_class_and_id_words_and_attribute_names(page, text):
     assert html_text.main_text(page) == text
+
+
+LONG = f"<div><p>{PARA}</p><p>{PARA}</p><p>{PARA}</p></div>"
+THREE = "\n".join([PARA] * 3)
+
+
+@pytest.mark.parametrize("page,text", [
+    (f"<body>{LONG}<blockquote>quote</blockquote><div><p>short last paragraph</p></div></body>", f"{THREE}\nquote\nshort last paragraph"),
+    (f"<body><h4>Title</h4>{LONG}<ul><li>one<li>two</ul><ol><li>three</ol><pre>code</pre><dl><dt>t<dd>d</dl><figure><figcaption>cap</figcaption></figure><table><tr><td>cell</table><section>end</section></body>",
+     f"Title\n{THREE}\none\ntwo\nthree\ncode\nt\nd\ncap\ncell\nend"),
+    (f"<body><div><div>{LONG}</div></div><blockquote>quote</blockquote>bare <b>words</b><p>p</p></body>", f"{THREE}\nquote\nbare words\np"),
+    (f"<body><ul><li><a href=1>Home</a><li><a href=2>News</a></ul>{LONG}<div>See <a href=3>many more of these stories here</a></div><div class=sidebar>{PARA}</div><a href=4>top</a><footer>foot</footer></body>", THREE),
+])
+def test_parts_beside_the_best_container(page, text):
+    assert html_text.main_text(page) == text
