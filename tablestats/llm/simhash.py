@@ -32,8 +32,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import AtomicType
 
-from tablestats.llm.common import column, saved, shuffle_partitions, small_batches
+from tablestats.llm.common import column, free_names, saved, shuffle_partitions, small_batches
 from tablestats.llm.graph import components
 
 SHINGLE = 3
@@ -64,15 +65,21 @@ def fingerprint(text: str, shingle: int = SHINGLE) -> int:
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
     """(doc_id, fp): fp as a signed long."""
+    return _hashed(docs, id_col, text_col, shingle).select("doc_id", "fp")
+
+
+def _hashed(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
+    """(doc_id, h, fp): h is the text's hash."""
     small_batches(docs.sparkSession)
-    rows = docs.select(column(docs, id_col).cast("long").alias("doc_id"), column(docs, text_col).cast("string").alias("text"))
+    text = column(docs, text_col).cast("string")
+    rows = docs.select(column(docs, id_col).cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("h"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fp = np.array([fingerprint(t.as_py() or "", shingle) for t in b.column("text")], np.uint64)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(fp.view(np.int64))], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("h"), pa.array(fp.view(np.int64))], ["doc_id", "h", "fp"])
 
-    return rows.mapInArrow(run, "doc_id long, fp long")
+    return rows.mapInArrow(run, "doc_id long, h long, fp long")
 
 
 # The embedding of fp: 32 counts of two bits each, in one long.
@@ -120,20 +127,35 @@ def links(prints: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     return pairs.unionByName(stars)
 
 
+def _rooted(entries: DataFrame, max_bits: int) -> DataFrame:
+    """(fp, root, first) from (fp, first), one row per fingerprint."""
+    entries = saved(entries)
+    roots = components(links(entries.select("fp"), max_bits))
+    return saved(entries.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), "first"))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, max_bits: int = MAX_BITS) -> DataFrame:
     """One row per document: doc_id, fingerprint (16 hex digits), component_id."""
     rows = saved(fingerprints(docs, id_col, text_col, shingle))
-    entries = saved(rows.groupBy("fp").agg(F.min("doc_id").alias("first")))
-    roots = components(links(entries.select("fp"), max_bits))
-    own = saved(entries.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), "first"))
+    own = _rooted(rows.groupBy("fp").agg(F.min("doc_id").alias("first")), max_bits)
     names = saved(own.groupBy("root").agg(F.min("first").alias("component_id")))
     named = saved(own.join(names, "root").select("fp", "component_id"))
     return rows.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def keep_representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, max_bits: int = MAX_BITS) -> DataFrame:
-    """One row of ``docs`` for each group of near-duplicates, the one with the smallest id; rows without an id stay."""
-    groups = near_duplicates(docs, id_col, text_col, shingle, max_bits)
-    stay = saved(groups.where("doc_id = component_id").select("doc_id").distinct())
-    first = docs.join(stay, column(docs, id_col).cast("long") == stay["doc_id"], "left_semi").dropDuplicates([id_col])
+    """One row of ``docs`` for each group of near-duplicates; rows without an id stay.
+
+    It is the one with the smallest id; where that id is repeated in the group, the text with
+    the smallest hash; where text and id are repeated, the smallest of the other columns.
+    """
+    rows = _hashed(docs, id_col, text_col, shingle)
+    own = _rooted(rows.groupBy("fp").agg(F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "h"))).alias("first")), max_bits)
+    i, h, k, l, row = free_names(docs, "id_", "hash_", "first_id_", "first_hash_", "row_")
+    stay = saved(own.groupBy("root").agg(F.min("first").alias("first")).where("first IS NOT NULL").select(F.col("first.doc_id").alias(k), F.col("first.h").alias(l)))
+    keyed = docs.withColumns({i: column(docs, id_col).cast("long"), h: F.xxhash64(column(docs, text_col).cast("string"))})
+    keyed = keyed.join(stay, (keyed[i] == stay[k]) & (keyed[h] == stay[l]), "left_semi")
+    whole = F.struct(*[column(docs, c) for c in docs.columns])
+    order = F.struct(F.lit(0), *[column(docs, f.name) for f in docs.schema.fields if isinstance(f.dataType, AtomicType) and f.name != text_col])
+    first = keyed.groupBy(i, h).agg(F.min_by(whole, order).alias(row)).select(f"{row}.*")
     return first.unionByName(docs.where(column(docs, id_col).isNull()))

@@ -82,3 +82,13 @@ def test_groups(docs_of):
     kept = sorted((r["doc_id"] for r in simhash.keep_representatives(docs_of(rows, "component_id")).collect()), key=str)
     assert kept == sorted([4, 3, 20, None, None], key=str)
     assert simhash.near_duplicates(docs_of([])).collect() == []
+
+
+def test_every_group_keeps_one_row_where_ids_are_repeated(docs_of):
+    a, b = (" ".join(f"{x}{i}" for i in range(400)) for x in "ab")
+    near = a.replace("a7 ", "A7 ")
+    rows = [(1, a), (1, b), (2, near), (1, near), (3, b, "t"), (1, "short one here", "u"), (1, "short one here", "t"), (1, "short one here", "u")]
+    kept = sorted((r["doc_id"], simhash.fingerprint(r["text"]), r["source"]) for r in simhash.keep_representatives(docs_of(rows)).collect())
+    assert kept == sorted([(1, simhash.fingerprint(a), "s"), (1, simhash.fingerprint(b), "s"), (1, simhash.fingerprint("short one here"), "t")])
+    texts = [{r["text"] for r in simhash.keep_representatives(docs_of(x)).collect()} for x in (rows, rows[::-1])]
+    assert texts[0] == texts[1]
