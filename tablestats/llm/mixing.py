@@ -13,13 +13,15 @@ the budget exactly if any choice does. Which documents of a size are taken is
 decided by a seeded hash.
 
 Only counts by source and size meet in one task (as many rows as a source has
-different sizes); documents are ranked in buckets of about the square root of
-their number, so a size shared by very many documents is spread out.
+different sizes); documents are counted by id in buckets of about the square root of
+their number, so a size shared by very many documents is spread out. The order ends
+at one id of each source and size; where that id is repeated and not all its rows
+are taken, they are ordered in the same way by their texts' hash and a written row
+number.
 
 Edge cases: a null text has size 0 and is never taken; a null source is a source
-of its own; rows that share id, source and size are taken alike (a source may
-then exceed its count by them); null ids are ranked like any other; a table
-without words has targets 0; other columns are ignored or, in ``mixed``, kept.
+of its own; rows that share id, source and size are counted one by one; null ids
+are ordered like any other; a table without words has targets 0; other columns are ignored or, in ``mixed``, kept.
 """
 
 from __future__ import annotations
@@ -32,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tablestats.llm.common import WORD_PATTERN, column, free_names, saved
+from tablestats.llm.common import WORD_PATTERN, column, free_names, saved, written
 from tablestats.operators.chunks import with_row_index
 
 WEIGHTS = (5.0, 2.0, 1.0)
@@ -115,28 +117,49 @@ def _plan(rows: pd.DataFrame) -> pd.DataFrame:
     return rows.assign(copies=copies, extra=extra)[["source", "size", "n", "source_size", "target", "copies", "extra"]]
 
 
+def _by_size(rows: DataFrame, sizes: DataFrame, how: str = "inner") -> DataFrame:
+    """``rows`` with the columns of ``sizes``, one row per source and size."""
+    other = sizes.withColumnsRenamed({"source": "s", "size": "z"})
+    return rows.join(other, F.col("source").eqNullSafe(F.col("s")) & (F.col("size") == F.col("z")), how).drop("s", "z")
+
+
+def _last(rows: DataFrame, bucket: str, *order: str) -> DataFrame:
+    """Where the first ``need`` rows by bucket and order end: (source, size, the last one's bucket and order, its rows ``same``, how many ``of`` them)."""
+    keys = saved(rows.groupBy("source", "size", "need", bucket, *order).agg(F.count(F.lit(1)).alias("same")))
+    held = keys.groupBy("source", "size", "need", bucket).agg(F.sum("same").alias("held"))
+    so_far = W.partitionBy("source", "size").rowsBetween(W.unboundedPreceding, -1)
+    before = held.withColumn("before", F.coalesce(F.sum("held").over(so_far.orderBy(bucket)), F.lit(0))).where("before < need AND need <= before + held")
+    inside = _by_size(keys, before.select("source", "size", F.col(bucket).alias("b"), "before")).where(F.col(bucket) == F.col("b"))
+    below = inside.withColumn("of", F.col("need") - F.col("before") - F.coalesce(F.sum("same").over(so_far.orderBy(*order)), F.lit(0))).where("0 < of AND of <= same")
+    return saved(below.select("source", "size", *[F.col(c).alias(f"last_{c}") for c in (bucket, *order)], "same", "of"))
+
+
 def mix_rows(rows: DataFrame, seed: int = SEED, weights: Sequence[float] = WEIGHTS, max_copies: int = MAX_COPIES) -> DataFrame:
-    """(doc_id, source, size, source_size, target, copies) from rows (doc_id, source, size)."""
+    """(row, doc_id, source, size, source_size, target, copies) from rows (row, doc_id, source, size, text_hash); row numbers are unique."""
     rows = saved(rows)
     aims = targets(rows, weights, max_copies)
     counts = rows.groupBy("source", "size").agg(F.count(F.lit(1)).alias("n"))
     joined = counts.join(aims.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).drop("s")
     plan = saved(joined.groupBy("source").applyInPandas(_plan, "source string, size long, n long, source_size long, target double, copies long, extra long"))
     # A seeded order within each size: by bucket, then by hash; about sqrt(n) buckets of sqrt(n) documents.
-    h = F.xxhash64(F.lit(seed), "doc_id")
-    p = plan.select(F.col("source").alias("s"), F.col("size").alias("z"), "n", "source_size", "target", "copies", "extra")
-    dealt = rows.join(p, F.col("source").eqNullSafe(F.col("s")) & (F.col("size") == F.col("z"))).drop("s", "z")
-    dealt = saved(dealt.withColumn("h", h).withColumn("bucket", F.pmod("h", F.ceil(F.sqrt("n")))))
-    filled = dealt.groupBy("source", "size", "bucket").agg(F.count(F.lit(1)).alias("held"))
-    before = filled.select(F.col("source").alias("s"), F.col("size").alias("z"), F.col("bucket").alias("b"),
-                           F.coalesce(F.sum("held").over(W.partitionBy("source", "size").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    ranked = dealt.withColumn("rank", F.rank().over(W.partitionBy("source", "size", "bucket").orderBy("h", "doc_id")))
-    out = ranked.join(saved(before), F.col("source").eqNullSafe(F.col("s")) & (F.col("size") == F.col("z")) & (F.col("bucket") == F.col("b")))
-    return out.select("doc_id", "source", "size", "source_size", "target", (F.col("copies") + (F.col("before") + F.col("rank") <= F.col("extra")).cast("long")).alias("copies"))
-
-
-def _sized(docs: DataFrame, id_col: str, source_col: str, text_col: str) -> DataFrame:
-    return docs.select(column(docs, id_col).cast("long").alias("doc_id"), column(docs, source_col).cast("string").alias("source"), word_count(column(docs, text_col).cast("string")).alias("size"))
+    dealt = _by_size(rows, plan).withColumn("h", F.xxhash64(F.lit(seed), "doc_id")).withColumn("bucket", F.pmod("h", F.ceil(F.sqrt("n")))).withColumnRenamed("extra", "need")
+    dealt = saved(dealt)
+    last = _last(dealt.where("need > 0"), "bucket", "h", "doc_id")
+    # Rows of that id, if only some are taken: the same again by text and row number.
+    at, end = F.struct("bucket", "h", "doc_id"), F.struct("last_bucket", "last_h", "last_doc_id")
+    g = F.xxhash64(F.lit(seed), "text_hash", "row")
+    split = _by_size(dealt, last.where("of < same")).where(at == end).withColumn("need", F.col("of")).withColumn("g", g).withColumn("part", F.pmod("g", F.ceil(F.sqrt("same"))))
+    last_rows = _last(split.select("source", "size", "need", "part", "g", "row"), "part", "g", "row").drop("same", "of")
+    out = _by_size(dealt, _by_size(last, last_rows, "left"), "left")
+    some = F.struct(F.pmod(g, F.ceil(F.sqrt("same"))), g, F.col("row")) <= F.struct("last_part", "last_g", "last_row")
+    more = F.when(F.col("of").isNull() | (at > end), False).when((at < end) | (F.col("of") == F.col("same")), True).otherwise(some)
+    return out.select("row", "doc_id", "source", "size", "source_size", "target", (F.col("copies") + more.cast("long")).alias("copies"))
+
+
+def _sized(docs: DataFrame, id_col: str, source_col: str, text_col: str, row: Column | None = None) -> DataFrame:
+    text = column(docs, text_col).cast("string")
+    return docs.select((F.monotonically_increasing_id() if row is None else row).alias("row"), column(docs, id_col).cast("long").alias("doc_id"), column(docs, source_col).cast("string").alias("source"),
+                       word_count(text).alias("size"), F.xxhash64(text).alias("text_hash"))
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", seed: int = SEED) -> DataFrame:
@@ -146,10 +169,8 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", tex
 
 def mixed(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", seed: int = SEED) -> DataFrame:
     """The mix itself: every row of ``docs`` as often as it is taken."""
-    plan = mix_rows(_sized(docs, id_col, source_col, text_col), seed).where("copies > 0")
-    i, s, z, n, k = free_names(docs, "id_", "source_", "size_", "copies_", "copy_")
-    plan = saved(plan.select(F.col("doc_id").alias(i), F.col("source").alias(s), F.col("size").alias(z), F.col("copies").alias(n)).distinct())
-    own = (column(docs, id_col).cast("long").eqNullSafe(plan[i]) & column(docs, source_col).cast("string").eqNullSafe(plan[s])
-           & (word_count(column(docs, text_col).cast("string")) == plan[z]))
-    both = docs.join(plan, own)
-    return both.select(*[column(docs, c) for c in docs.columns], F.explode(F.sequence(F.lit(1).cast("long"), plan[n])).alias(k)).drop(k)
+    i, n, k = free_names(docs, "row_", "copies_", "copy_")
+    rows = written(docs.withColumn(i, F.monotonically_increasing_id()))
+    plan = mix_rows(_sized(rows, id_col, source_col, text_col, column(rows, i)), seed).where("copies > 0")
+    both = rows.join(saved(plan.select("row", F.col("copies").alias(n))).withColumnRenamed("row", k), F.col(i) == F.col(k)).drop(k)
+    return both.select(*[column(both, c) for c in docs.columns], F.explode(F.sequence(F.lit(1).cast("long"), F.col(n))).alias(k)).drop(k)

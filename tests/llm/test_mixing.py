@@ -89,3 +89,19 @@ def test_mixed_rows_follow_the_plan(docs_of):
 def test_empty(docs_of):
     assert mixing.mix(docs_of([])).collect() == [] and mixing.mixed(docs_of([])).collect() == []
     assert [(r["target"], r["taken"]) for r in mixing.mix(docs_of([(1, None), (2, "")])).collect()] == [(0.0, 0)] * 2
+
+
+def test_rows_with_one_id_are_counted_one_by_one(docs_of):
+    rows = [(None, "a b c d", "x")] * 90 + [(None, f"a b c d{i % 7}", "x") for i in range(60)] + [(7, "one two", "x")] * 50 + [(i, "w " * 4, "x") for i in range(100, 120)] + [(5, "p q", None)] * 40 + [(i, "y " * 30, "z") for i in range(40)]
+    docs = docs_of(rows)
+    got = mixing.mix(docs).collect()
+    assert len(got) == len(rows)
+    taken = defaultdict(int)
+    for r in got:
+        taken[r["source_size"], r["target"]] += r["taken"]
+    assert len(taken) == 3
+    smallest = {780: 2, 80: 2, 1200: 30}
+    for (size, target), words in taken.items():
+        assert target - smallest[size] <= words <= target + 0.5
+    out = mixing.mixed(docs).collect()
+    assert sum(len(r["text"].split()) for r in out) == sum(taken.values())
