@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tablestats.session import checkpoint_root, work_dir
 
@@ -13,7 +14,7 @@ from tablestats.session import checkpoint_root, work_dir
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 
 __all__ = ["WORD_PATTERN", "table", "saved", "written", "checkpoint_root", "work_dir", "column", "free_names", "small_batches",
-           "shuffle_partitions"]
+           "shuffle_partitions", "broadcast_if_small"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -52,6 +53,17 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 
 
+#: Rows and bytes of text that a join's side may have to be broadcast.
+BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 16 << 20
+
+
+def broadcast_if_small(df: DataFrame, like: DataFrame) -> DataFrame:
+    """``df`` marked for broadcast where ``like``, of the same rows and texts, is small as counted; else as it is, for a shuffled join."""
+    texts = [F.coalesce(F.sum(F.octet_length(f"`{f.name}`")), F.lit(0)) for f in like.schema.fields if f.dataType.typeName() in ("string", "binary")]
+    rows, size = like.agg(F.count(F.lit(1)), sum(texts, F.lit(0))).first()
+    return F.broadcast(df) if rows <= BROADCAST_ROWS and size <= BROADCAST_BYTES else df
+
+
 def column(df: DataFrame, name: str):
     """Column ``name`` of ``df``, whatever characters it holds."""
     return df["`" + re.sub("`", "``", name) + "`"]

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tablestats.llm import bpe, covertree, fingerprint, html_text, line_dedup, mixing, quality, simhash, substring, token_store
+from tablestats.llm import bpe, covertree, fingerprint, html_text, line_dedup, merkle, mixing, quality, simhash, substring, token_store
 from tablestats.llm.common import table
 
 
@@ -53,6 +53,10 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.drop_boilerplate(docs, "source", "text", counts=("n_lines", "n_dropped"))
 
 
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.verified(table(spark, sf_dir, "documents"))
+
+
 OP10_SQL = f"""
 WITH d AS (SELECT doc_id, source, text, string_split(text, chr(10)) AS ls FROM documents),
 t AS (SELECT source, count(*) AS n FROM d GROUP BY source),
@@ -97,6 +101,35 @@ SELECT v.vec_id, coalesce(n.n, 0)::bigint AS n_links, c.component_id, v.vec_id =
 FROM v JOIN c ON v.vec_id = c.x LEFT JOIN n ON v.vec_id = n.x
 """
 
+_LEAF = "sha256(" + " || ".join(f"coalesce(strlen({c})::varchar || ':' || {c}, '-')" for c in ("doc_id::varchar", "source", "lang", "n_chars::varchar", "{text}")) + ")"
+# crc32 bit by bit: the polynomial's reversed form is 3988292384.
+_CRC = """xor(4294967295, list_reduce(string_split(doc_id::varchar, ''), lambda c, x:
+    list_reduce(range(8), lambda a, b: xor(a >> 1, 3988292384 * (a & 1)), xor(c, ascii(x)::bigint)), 4294967295::bigint))"""
+
+OP11_SQL = f"""
+WITH RECURSIVE d AS (SELECT doc_id, source, {_LEAF.format(text="text")} AS leaf, CASE WHEN {_CRC} % 2 = 0 THEN {_LEAF.format(text="replace(text, chr(10), '')")} ELSE {_LEAF.format(text="text")} END AS copy
+      FROM documents),
+p AS (SELECT *, coalesce('=' || source, '') AS g, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos,
+             count(*) OVER (PARTITION BY source) AS n FROM d),
+t AS (SELECT 0 AS level, g, n, pos, leaf AS h FROM p
+      UNION ALL SELECT level + 1, g, (n + 2) // 3, pos // 3, sha256(string_agg(h, '' ORDER BY pos)) FROM t WHERE n > 1 GROUP BY level, g, n, pos // 3),
+s AS (SELECT g, level AS height, h AS subroot, row_number() OVER (ORDER BY g) - 1 AS pos, count(*) OVER () AS n FROM t WHERE n = 1),
+u AS (SELECT 0 AS level, n, pos, subroot AS h FROM s
+      UNION ALL SELECT level + 1, (n + 2) // 3, pos // 3, sha256(string_agg(h, '' ORDER BY pos)) FROM u WHERE n > 1 GROUP BY level, n, pos // 3),
+k AS (SELECT p.g, p.pos, p.doc_id, p.leaf, p.copy, s.subroot, s.pos AS spos, s.height, (SELECT h FROM u WHERE n = 1) AS root, (SELECT max(level) FROM u) AS top
+      FROM p JOIN s USING (g)),
+a AS (SELECT t.level, t.g, t.pos, coalesce(string_agg(x.h, '' ORDER BY x.pos) FILTER (x.pos < t.pos), '') AS l, coalesce(string_agg(x.h, '' ORDER BY x.pos) FILTER (x.pos > t.pos), '') AS r
+      FROM t JOIN t x ON t.level = x.level AND t.g = x.g AND t.pos // 3 = x.pos // 3 WHERE t.n > 1 GROUP BY t.level, t.g, t.pos),
+b AS (SELECT u.level, u.pos, coalesce(string_agg(x.h, '' ORDER BY x.pos) FILTER (x.pos < u.pos), '') AS l, coalesce(string_agg(x.h, '' ORDER BY x.pos) FILTER (x.pos > u.pos), '') AS r
+      FROM u JOIN u x ON u.level = x.level AND u.pos // 3 = x.pos // 3 WHERE u.n > 1 GROUP BY u.level, u.pos),
+w AS (SELECT k.g, k.pos, a.level, a.l, a.r FROM k JOIN a ON k.g = a.g AND a.pos = k.pos // (3 ** a.level)::bigint
+      UNION ALL SELECT k.g, k.pos, k.height + b.level, b.l, b.r FROM k JOIN b ON b.pos = k.spos // (3 ** b.level)::bigint),
+f AS (SELECT g, pos, 0 AS level, copy AS h, '' AS proof FROM k
+      UNION ALL SELECT f.g, f.pos, f.level + 1, sha256(w.l || f.h || w.r), f.proof || w.l || w.r FROM f JOIN w ON f.g = w.g AND f.pos = w.pos AND f.level = w.level)
+SELECT k.doc_id, k.leaf, k.subroot, k.root, sha256(f.proof) AS proof_sha256, f.h AS folded_root, f.h = k.root AS verified
+FROM k JOIN f ON k.g = f.g AND k.pos = f.pos AND f.level = k.height + k.top
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_html_text": op2_html_text,
@@ -108,10 +141,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_store": op8_token_store,
     "op9_mixing": op9_mixing,
     "op10_line_dedup": op10_line_dedup,
+    "op11_merkle": op11_merkle,
 }
 
 ORACLES: dict[str, str] = {
     "op4_substring": OP4_SQL,
     "op5_cover_tree": OP5_SQL,
     "op10_line_dedup": OP10_SQL,
+    "op11_merkle": OP11_SQL,
 }
