@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tablestats.llm import bpe, covertree, fingerprint, html_text, line_dedup, merkle, mixing, quality, simhash, substring, token_store
+from tablestats.llm import bpe, covertree, fingerprint, hmm, html_text, lexical, line_dedup, merkle, mixing, quality, simhash, substring, token_store
 from tablestats.llm.common import table
 
 
@@ -57,6 +57,14 @@ def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.verified(table(spark, sf_dir, "documents"))
 
 
+def op12_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_hmm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hmm.score(table(spark, sf_dir, "documents"))
+
+
 OP10_SQL = f"""
 WITH d AS (SELECT doc_id, source, text, string_split(text, chr(10)) AS ls FROM documents),
 t AS (SELECT source, count(*) AS n FROM d GROUP BY source),
@@ -130,6 +138,21 @@ SELECT k.doc_id, k.leaf, k.subroot, k.root, sha256(f.proof) AS proof_sha256, f.h
 FROM k JOIN f ON k.g = f.g AND k.pos = f.pos AND f.level = k.height + k.top
 """
 
+_TERMS = r"""regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"""
+
+OP12_SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_TERMS} AS ts FROM documents),
+s AS (SELECT count(*) AS nd, sum(len(ts))::bigint AS lt FROM d WHERE len(ts) > 0),
+tf AS (SELECT r, term, count(*) AS tf FROM (SELECT r, unnest(ts) AS term FROM d) GROUP BY r, term),
+w AS (SELECT term, floor(1000 * ln((2 * nd + 2)::double / (2 * count(*) + 1)))::bigint AS w FROM tf, s GROUP BY term, nd),
+q AS (SELECT i, item_id, term, count(*) AS q FROM (SELECT row_number() OVER () AS i, item_id, unnest({_TERMS}) AS term FROM benchmark) GROUP BY i, item_id, term),
+m AS (SELECT r, doc_id, 100 - 75 + (75 * len(ts) * nd) // lt AS m FROM d, s WHERE len(ts) > 0),
+x AS (SELECT i, item_id, doc_id, r, sum(q * w * ((1000000000 * tf) // (1000 * tf + 8 * m)))::bigint AS score
+      FROM q JOIN w USING (term) JOIN tf USING (term) JOIN m USING (r) GROUP BY i, item_id, doc_id, r),
+o AS (SELECT *, row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id NULLS LAST)::int AS rank FROM x WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM o WHERE rank <= {lexical.TOP}
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_html_text": op2_html_text,
@@ -142,6 +165,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_mixing": op9_mixing,
     "op10_line_dedup": op10_line_dedup,
     "op11_merkle": op11_merkle,
+    "op12_lexical": op12_lexical,
+    "op13_hmm": op13_hmm,
 }
 
 ORACLES: dict[str, str] = {
@@ -149,4 +174,5 @@ ORACLES: dict[str, str] = {
     "op5_cover_tree": OP5_SQL,
     "op10_line_dedup": OP10_SQL,
     "op11_merkle": OP11_SQL,
+    "op12_lexical": OP12_SQL,
 }
