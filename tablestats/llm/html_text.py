@@ -7,7 +7,11 @@ only, never headings, paragraphs or code, nor words out of a running sentence: w
 it is made of such words alone (``share-buttons``), or, where it only has one among
 others (``related-work``), if the container is mostly links or has a few words
 without a heading or paragraph. A container that holds nearly all text around it
-stays, unless it is of reader comments or notices. Every block of running text then
+stays, unless it is of reader comments or notices. An <article> with a word of these goes too,
+unless it holds nearly all text, lies in no other <article> and is the page's only kind of
+article; a lower heading with nothing but reader comments after it in its container
+goes with them. <header> is cut wherever it stands, inside an article as well, with the
+headings it holds. Every block of running text then
 passes points to the containers around it: one, one per comma, and one per 100 characters
 up to three; all of it to the innermost, half to the next, and so on
 (lists, quotes and tables are parts of a text, not containers). A
@@ -24,7 +28,9 @@ line break. Nothing else is dropped or capped.
 
 Edge cases: a null or empty page, and one without running text, gives an empty
 text (its url is kept); broken markup (unclosed tags, cut references, stray
-ends) is read the way browsers do in outline; ties between containers go to the
+ends) is read the way browsers do in outline, but for two things: a quote that is never
+closed ends with its tag, and a menu, header, footer or the like that is never closed ends where the
+next larger container starts; ties between containers go to the
 first; equal rows give equal rows; other columns are ignored.
 """
 
@@ -32,6 +38,8 @@ from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_right
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -57,6 +65,8 @@ ABOUT_WORDS = frozenset("has have with without no".split())
 BESIDE_WORDS = frozenset("area list section wrapper wrap container box block inner body item items button buttons bar link links icon icons panel top bottom left right site main".split())
 #: Reader comments and notices may hold more text than the article.
 LONG_WORDS = frozenset("comment comments reply replies respond disqus notice notices cookie cookies consent gdpr popup modal".split())
+#: Those of reader comments.
+REPLY_WORDS = frozenset("comment comments reply replies respond disqus".split())
 #: What reader comments are about.
 TOLD_WORDS = frozenset("post article entry page user reader".split())
 #: Never cut for their class.
@@ -66,7 +76,10 @@ SHORT, LINKED = 100, 0.5
 #: A container with more of the text around it than this stays.
 BULK = 0.8
 #: Whole-page containers, never cut for their class.
-KEEP_TAGS = frozenset("html body article main".split())
+KEEP_TAGS = frozenset("html body main".split())
+#: What ends a cut element that is never closed.
+ENDS_CUT = frozenset("article main section div header footer aside".split())
+LOWER_HEADINGS = frozenset("h2 h3 h4 h5 h6".split())
 #: Parts of running text, lists, quotes and tables: never an article by themselves, their points go to the container around.
 PARTS = frozenset("p li ul ol dl dt dd table caption thead tbody tfoot tr td th h1 h2 h3 h4 h5 h6 pre blockquote figure figcaption address hr details summary".split())
 #: An open element that a start tag ends (HTML's optional end tags; fixed values).
@@ -74,18 +87,24 @@ P_ENDS = frozenset("address article aside blockquote details div dl fieldset fig
 CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",), "thead": ("tr", "td", "th"), "tbody": ("thead", "tbody", "tr", "td", "th"), "tfoot": ("tbody", "tr", "td", "th")}
 SCOPE = frozenset("table ul ol dl div article section body main td th".split())
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
-_ATTR = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
+# Quotes open a value right after an equals sign only.
+_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*+)((?:[^>=]++|=\s*+(?:"[^"]*"|'[^']*'|"[^>]*+|'[^>]*+|[^\s>"'][^\s>]*+)?+)*+)(?:>|\Z)""", re.S)
+_ATTR = re.compile(r"""([^\s=/][^\s=/]*+)(?:\s*+=\s*+(?:"([^"]*)(?:"|\Z)|'([^']*)(?:'|\Z)|([^\s"'][^\s]*+)))?""")
 _NAMED = re.compile(r"\b(?:class|id|role|hidden|aria-hidden|style)\b", re.I)
 _WORDS = re.compile(r"[A-Za-z]+|[^A-Za-z]+")
 _SPACE = re.compile(r"\s+")
 
 
 class Node:
-    __slots__ = ("tag", "parent", "cut", "doubt", "points", "chars", "link_chars", "told", "at", "end")
+    """A container; ``box``: itself or the nearest around it that is no part of running text; ``around``: the nearest article, main or page around it."""
+
+    __slots__ = ("tag", "parent", "box", "around", "in_article", "cut", "doubt", "points", "chars", "link_chars", "told", "at", "end")
 
     def __init__(self, tag: str, parent: Node | None, cut: bool, at: int, doubt: int = 0):
         self.tag, self.parent, self.cut, self.doubt, self.at, self.end = tag, parent, cut, doubt, at, 0
+        self.box = parent.box if parent and tag in PARTS else self
+        self.around = parent and (parent if parent.parent is None or parent.tag in ("article", "main") else parent.around)
+        self.in_article = parent is not None and (parent.in_article or parent.tag == "article")
         self.told = False
         self.points, self.chars, self.link_chars = 0.0, 0, 0
 
@@ -100,8 +119,8 @@ class Block:
         self.doubted = 0  # parts inside inline elements with a cut word
 
 
-#: What a class or id says: nothing, a cut word among others, cut words alone, reader comments or notices.
-NONE, SOME, ALONE, LONG = range(4)
+#: What a class or id says: nothing, a cut word among others, cut words alone, notices, reader comments.
+NONE, SOME, ALONE, LONG, REPLIES = range(5)
 
 
 def _doubt(names: str) -> int:
@@ -112,7 +131,7 @@ def _doubt(names: str) -> int:
         if not cut or parts & ABOUT_WORDS:
             continue
         beside = BESIDE_WORDS | TOLD_WORDS if cut & LONG_WORDS else BESIDE_WORDS
-        most = max(most, SOME if parts - cut - beside else LONG if cut & LONG_WORDS else ALONE)
+        most = max(most, SOME if parts - cut - beside else REPLIES if cut & REPLY_WORDS else LONG if cut & LONG_WORDS else ALONE)
     return most
 
 
@@ -129,7 +148,7 @@ def _attributes(tag: str, attrs: str) -> tuple[bool, int]:
             doubt = max(doubt, _doubt(value))
         elif name == "role" and value in CUT_ROLES or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none", value) or name == "hidden":
             return True, NONE
-    return False, NONE if tag in TEXT_TAGS else doubt
+    return False, NONE if tag in TEXT_TAGS or tag == "article" and doubt < LONG else doubt
 
 
 def parse(page: str) -> tuple[list[Node], list[Block]]:
@@ -137,11 +156,15 @@ def parse(page: str) -> tuple[list[Node], list[Block]]:
     root = Node("html", None, False, 0)
     nodes, stack, blocks, block, links = [root], [root], [], None, 0
     doubts: list[str] = []  # open inline elements with a cut word
+    opened = Counter({"html": 1})  # of each tag, those on the stack
+    hidden, depth, level = "", 0, 0  # an open inline element that is not shown, how many of its tag are open, and where
+    loose: Node | None = None  # an open cut element without an end tag
+    ends: dict[str, int] = {}
     at, n = 0, 0
 
     def text(raw: str) -> None:
         nonlocal block, n
-        if stack[-1].cut or not raw:
+        if hidden or stack[-1].cut or not raw:
             return
         if block is None:
             if raw.isspace():
@@ -157,9 +180,21 @@ def parse(page: str) -> tuple[list[Node], list[Block]]:
             block.link_chars += len(raw)
 
     def pop() -> None:
-        nonlocal n
+        nonlocal n, hidden, loose
         n += 1
-        stack.pop().end = n
+        node = stack.pop()
+        node.end = n
+        opened[node.tag] -= 1
+        if node is loose:
+            loose = None
+        if len(stack) < level:
+            hidden = ""
+
+    def last_end(tag: str) -> int:
+        """Where the page's last end tag of this name is."""
+        if tag not in ends:
+            ends[tag] = max(page.rfind(f"</{tag}"), page.rfind(f"</{tag.upper()}"))
+        return ends[tag]
 
     size = len(page)
     while at < size:
@@ -175,14 +210,18 @@ def parse(page: str) -> tuple[list[Node], list[Block]]:
             continue
         tag = tag.lower()
         if m[1]:  # an end tag
-            if tag == "a":
-                links = max(0, links - 1)
             if tag in INLINE:
+                if hidden:
+                    depth -= tag == hidden
+                    hidden = hidden if depth else ""
+                    continue
+                if tag == "a":
+                    links = max(0, links - 1)
                 if tag in doubts:
                     del doubts[len(doubts) - 1 - doubts[::-1].index(tag):]
                 continue
             block, doubts = None, []
-            for i in range(len(stack) - 1, 0, -1):
+            for i in range(len(stack) - 1, 0, -1) if opened[tag] else ():
                 if stack[i].tag == tag:
                     while len(stack) > i:
                         pop()
@@ -194,20 +233,19 @@ def parse(page: str) -> tuple[list[Node], list[Block]]:
             text(" ")
             continue
         if tag in INLINE:
-            if tag == "a":
-                links += 1
+            if tag in VOID:
+                continue
+            if hidden:
+                depth += tag == hidden
+                continue
             cut, doubt = _attributes(tag, m[3])
-            if not cut:
-                if tag in VOID:
-                    continue
-                if doubts and tag == doubts[-1] or doubt >= ALONE or doubt and tag == "a":
-                    doubts.append(tag)
+            if cut:  # not shown, up to its end or that of the container around
+                hidden, depth, level = tag, 1, len(stack)
                 continue
-            # An inline element that is not shown: skip to its end.
-            end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
             if tag == "a":
-                links -= 1
-            at = end.end() if end else at
+                links += 1
+            if doubts and tag == doubts[-1] or doubt >= ALONE or doubt and tag == "a":
+                doubts.append(tag)
             continue
         block, doubts = None, []
         if tag in VOID:
@@ -216,12 +254,13 @@ def parse(page: str) -> tuple[list[Node], list[Block]]:
             end = re.compile(rf"</{re.escape(tag)}(?=[\s/>]|\Z)[^>]*(?:>|\Z)", re.I).search(page, at)
             at = end.end() if end else size
             continue
-        if tag in ("html", "body") and any(x.tag == tag for x in stack[1:]):
+        if tag == "html" and opened[tag] > 1 or tag == "body" and opened[tag]:
             continue
         if tag in P_ENDS and stack[-1].tag == "p":
             pop()
-        for i in range(len(stack) - 1, 0, -1):
-            if stack[i].tag in CLOSES.get(tag, ()):
+        closes = CLOSES.get(tag, ())
+        for i in range(len(stack) - 1, 0, -1) if any(opened[x] for x in closes) else ():
+            if stack[i].tag in closes:
                 while len(stack) > i:
                     pop()
             elif stack[i].tag in SCOPE:
@@ -229,12 +268,17 @@ def parse(page: str) -> tuple[list[Node], list[Block]]:
         if tag == "body":
             while stack[-1].tag == "head":
                 pop()
+        while loose is not None and tag in ENDS_CUT:
+            pop()
         links = 0 if tag in ("p", "div", "article", "section", "main") else links
         n += 1
         cut, doubt = _attributes(tag, m[3])
-        node = Node(tag, stack[-1], stack[-1].cut or cut, n, doubt)
+        node = Node(tag, stack[-1], bool(stack[-1].cut or cut or hidden), n, doubt)
+        if loose is None and tag in CUT_TAGS and last_end(tag) < at:
+            loose = node
         nodes.append(node)
         stack.append(node)
+        opened[tag] += 1
     while stack:
         pop()
     return nodes, blocks
@@ -249,32 +293,61 @@ def settle(nodes: list[Node], blocks: list[Block], texts: list[str]) -> tuple[li
     # A short block of nothing but inline elements with a cut word (a share link) goes.
     kept = [(b, t) for b, t in zip(blocks, texts) if not 0 < b.doubted == len(b.parts) or len(t) >= SHORT or any(x in TEXT_TAGS for x in _tags(b.node))]
     if any(x.doubt for x in nodes):
-        for b, t in kept:
-            b.node.chars += len(t)
-            b.node.link_chars += min(b.link_chars, len(t))
+        _measure(nodes, kept)
         for x in reversed(nodes):
             x.told |= x.tag in TEXT_TAGS and x.chars > 0
             if x.parent is not None:
-                x.parent.chars += x.chars
-                x.parent.link_chars += x.link_chars
                 x.parent.told |= x.told
+        plain = any(x.tag == "article" and not x.doubt and x.chars for x in nodes)
         for x in nodes:
             if x.parent is None:
                 continue
             x.cut |= x.parent.cut
             if x.doubt and not x.cut and x.chars:
-                around = x.parent
-                while around.parent is not None and around.tag not in ("article", "main"):
-                    around = around.parent
                 few = x.link_chars >= LINKED * x.chars or x.chars < SHORT and not x.told
-                bulk = x.chars - x.link_chars > BULK * (around.chars - around.link_chars)
-                x.cut = x.doubt == LONG or not bulk and (x.doubt == ALONE or few)
-        for x in nodes:
-            x.chars = x.link_chars = 0
+                bulk = x.chars - x.link_chars > BULK * (x.around.chars - x.around.link_chars)
+                if x.tag == "article":
+                    x.cut = x.in_article or plain or not bulk
+                else:
+                    x.cut = x.doubt >= LONG or not bulk and (x.doubt == ALONE or few)
         kept = [(b, t) for b, t in kept if not b.node.cut]
+        _measure(nodes, kept)
+        kept = _without_headings_of_replies(nodes, kept)
     return [b for b, _ in kept], [t for _, t in kept]
 
 
+def _measure(nodes: list[Node], kept: list[tuple[Block, str]]) -> None:
+    """Characters, and those in links, of every container."""
+    for x in nodes:
+        x.chars = x.link_chars = 0
+    for b, t in kept:
+        b.node.chars += len(t)
+        b.node.link_chars += min(b.link_chars, len(t))
+    for x in reversed(nodes):
+        if x.parent is not None:
+            x.parent.chars += x.chars
+            x.parent.link_chars += x.link_chars
+
+
+def _without_headings_of_replies(nodes: list[Node], kept: list[tuple[Block, str]]) -> list[tuple[Block, str]]:
+    """Blocks without lower headings that have nothing but cut reader comments after them in their container."""
+    last = {id(b.node): b.at for b, _ in kept}  # a container's last text of its own
+    after: dict[int, bool | None] = {}  # by container: reader comments after all that was looked at; None: other text
+    gone = set()
+    for x in reversed(nodes):
+        if x.parent is None:
+            continue
+        key = id(x.parent)
+        if x.cut:
+            if x.doubt == REPLIES and after.get(key, False) is False:
+                after[key] = True
+        elif x.chars:
+            if x.tag in LOWER_HEADINGS and after.get(key) and last.get(key, 0) < x.at:
+                gone.add(id(x))
+            after[key] = None
+    return [(b, t) for b, t in kept if id(b.node) not in gone] if gone else kept
+
+
 def _tags(node: Node | None) -> Iterator[str]:
     while node is not None and node.tag in PARTS:
         yield node.tag
@@ -289,23 +362,17 @@ PASSES = 4
 
 def article(nodes: list[Node], blocks: list[Block], texts: list[str]) -> list[Node | Block]:
     """The best container and what goes with it beside it."""
+    _measure(nodes, list(zip(blocks, texts)))
     for b, t in zip(blocks, texts):
-        node = b.node
         if t:
-            points, share, up = 1 + t.count(",") + t.count("、") + t.count("，") + min(len(t) / 100, 3), 1.0, node.parent or node
+            points, share, up = 1 + t.count(",") + t.count("、") + t.count("，") + min(len(t) / 100, 3), 1.0, b.node.parent or b.node
             for _ in range(PASSES):
-                while up.tag in PARTS and up.parent is not None:
-                    up = up.parent
+                up = up.box
                 up.points += points * share
                 share /= 2
                 if up.parent is None:
                     break
                 up = up.parent
-            length = len(t)
-            while node is not None:
-                node.chars += length
-                node.link_chars += min(b.link_chars, length)
-                node = node.parent
     best, top = None, 0.0
     for x in nodes:
         if not x.cut and x.chars and (s := _score(x)) > top:
@@ -343,8 +410,10 @@ def main_text(page: str) -> str:
     """The article of one page."""
     nodes, blocks = parse(page or "")
     blocks, texts = settle(nodes, blocks, [_clean(b) for b in blocks])
-    spans = [(x.at, x.end if isinstance(x, Node) else x.at) for x in article(nodes, blocks, texts)]
-    return "\n".join(t for b, t in zip(blocks, texts) if t and any(s <= b.at <= e for s, e in spans))
+    spans = sorted((x.at, x.end if isinstance(x, Node) else x.at) for x in article(nodes, blocks, texts))
+    starts = [s for s, _ in spans]
+    # What is chosen lies side by side, so the last span that starts before a block is its only chance.
+    return "\n".join(t for b, t in zip(blocks, texts) if t and (k := bisect_right(starts, b.at)) and b.at <= spans[k - 1][1])
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

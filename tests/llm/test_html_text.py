@@ -1,3 +1,5 @@
+import time
+
 import pytest
 
 from tablestats.llm import html_text
@@ -70,3 +72,43 @@ THREE = "\n".join([PARA] * 3)
 ])
 def test_parts_beside_the_best_container(page, text):
     assert html_text.main_text(page) == text
+
+
+COMMENT = f"<article class=comment><p>{PARA} {PARA}, and, more, of, it.</p></article>"
+
+
+@pytest.mark.parametrize("page,text", [
+    # Reader comments as articles, beside the article and inside it.
+    (f"<main><article><p>{PARA}</p></article><section><h2>Comments</h2>{COMMENT}{COMMENT}</section></main>", PARA),
+    (f"<main><article><p>Short one.</p></article><section><h2>Comments</h2>{COMMENT * 9}</section></main>", "Short one."),
+    (f"<article><h1>T</h1><p>{PARA}</p><h3>Comments</h3><article class='comment reply'><p>{PARA}</p></article></article>", f"T\n{PARA}"),
+    (f"<div class=post><h2>T</h2><p>{PARA}</p></div><h2>What readers say</h2><div class=comments>{COMMENT}</div>", f"T\n{PARA}"),
+    (f"<article class=notice><h1>T</h1><p>{PARA}</p></article><footer>foot</footer>", f"T\n{PARA}"),
+    (f"<article class='post no-sidebar widget'><p>{PARA}</p></article>", PARA),
+    (f"<article><p>{PARA}</p><h2>End</h2></article><div class=comments><p>no</p></div>", f"{PARA}\nEnd"),
+    # Quotes open a value right after an equals sign only.
+    (f"<article><p>{PARA}</p><p data-x=don't>Hello, it's fine here.</p><p it's=1>two</p></article>", f"{PARA}\nHello, it's fine here.\ntwo"),
+    (f"<article><p>{PARA}</p><a href=/x?a='b'&c=\"d>e>f</a></article>", f"{PARA}\ne>f"),
+    (f"<article><p title='a > b' data-y = \"c > d\">{PARA}</p><p title=>x</p><p a==b>y</p></article>", f"{PARA}\nx\ny"),
+    (f"<article><p>{PARA}</p><p title=\"abc>lost</p><p>after</p></article>", f"{PARA}\nlost\nafter"),
+    (f"<article><p>{PARA}</p><p title=abc", PARA),
+    # Hidden inline elements with others of their name inside, and without an end.
+    (f"<article><p>{PARA}</p><p>a <span hidden>secret <span>inner</span> leak</span>b</p></article>", f"{PARA}\na b"),
+    (f"<article><p>{PARA}</p><p>a <span hidden>secret <b>bold</b><p>after</p><i hidden>x<div>y</div></i>z</article><p>end</p>", f"{PARA}\na\nafter\nz\nend"),
+    (f"<article><p>{PARA}<img hidden> on</p><a hidden href=x>no <a>no</a></a><a href=y>yes</a></article>", f"{PARA} on\nyes"),
+    # A header inside an article goes as any other.
+    (f"<article><header><h1>Title</h1></header><p>{PARA}</p></article>", PARA),
+    # A menu that is never closed ends where the next larger container starts.
+    (f"<nav><ul><li><a href=x>Menu</a></ul><article><p>{PARA}</p></article>", PARA),
+    (f"<NAV><a href=x>Menu</a><DIV><p>{PARA}</p></DIV><footer>foot<aside>side</aside>", PARA),
+])
+def test_markup_read_as_meant(page, text):
+    assert html_text.main_text(page) == text
+
+
+@pytest.mark.parametrize("page", ["<div>" * 50_000 + PARA, "<ul><li>" * 25_000 + PARA, "<x>" * 50_000 + PARA + "</p></y>" * 50_000, f"<div class=share><p>{PARA}" * 20_000,
+                                  f"<p>{PARA}</p><div>{PARA}</div>" * 20_000, "<nav><div>" * 20_000 + PARA, "<span hidden>" * 50_000 + PARA, "<p a='" * 30_000 + PARA, "<li>" + "<div></li>" * 30_000 + PARA])
+def test_time_grows_with_the_page(page):
+    at = time.perf_counter()
+    html_text.main_text(page)
+    assert time.perf_counter() - at < 5
