@@ -1,4 +1,4 @@
-"""User functions on slices of rows, on groups, and as partial + merge aggregates.
+"""User functions on slices of rows, on groups, on sorted groups as a stream, and as aggregates.
 
 The built-in column functions stay the fast path; these are for logic that
 has no built-in form. Data crosses to Python in Arrow batches.
@@ -6,12 +6,16 @@ has no built-in form. Data crosses to Python in Arrow batches.
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Callable, Iterator
+from typing import Protocol
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tablestats.session import checkpoint_root
 
@@ -31,8 +35,8 @@ def udf_grouped(df: DataFrame, keys, fn: Callable[[pd.DataFrame], pd.DataFrame],
     """run an order- or group-dependent pandas function on whole groups.
 
     A group is one pandas frame in one task, by the nature of such a function; a
-    key that outgrows a task's memory needs logic split into partial + merge
-    (``udaf_partial``). ``max_group_rows`` is the caller's own limit (default
+    key that outgrows a task's memory needs logic that takes it piece by piece
+    (``udf_grouped_stream``) or split into partial + merge (``udaf_tree``). ``max_group_rows`` is the caller's own limit (default
     none): a larger frame raises in its task.
 
     Small groups are packed: rows are hashed on the keys into ``buckets`` (by
@@ -63,6 +67,132 @@ def udf_grouped(df: DataFrame, keys, fn: Callable[[pd.DataFrame], pd.DataFrame],
     return df.withColumn("_bucket", bucket).groupBy("_bucket").applyInPandas(run, schema)
 
 
+def udf_grouped_stream(df: DataFrame, keys, order_by, start: Callable[[], object],
+                       step: Callable[[object, pd.DataFrame], tuple[object, pd.DataFrame | None]], schema,
+                       finish: Callable[[object, dict], pd.DataFrame | None] | None = None) -> DataFrame:
+    """F3 for groups of any size: a group's rows, in order, pass through the function in pieces.
+
+    Rows are dealt out by ``keys`` and sorted by keys and ``order_by`` (Spark's
+    sort spills), then stream through in Arrow batches. For every group ``start()`` makes a
+    state; ``step(state, rows)`` gets the group's next rows, at most a batch, and
+    returns the state to go on with and rows of the result (or None);
+    ``finish(state, key)``, after the group's last rows, may return more rows. A task holds one
+    batch and one state, however large a group is. Rows that tie in ``order_by`` come in no fixed order.
+    """
+    keys = [keys] if isinstance(keys, str) else list(keys)
+    order_by = [order_by] if isinstance(order_by, (str, Column)) else list(order_by)
+    if not keys:
+        raise ValueError("a stream of groups needs keys")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        state, key = None, None
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            head = pdf[keys]
+            same = (head.eq(head.shift()) | head.isna() & head.shift().isna()).all(axis=1).to_numpy()
+            cuts = np.flatnonzero(~same[1:]) + 1
+            for lo, hi in zip([0, *cuts], [*cuts, len(pdf)]):
+                own = tuple(None if pd.isna(x) else x for x in head.iloc[lo])
+                if own != key:
+                    if key is not None and finish and (out := finish(state, dict(zip(keys, key)))) is not None and len(out):
+                        yield out
+                    state, key = start(), own
+                state, out = step(state, pdf.iloc[lo:hi].reset_index(drop=True))
+                if out is not None and len(out):
+                    yield out
+        if key is not None and finish and (out := finish(state, dict(zip(keys, key)))) is not None and len(out):
+            yield out
+
+    return df.repartition(*keys).sortWithinPartitions(*keys, *order_by).mapInPandas(run, schema)
+
+
+class Aggregate(Protocol):
+    """A user aggregate whose state only its own code understands. States are pickled; merging must be associative."""
+
+    def init(self) -> object: ...
+
+    def update(self, state: object, rows: pd.DataFrame) -> object: ...
+
+    def merge(self, a: object, b: object) -> object: ...
+
+    def finish(self, state: object) -> pd.DataFrame: ...
+
+
+#: States merged by one call, and groups whose states a task holds before it passes them on.
+FAN, HELD_GROUPS = 16, 10_000
+
+
+def udaf_tree(df: DataFrame, aggregate: Aggregate, schema, keys=(), fan: int = FAN) -> DataFrame:
+    """F4 with an opaque state: init, update, merge and finish are the user's code.
+
+    Every task folds its rows into one state per group of ``keys`` (``update``, an Arrow
+    batch at a time). The states then merge as a tree, ``fan`` tasks' at a time: a round is a
+    grouped merge of neighbouring tasks' states, written to the checkpoint folder, until each
+    group has one; no task ever holds more than two states and the one that comes in. ``finish`` turns the last
+    state into rows of ``schema``, the keys first. Without keys there is one group, also on
+    an empty table.
+    """
+    keys = [keys] if isinstance(keys, str) else list(keys)
+    checkpoint_root(df.sparkSession)
+    kinds = [df.schema[k] for k in keys]
+    ddl = T.StructType([*[T.StructField(f.name, f.dataType) for f in kinds], T.StructField("_part", T.LongType()), T.StructField("_state", T.BinaryType())])
+
+    def rows_of(held: dict, part: int) -> pd.DataFrame:
+        return pd.DataFrame([(*k, part, pickle.dumps(s)) for k, s in held.items()], columns=[*keys, "_part", "_state"]).astype({k: object for k in keys})
+
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict = {}
+        part = TaskContext.get().partitionId()
+        for pdf in batches:
+            groups = pdf.groupby(keys, sort=False, dropna=False) if keys else [((), pdf)]
+            for key, rows in groups:
+                key = tuple(None if pd.isna(x) else x for x in (key if isinstance(key, tuple) else (key,)))
+                held[key] = aggregate.update(held[key] if key in held else aggregate.init(), rows)
+            if len(held) > HELD_GROUPS:
+                yield rows_of(held, part)
+                held = {}
+        if held:
+            yield rows_of(held, part)
+
+    def merge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, state, part = None, None, 0
+        for pdf in batches:
+            for *key, at, dumped in pdf[[*keys, "_part", "_state"]].itertuples(index=False, name=None):
+                key = (*(None if pd.isna(x) else x for x in key), at // fan)
+                other = pickle.loads(dumped)
+                if now == key:
+                    state = aggregate.merge(state, other)
+                    continue
+                if now is not None:
+                    yield rows_of({now[:-1]: state}, part)
+                now, state, part = key, other, at // fan
+        if now is not None:
+            yield rows_of({now[:-1]: state}, part)
+
+    def end(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for *key, dumped in pdf[[*keys, "_state"]].itertuples(index=False, name=None):
+                out = aggregate.finish(pickle.loads(dumped))
+                for i, (name, value) in enumerate(zip(keys, key)):
+                    out.insert(i, name, [value] * len(out))
+                yield out
+
+    parts = df.mapInPandas(fold, ddl).checkpoint()
+    most = parts.agg(F.max("_part")).first()[0]
+    if most is None:
+        if keys:
+            return df.sparkSession.createDataFrame([], schema)
+        return df.sparkSession.createDataFrame(aggregate.finish(aggregate.init()), schema)
+    while True:
+        # Neighbours come to one task, in order; a task's several states of a group as well.
+        dealt = parts.repartition(*keys, F.floor(F.col("_part") / fan)).sortWithinPartitions(*keys, "_part")
+        parts = dealt.mapInPandas(merge, ddl).checkpoint()
+        if most < fan:
+            return parts.mapInPandas(end, schema)
+        most //= fan
+
+
 def udaf_partial(df: DataFrame, partial: Callable[[pd.DataFrame], pd.DataFrame], partial_schema,
                  merge: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """user partial aggregate per Arrow batch, merged with built-in aggregates.

@@ -19,17 +19,29 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-ROWS_PER_BUCKET, MAX_BUCKETS = 1_000_000, 1000
+from tablestats.session import checkpoint_root
 
+def ranged(df: DataFrame, *order: Column, col: str = "_range") -> DataFrame:
+    """``df``, written once, with ``col``: the number of the range of ``order`` that a row lies in.
 
-def quantile_bucket(df: DataFrame, order_col: str, rows_per_bucket: int = ROWS_PER_BUCKET) -> Column:
+    Spark's range partitioner cuts at quantiles of a sample of the rows, into as many
+    ranges as the session has shuffle partitions, so ranges follow the data and the
+    cluster; rows equal in ``order`` share a range.
+    """
+    checkpoint_root(df.sparkSession)
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartitionByRange(n, *order).withColumn(col, F.spark_partition_id()).checkpoint()
+
+
+def quantile_bucket(df: DataFrame, order_col: str, rows_per_bucket: int) -> Column:
     """A non-decreasing bucket of ``order_col`` with about ``rows_per_bucket`` rows of ``df`` in each.
 
-    Cut at quantiles of the rows, so neither gaps nor dense stretches of the
-    values matter; at most ``MAX_BUCKETS`` numbers come to the driver.
+    For a stated width; the cuts come to the driver and every row is compared with them,
+    so this is for some hundreds of buckets (``ranged`` has no such limit). Cut at quantiles of
+    the rows, so neither gaps nor dense stretches of the values matter.
     """
     n = df.agg(F.count(order_col)).first()[0]
-    buckets = min(MAX_BUCKETS, -(-n // rows_per_bucket))
+    buckets = -(-n // rows_per_bucket)
     if buckets < 2:
         return F.lit(0)
     cuts = df.agg(F.percentile_approx(order_col, [k / buckets for k in range(1, buckets)], 10 * buckets)).first()[0]

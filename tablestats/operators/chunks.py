@@ -14,7 +14,8 @@ partition (what an unpartitioned ``row_number()`` window would do):
 
 For input order (``order_by=None``) on whole Parquet files nothing is sorted or
 written: a row's position in its file is known to the reader, and one count per
-file gives the offsets. Project to the needed columns before indexing; the sorted
+file gives the offsets. The same holds for text tables, whose lines are numbered within
+the blocks they are read in (``placed``): one count per block. Project to the needed columns before indexing; the sorted
 way writes what it is given.
 """
 
@@ -30,6 +31,9 @@ from tablestats.functions.arrays import slice_bounds
 from tablestats.session import checkpoint_root
 
 _LOW_BITS = 33
+#: Columns that say where a row of a text table lies: file, start of the block, number within the block.
+POSITION = ("_file", "_block", "_line")
+_PLACED = "_tablestats_placed"
 MAX_BROADCAST_PARTITIONS = 1_000_000
 MAX_FILES = 100_000
 
@@ -53,8 +57,12 @@ def with_row_index(df: DataFrame, order_by, index_col: str = "row_index", total_
     hot key value instead of sending all its rows to one task.
     ``total_col`` optionally adds the table's row count to every row.
     """
-    if order_by is None and (found := _by_file_position(df, index_col, total_col)) is not None:
-        return found
+    if order_by is None:
+        at = getattr(df, _PLACED, df)
+        if set(POSITION) <= set(at.columns):
+            return _by_block_position(at, index_col, total_col)
+        if (found := _by_file_position(df, index_col, total_col)) is not None:
+            return found
     checkpoint_root(df.sparkSession)
     tie = df.withColumn("_tie", F.monotonically_increasing_id())
     tagged = tie.orderBy(*_order_cols(df, order_by), "_tie").drop("_tie") \
@@ -75,6 +83,43 @@ def with_row_index(df: DataFrame, order_by, index_col: str = "row_index", total_
     return out.drop("_mid", "_pid", "_off", "_total")
 
 
+def placed(df: DataFrame, whole: DataFrame) -> DataFrame:
+    """``df``, which remembers ``whole``, the same rows with the columns ``POSITION``, for ``order_by=None``."""
+    setattr(df, _PLACED, whole)
+    return df
+
+
+def _by_block_position(df: DataFrame, index_col: str, total_col: str | None) -> DataFrame:
+    """Input positions from the columns ``POSITION``, which are dropped.
+
+    Blocks are counted in a pass of their own over the same files, one row per block is kept, and
+    a row's index is its block's start plus its number there. Where rows have been left
+    out, so that numbers have gaps, the rows are sorted by position.
+    """
+    file, block, line = POSITION
+    checkpoint_root(df.sparkSession)
+    blocks = df.groupBy(file, block).agg(F.count(F.lit(1)).alias("_n"), (F.max(line) + 1).alias("_end")).checkpoint()
+    whole, total, count = blocks.agg(F.coalesce(F.bool_and(F.col("_n") == F.col("_end")), F.lit(True)), F.coalesce(F.sum("_n"), F.lit(0)), F.count(F.lit(1))).first()
+    if not whole:
+        return with_row_index(df.withColumnsRenamed({file: "_f", block: "_b", line: "_l"}), ["_f", "_b", "_l"], index_col, total_col).drop("_f", "_b", "_l")
+    if count <= MAX_FILES:
+        held, at = [], 0
+        for r in blocks.orderBy(file, block).collect():
+            held.append((r[file], r[block], at))
+            at += r["_n"]
+        starts = F.broadcast(df.sparkSession.createDataFrame(held, "_f string, _b bigint, _off bigint"))
+    else:  # one row per block still, in the order of the blocks
+        before = F.sum("_n").over(Window.orderBy(file, block).rowsBetween(Window.unboundedPreceding, -1))
+        starts = blocks.select(F.col(file).alias("_f"), F.col(block).alias("_b"), F.coalesce(before, F.lit(0)).alias("_off"))
+    out = df.join(starts, (F.col(file) == F.col("_f")) & (F.col(block) == F.col("_b")), "left")
+    # The files are split the same way in both passes, unless the split size was changed between them.
+    off = F.coalesce("_off", F.raise_error(F.lit("the files were split differently when their lines were counted")).cast("bigint"))
+    out = out.withColumn(index_col, off + F.col(line))
+    if total_col:
+        out = out.withColumn(total_col, F.lit(total).cast("long"))
+    return out.drop(*POSITION, "_f", "_b", "_off")
+
+
 def _by_file_position(df: DataFrame, index_col: str, total_col: str | None) -> DataFrame | None:
     """Input positions from the Parquet reader's own row numbers; None where ``df`` is not whole Parquet files."""
     own = [F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_at")]

@@ -8,6 +8,8 @@ from pyspark.sql import types as T
 
 INTEGRAL = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
 FRACTIONAL = (T.FloatType, T.DoubleType)
+#: Column metadata: text that holds integers of up to this many digits.
+BIG_INTEGER = "big_integer"
 NUMERIC = INTEGRAL + FRACTIONAL + (T.DecimalType,)
 
 
@@ -22,13 +24,14 @@ def select_numeric(df: DataFrame) -> DataFrame:
 
 
 def resolve(df: DataFrame, cols: list[str] | None = None, strict: bool = False,
-            text_ok: bool = False) -> list[str]:
+            text_ok: bool = False, big_ok: bool = False) -> list[str]:
     """Columns an aggregate runs over.
 
     ``None`` means every numeric column. Non-numeric columns are skipped, or
     raise with ``strict=True`` (the source programs fail on text cells).
     ``text_ok`` keeps string columns named in ``cols`` (min, max and the
-    constant test are defined on text; strings order by code point).
+    constant test are defined on text; strings order by code point). ``big_ok`` takes
+    text columns that are marked as integers of any length (``bigints``).
     """
     types = {f.name: f.dataType for f in df.schema.fields}
     wanted = list(types) if cols is None else list(cols)
@@ -36,7 +39,8 @@ def resolve(df: DataFrame, cols: list[str] | None = None, strict: bool = False,
     if missing:
         raise ValueError(f"unknown columns: {missing}")
     ok = NUMERIC + ((T.StringType,) if text_ok and cols is not None else ())
-    bad = [c for c in wanted if not isinstance(types[c], ok)]
+    big = {f.name for f in df.schema.fields if big_ok and BIG_INTEGER in f.metadata}
+    bad = [c for c in wanted if not isinstance(types[c], ok) and c not in big]
     if bad and strict:
         raise TypeError(f"non-numeric columns: {bad}")
     return [c for c in wanted if c not in bad]

@@ -5,8 +5,8 @@ Spark's ``corr`` cannot be used as is: under ANSI it raises on a constant
 column and it returns 1.0 for ``corr(c, c)`` of a constant ``c``.
 
 There is one path for any number of columns p, two passes over the data. Pass 1
-is an ordinary aggregate: mean, minimum and maximum per column (3p numbers to
-the driver). Pass 2: every task folds its Arrow batches, centred by the means,
+gives mean, minimum and maximum per column: every task folds its Arrow batches into p rows,
+which are added up by column (3p numbers to the driver). Pass 2: every task folds its Arrow batches, centred by the means,
 into a p x p Gram matrix with numpy; the tasks' matrices travel as rows of p
 numbers and are added row by row, each row in one task. Nothing of size p x p
 passes through the driver, and no generated code grows with p.
@@ -40,6 +40,20 @@ TASKS_PER_CORE = 4
 NOISE = 1e-14
 
 
+def _ranges(batches: Iterator[pa.RecordBatch], p: int) -> Iterator[pa.RecordBatch]:
+    """One task's count, sum, minimum and maximum of every column: rows (k, n, s, lo, hi)."""
+    n, s, lo, hi = np.zeros(p, np.int64), np.zeros(p), np.full(p, np.inf), np.full(p, -np.inf)
+    for b in batches:
+        x = np.asarray(b.column(0).flatten(), np.float64).reshape(-1, p)
+        if len(x):
+            there = ~np.isnan(x)
+            n += there.sum(0)
+            s += np.where(there, x, 0.0).sum(0)
+            lo, hi = np.fmin(lo, np.fmin.reduce(x)), np.fmax(hi, np.fmax.reduce(x))
+    held = n > 0
+    yield pa.RecordBatch.from_arrays([pa.array(np.arange(p, dtype=np.int32)[held]), *[pa.array(v[held]) for v in (n, s, lo, hi)]], ["k", "n", "s", "lo", "hi"])
+
+
 def _gram(batches: Iterator[pa.RecordBatch], means: np.ndarray, pairwise: bool) -> Iterator[pa.RecordBatch]:
     """One task's sums of products: rows (i, kind, values)."""
     p = len(means)
@@ -82,12 +96,13 @@ def correlation_matrix(df: DataFrame, cols=None, strict: bool = False, missing:
     x = df.select(row.alias("v"))
     if not pairwise:
         x = x.where(~F.exists("v", lambda e: e.isNull()))
-    stats = x.select(F.posexplode("v").alias("k", "e")).groupBy("k").agg(F.avg("e").alias("m"), F.min("e").alias("lo"), F.max("e").alias("hi")).collect()
+    tasks = TASKS_PER_CORE * df.sparkSession.sparkContext.defaultParallelism
+    folded = x.coalesce(tasks).mapInArrow(lambda it: _ranges(it, p), "k int, n bigint, s double, lo double, hi double")
+    stats = folded.groupBy("k").agg((F.sum("s") / F.sum("n")).alias("m"), F.min("lo").alias("lo"), F.max("hi").alias("hi")).collect()
     means, const = np.zeros(p), [True] * p
     for r in stats:  # p rows
         means[r.k], const[r.k] = r.m or 0.0, r.lo is None or r.lo == r.hi
     checkpoint_root(df.sparkSession)
-    tasks = TASKS_PER_CORE * df.sparkSession.sparkContext.defaultParallelism
     ddl = "i int, kind int, s array<double>"
     sums = x.coalesce(tasks).mapInArrow(lambda it: _gram(it, means, pairwise), ddl).repartition(min(p, tasks), "i").mapInArrow(_add, ddl).checkpoint()
     cells = sums.where("kind = 0").select("i", F.posexplode("s").alias("j", "xy"))

@@ -7,15 +7,17 @@
 * G3 ``best_fit_lookup``: for each row the smallest capacity >= its need.
 * G4 ``peak_step_usage``: per step, live sizes plus the step's own cost, and
   the peak over steps.
+* G4 over intervals ``peak_interval_usage``: items that live from a start to an end,
+  the highest total size at any one time, without a row per item and step.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tablestats.operators.asof import ROWS_PER_BUCKET, quantile_bucket, running_extreme
+from tablestats.operators.asof import quantile_bucket, ranged, running_extreme
 from tablestats.session import checkpoint_root
 
 
@@ -30,18 +32,21 @@ def dependency_rows(stmts: DataFrame, line_col: str, reads_col: str, writes_col:
 
 
 def last_writer_edges(stmts: DataFrame, line_col: str, reads_col: str, writes_col: str,
-                      rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
+                      rows_per_bucket: int | None = None) -> DataFrame:
     """G1: edges ``(src, dest, names)``: ``src`` is the last statement strictly
     before ``dest`` (in ``line_col`` order, unique per statement) that wrote
     each name ``dest`` reads; names without an earlier writer give no edge.
     ``names`` is sorted (the reference lists them in read order).
 
     The "last earlier writer" is a running max of writer lines per name,
-    split into ranges of about ``rows_per_bucket`` statements (quantiles of the
-    lines, however sparse they are) so one busy name is not one task.
+    split into ranges of the lines (as many as shuffle partitions, however sparse the lines
+    are; or of about ``rows_per_bucket`` statements) so one busy name is not one task.
     """
     rows = dependency_rows(stmts, line_col, reads_col, writes_col)
-    bucket = quantile_bucket(stmts.select(F.col(line_col).alias("line")), "line", rows_per_bucket)
+    if rows_per_bucket:
+        bucket = quantile_bucket(stmts.select(F.col(line_col).alias("line")), "line", rows_per_bucket)
+    else:
+        rows, bucket = ranged(rows, F.col("line")), F.col("_range")
     found = running_extreme(rows, ["name"], "line", F.when(F.col("writes"), F.col("line")), "src", "max",
                             include_current=False, bucket=bucket)
     edges = found.where(F.col("reads") & F.col("src").isNotNull())
@@ -85,7 +90,7 @@ def _common(a, b):
 
 
 def best_fit_lookup(df: DataFrame, need: Column, nodes: DataFrame, out_col: str = "node",
-                    memory_col: str = "memory", pos_col: str = "pos", rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
+                    memory_col: str = "memory", pos_col: str = "pos", rows_per_bucket: int | None = None) -> DataFrame:
     """Add ``out_col`` = the node struct with the smallest ``memory >= need``.
 
     Ties go to the smallest ``pos`` (first in the node list); NULL when no
@@ -94,23 +99,26 @@ def best_fit_lookup(df: DataFrame, need: Column, nodes: DataFrame, out_col: str
     The answer depends only on the need, so the lookup runs once for every
     distinct need (a value held by a third of the rows is one row here) and is
     joined back by value (adaptive execution broadcasts a small answer table and
-    splits a hot join key). Needs and nodes form one stream in descending order
-    of value, nodes before needs at equal value; the running minimum of node
-    structs is the answer, taken per range of values with a carried minimum. The
+    splits a hot join key). Needs and distinct capacities form one stream in descending order
+    of value, capacities before needs at equal value; the running minimum of the
+    capacities, plain numbers, is the answer, taken per range of values with a
+    carried minimum (as many ranges as shuffle partitions, or of about
+    ``rows_per_bucket`` values). The node itself is joined to its capacity afterwards. The
     same for any number of nodes.
     """
     node = F.struct(F.col(memory_col).alias("memory"), F.col(pos_col).alias("pos"),
                     *[F.col(c) for c in nodes.columns if c not in (memory_col, pos_col)])
     kind = _common(df.select(need.alias("n")).schema["n"].dataType, nodes.schema[memory_col].dataType)
-    node_type = nodes.select(node.alias("n")).schema["n"].dataType
+    caps = nodes.where(F.col(memory_col).isNotNull()).groupBy(F.col(memory_col).cast(kind).alias("_cap")).agg(F.min(node).alias(out_col))
     needs = df.select(need.cast(kind).alias("_v")).where(F.col("_v").isNotNull()).distinct()
-    probes = needs.select("_v", F.lit(1).alias("_kind"), F.lit(None).cast(node_type).alias("_node"))
-    cands = nodes.where(F.col(memory_col).isNotNull()).select(F.col(memory_col).cast(kind).alias("_v"), F.lit(0).alias("_kind"), node.alias("_node"))
-    both = probes.unionByName(cands)
-    bucket = -quantile_bucket(both, "_v", rows_per_bucket)
-    found = running_extreme(both, [], F.col("_v").desc(), F.col("_node"), out_col, "min", include_current=True,
+    both = needs.select("_v", F.lit(1).alias("_kind")).unionByName(caps.select(F.col("_cap").alias("_v"), F.lit(0).alias("_kind")))
+    if rows_per_bucket:
+        bucket = -quantile_bucket(both, "_v", rows_per_bucket)
+    else:
+        both, bucket = ranged(both, F.col("_v").desc()), F.col("_range")
+    found = running_extreme(both, [], F.col("_v").desc(), F.when(F.col("_kind") == 0, F.col("_v")), "_cap", "min", include_current=True,
                             bucket=bucket, tie_cols=["_kind"])
-    answers = found.where(F.col("_kind") == 1).select("_v", out_col)
+    answers = found.where((F.col("_kind") == 1) & F.col("_cap").isNotNull()).select("_v", "_cap").join(caps, "_cap").drop("_cap")
     return df.withColumn("_v", need.cast(kind)).join(answers, "_v", "left").drop("_v")
 
 
@@ -134,3 +142,41 @@ def peak_step_usage(live: DataFrame, cost: DataFrame, step_col: str = "step", si
     per_step = per_step.withColumn("usage", F.col("live") + F.col("cost"))
     peak = per_step.agg(F.coalesce(F.max("usage"), F.lit(0)).alias("peak")).scalar()
     return per_step.withColumn("peak", peak)
+
+
+def interval_usage(intervals: DataFrame, start_col: str, end_col: str, size_col: str) -> DataFrame:
+    """G4 by a sweep line: ``(at, usage)``, the total size of the live items at every time it changes.
+
+    An item is live from its start up to its end, the end included (ends are the last
+    time, so that an item whose start is its end counts there). Items with a
+    missing bound or size, or an end before the start, never live.
+
+    Each item is two changes, not one row per time between: its size at the start, and
+    its size taken off right after the end. Changes of equal times are added up, the
+    times are sorted into ranges, and a running sum within a range starts from
+    the total of the ranges before: one row per range.
+    """
+    live = intervals.where(F.col(start_col) <= F.col(end_col)).where(F.col(size_col).isNotNull())
+    changes = live.select(F.explode(F.array(
+        F.struct(F.col(start_col).alias("at"), F.lit(0).alias("after"), F.col(size_col).alias("change")),
+        F.struct(F.col(end_col).alias("at"), F.lit(1).alias("after"), (-F.col(size_col)).alias("change")))).alias("x")).select("x.*")
+    checkpoint_root(intervals.sparkSession)
+    times = changes.groupBy("at", "after").agg(F.sum("change").alias("change"))
+    ranged = times.repartitionByRange("at", "after").sortWithinPartitions("at", "after").withColumn("_range", F.spark_partition_id()).checkpoint()
+    order = Window.partitionBy("_range").orderBy("at", "after").rowsBetween(Window.unboundedPreceding, 0)
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    totals = ranged.groupBy("_range").agg(F.sum("change").alias("_total")).select("_range", F.coalesce(F.sum("_total").over(before), F.lit(0)).alias("_before"))
+    swept = ranged.withColumn("_own", F.sum("change").over(order)).join(F.broadcast(totals), "_range")
+    # After an end nothing new is live: the time itself has the usage before it.
+    return swept.select("at", "after", (F.col("_before") + F.col("_own")).alias("usage"))
+
+
+def peak_interval_usage(intervals: DataFrame, start_col: str, end_col: str, size_col: str) -> DataFrame:
+    """G4 over intervals: one row ``(peak, at)``, the highest total size of live items and the first time it is reached.
+
+    Without live items the peak is 0 and ``at`` NULL. Sizes that are integers or decimals
+    are added exactly.
+    """
+    usage = interval_usage(intervals, start_col, end_col, size_col).where("after = 0")
+    best = usage.agg(F.max("usage").alias("peak"), F.min_by("at", F.struct((-F.col("usage")).alias("u"), "at")).alias("at"))
+    return best.select(F.coalesce("peak", F.lit(0)).alias("peak"), "at")

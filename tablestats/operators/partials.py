@@ -16,20 +16,29 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tablestats.operators.columns import INTEGRAL, value
+from tablestats.operators.exact import exact_partials, merged_sum
 
 PARTIAL_DDL = ("total_sum double, item_count bigint, min_value double, max_value double, "
                "frequency_map map<string,bigint>")
 
 
-def partials_by(df: DataFrame, node_col: str, value_col: str) -> DataFrame:
-    """One partial per value of ``node_col`` (the reference's per-node chunk)."""
+def partials_by(df: DataFrame, node_col: str, value_col: str, exact: bool = False) -> DataFrame:
+    """One partial per value of ``node_col`` (the reference's per-node chunk).
+
+    With ``exact`` a partial also carries its sum as integer limbs (``exact``), so
+    that the merged sum is the same however the values were dealt to nodes.
+    """
     v = value(df, value_col).cast("double")
-    return df.groupBy(node_col).agg(
+    out = df.groupBy(node_col).agg(
         F.coalesce(F.sum(v), F.lit(0.0)).alias("total_sum"),
         F.count(v).alias("item_count"),
         F.min(v).alias("min_value"),
         F.max(v).alias("max_value"),
     )
+    if not exact:
+        return out
+    limbs = exact_partials(df, value_col, node_col).withColumnRenamed(node_col, "_node")
+    return out.join(limbs, out[node_col].eqNullSafe(limbs["_node"]), "left").drop("_node")
 
 
 def partials_by_task(df: DataFrame, value_col: str) -> DataFrame:
@@ -57,6 +66,7 @@ def merge_partials(partials: DataFrame, frequencies: DataFrame | None = None, k:
     With ``frequencies`` (long rows ``(key, count)``), or if the partials carry a
     ``frequency_map``, the report ends in ``most_common``: the ``k`` most frequent
     keys of all partials together, as an array of (item, frequency) in that order.
+    If the partials carry ``limbs``, sum and average are the exact ones, rounded once.
     """
     cnt = F.coalesce(F.sum("item_count"), F.lit(0)).cast("bigint")
     total = F.coalesce(F.sum("total_sum"), F.lit(0.0))
@@ -68,6 +78,10 @@ def merge_partials(partials: DataFrame, frequencies: DataFrame | None = None, k:
         F.when(has, F.min("min_value")).alias("overall_minimum"),
         F.when(has, F.max("max_value")).alias("overall_maximum"),
     )
+    if "limbs" in partials.columns:
+        exact = merged_sum(partials).scalar()
+        n = F.col("total_records_processed")
+        report = report.withColumn("overall_sum", exact).withColumn("overall_average", F.when(n > 0, F.col("overall_sum") / n).otherwise(F.lit(0.0)))
     if frequencies is None and "frequency_map" in partials.columns:
         frequencies = partials
     if frequencies is None:

@@ -13,6 +13,11 @@ Semantics (fixed by the source programs and their pandas twins):
   counting as a value; all-NULL and single-row columns are constant.
 * Sums of integer columns are exact (``decimal(38,0)``), since ANSI ``sum`` of
   ``bigint`` raises on overflow and the source language has unbounded ints.
+* Integers of any length, held as text in columns marked by the reader (``bigints``),
+  are summed and compared as integers; sums, minima and maxima come back as text.
+* Sums of doubles depend on the order they are added in, in the last digits; with
+  ``exact=True`` sum, mean and deviation are those of ``exact``: rounded once, the same
+  for any partitioning.
 """
 
 from __future__ import annotations
@@ -20,7 +25,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tablestats.operators.columns import is_integral, resolve, value, value_sql
+from tablestats.operators.bigints import big_digits, big_extreme, big_mean, big_sum
+from tablestats.operators.columns import FRACTIONAL, is_integral, resolve, value, value_sql
+from tablestats.operators.exact import exact_columns
 
 DEFAULT_THRESHOLD = 20
 
@@ -30,6 +37,8 @@ def _rows() -> Column:
 
 
 def sum_expr(df: DataFrame, c: str) -> Column:
+    if digits := big_digits(df, c):
+        return big_sum(F.col(c), digits)
     v = value(df, c)
     if is_integral(df, c):
         return F.sum(v.cast("decimal(38,0)"))
@@ -37,6 +46,8 @@ def sum_expr(df: DataFrame, c: str) -> Column:
 
 
 def mean_expr(df: DataFrame, c: str) -> Column:
+    if digits := big_digits(df, c):
+        return big_mean(F.col(c), digits)
     return F.avg(value(df, c).cast("double"))
 
 
@@ -69,33 +80,56 @@ def _wide(df: DataFrame, cols, make) -> DataFrame:
     return df.agg(*[make(c).alias(c) for c in cols])
 
 
-def column_sum(df: DataFrame, cols=None, strict: bool = False) -> DataFrame:
+def _exactly(df: DataFrame, cols: list[str], field: str, make) -> DataFrame:
+    """One row: ``field`` of the exact statistics for floating columns, ``make`` for the others, in the order of ``cols``."""
+    if not cols:
+        raise ValueError("no columns of a suitable type to aggregate")
+    floating = [c for c in cols if isinstance(df.schema[c].dataType, FRACTIONAL)]
+    others = [c for c in cols if c not in floating]
+    if not floating:
+        return _wide(df, cols, make)
+    out = exact_columns(df, floating, field)
+    if others:
+        rest = df.agg(F.struct(*[make(c).alias(c) for c in others]).alias("s")).scalar()
+        out = out.withColumn("_rest", rest).select(*[F.col(c) if c in floating else F.col("_rest")[c].alias(c) for c in cols])
+    return out
+
+
+def column_sum(df: DataFrame, cols=None, strict: bool = False, exact: bool = False) -> DataFrame:
     """One row, one sum per column, named like the column (the header echo)."""
-    cols = resolve(df, cols, strict)
-    return _wide(df, cols, lambda c: sum_expr(df, c))
+    cols = resolve(df, cols, strict, big_ok=True)
+    make = lambda c: sum_expr(df, c)
+    return _exactly(df, cols, "sum", make) if exact else _wide(df, cols, make)
 
 
-def column_mean(df: DataFrame, cols=None, strict: bool = False) -> DataFrame:
+def column_mean(df: DataFrame, cols=None, strict: bool = False, exact: bool = False) -> DataFrame:
     """Mean per column."""
-    cols = resolve(df, cols, strict)
-    return _wide(df, cols, lambda c: mean_expr(df, c))
+    cols = resolve(df, cols, strict, big_ok=True)
+    make = lambda c: mean_expr(df, c)
+    return _exactly(df, cols, "mean", make) if exact else _wide(df, cols, make)
+
+
+def _extreme(df: DataFrame, c: str, largest: bool) -> Column:
+    return big_extreme(F.col(c), largest) if big_digits(df, c) else (F.max if largest else F.min)(value(df, c))
 
 
 def column_min(df: DataFrame, cols=None, strict: bool = False) -> DataFrame:
     """D3: minimum per column; integer columns keep their type."""
-    cols = resolve(df, cols, strict, text_ok=True)
-    return _wide(df, cols, lambda c: F.min(value(df, c)))
+    cols = resolve(df, cols, strict, text_ok=True, big_ok=True)
+    return _wide(df, cols, lambda c: _extreme(df, c, False))
 
 
 def column_max(df: DataFrame, cols=None, strict: bool = False) -> DataFrame:
     """Maximum per column."""
-    cols = resolve(df, cols, strict, text_ok=True)
-    return _wide(df, cols, lambda c: F.max(value(df, c)))
+    cols = resolve(df, cols, strict, text_ok=True, big_ok=True)
+    return _wide(df, cols, lambda c: _extreme(df, c, True))
 
 
-def column_std_pop(df: DataFrame, cols=None, strict: bool = False) -> DataFrame:
+def column_std_pop(df: DataFrame, cols=None, strict: bool = False, exact: bool = False) -> DataFrame:
     """Population standard deviation per column (one row gives 0.0)."""
     cols = resolve(df, cols, strict)
+    if exact:
+        return exact_columns(df, cols, "std_pop") if cols else _wide(df, cols, None)
     return _wide(df, cols, lambda c: std_pop_expr(df, c))
 
 

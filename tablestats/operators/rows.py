@@ -1,10 +1,12 @@
-"""Casts, filters and per-row reshaping. All are narrow (no shuffle)."""
+"""Casts, filters and per-row reshaping. All but the ragged lists are narrow (no shuffle)."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tablestats.operators.chunks import _PLACED, POSITION, with_row_index
+
 
 def cast_numeric_strict(df: DataFrame, cols=None) -> DataFrame:
     """B1: every cell ``float(x)``; a cell that is not a number raises (ANSI cast)."""
@@ -39,6 +41,32 @@ def filter_above(df: DataFrame, cols, threshold, ids=(), name_col: str = "col_na
     return long.where(v.isNotNull() & ~F.isnan(v) & (v > F.lit(threshold)))
 
 
+def filter_above_lists(df: DataFrame, cols, threshold, order_by, ids=(), name_col: str = "col_name", pos_col: str = "pos", value_col: str = "v",
+                       block_rows: int | None = None) -> DataFrame:
+    """B4 as the ragged lists themselves: per column, the values strictly above ``threshold`` in row order.
+
+    ``(ids..., col_name, pos, v)``: ``pos`` is the value's 0-based place in its
+    column's filtered list; rows are in ``order_by`` order, by default (None) in input order.
+
+    Row numbers cut the table into blocks of ``block_rows`` rows (about the square root of the
+    row count). A value's place is its place among the passing values of its column and block,
+    plus those of the blocks before: windows over at most a block's rows, and over one row per
+    block. Only passing values are shuffled, once.
+    """
+    plain = df.select(*ids, *[c for c in cols if c not in ids], *[c for c in POSITION if c in df.columns])
+    indexed = with_row_index(plain if order_by is not None or not hasattr(df, _PLACED) else df, order_by, "_row", "_rows")
+    size = F.lit(block_rows) if block_rows else F.greatest(F.ceil(F.sqrt(F.col("_rows"))), F.lit(1))
+    rows = indexed.withColumn("_at", F.floor(F.col("_row") / size).cast("bigint"))
+    long = filter_above(rows, cols, threshold, [*ids, "_row", "_at"], name_col, value_col)
+    block, column = Window.partitionBy(name_col, "_at"), Window.partitionBy(name_col)
+    long = long.withColumn("_in", F.row_number().over(block.orderBy("_row")))
+    # Counted on the rows that are already dealt out by column and block.
+    held = long.groupBy(name_col, "_at").agg(F.max("_in").cast("bigint").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(column.orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = held.select(name_col, "_at", before.alias("_before"))
+    return long.join(starts, [name_col, "_at"]).select(*ids, name_col, (F.col("_before") + F.col("_in") - 1).alias(pos_col), value_col)
+
+
 def row_length_filter(df: DataFrame, cells_col: str, length: int) -> DataFrame:
     """Keep rows whose cell list has exactly ``length`` entries."""
     return df.where(F.size(cells_col) == F.lit(length))

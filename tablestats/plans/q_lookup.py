@@ -75,3 +75,16 @@ def q_peak_step_usage(spark, sf_dir):
     cost = table(spark, sf_dir, "orders").select(F.to_date("o_orderdate").alias("step"),
                                                  F.col("o_totalprice").alias("bytes"), "o_orderkey")
     return tidy(L.peak_step_usage(live, cost, cost_order_col="o_orderkey"))
+
+
+# A line is live from its order's date to its shipping date.
+@register("peak_interval_usage", "WITH i AS (SELECT CAST(o_orderdate AS DATE) AS s, CAST(l_shipdate AS DATE) AS e, CAST(l_quantity AS BIGINT) AS z "
+          "FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE CAST(o_orderdate AS DATE) <= CAST(l_shipdate AS DATE)), "
+          "c AS (SELECT t, after, sum(change) AS change FROM (SELECT s AS t, 0 AS after, z AS change FROM i UNION ALL SELECT e, 1, -z FROM i) GROUP BY t, after), "
+          "u AS (SELECT t, after, sum(change) OVER (ORDER BY t, after) AS usage FROM c) "
+          "SELECT usage::BIGINT AS peak, t AS \"at\" FROM u WHERE after = 0 ORDER BY usage DESC, t LIMIT 1")
+def q_peak_interval_usage(spark, sf_dir):
+    """G4 over intervals by a sweep line."""
+    li = table(spark, sf_dir, "lineitem").select("l_orderkey", F.to_date("l_shipdate").alias("until"), F.col("l_quantity").cast("bigint").alias("size"))
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.to_date("o_orderdate").alias("since"))
+    return L.peak_interval_usage(li.join(o, "l_orderkey"), "since", "until", "size")

@@ -40,6 +40,15 @@ def q_filter_above(spark, sf_dir):
     return R.filter_above(li, LINEITEM_NUMERIC, 20, ids=["l_orderkey", "l_linenumber"])
 
 
+@register("filter_above_lists", " UNION ALL ".join(
+    f"SELECT '{c}' AS col_name, row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, {c}) - 1 AS pos, {c}::double AS v FROM lineitem "
+    f"WHERE NOT isnan({c}) AND {c} > 20" for c in LINEITEM_NUMERIC))
+def q_filter_above_lists(spark, sf_dir):
+    """B4 as lists: every passing value with its place in its column's filtered list."""
+    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", *LINEITEM_NUMERIC)
+    return R.filter_above_lists(li, LINEITEM_NUMERIC, 20, ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"])
+
+
 @register("numeric_columns", "SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, l_quantity, l_extendedprice, "
                              "l_discount, l_tax FROM lineitem")
 def q_numeric_columns(spark, sf_dir):

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tablestats.operators import profile as P
+from tablestats.operators.chunks import POSITION, chunk_rows, row_slice
 from tablestats.operators.correlation import correlation_matrix
 from tablestats.plans.registry import register
 from tablestats.plans.tables import table
@@ -50,6 +51,50 @@ def q_csv_declared(spark, sf_dir):
     return TT.read_table(spark, _written(spark, c, "customer-csv"), "c_custkey int, c_name string, c_nationkey int, c_acctbal double", exact=True, strict=True)
 
 
+# A number of 45 digits per order, negative for every third: 23 digits before, 22 digits of the key behind.
+_HIGH = "98765432109876543210987"
+_BIG_SIGN = "CASE WHEN o_orderkey % 3 = 0 THEN -1 ELSE 1 END"
+
+
+def _big_text(high, low):
+    """SQL text of high * 10^22 + low for a HUGEINT pair of equal sign."""
+    carry = f"(({high}) + ({low}) // 10000000000000000000000::HUGEINT)"
+    return f"({carry})::VARCHAR || lpad((abs({low}) % 10000000000000000000000::HUGEINT)::VARCHAR, 22, '0')"
+
+
+@register("csv_big_sum", f"WITH s AS (SELECT sum(({_BIG_SIGN}) * {_HIGH}::HUGEINT) AS h, sum(({_BIG_SIGN}) * o_orderkey::HUGEINT) AS l, sum(o_custkey) AS k, "
+          "max(o_orderkey) FILTER (WHERE o_orderkey % 3 = 0) AS least, max(o_orderkey) FILTER (WHERE o_orderkey % 3 <> 0) AS most FROM orders) "
+          f"SELECT {_big_text('h', 'l')} AS total, '-{_HIGH}' || lpad(least::VARCHAR, 22, '0') AS smallest, '{_HIGH}' || lpad(most::VARCHAR, 22, '0') AS largest, k::DECIMAL(38, 0) AS keys FROM s")
+def q_csv_big_sum(spark, sf_dir):
+    """D1, D3 and D4 of a CSV column of 45-digit integers, as the exact mode reads it."""
+    o = table(spark, sf_dir, "orders")
+    big = F.concat(F.when(F.col("o_orderkey") % 3 == 0, "-").otherwise(""), F.lit(_HIGH), F.lpad(F.col("o_orderkey").cast("string"), 22, "0"))
+    df = TT.read_table(spark, _written(spark, o.select(big.alias("big"), "o_custkey"), "big-csv"), exact=True)
+    whole = P.column_sum(df).select(F.col("big").alias("total"), F.col("o_custkey").alias("keys"))
+    low, high = P.column_min(df).select("big").scalar(), P.column_max(df).select("big").scalar()
+    return whole.select("total", low.alias("smallest"), high.alias("largest"), "keys")
+
+
+_CSV_CHUNKS = 7
+
+
+@register("csv_chunks", "SELECT o_orderkey, o_totalprice, row_index, row_index // CAST(ceil(n / least(7, n)) AS BIGINT) AS chunk_id FROM "
+          "(SELECT *, row_number() OVER (ORDER BY o_orderkey) - 1 AS row_index, count(*) OVER () AS n FROM orders)")
+def q_csv_chunks(spark, sf_dir):
+    """E2 on a CSV table in input order, by the places of its lines: nothing is sorted."""
+    path = _written(spark, table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice"), "orders-csv", order_by="o_orderkey")
+    return chunk_rows(TT.read_table(spark, path, "o_orderkey bigint, o_totalprice double", exact=True), _CSV_CHUNKS, None)
+
+
+@register("csv_slice", "SELECT o_orderkey, (row_index - 5) // 3 AS slice_pos FROM (SELECT *, row_number() OVER (ORDER BY o_orderkey) - 1 AS row_index, count(*) OVER () AS n FROM orders) "
+          "WHERE row_index BETWEEN 5 AND n - 11 AND (row_index - 5) % 3 = 0")
+def q_csv_slice(spark, sf_dir):
+    """B9 on a CSV table, rows [5:-10:3] in input order."""
+    path = _written(spark, table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), "orders-csv", order_by="o_orderkey")
+    df = TT.read_table(spark, path, exact=True, positions=True).select("o_orderkey", *POSITION)
+    return row_slice(df, None, 5, -10, 3).select("o_orderkey", "slice_pos")
+
+
 # SQL twins of cells.infer_cell (DuckDB: regexp_replace needs 'g' to replace every match).
 def _strip_sql(c):
     return f"regexp_replace({c}, '{CE.STRIP_RE}', '', 'g')"
@@ -94,7 +139,7 @@ def q_infer_cell_type(spark, sf_dir):
           "WHEN count(*) FILTER (WHERE kind = 'int' AND TRY_CAST(plain AS BIGINT) IS NULL) > 0 THEN 'decimal(38,0)' ELSE 'bigint' END AS col_type "
           "FROM k GROUP BY pos")
 def q_infer_schema_profile(spark, sf_dir):
-    prof = CE.infer_schema_profile(_part_cells(spark, sf_dir))
+    prof = CE.infer_schema_profile(_part_cells(spark, sf_dir)).drop("digits")
     return prof.withColumn("pos", F.col("pos").cast("bigint"))
 
 

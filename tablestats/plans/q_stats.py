@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 from tablestats.operators import chunks as C
 from tablestats.operators import partials as PM
 from tablestats.operators.correlation import correlation_matrix
+from tablestats.operators.exact import exact_correlation, exact_statistics
+from tablestats.operators.heavy import heavy_hitters
 from tablestats.operators.zscore import zscore
 from tablestats.plans.registry import register, rnd, rnd_fixed
-from tablestats.plans.tables import CONST_COL, LINEITEM_NUMERIC, table, tidy
+from tablestats.plans.tables import CONST_COL, LINEITEM_NUMERIC, sig_round, table, tidy
 
 COLS = LINEITEM_NUMERIC + [CONST_COL]
 _T = ("t AS (SELECT l_orderkey, l_linenumber, " + ", ".join(
@@ -134,6 +136,51 @@ def q_frequency_top5(spark, sf_dir):
     return PM.merge_frequencies(PM.frequency_partials_by_task(table(spark, sf_dir, "events"), "event_type"), k=5)
 
 
+# Seven keys hold a third of the rows, every other row has a key of its own.
+_HOT_KEY = "CASE WHEN l_orderkey % 3 = 0 THEN concat('s', CAST(l_suppkey % 7 AS {text})) ELSE concat(CAST(l_orderkey AS {text}), '-', CAST(l_linenumber AS {text})) END"
+
+
+@register("heavy_hitters", f"SELECT {_HOT_KEY.format(text='VARCHAR')} AS item, count(*) AS frequency FROM lineitem GROUP BY 1 ORDER BY frequency DESC, item ASC LIMIT 5")
+def q_heavy_hitters(spark, sf_dir):
+    """D11 on a column of mostly distinct values: summaries per task, then an exact count of the candidates."""
+    return heavy_hitters(table(spark, sf_dir, "lineitem").select(F.expr(_HOT_KEY.format(text="STRING")).alias("key")), "key", 5)
+
+
+# Sums of doubles as whole numbers of 2^-60, which all these values are: exact in SQL too.
+_UNIT = 2.0**60
+
+
+def _exact_sql(c):
+    return f"((sum(({c} * {_UNIT!r})::HUGEINT))::VARCHAR::DOUBLE / {_UNIT!r})"
+
+
+#: Large and small numbers of both signs, by powers of two, so that sums in any order of doubles lose digits.
+_SWING = "l_extendedprice * CASE WHEN l_linenumber % 2 = 0 THEN 1048576.0{d} ELSE -0.0009765625{d} END"
+_EXACT = LINEITEM_NUMERIC + ["swing"]
+
+
+@register("exact_sums", "WITH t AS (SELECT " + ", ".join(f"CASE WHEN isnan({c}) THEN NULL ELSE {c} END AS {c}" for c in _EXACT)
+          + f" FROM (SELECT *, {_SWING.format(d='::DOUBLE')} AS swing FROM lineitem)) " + " UNION ALL ".join(
+              f"SELECT '{c}' AS col_name, count({c}) AS n, {_exact_sql(c)} AS sum, {_exact_sql(c)} / count({c}) AS mean, {rnd(f'stddev_pop({c})', 8)} AS std_pop FROM t" for c in _EXACT))
+def q_exact_sums(spark, sf_dir):
+    """D1, D2 and D5 without order dependence: sums and means are compared unrounded."""
+    li = table(spark, sf_dir, "lineitem").select(*LINEITEM_NUMERIC, F.expr(_SWING.format(d="D")).alias("swing"))
+    return exact_statistics(li).withColumn("std_pop", sig_round("std_pop", 8))
+
+
+@register("exact_merge", f"SELECT count(value) AS total_records_processed, {_exact_sql('value')} AS overall_sum, {_exact_sql('value')} / count(value) AS overall_average, "
+          "min(value) AS overall_minimum, max(value) AS overall_maximum FROM (SELECT CASE WHEN isnan(value) THEN NULL ELSE value END AS value FROM events)")
+def q_exact_merge(spark, sf_dir):
+    """D10 of one partial per user: the report is compared unrounded."""
+    return PM.merge_partials(PM.partials_by(table(spark, sf_dir, "events").select("user_id", "value"), "user_id", "value", exact=True))
+
+
+@register("exact_correlation", _holes_sql()[0])
+def q_exact_correlation(spark, sf_dir):
+    """D9 from exact sums, on columns with missing values."""
+    return tidy(exact_correlation(_holes(spark, sf_dir)), decimals=8)
+
+
 K_CHUNKS = 7
 _ORDERS_CHUNKED = ("o AS (SELECT *, row_number() OVER (ORDER BY o_orderkey) - 1 AS row_index, "
                    "count(*) OVER () AS n FROM orders), "

@@ -17,6 +17,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tablestats.operators.bigints import canonical
+from tablestats.operators.columns import BIG_INTEGER
+
 # Python's ASCII whitespace and number grammar for int() / float().
 WS = "[ \\t\\n\\x0B\\f\\r]"
 DIGITS = "[0-9]+(_[0-9]+)*"
@@ -26,9 +29,15 @@ SPECIAL_RE = f"^{WS}*[+-]?(?i:inf|infinity|nan){WS}*$"
 STRIP_RE = f"^{WS}+|{WS}+$"
 
 
+_WS_CHARS = " \t\n\x0b\f\r"
+# Plain cells, told without the whole grammar; Spark's casts read them as Python does.
+_PLAIN_INT = "^[+-]?[0-9]{1,18}$"
+_PLAIN_FLOAT = "^[+-]?[0-9]{1,17}([.][0-9]{1,17})?$"
+
+
 def py_strip(c: Column) -> Column:
     """``str.strip()`` for ASCII whitespace (Spark's ``trim`` only removes spaces)."""
-    return F.regexp_replace(c, STRIP_RE, "")
+    return F.trim(c, F.lit(_WS_CHARS))
 
 
 def _special(stripped: Column) -> Column:
@@ -38,20 +47,32 @@ def _special(stripped: Column) -> Column:
             .otherwise(F.lit(float("inf"))))
 
 
+#: Kinds of cells, as ``kind_code`` numbers them.
+INT, FLOAT, SPECIAL, STR = 1, 2, 3, 4
+
+
+def kind_code(c: Column) -> Column:
+    """The kind of a cell, each grammar tried once: int, float, inf or nan, text; NULL for NULL."""
+    return (F.when(c.isNull(), F.lit(None).cast("int")).when(c.rlike(INT_RE), INT).when(c.rlike(FLOAT_RE), FLOAT)
+            .when(c.rlike(SPECIAL_RE), SPECIAL).otherwise(STR))
+
+
 def infer_cell(c: Column) -> Column:
     """A2: the cell as ``struct(kind string, i bigint, d double, s string, n decimal(38,0))``."""
     stripped = py_strip(c)
-    plain = F.regexp_replace(stripped, "_", "")
-    is_int = c.rlike(INT_RE)
-    is_special = c.rlike(SPECIAL_RE)
-    is_float = c.rlike(FLOAT_RE) | is_special
-    kind = F.when(c.isNull(), F.lit(None)).when(is_int, F.lit("int")).when(is_float, F.lit("float")) \
-        .otherwise(F.lit("str"))
-    i = F.when(is_int, plain.try_cast("bigint"))
-    d = F.when(is_special & ~is_int, _special(stripped)).when(is_int | is_float, plain.try_cast("double"))
-    s = F.when(c.isNotNull() & ~is_int & ~is_float, stripped)
-    n = F.when(is_int, plain.try_cast("decimal(38,0)"))
-    return F.struct(kind.alias("kind"), i.alias("i"), d.alias("d"), s.alias("s"), n.alias("n"))
+    seen = F.struct(kind_code(c).alias("k"), stripped.alias("t"), F.replace(stripped, F.lit("_"), F.lit("")).alias("p"))
+
+    def of(x: Column) -> Column:
+        k, t, plain = x["k"], x["t"], x["p"]
+        return F.struct(
+            F.when(k == INT, F.lit("int")).when(k == STR, F.lit("str")).when(k.isNotNull(), F.lit("float")).alias("kind"),
+            F.when(k == INT, plain.try_cast("bigint")).alias("i"),
+            F.when(k == SPECIAL, _special(t)).when(k != STR, plain.try_cast("double")).alias("d"),
+            F.when(k == STR, t).alias("s"),
+            F.when(k == INT, plain.try_cast("decimal(38,0)")).alias("n"))
+
+    # A list of one, so that kind and text are worked out once for all five fields.
+    return F.transform(F.array(seen), of)[0]
 
 
 def infer_cells(cells: Column) -> Column:
@@ -59,47 +80,64 @@ def infer_cells(cells: Column) -> Column:
     return F.transform(cells, infer_cell)
 
 
+#: Sizes of an int cell: up to 64 bits, up to 38 digits, beyond.
+_SMALL, _BIG, _HUGE = 1, 2, 3
+
+
 def infer_schema_profile(df: DataFrame, cells_col: str = "cells") -> DataFrame:
     """A3: per column position, the number of int/float/str cells and the type to use.
 
-    Widest rule: any str, or an int of more than 38 digits -> string, else any
-    float -> double, else any int beyond 64 bits -> decimal(38,0), else bigint; so
-    no cell is lost. ``n_big`` and ``n_huge`` count the two kinds of long ints.
-    One aggregate keyed by position (p groups, partial aggregation per task).
+    Widest rule: any str -> string, else any float -> double (string beside an int of
+    more than 38 digits, so no cell is lost), else any int of more than 38 digits -> integer (text of
+    ``digits`` digits, see ``bigints``), else any beyond 64 bits -> decimal(38,0), else bigint.
+    ``n_big`` and ``n_huge`` count the two kinds of long ints. Each cell is classified once, nothing is
+    cast but ints of 19 digits and more; one aggregate keyed by position and class.
     """
     long = df.select(F.posexplode_outer(cells_col).alias("pos", "cell")).where(F.col("pos").isNotNull())
-    kinds = long.select("pos", infer_cell(F.col("cell")).alias("x"))
-    is_int = F.col("x.kind") == "int"
-    prof = kinds.groupBy("pos").agg(
-        F.count_if(is_int).alias("n_int"),
-        F.count_if(F.col("x.kind") == "float").alias("n_float"),
-        F.count_if(F.col("x.kind") == "str").alias("n_str"),
-        F.count_if(is_int & F.col("x.i").isNull() & F.col("x.n").isNotNull()).alias("n_big"),
-        F.count_if(is_int & F.col("x.n").isNull()).alias("n_huge"),
-    )
-    col_type = (F.when((F.col("n_str") > 0) | (F.col("n_huge") > 0), F.lit("string")).when(F.col("n_float") > 0, F.lit("double"))
+    cell = F.col("cell")
+    plain = F.replace(py_strip(cell), F.lit("_"), F.lit(""))
+    size = F.when(F.length(cell) < 19, _SMALL).when(plain.try_cast("bigint").isNotNull(), _SMALL).when(plain.try_cast("decimal(38,0)").isNotNull(), _BIG).otherwise(_HUGE)
+    coded = long.select("pos", "cell", F.when(cell.rlike(_PLAIN_INT), INT).otherwise(kind_code(cell)).alias("k"))
+    coded = coded.select("pos", "k", F.when(F.col("k") == INT, F.struct(size.alias("size"), F.length(F.regexp_replace(cell, "[^0-9]", "")).alias("digits"))).alias("x"))
+    counts = coded.groupBy("pos", "k", "x.size").agg(F.count(F.lit(1)).alias("n"), F.max("x.digits").alias("digits"))
+
+    def total(condition: Column, name: str) -> Column:
+        return F.coalesce(F.sum(F.when(condition, F.col("n"))), F.lit(0)).cast("bigint").alias(name)
+
+    k, size = F.col("k"), F.col("size")
+    prof = counts.groupBy("pos").agg(
+        total(k == INT, "n_int"), total(k.isin(FLOAT, SPECIAL), "n_float"), total(k == STR, "n_str"),
+        total((k == INT) & (size == _BIG), "n_big"), total((k == INT) & (size == _HUGE), "n_huge"), F.max("digits").alias("digits"))
+    huge = F.col("n_huge") > 0
+    col_type = (F.when((F.col("n_str") > 0) | huge & (F.col("n_float") > 0), F.lit("string")).when(huge, F.lit("integer")).when(F.col("n_float") > 0, F.lit("double"))
                 .when(F.col("n_big") > 0, F.lit("decimal(38,0)")).otherwise(F.lit("bigint")))
     return prof.withColumn("col_type", col_type)
 
 
 def typed_cell(cell: Column, kind: str) -> Column:
-    """A text cell as a value of a SQL type; NULL where it is not one."""
+    """A text cell as a value of a SQL type, or of ``integer``, canonical text of any length; NULL where it is not one."""
+    if kind == "integer":
+        return F.when(cell.rlike(INT_RE), canonical(cell))
+    if kind == "string":
+        return py_strip(cell)
     info = infer_cell(cell)
     if kind == "bigint":
-        return info["i"]
+        return F.when(cell.rlike(_PLAIN_INT), cell.try_cast("bigint")).otherwise(info["i"])
     if kind == "decimal(38,0)":
-        return info["n"]
+        return F.when(cell.rlike(_PLAIN_INT), cell.try_cast("decimal(38,0)")).otherwise(info["n"])
     if kind in ("int", "smallint", "tinyint"):
-        return info["n"].try_cast(kind)
+        return F.when(cell.rlike(_PLAIN_INT), cell.try_cast(kind)).otherwise(info["n"].try_cast(kind))
     if kind in ("double", "float"):
-        return info["d"].cast(kind)
-    return py_strip(cell) if kind == "string" else py_strip(cell).try_cast(kind)
+        return F.when(cell.rlike(_PLAIN_FLOAT), cell.try_cast("double")).otherwise(info["d"]).cast(kind)
+    return py_strip(cell).try_cast(kind)
 
 
 def typed_columns(df: DataFrame, names: list[str], types: list[str], cells_col: str = "cells",
-                  keep=(), strict: bool = False) -> DataFrame:
+                  keep=(), strict: bool = False, digits: dict | None = None) -> DataFrame:
     """Turn a cells array into typed, named columns (cell i -> ``names[i]``).
 
+    ``digits``: of ``integer`` columns, the most digits of a value, by position.
+
     Missing cells of short rows and empty cells of columns that are not text are
     NULL, extra cells are ignored. A cell that is not of its column's type is NULL,
     or raises with ``strict``.
@@ -111,5 +149,5 @@ def typed_columns(df: DataFrame, names: list[str], types: list[str], cells_col:
         if strict and kind != "string":
             wrong = F.concat(F.lit(f"column {name}: not {kind}: "), cell)
             v = F.when(v.isNull() & (py_strip(cell) != ""), F.raise_error(wrong).cast(kind)).otherwise(v)
-        out.append(v.alias(name))
+        out.append(v.alias(name, metadata={BIG_INTEGER: (digits or {})[k]}) if kind == "integer" else v.alias(name))
     return df.select(*out)

@@ -26,28 +26,35 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tablestats.operators.chunks import POSITION, placed
 from tablestats.sources.cells import infer_cell, infer_schema_profile, py_strip, typed_columns
 
 def _mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Lines with a flag on the first of each file."""
-    last: tuple = (None, None)
+    """Lines with their number in the block, and a flag on the first of each file."""
+    last, lines = (None, None), 0
     for b in batches:
+        n = b.num_rows
+        if not n:
+            continue
         path, block = b.column("file_path"), b.column("block")
-        at_start = pc.equal(block, 0).to_numpy(zero_copy_only=False)
-        new = np.ones(b.num_rows, bool)
-        if b.num_rows > 1:
-            same = pc.and_(pc.equal(path.slice(1), path.slice(0, b.num_rows - 1)), pc.equal(block.slice(1), block.slice(0, b.num_rows - 1)))
+        new = np.ones(n, bool)
+        if n > 1:
+            same = pc.and_(pc.equal(path.slice(1), path.slice(0, n - 1)), pc.equal(block.slice(1), block.slice(0, n - 1)))
             new[1:] = ~same.to_numpy(zero_copy_only=False)
-        if b.num_rows:
-            new[0] = (path[0].as_py(), block[0].as_py()) != last
-            last = (path[-1].as_py(), block[-1].as_py())
-        yield pa.RecordBatch.from_arrays([path, b.column("value"), pa.array(at_start & new)], ["file_path", "value", "is_header"])
+        new[0] = (path[0].as_py(), block[0].as_py()) != last
+        # Numbers start anew with each block; those of a block that goes on, where it stopped.
+        at = np.arange(n)
+        start = np.maximum.accumulate(np.where(new, at, -1))
+        line = np.where(start < 0, at + lines, at - start)
+        last, lines = (path[-1].as_py(), block[-1].as_py()), int(line[-1]) + 1
+        header = (line == 0) & pc.equal(block, 0).to_numpy(zero_copy_only=False)
+        yield pa.RecordBatch.from_arrays([path, block, pa.array(line, pa.int64()), b.column("value"), pa.array(header)], ["file_path", "block", "line", "value", "is_header"])
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """All lines with ``is_header`` (first line of its file) and ``file_path``; one pass."""
+    """All lines with ``is_header`` (first line of its file), ``file_path``, ``block`` and ``line``; one pass."""
     raw = spark.read.text(path).select(F.col("_metadata.file_path").alias("file_path"), F.col("_metadata.file_block_start").alias("block"), "value")
-    return raw.mapInArrow(_mark, "file_path string, value string, is_header boolean")
+    return raw.mapInArrow(_mark, "file_path string, block bigint, line bigint, value string, is_header boolean")
 
 
 def split_cells(line) -> F.Column:
@@ -70,15 +77,23 @@ def header_cells(spark: SparkSession, path: str) -> list[str]:
 
 
 def read_cells(spark: SparkSession, path: str, header: bool = True) -> DataFrame:
-    """Body lines as ``cells array<string>`` plus ``file_path``."""
+    """Body lines as ``cells array<string>`` plus ``file_path``.
+
+    ``chunks.with_row_index`` and what rests on it take the result in file order without a sort.
+    """
+    lines = _body(spark, path, header)
+    return placed(lines.select("file_path", "cells"), lines.select("file_path", "cells", *POSITION))
+
+
+def _body(spark: SparkSession, path: str, header: bool) -> DataFrame:
     lines = read_lines(spark, path)
-    if header:
-        lines = lines.where(~F.col("is_header"))
-    return lines.select("file_path", split_cells(F.col("value")).alias("cells"))
+    if header:  # a file's first block counts from the line after it
+        lines = lines.where(~F.col("is_header")).withColumn("line", F.col("line") - (F.col("block") == 0).cast("bigint"))
+    return lines.select("file_path", split_cells(F.col("value")).alias("cells"), F.col("file_path").alias("_file"), F.col("block").alias("_block"), F.col("line").alias("_line"))
 
 
 def read_table(spark: SparkSession, path: str, schema=None, exact: bool = False, header: bool = True,
-               strict: bool = False) -> DataFrame:
+               strict: bool = False, positions: bool = False) -> DataFrame:
     """A1: read a comma-separated table with a header row.
 
     ``schema`` (DDL string or StructType) is honoured in both modes and skips
@@ -86,26 +101,33 @@ def read_table(spark: SparkSession, path: str, schema=None, exact: bool = False,
     aggregate over the cells (a p-row result), so the text is read twice; with
     one, once. ``strict`` makes the fast mode fail on malformed lines, and the
     exact mode on rows of the wrong width and on cells that are not of their
-    column's type.
+    column's type. In exact mode rows know their place: chunks and slices in input
+    order of the result need no sort. ``positions`` keeps the place as columns
+    (``POSITION``), so that this also holds for a projection of the result.
     """
+    if positions and not exact:
+        raise ValueError("positions are known in exact mode only")
     if not exact:
         reader = spark.read.option("header", header).option("escape", '"').option("mode", "FAILFAST" if strict else "PERMISSIVE")
         reader = reader.schema(schema) if schema is not None else reader.option("inferSchema", True)
         return reader.csv(path)
-    body = read_cells(spark, path, header)
+    body = _body(spark, path, header)
+    digits = None
     if schema is not None:
         st = schema if isinstance(schema, T.StructType) else T.StructType.fromDDL(schema)
         names, types = [f.name for f in st.fields], [f.dataType.simpleString() for f in st.fields]
     else:
         names = header_cells(spark, path) if header else None
-        prof = {r.pos: r.col_type for r in infer_schema_profile(body).collect()}
+        found = infer_schema_profile(body).collect()
+        prof, digits = {r.pos: r.col_type for r in found}, {r.pos: r.digits for r in found}
         if names is None:
             names = [f"c{k}" for k in range(len(prof))]
         types = [prof.get(k, "string") for k in range(len(names))]
     if strict:
         body = body.withColumn("cells", F.when(F.size("cells") == len(names), F.col("cells"))
                                .otherwise(F.raise_error(F.lit("row width differs from the header")).cast("array<string>")))
-    return typed_columns(body, names, types, strict=strict)
+    whole = typed_columns(body, names, types, strict=strict, keep=POSITION, digits=digits)
+    return whole if positions else placed(whole.drop(*POSITION), whole)
 
 
 def matrix_layout(long: DataFrame, names: list[str], row: str = "col_i", col: str = "col_j", value: str = "corr") -> DataFrame:

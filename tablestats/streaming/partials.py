@@ -44,6 +44,18 @@ def current_report(spark: SparkSession, out_path: str, k: int = 5) -> DataFrame:
     return merge_partials(state.where("key IS NULL"), state.where("key IS NOT NULL").select("key", "count"), k)
 
 
+def _start(state: DataFrame, out_path: str, checkpoint_path: str, available_now: bool):
+    """The running query that writes the complete state at every trigger, the last two versions kept."""
+    def sink(batch: DataFrame, epoch_id: int) -> None:
+        spark = batch.sparkSession
+        batch.write.mode("overwrite").parquet(f"{out_path}/epoch={epoch_id}")
+        old = spark._jvm.org.apache.hadoop.fs.Path(f"{out_path}/epoch={epoch_id - 2}")
+        old.getFileSystem(spark._jsc.hadoopConfiguration()).delete(old, True)
+
+    writer = state.writeStream.outputMode("complete").option("checkpointLocation", checkpoint_path).foreachBatch(sink)
+    return (writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="10 seconds")).start()
+
+
 def stream_partials_merge(spark: SparkSession, source_dir: str, out_path: str, checkpoint_path: str,
                           available_now: bool = True, max_files_per_trigger: int | None = None, k: int = 5):
     """Fold every partial file in ``source_dir`` and return the merged report.
@@ -58,15 +70,55 @@ def stream_partials_merge(spark: SparkSession, source_dir: str, out_path: str, c
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
     folded = running_fold(reader.parquet(source_dir))
 
-    def sink(batch: DataFrame, epoch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{out_path}/epoch={epoch_id}")
-        old = spark._jvm.org.apache.hadoop.fs.Path(f"{out_path}/epoch={epoch_id - 2}")
-        old.getFileSystem(spark._jsc.hadoopConfiguration()).delete(old, True)
-
-    writer = folded.writeStream.outputMode("complete").option("checkpointLocation", checkpoint_path).foreachBatch(sink)
-    writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="10 seconds")
-    query = writer.start()
+    query = _start(folded, out_path, checkpoint_path, available_now)
     if not available_now:
         return query
     query.awaitTermination()
     return current_report(spark, out_path, k)
+
+
+#: Partials that may be sent again: ``version`` orders those of a node, the highest counts.
+VERSIONED_DDL = "node string, version bigint, " + PARTIAL_DDL
+_FIELDS = ["total_sum", "item_count", "min_value", "max_value", "frequency_map"]
+
+
+def latest_by_node(stream: DataFrame) -> DataFrame:
+    """State rows: of every node the partial with the highest version, whatever order they came in.
+
+    Of several with one version the largest by its numbers counts, so that the state does not depend on arrival.
+    """
+    maps = F.array_sort(F.map_entries("frequency_map"))
+    order = F.struct("version", *_FIELDS[:-1], maps.alias("entries"))
+    return stream.groupBy("node").agg(F.max("version").alias("version"), F.max_by(F.struct(*_FIELDS), order).alias("p")).select("node", "version", "p.*")
+
+
+def corrected_report(spark: SparkSession, out_path: str, k: int = 5) -> DataFrame:
+    """The merged report of every node's last partial, as of the last complete version of the state."""
+    try:
+        state = spark.read.parquet(out_path)
+        state = state.where(F.col("epoch") == state.agg(F.max("epoch")).first()[0])
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
+            raise
+        state = spark.createDataFrame([], VERSIONED_DDL)
+    counts = state.select(F.explode("frequency_map").alias("key", "count"))
+    return merge_partials(state.drop("frequency_map"), counts, k)
+
+
+def stream_corrected_partials(spark: SparkSession, source_dir: str, out_path: str, checkpoint_path: str,
+                              available_now: bool = True, max_files_per_trigger: int | None = None, k: int = 5):
+    """Fold partials that nodes may correct: one sent again replaces the node's earlier one.
+
+    The state, kept by Spark's state store, is one row per node, so a correction
+    needs no memory of what was added before; late files with an older version change
+    nothing. Every trigger writes the state as a new version (see ``stream_partials_merge``), and a query that is started again with the same
+    ``checkpoint_path`` goes on from it. Returns the report, or the running query with ``available_now=False``.
+    """
+    reader = spark.readStream.schema(VERSIONED_DDL)
+    if max_files_per_trigger:
+        reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
+    query = _start(latest_by_node(reader.parquet(source_dir)), out_path, checkpoint_path, available_now)
+    if not available_now:
+        return query
+    query.awaitTermination()
+    return corrected_report(spark, out_path, k)
