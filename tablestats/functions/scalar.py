@@ -22,20 +22,25 @@ def _c(x) -> Column:
 def _float_mod(a: Column, b: Column) -> Column:
     """Python's ``%`` on floats: the exact remainder with the divisor's sign."""
     a, b = a.cast("double"), b.cast("double")
-    m = a % b
-    fixed = F.when((m != 0) & ((m < 0) != (b < 0)), m + b).otherwise(m)
-    return F.when(fixed == 0, F.when(b < 0, F.lit(-0.0)).otherwise(F.lit(0.0))).otherwise(fixed)
+    def fixed(m: Column) -> Column:
+        # Zero takes the divisor's sign as well.
+        return F.when(m == 0, F.when(b < 0, F.lit(-0.0)).otherwise(F.lit(0.0))).when((m < 0) != (b < 0), m + b).otherwise(m)
+
+    return _once(a % b, fixed)
 
 
 def _float_floordiv(a: Column, b: Column) -> Column:
     """Python's ``//`` on floats: the exact remainder taken off, divided, rounded to the nearest integer."""
     a, b = a.cast("double"), b.cast("double")
-    m = a % b
-    d = (a - m) / b
-    d = F.when((m != 0) & ((m < 0) != (b < 0)), d - 1).otherwise(d)
-    # From 2^52 on a double is whole (and may be too large for a long).
-    whole = F.when(F.abs(d) >= 2.0**52, d).otherwise(F.floor(F.when(F.abs(d) < 2.0**52, d)).cast("double"))
-    return F.when(d - whole > 0.5, whole + 1).otherwise(whole)
+
+    def quotient(m: Column) -> Column:
+        return (a - m) / b - F.when((m != 0) & ((m < 0) != (b < 0)), F.lit(1.0)).otherwise(F.lit(0.0))
+
+    def whole(d: Column) -> Column:
+        # From 2^52 on a double is whole (and may be too large for a long).
+        return F.when(F.abs(d) >= 2.0**52, d).otherwise(F.floor(F.when(F.abs(d) < 2.0**52, d)).cast("double"))
+
+    return _once(_once(a % b, quotient), lambda d: F.when(d - whole(d) > 0.5, whole(d) + 1).otherwise(whole(d)))
 
 
 def py_floordiv(a, b, integral: bool = True) -> Column:
@@ -45,9 +50,15 @@ def py_floordiv(a, b, integral: bool = True) -> Column:
     a, b = _c(a), _c(b)
     if not integral:
         return _float_floordiv(a, b)
-    trunc = _div(a, b)
-    adjust = (F.when((a % b != 0) & ((a < 0) != (b < 0)), F.lit(1)).otherwise(F.lit(0))).cast("long")
-    return trunc - adjust
+    def floored(q: Column) -> Column:
+        return F.when(((a < 0) != (b < 0)) & (q * b.cast("long") != a), q - 1).otherwise(q)
+
+    return _once(_div(a, b), floored)
+
+
+def _once(x: Column, use) -> Column:
+    """``use(x)`` with ``x`` worked out once per row, however often it is used."""
+    return F.transform(F.array(x), use)[0]
 
 
 def _div(a: Column, b: Column) -> Column:
@@ -56,7 +67,7 @@ def _div(a: Column, b: Column) -> Column:
 
 
 def py_mod(a, b, integral: bool = True) -> Column:
-    """``a % b`` with the divisor's sign: ``a - b * (a // b)``.
+    """``a % b`` with the divisor's sign, from one remainder.
 
     Not ``pmod``: that one stays non-negative for a negative divisor
     (``pmod(4, -5) = 4``, Python gives -1).
@@ -64,7 +75,8 @@ def py_mod(a, b, integral: bool = True) -> Column:
     a, b = _c(a), _c(b)
     if not integral:
         return _float_mod(a, b)
-    return a.cast("long") - b.cast("long") * py_floordiv(a, b)
+    whole = b.cast("long")
+    return _once(a.cast("long") % whole, lambda m: F.when((m != 0) & ((m < 0) != (whole < 0)), m + whole).otherwise(m))
 
 
 def py_pow(a, b, integral: bool = False) -> Column:
@@ -72,13 +84,22 @@ def py_pow(a, b, integral: bool = False) -> Column:
     exact, ``decimal(38,0)``, by repeated squaring; more than 38 digits raise under ANSI."""
     if not integral:
         return F.pow(_c(a), _c(b))
-    n, power = _c(b).cast("int"), _c(a).cast("decimal(38,0)")
-    out = F.when(n < 0, F.raise_error(F.lit("integer power with a negative exponent")).cast("decimal(38,0)")).otherwise(F.lit(1).cast("decimal(38,0)"))
-    for k in range(7):
+    kind, base = "decimal(38,0)", _c(a).cast("decimal(38,0)")
+    if isinstance(b, int) and 1 <= b <= 8:
+        out = base
+        for _ in range(b - 1):
+            out = (out * base).cast(kind)
+        return out
+    n = _c(b).cast("int")
+    one = F.when(n < 0, F.raise_error(F.lit("integer power with a negative exponent")).cast(kind)).otherwise(F.lit(1).cast(kind))
+
+    def step(s: Column, bit: Column) -> Column:
         # A square is only taken where the exponent needs it, so it cannot overflow for nothing.
-        out = F.when(n.bitwiseAND(F.lit(1 << k)) != 0, (out * power).cast("decimal(38,0)")).otherwise(out)
-        power = F.when(n >= 1 << (k + 1), (power * power).cast("decimal(38,0)"))
-    return out
+        return F.struct(F.when(n.bitwiseAND(bit) != 0, (s["out"] * s["power"]).cast(kind)).otherwise(s["out"]).alias("out"),
+                        F.when(n >= 2 * bit, (s["power"] * s["power"]).cast(kind)).alias("power"))
+
+    bits = F.array(*[F.lit(1 << k) for k in range(7)])
+    return F.aggregate(bits, F.struct(one.alias("out"), base.alias("power")), step)["out"]
 
 
 def py_round(x) -> Column:

@@ -47,7 +47,7 @@ def _order_cols(df: DataFrame, order_by) -> list[Column]:
     return [F.col(c) if isinstance(c, str) else c for c in order_by]
 
 
-def with_row_index(df: DataFrame, order_by, index_col: str = "row_index", total_col: str | None = None) -> DataFrame:
+def with_row_index(df: DataFrame, order_by, index_col: str = "row_index", total_col: str | None = None, within=None) -> DataFrame:
     """Add the 0-based position of each row in ``order_by`` order.
 
     ``order_by`` should be a total order (add key columns to break ties);
@@ -55,13 +55,15 @@ def with_row_index(df: DataFrame, order_by, index_col: str = "row_index", total_
     position, like a list index. That input position is also
     the last sort key, so the range partitioner can put boundaries inside a
     hot key value instead of sending all its rows to one task.
-    ``total_col`` optionally adds the table's row count to every row.
+    ``total_col`` optionally adds the table's row count to every row. ``within``, a
+    function of the row count, gives the indices (first, end) that are of interest: in input order
+    whole Parquet files outside them are not read and their rows are left out.
     """
     if order_by is None:
         at = getattr(df, _PLACED, df)
         if set(POSITION) <= set(at.columns):
             return _by_block_position(at, index_col, total_col)
-        if (found := _by_file_position(df, index_col, total_col)) is not None:
+        if (found := _by_file_position(df, index_col, total_col, within)) is not None:
             return found
     checkpoint_root(df.sparkSession)
     tie = df.withColumn("_tie", F.monotonically_increasing_id())
@@ -120,7 +122,7 @@ def _by_block_position(df: DataFrame, index_col: str, total_col: str | None) ->
     return out.drop(*POSITION, "_f", "_b", "_off")
 
 
-def _by_file_position(df: DataFrame, index_col: str, total_col: str | None) -> DataFrame | None:
+def _by_file_position(df: DataFrame, index_col: str, total_col: str | None, within=None) -> DataFrame | None:
     """Input positions from the Parquet reader's own row numbers; None where ``df`` is not whole Parquet files."""
     own = [F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_at")]
     try:
@@ -142,6 +144,14 @@ def _by_file_position(df: DataFrame, index_col: str, total_col: str | None) -> D
     for r in rows:
         starts.append((r["_file"], total))
         total += r["_n"]
+    if within is not None:
+        first, end = within(total)
+        stops = [at for _, at in starts[1:]] + [total]
+        inside = [s for s, stop in zip(starts, stops) if s[1] < end and stop > first]
+        if len(inside) < len(starts):
+            # A condition on the path alone, which the scan applies to its list of files.
+            starts = inside
+            placed = df.where(F.col("_metadata.file_path").isin([f for f, _ in starts]) if starts else F.lit(False)).select("*", *own)
     offsets = df.sparkSession.createDataFrame(starts, "_file string, _off long")
     out = placed.join(F.broadcast(offsets), "_file").withColumn(index_col, F.col("_off") + F.col("_at"))
     if total_col:
@@ -177,11 +187,17 @@ def row_slice(df: DataFrame, order_by, lo=None, hi=None, step: int = 1, index_co
     """Rows ``[lo:hi:step]`` with Python slice semantics on the ordered table.
 
     Adds ``slice_pos``, the position in the sliced result (descending input
-    order for a negative step).
+    order for a negative step). In input order of Parquet files only the files that
+    hold rows of the slice are read.
     """
     if step == 0:
         raise ValueError("slice step cannot be zero")
-    indexed = with_row_index(df, order_by, index_col, total_col="_n")
+    def within(n: int) -> tuple[int, int]:
+        rows = range(n)[lo:hi:step]
+        return (min(rows[0], rows[-1]), max(rows[0], rows[-1]) + 1) if rows else (0, 0)
+
+    plain = all(x is None or isinstance(x, int) for x in (lo, hi))
+    indexed = with_row_index(df, order_by, index_col, total_col="_n", within=within if plain else None)
     start, stop = slice_bounds(F.col("_n"), lo, hi, step)
     idx = F.col(index_col)
     if step > 0:

@@ -2,15 +2,15 @@
 
 Images are read by Spark's ``image`` source (decoding happens on the
 executors; unreadable files are dropped). Grey conversion and the area
-resize run in an Arrow-batched pandas UDF with numpy per image - the only
-Python stage, since Spark has no function that turns image bytes into
-numbers.
+resize run in an Arrow UDF with numpy, on all images of one size in a batch at
+once - the only Python stage, since Spark has no function that turns image
+bytes into numbers.
 """
 
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -34,22 +34,31 @@ def _area_matrix(src: int, dst: int) -> np.ndarray:
     return w / scale
 
 
-def grey_resize(data: bytes, height: int, width: int, channels: int, size: int) -> list[float]:
-    """One image: bytes (BGR/BGRA/grey, row-major) -> S*S grey pixels."""
-    img = np.frombuffer(data, dtype=np.uint8).reshape(height, width, channels).astype(np.int64)
+def grey_resize_many(images: np.ndarray, size: int) -> np.ndarray:
+    """Images of one size, uint8 (n, height, width, channels; BGR, BGRA or grey) -> (n, S*S) grey pixels."""
+    n, height, width, channels = images.shape
     if channels == 1:
-        grey = img[:, :, 0]
+        grey = images[:, :, :, 0].astype(np.int64)
     else:
-        b, g, r = img[:, :, 0], img[:, :, 1], img[:, :, 2]
-        grey = (b * GREY_B + g * GREY_G + r * GREY_R + (1 << (GREY_SHIFT - 1))) >> GREY_SHIFT
+        # Whole numbers throughout: a weighted sum of the three planes, shifted.
+        grey = sum(images[:, :, :, k].astype(np.int64) * w for k, w in enumerate((GREY_B, GREY_G, GREY_R)))
+        grey = (grey + (1 << (GREY_SHIFT - 1))) >> GREY_SHIFT
     if height % size == 0 and width % size == 0:
         fy, fx = height // size, width // size
         area = fy * fx
-        sums = grey.reshape(size, fy, size, fx).sum(axis=(1, 3))
-        out = (sums + area // 2) // area
+        out = (grey.reshape(n, size, fy, size, fx).sum(axis=(2, 4)) + area // 2) // area
     else:
         out = np.rint(_area_matrix(height, size) @ grey.astype(np.float64) @ _area_matrix(width, size).T)
-    return [float(v) for v in np.clip(out, 0, 255).reshape(-1)]
+    return np.clip(out, 0, 255).reshape(n, -1).astype(np.float64)
+
+
+def grey_resize(data: bytes, height: int, width: int, channels: int, size: int) -> list[float]:
+    """One image: bytes (BGR/BGRA/grey, row-major) -> S*S grey pixels."""
+    return grey_resize_many(np.frombuffer(data, dtype=np.uint8).reshape(1, height, width, channels), size)[0].tolist()
+
+
+#: Bytes of images that are turned to numbers at once.
+STACK_BYTES = 32 << 20
 
 
 def image_pixels(spark: SparkSession, path: str, size: int = 32) -> DataFrame:
@@ -65,11 +74,22 @@ def image_pixels(spark: SparkSession, path: str, size: int = 32) -> DataFrame:
 
 
 def resized_pixels(data, height, width, channels, size: int):
-    """Grey pixels, resized to S x S, of raw image columns (bytes, height, width, channels)."""
-    @F.pandas_udf(T.ArrayType(T.DoubleType()))
-    def to_pixels(data: pd.Series, h: pd.Series, w: pd.Series, c: pd.Series) -> pd.Series:
-        return pd.Series([grey_resize(bytes(d), int(hh), int(ww), int(cc), size)
-                          for d, hh, ww, cc in zip(data, h, w, c)])
+    """Grey pixels, resized to S x S, of raw image columns (bytes, height, width, channels); NULL for a NULL image."""
+    @F.arrow_udf(T.ArrayType(T.DoubleType()))
+    def to_pixels(data: pa.Array, h: pa.Array, w: pa.Array, c: pa.Array) -> pa.Array:
+        there = np.flatnonzero(data.is_valid().to_numpy(zero_copy_only=False))
+        out = np.zeros((len(data), size * size))
+        shapes = np.stack([x.fill_null(0).to_numpy(zero_copy_only=False) for x in (h, w, c)], axis=1)[there]
+        kinds, of = np.unique(shapes, axis=0, return_inverse=True)
+        for k, shape in enumerate(kinds.tolist()):
+            rows = there[of.reshape(-1) == k]
+            step = max(1, STACK_BYTES // max(1, int(np.prod(shape))))
+            for some in (rows[i:i + step] for i in range(0, len(rows), step)):
+                joined = b"".join(data[int(i)].as_py() for i in some)
+                out[some] = grey_resize_many(np.frombuffer(joined, np.uint8).reshape(len(some), *shape), size)
+        held = np.isin(np.arange(len(data)), there)
+        ends = pa.array(np.concatenate([[0], np.cumsum(held * size * size)]).astype(np.int32))
+        return pa.ListArray.from_arrays(ends, pa.array(out[held].reshape(-1)), mask=pa.array(~held))
 
     return to_pixels(data, height, width, channels)
 

@@ -82,3 +82,21 @@ def test_splits_that_changed_are_told(spark, folder):
 def test_fast_mode_has_no_positions(spark, folder):
     with pytest.raises(ValueError):
         TT.read_table(spark, folder[0], positions=True)
+
+
+@pytest.mark.parametrize("cut", [(5, 105, 1), (-30, None, 7), (590, 410, -3), (350, 350, 1), (None, None, 250)])
+def test_slices_read_only_their_files(spark, cut):
+    d = tempfile.mkdtemp(prefix="ts-files-") + "/t"
+    for k in range(10):
+        spark.range(100 * k, 100 * k + 100, 1, 1).write.mode("append").parquet(d)
+    before = [r["id"] for r in sorted(C.with_row_index(spark.read.parquet(d), None).collect(), key=lambda r: r["row_index"])]
+    want = before[slice(*cut)]
+    out = C.row_slice(spark.read.parquet(d), None, *cut)
+    names = sorted(f for f in os.listdir(d) if f.endswith(".parquet"))
+    rows = range(len(before))[slice(*cut)]
+    for k, f in enumerate(names):  # files outside the slice can no longer be read
+        if not rows or 100 * k + 100 <= min(rows) or 100 * k > max(rows):
+            with open(os.path.join(d, f), "r+b") as g:
+                g.write(b"broken!!" * 20)
+                g.truncate(os.path.getsize(os.path.join(d, f)))
+    assert [r["id"] for r in sorted(out.collect(), key=lambda r: r["slice_pos"])] == want

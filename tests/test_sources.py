@@ -111,6 +111,36 @@ def _png(path, rgb):
                 + chunk(b"IDAT", zlib.compress(raw)) + chunk(b"IEND", b""))
 
 
+def test_images_of_several_sizes_in_one_batch(spark):
+    from tablestats.sources.images import resized_pixels
+    rng = np.random.default_rng(5)
+    rows = []
+    for i in range(60):
+        h, w, c = [(8, 8, 3), (16, 8, 1), (10, 7, 4), (5, 5, 3)][i % 4]
+        rows.append((i, rng.integers(0, 256, h * w * c, dtype=np.uint8).tobytes() if i % 11 else None, h, w, c))
+    df = spark.createDataFrame(rows, "i int, data binary, h int, w int, c int").coalesce(1)
+    got = df.select("i", resized_pixels("data", "h", "w", "c", 4).alias("px")).collect()
+
+    def slow(data, h, w, c):  # cell by cell
+        img = np.frombuffer(data, np.uint8).reshape(h, w, c)
+        grey = [[int(p[0]) if c == 1 else (int(p[0]) * 1868 + int(p[1]) * 9617 + int(p[2]) * 4899 + 8192) >> 14 for p in row] for row in img]
+        out = []
+        for y in range(4):
+            for x in range(4):
+                total = 0.0
+                for i in range(h):
+                    for j in range(w):
+                        part = max(0.0, min((y + 1) * h / 4, i + 1) - max(y * h / 4, i)) * max(0.0, min((x + 1) * w / 4, j + 1) - max(x * w / 4, j))
+                        total += part * grey[i][j]
+                total /= h * w / 16
+                out.append(float((int(round(total * h * w / 16)) + h * w // 32) // (h * w // 16)) if h % 4 == 0 == w % 4 else float(np.rint(total)))
+        return out
+
+    for r in got:
+        want = rows[r["i"]]
+        assert r["px"] == (None if want[1] is None else slow(*want[1:])), r["i"]
+
+
 def test_image_pixels(spark):
     d = tempfile.mkdtemp(prefix="ts-img-")
     rng = np.random.default_rng(1)
