@@ -110,8 +110,11 @@ def links(prints: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     # The few bytes of a fingerprint become some 50 points: spread them first.
     prints = prints.repartition(shuffle_partitions(prints.sparkSession), "fp")
     points = prints.selectExpr("fp", f"{_EMBED} AS e").selectExpr("fp", f"explode({_POINTS}) AS p").selectExpr("fp", "p.step AS step", "p.point AS point")
-    crowd = points.groupBy("point").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    shared = saved(points.join(saved(crowd), "point"))
+    # Dealt out once, at every size: the count reads all columns, so that Spark reuses the join's exchange for it.
+    points = points.repartition("point")
+    crowd = points.groupBy("point").agg(F.count(F.lit(1)).alias("n"), F.min("fp").alias("lo"), F.max("fp").alias("hi"), F.max("step").alias("top"))
+    crowd = crowd.where("lo <> hi AND top IS NOT NULL").select("point", "n")
+    shared = saved(points.join(crowd.hint("merge"), "point"))
     a, b = (shared.where(f"n <= {MAX_AT_POINT}").select("point", "fp", "step").alias(x) for x in "ab")
     pairs = a.join(b, F.expr(f"a.point = b.point AND a.fp < b.fp AND bit_count(a.fp ^ b.fp) <= {max_bits} AND ({_ONCE})")).selectExpr("a.fp AS x", "b.fp AS y")
     # Crowded points: through the words within one bit of each fingerprint.
