@@ -343,7 +343,9 @@ def write_store(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int =
     small_batches(docs.sparkSession)
     rows = docs.select(column(docs, id_col).cast("long").alias("doc_id"), column(docs, text_col).cast("string").alias("text"))
     n = shuffle_partitions(docs.sparkSession)
-    ordered = rows.repartitionByRange(n, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
+    # The text's hash, so that the rows of one id are spread as well.
+    order = F.col("doc_id").asc_nulls_first(), F.xxhash64("text")
+    ordered = rows.repartitionByRange(n, *order).sortWithinPartitions(*order)
     ordered.mapInArrow(lambda it: _write(it, tokenizer_path, end_id), _SHARDS).write.mode("error").option("compression", "zstd").parquet(folder)
 
 
