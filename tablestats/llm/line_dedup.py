@@ -56,7 +56,8 @@ def drop_boilerplate(pages: DataFrame, host: str = "source", text: str = "text",
                      counts: tuple[str, str] | None = None) -> DataFrame:
     """``pages`` with boilerplate lines taken out of the text.
 
-    ``counts``: names of two columns to append, the page's lines and the lines dropped.
+    ``counts``: names of two columns to append, the page's lines and the lines dropped;
+    columns of ``pages`` that have these names are replaced.
     """
     bad = saved(boilerplate(pages, host, text, max_ratio, min_pages))
     # A page is known by host and text: equal pages lose the same lines.
@@ -74,7 +75,8 @@ def drop_boilerplate(pages: DataFrame, host: str = "source", text: str = "text",
     lines, found = _lines(own_text), hits[b]
     kept = F.when(found.isNull(), lines).otherwise(F.filter(lines, lambda x: ~F.array_contains(found, _digest(x))))
     new = F.when(found.isNull(), own_text).otherwise(F.array_join(kept, "\n"))
-    out = [new.alias(c) if c == text else column(pages, c) for c in pages.columns]
+    taken = {c.lower() for c in counts or ()}
+    out = [new.alias(c) if c == text else column(pages, c) for c in pages.columns if c.lower() not in taken]
     if counts:
         out += [F.coalesce(F.size(lines), F.lit(0)).cast("long").alias(counts[0]),
                 F.coalesce(F.size(lines) - F.size(kept), F.lit(0)).cast("long").alias(counts[1])]
