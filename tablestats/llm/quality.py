@@ -8,15 +8,17 @@ difference) turns it into a probability, fitted on sizes under dictionaries that
 were built without the text in question.
 
 The model is fitted on a bounded sample of labelled rows (``MAX_PER_LABEL`` rows
-of each label by a seeded hash, among labelled texts of up to
-``MAX_SAMPLE_CHARS`` characters), so what reaches the driver has a fixed bound.
+of each label by a seeded hash; of a longer text a stretch of ``MAX_SAMPLE_CHARS``
+characters, from a place given by a hash), so what reaches the driver has a fixed bound.
 Every text is scored whole.
 
 Edge cases: a null text counts as empty; empty texts get the score of their
 sizes like any other; null ids are scored and never held out (crc32 of a null is
 null); without labels of both kinds the score is the share of good labels, or 1
 with no labels at all (nothing is rejected without evidence); repeated rows are
-scored alike; other columns are ignored, or passed through by ``keep_good``.
+scored alike; an id that is labelled both good and bad is not learnt from, and of the
+texts of a repeated id those with the smallest hashes are; other columns are ignored, or passed
+through by ``keep_good``.
 """
 
 from __future__ import annotations
@@ -177,12 +179,15 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     """Fit a model on a bounded sample of the labelled rows outside the held-out fold."""
     known = (labels.select(column(labels, "doc_id").cast("long").alias("doc_id"), column(labels, label_col).cast("int").alias("label"))
              .where("doc_id IS NOT NULL AND label IN (0, 1)").where(~held_out(F.col("doc_id"))))
+    known = known.groupBy("doc_id").agg(F.min("label").alias("label"), F.max("label").alias("other")).where("label = other").drop("other")
     # A label at random by hash: a bounded top-k, then a join with at most twice that many ids.
     pick = known.withColumn("h", F.xxhash64("doc_id", F.lit(7)))
     some = [pick.where(F.col("label") == k).orderBy("h", "doc_id").limit(max_per_label).select("doc_id", "label") for k in (0, 1)]
     texts = docs.select(column(docs, id_col).cast("long").alias("doc_id"), F.coalesce(column(docs, text_col).cast("string"), F.lit("")).alias("text"))
-    rows = (texts.where(F.char_length("text") <= MAX_SAMPLE_CHARS)
-            .join(F.broadcast(some[0].unionByName(some[1]).dropDuplicates(["doc_id"])), "doc_id").limit(4 * max_per_label).collect())
+    rows = texts.join(F.broadcast(some[0].unionByName(some[1])), "doc_id").withColumn("h", F.xxhash64("text"))
+    more = F.greatest(F.char_length("text") - MAX_SAMPLE_CHARS, F.lit(0))
+    part = F.substring("text", (F.pmod("h", more + 1) + 1).cast("int"), F.lit(MAX_SAMPLE_CHARS))
+    rows = rows.select("doc_id", "label", "h", part.alias("text")).orderBy("doc_id", "h", "text").limit(4 * max_per_label).collect()
     good, bad = known.agg(F.count_if(F.col("label") == 1), F.count_if(F.col("label") == 0)).first()
     return fit([(r["text"], r["label"]) for r in rows], odds=good / bad if good and bad else None)
 
@@ -204,12 +209,13 @@ def score(docs: DataFrame, model: QualityModel, id_col: str = "doc_id", text_col
 def keep_good(docs: DataFrame, model: QualityModel, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs``, all columns unchanged, whose score reaches the threshold."""
     small_batches(docs.sparkSession)
-    at = docs.columns.index(text_col)
+    at, names = docs.columns.index(text_col), docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         s = model.scorer()
         for b in batches:
             good = s.scores([t or "" for t in b.column(at).to_pylist()]) >= threshold
-            yield b.filter(pa.array(good))
+            yield pa.RecordBatch.from_arrays(b.filter(pa.array(good)).columns, names)
 
-    return docs.mapInArrow(run, docs.schema)
+    # Numbered for the way in: mapInArrow takes a dot in a column's name for a field's.
+    return docs.toDF(*[f"c{k}" for k in range(len(names))]).mapInArrow(run, docs.schema)

@@ -55,6 +55,44 @@ def test_kept_rows_are_unchanged(trained, docs_of):
     assert set(kept.collect()) <= set(docs.collect())
 
 
+def test_long_texts_conflicting_labels_and_repeated_ids(spark, monkeypatch):
+    rows = corpus()
+    docs = [(i, t if i % 9 else t * 40) for i, t, _ in rows] + [(i, t) for i, t, _ in rows if i % 10 == 3] + [(7, "other text of 7")]
+    labels = [(i, q, 0) for i, _, q in rows] + [(i, 1 - q, 0) for i, _, q in rows if i % 4 == 1]
+    seen = []
+    fit = quality.fit
+    monkeypatch.setattr(quality, "fit", lambda r, **k: (seen.append(sorted(r)), fit(r, **k))[1])
+    monkeypatch.setattr(quality, "MAX_SAMPLE_CHARS", 500)
+    models = []
+    for n in (1, 5):
+        d = spark.createDataFrame(docs, "doc_id long, text string").repartition(n)
+        models.append(quality.learn(d, spark.createDataFrame(labels, "doc_id long, quality int, toxic int").repartition(n)))
+    assert seen[0] == seen[1] and (models[0].weights == models[1].weights).all()
+    held = lambda i: zlib.crc32(str(i).encode()) % 5 == 0
+    good = [(t, rows[i][2]) for i, t in docs if i % 4 != 1 and not held(i)]
+    assert len(seen[0]) == len(good) and all(len(t) <= 500 for t, _ in seen[0])
+    assert all(any(t in whole and y == q and len(t) == min(500, len(whole)) for whole, q in good) for t, y in seen[0])
+
+
+def test_sizes_are_those_of_the_library():
+    """The features recomputed with plain zstandard calls, and the score with a plain loop over the weights."""
+    import zstandard
+    rows = [(t, q) for _, t, q in corpus(90)]
+    model = quality.fit(rows, seed=3)
+    text = rows[5][0] + " é"
+    sizes = []
+    for content in (model.good, model.bad):
+        c = zstandard.ZstdCompressor(level=quality.LEVEL, dict_data=zstandard.ZstdCompressionDict(content), write_checksum=False, write_content_size=False, write_dict_id=False)
+        sizes.append(len(c.compress(text.encode())))
+    good, bad = sizes
+    n = len(text.encode()) + 16
+    f = [(bad - good) / n, good / n, (bad - good) / (bad + good), float(np.log(n))]
+    z = [(min(max(v, lo), hi) - m) / s for v, lo, hi, m, s in zip(f, model.low, model.high, model.mean, model.scale)]
+    terms = [1.0, *z, *(z[i] * z[j] for i in range(4) for j in range(i, 4))]
+    want = 1 / (1 + np.exp(-sum(w * t for w, t in zip(model.weights, terms))))
+    assert np.isclose(model.scorer().scores([text])[0], want, rtol=1e-12)
+
+
 @pytest.mark.parametrize("gap", [0.0, 0.5, 5.0])
 def test_the_curve_settles_even_where_labels_are_separable(gap):
     rng = np.random.default_rng(1)
