@@ -147,18 +147,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def keep_representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, max_bits: int = MAX_BITS) -> DataFrame:
-    """One row of ``docs`` for each group of near-duplicates; rows without an id stay.
+    """One row of ``docs`` for each group of near-duplicates.
 
-    It is the one with the smallest id; where that id is repeated in the group, the text with
-    the smallest hash; where text and id are repeated, the smallest of the other columns.
+    It is the one with the smallest id (one without an id only where the group has none);
+    where that id is repeated in the group, or missing, the text with the smallest hash; where text
+    and id are repeated, the smallest of the other columns.
     """
     rows = _hashed(docs, id_col, text_col, shingle)
-    own = _rooted(rows.groupBy("fp").agg(F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "h"))).alias("first")), max_bits)
+    own = _rooted(rows.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h")).alias("first")), max_bits)
     i, h, k, l, row = free_names(docs, "id_", "hash_", "first_id_", "first_hash_", "row_")
-    stay = saved(own.groupBy("root").agg(F.min("first").alias("first")).where("first IS NOT NULL").select(F.col("first.doc_id").alias(k), F.col("first.h").alias(l)))
+    stay = saved(own.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.doc_id").alias(k), F.col("first.h").alias(l)))
     keyed = docs.withColumns({i: column(docs, id_col).cast("long"), h: F.xxhash64(column(docs, text_col).cast("string"))})
-    keyed = keyed.join(stay, (keyed[i] == stay[k]) & (keyed[h] == stay[l]), "left_semi")
+    # A null text has xxhash64's seed as its hash, so hashes are never null.
+    keyed = keyed.join(stay, keyed[i].eqNullSafe(stay[k]) & (keyed[h] == stay[l]), "left_semi")
     whole = F.struct(*[column(docs, c) for c in docs.columns])
     order = F.struct(F.lit(0), *[column(docs, f.name) for f in docs.schema.fields if isinstance(f.dataType, AtomicType) and f.name != text_col])
-    first = keyed.groupBy(i, h).agg(F.min_by(whole, order).alias(row)).select(f"{row}.*")
-    return first.unionByName(docs.where(column(docs, id_col).isNull()))
+    return keyed.groupBy(i, h).agg(F.min_by(whole, order).alias(row)).select(f"{row}.*")
