@@ -21,8 +21,8 @@ unpacked and added modulo 2^32 afterwards.
 
 Edge cases: a null text counts as empty (one empty paragraph, no pieces); two
 documents without pieces have likeness 1 if their fingerprints agree, else 0;
-null ids sort last in descending order; repeated ids are ordered by text; a
-single document is followed by itself; an empty table gives an empty result;
+null ids sort last in descending order; repeated ids are ordered by text, those of an id
+with very many rows by a hash of the text; a single document is followed by itself; an empty table gives an empty result;
 other columns are ignored.
 """
 
@@ -42,8 +42,9 @@ LANES = IDENTITY + SKETCH + 1
 _MASK = 1 | 1 << 21 | 1 << 42
 #: Paragraphs, and pieces of a paragraph, in a block: 64 * 16384 pieces stay below 2^21.
 BLOCK_PARAGRAPHS, BLOCK_BITS = 64, 14
-#: Documents in a group whose neighbours one task looks up, the most groups, and the id quantiles they are cut by.
-GROUP, MAX_GROUPS, KNOTS = 200, 16_384, 128
+#: Documents in a group whose neighbours one task looks up, the id quantiles that groups are cut by, and
+#: the most groups: one small row of each is broadcast; with more documents groups grow.
+GROUP, KNOTS, MAX_GROUPS = 200, 256, 1 << 20
 _MOD = 0xFFFFFFFF
 _SPACES = r"[\x20\x09-\x0D]+"
 _LAST = -(2**63)
@@ -128,26 +129,39 @@ def followed(rows: DataFrame) -> DataFrame:
     """Rows (doc_id, text) with the next row in descending order of doc_id, and a key (g, i) for each.
 
     Adds g, i, next_text, next_g, next_i. The ids are cut into groups of about
-    ``GROUP`` by quantiles; each group's first row also goes to the group before
+    ``GROUP`` by quantiles; an id that several quantiles fall on is cut further, by a hash of
+    text and row. Each group's first row also goes to the group before
     it, so every row finds its next in its own group, in one shuffle.
     """
-    rows = rows.withColumn("k", F.coalesce("doc_id", F.lit(_LAST)))
+    rows = rows.withColumn("k", F.coalesce("doc_id", F.lit(_LAST))).withColumn("row", F.monotonically_increasing_id())
     n, knots = rows.agg(F.count(F.lit(1)), F.percentile_approx("k", [i / KNOTS for i in range(KNOTS + 1)], 10_000)).first()
-    knots = sorted(set(knots or [0]))
+    # As many stretches between quantiles as hold a group each.
+    m = max(1, min(KNOTS, n // GROUP))
+    knots = [knots[i * KNOTS // m] for i in range(m + 1)] if knots else [0]
+    # Each stretch between two quantiles has the same number of groups; so has each stretch that is one id alone.
     each = max(1, min(MAX_GROUPS, -(-n // GROUP)) // max(1, len(knots) - 1))
-    cut = F.lit(knots[1:-1]) if len(knots) > 2 else F.array().cast("array<bigint>")
-    at = F.size(F.filter(cut, lambda x: x <= F.col("k")))
-    low, high = F.element_at(F.lit(knots), at + 1).cast("double"), F.element_at(F.lit(knots), F.least(at + 2, F.lit(len(knots)))).cast("double")
+    ids = sorted(set(knots))
+    alone = [knots.count(x) - 1 for x in ids]
+    first = [each * (i + sum(alone[:i])) for i in range(len(ids))]
+    at = F.greatest(F.size(F.filter(F.lit(ids), lambda x: x <= F.col("k"))), F.lit(1))
+    low, high = F.element_at(F.lit(ids), at).cast("double"), F.element_at(F.lit(ids), F.least(at + 1, F.lit(len(ids)))).cast("double")
     share = F.when(high > low, (F.col("k").cast("double") - low) / (high - low)).otherwise(F.lit(0.0))
-    g = at * each + F.greatest(F.lit(0), F.least(F.lit(each - 1), F.floor(share * each).cast("int")))
+    own = F.element_at(F.lit(alone), at)
+    # u orders the rows of an id that is cut: by the text's hash, equal texts (whose order changes nothing) by the row's.
+    u = F.shiftleft(F.shiftrightunsigned(F.xxhash64("text"), 32), 21) + F.shiftrightunsigned(F.xxhash64("row"), 43)
+    cut = (F.col("k") == F.element_at(F.lit(ids), at)) & (own > 0)
+    rows = rows.withColumn("u", F.when(cut, u).otherwise(0))
+    by_hash = F.floor(F.col("u") / 2.0**53 * (own * each)).cast("int")
+    by_id = own * each + F.greatest(F.lit(0), F.least(F.lit(each - 1), F.floor(share * each).cast("int")))
+    g = F.element_at(F.lit(first), at) + F.when(cut, by_hash).otherwise(by_id)
     rows = rows.withColumn("g", g.cast("int"))
     # At most MAX_GROUPS rows (and the quantiles), whatever the data's size.
-    tops = rows.groupBy("g").agg(F.max("k").alias("top"))
+    tops = rows.groupBy("g").agg(F.max(F.struct("k", "u")).alias("top"))
     above = F.lead("g").over(W.orderBy("g"))
     tops = tops.select("g", "top", F.coalesce(above, F.min("g").over(W.orderBy("g").rowsBetween(W.unboundedPreceding, W.unboundedFollowing))).alias("to"))
-    places = F.when(F.col("k") == F.col("top"), F.array(F.struct(F.col("g").alias("p"), F.lit(0).alias("guest")), F.struct(F.col("to").alias("p"), F.lit(1).alias("guest")))).otherwise(F.array(F.struct(F.col("g").alias("p"), F.lit(0).alias("guest"))))
-    dealt = rows.join(F.broadcast(tops), "g").withColumn("place", F.explode(places)).select("doc_id", "text", "k", "g", F.col("place.p").alias("p"), F.col("place.guest").alias("guest"))
-    w = W.partitionBy("p").orderBy("guest", F.col("k").desc(), "text")
+    places = F.when(F.struct("k", "u") == F.col("top"), F.array(F.struct(F.col("g").alias("p"), F.lit(0).alias("guest")), F.struct(F.col("to").alias("p"), F.lit(1).alias("guest")))).otherwise(F.array(F.struct(F.col("g").alias("p"), F.lit(0).alias("guest"))))
+    dealt = rows.join(F.broadcast(tops), "g").withColumn("place", F.explode(places)).select("doc_id", "text", "k", "u", "g", F.col("place.p").alias("p"), F.col("place.guest").alias("guest"))
+    w = W.partitionBy("p").orderBy("guest", F.col("k").desc(), F.col("u").desc(), "text")
     out = dealt.select("doc_id", "text", "g", "guest", F.row_number().over(w).alias("i"), F.lead("text").over(w).alias("next_text"), F.lead("g").over(w).alias("next_g"), F.lead("guest").over(w).alias("next_guest"))
     return out.where("guest = 0").select("doc_id", "text", "g", "i", "next_text", "next_g", F.when(F.col("next_guest") == 1, 1).otherwise(F.col("i") + 1).alias("next_i"))
 

@@ -28,6 +28,64 @@ def test_edited_texts(docs_of):
     assert got[201, len(prose(1))]["near_edited"] > 0.3 > got[201, len(prose(1))]["near_next"]
 
 
+def test_an_id_with_very_many_rows_is_cut(spark, monkeypatch):
+    monkeypatch.setattr(fingerprint, "GROUP", 20)
+    texts = [f"text {i * 7919 % 1000} {'x' * (i % 13)}" for i in range(1200)]
+    rows = [(None if i % 3 == 0 else 5 if i % 3 == 1 else i, "same" if i % 4 == 0 else t) for i, t in enumerate(texts)]
+    placed = fingerprint.followed(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    assert len(placed) == len(rows)
+    sizes = {}
+    for r in placed:
+        sizes[r["g"]] = sizes.get(r["g"], 0) + 1
+    assert max(sizes.values()) < 120 and len({r["g"] for r in placed if r["doc_id"] is None}) > 8
+    # One cycle through all rows, ids descending, null last, whose next text is the next row's.
+    by = {(r["g"], r["i"]): r for r in placed}
+    assert len(by) == len(rows)
+    at = start = max(by, key=lambda k: (by[k]["doc_id"] is not None, by[k]["doc_id"] or 0, k[0], -k[1]))
+    seen = []
+    while True:
+        r = by[at]
+        seen.append(r["doc_id"])
+        at = r["next_g"], r["next_i"]
+        assert by[at]["text"] == r["next_text"]
+        if at == start:
+            break
+    assert len(seen) == len(rows)
+    assert seen == sorted(seen, key=lambda i: (i is None, -(i or 0)))
+
+
+def slow_lanes(text):
+    """The lanes counted one by one: sums over paragraphs and pieces, by the same hashes."""
+    import xxhash
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    h = lambda data, seed: xxhash.xxh64_intdigest(data, seed & (1 << 64) - 1)
+    identity, sketch, pieces = [0] * fingerprint.IDENTITY, [0] * fingerprint.SKETCH, 0
+    for p in text.split("\n"):
+        for i in range(fingerprint.IDENTITY // 2):
+            # Spark hashes several columns by taking each one's hash as the next one's seed.
+            x = h(p.encode(), h(i.to_bytes(4, "little"), 42))
+            identity[2 * i] += x & 0xFFFFFFFF
+            identity[2 * i + 1] += x >> 32
+        words = [h(w.encode(), 42) for w in fingerprint_words(p)]
+        for a, b in zip(words, [*words[1:], None]):
+            x = h(a.to_bytes(8, "little"), 42)
+            x = x if b is None else h(b.to_bytes(8, "little"), x)
+            pieces += 1
+            for i in range(fingerprint.PACKED):
+                for k in range(3):
+                    sketch[3 * i + k] += x >> (i + 21 * k) & 1
+    return [v % 2**32 for v in [*identity, *sketch, pieces]]
+
+
+def fingerprint_words(p):
+    return [w for w in p.translate(dict.fromkeys(range(9, 14), " ")).split(" ") if w]
+
+
+@pytest.mark.parametrize("text", ["", "one", "one two three", "a\nb b b\n\nc d\te", "é 日本 x\x0by " * 30, prose(3)])
+def test_lanes_are_the_sums_over_paragraphs_and_pieces(docs_of, text):
+    assert lanes(docs_of([(1, text)])).first()["lanes"] == slow_lanes(text)
+
+
 def test_one_document_follows_itself(docs_of):
     (r,) = fingerprint.edited_fingerprints(docs_of([(1, "abcd")])).collect()
     assert r["edited_sha256"] == hashlib.sha256(b"abab").hexdigest() and r["near_next"] == 1
