@@ -10,9 +10,12 @@ The tree has nested levels with halving radii. Its top is built by Spark: a node
 with more than ``LEAF`` vectors takes a few of them as centres (a net of half its
 radius over a bounded sample), every vector joins its nearest centre, and the
 exact covering radius of each child is the largest distance measured. Pairs of
-nodes are traversed level by level as joins, keeping those the radii allow. Below,
-blocks of at most about ``BLOCK`` vectors meet in tasks, where the tree goes on
-down to single vectors with numpy and both trees are traversed together.
+nodes are traversed level by level as joins, keeping those the radii allow. Neighbouring
+nodes then share blocks of about ``BLOCK`` vectors, so that a block is sent to few tasks; blocks of which
+any two nodes stay meet in a task, where the tree goes on down to single vectors with
+numpy and both trees are traversed together. Where the radii rule out too little a level
+down, as among vectors that all lie far apart, the rows themselves are compared in
+one matrix product.
 
 Equal vectors of a label are one entry with a count, so copies cost nothing. What
 leaves a task is one row per linked vector (how many it links with, and the
@@ -37,14 +40,14 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tablestats.llm.common import column, saved
 from tablestats.llm.graph import components
 
 THRESHOLD = 0.98
-LEAF, BLOCK, FAN = 2048, 1024, 8
+LEAF, BLOCK, FAN = 2048, 4096, 8
 #: Vectors of a node that its children's centres are chosen from (about).
 SAMPLE = 64
 MAX_LEVELS = 40
@@ -52,6 +55,11 @@ MAX_LEVELS = 40
 SLACK = 1e-7
 #: Vectors of a tree node that are compared directly.
 SMALL = 32
+#: A tree node goes on where at most one in FEW of its rows becomes a centre, and a pair of nodes where at
+#: least 1 - WORTH of its pairs of rows are ruled out a level down.
+FEW, WORTH = 4, 0.6
+#: Rows whose cosines with a block are held at once.
+ROWS = 1024
 
 
 def unit(vectors: np.ndarray) -> np.ndarray:
@@ -65,8 +73,8 @@ def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(0.0, 2 - 2 * (a @ b.T)))
 
 
-def net(x: np.ndarray, radius: float, most: int | None = None) -> list[int]:
-    """Greedy net: rows further than ``radius`` from all rows taken before."""
+def net(x: np.ndarray, radius: float, most: int | None = None, give_up: int | None = None) -> list[int]:
+    """Greedy net: rows further than ``radius`` from all rows taken before; none if it takes more than ``give_up``."""
     centres: list[int] = []
     near = np.full(len(x), np.inf)
     while most is None or len(centres) < most:
@@ -75,85 +83,87 @@ def net(x: np.ndarray, radius: float, most: int | None = None) -> list[int]:
             break
         i = int(far[0]) if most is None else int(far[near[far].argmax()])
         centres.append(i)
+        if give_up is not None and len(centres) > give_up:
+            return []
         near = np.minimum(near, distances(x, x[i:i + 1])[:, 0])
     return centres
 
 
 class Tree:
-    """A cover tree over some rows: children cover a node's rows within about half its radius."""
+    """A cover tree over some rows: children cover a node's rows within about half its radius; made when they are first asked for."""
 
-    __slots__ = ("rows", "radius", "children", "centres", "radii")
+    __slots__ = ("x", "rows", "centre", "radius", "children")
 
     def __init__(self, x: np.ndarray, rows: np.ndarray, centre: np.ndarray):
-        self.rows = rows
-        far = distances(x[rows], centre[None])[:, 0]
-        self.radius = float(far.max())
-        self.children: list[Tree] = []
-        if len(rows) > SMALL and self.radius > 1e-9:
-            own = x[rows]
-            at = net(own, self.radius / 2)
-            if len(at) == 1:
-                return
-            nearest = distances(own, own[at]).argmin(1)
-            self.children = [Tree(x, rows[nearest == k], own[i]) for k, i in enumerate(at) if (nearest == k).any()]
-            self.centres = np.array([own[i] for k, i in enumerate(at) if (nearest == k).any()])
-            self.radii = np.array([c.radius for c in self.children])
-
-
-def links(x: np.ndarray, y: np.ndarray, threshold: float = THRESHOLD, raw: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray]:
+        self.x, self.rows, self.centre = x, rows, centre
+        self.radius = float(distances(x[rows], centre[None]).max())
+        self.children: list[Tree] | None = None
+
+    def split(self) -> list[Tree]:
+        """The children; none where half the radius takes a centre for every few rows, so that going down gains nothing."""
+        if self.children is None:
+            self.children = []
+            if len(self.rows) > SMALL and self.radius > 1e-9:
+                own = self.x[self.rows]
+                at = net(own, self.radius / 2, give_up=len(own) // FEW)
+                if len(at) > 1:
+                    nearest = distances(own, own[at]).argmin(1)
+                    self.children = [Tree(self.x, self.rows[nearest == k], own[i]) for k, i in enumerate(at) if (nearest == k).any()]
+        return self.children
+
+
+def links(x: np.ndarray, y: np.ndarray, threshold: float = THRESHOLD, raw: tuple[np.ndarray, np.ndarray] | None = None,
+          compared: list[int] | None = None) -> tuple[np.ndarray, np.ndarray]:
     """All (i, j) with a cosine of at least the threshold between unit rows of x and y.
 
     ``raw``: the vectors before scaling, for cosines that rounding could move over the threshold.
+    ``compared`` gets the numbers of pairs of rows whose cosines were computed.
     """
     limit = math.sqrt(max(0.0, 2 - 2 * threshold))
-    ci, cj = x[0], y[0]
     out: list[tuple[np.ndarray, np.ndarray]] = []
-    stack = [(Tree(x, np.arange(len(x)), ci), Tree(y, np.arange(len(y)), cj), float(distances(ci[None], cj[None])[0, 0]))]
-    while stack:
-        a, b, d = stack.pop()
-        if d > a.radius + b.radius + limit + SLACK:
-            continue
-        if d + a.radius + b.radius < limit - SLACK:
-            out.append((np.repeat(a.rows, len(b.rows)), np.tile(b.rows, len(a.rows))))
-        elif not a.children and not b.children or len(a.rows) * len(b.rows) <= SMALL * SMALL:
-            cos = x[a.rows] @ y[b.rows].T
+
+    def compare(rows: np.ndarray, others: np.ndarray) -> None:
+        if compared is not None:
+            compared.append(len(rows) * len(others))
+        for lo in range(0, len(rows), ROWS):
+            some = rows[lo:lo + ROWS]
+            cos = x[some] @ y[others].T
             hit = cos >= threshold
             if raw is not None:
                 for i, j in np.argwhere(np.abs(cos - threshold) < 1e-12):
-                    u, v = raw[0][a.rows[i]].astype(np.float64), raw[1][b.rows[j]].astype(np.float64)
+                    u, v = raw[0][some[i]].astype(np.float64), raw[1][others[j]].astype(np.float64)
                     hit[i, j] = u @ v / (np.linalg.norm(u) * np.linalg.norm(v)) >= threshold
             i, j = np.nonzero(hit)
-            out.append((a.rows[i], b.rows[j]))
+            out.append((some[i], others[j]))
+
+    a = Tree(x, np.arange(len(x)), x[0])
+    stack = [(a, a if y is x else Tree(y, np.arange(len(y)), y[0]))]
+    while stack:
+        a, b = stack.pop()
+        d = float(distances(a.centre[None], b.centre[None])[0, 0])
+        if d > a.radius + b.radius + limit + SLACK:
+            continue
+        if d + a.radius + b.radius < limit - SLACK:
+            out.append((np.repeat(a.rows, len(b.rows)), np.tile(b.rows, len(a.rows))))
+            continue
+        if len(a.rows) * len(b.rows) <= SMALL * SMALL or not (a.split() or b.split()):
+            compare(a.rows, b.rows)
+            continue
+        # Both go down a level at once; the children's centres are compared in one product.
+        ka, kb = a.split() or [a], b.split() or [b]
+        far = distances(np.array([t.centre for t in ka]), np.array([t.centre for t in kb]))
+        near = far <= np.array([t.radius for t in ka])[:, None] + np.array([t.radius for t in kb]) + limit + SLACK
+        stay = np.array([len(t.rows) for t in ka]) @ near @ np.array([len(t.rows) for t in kb])
+        if stay > WORTH * len(a.rows) * len(b.rows) and (far[near] > limit).mean() > WORTH:
+            # The radii rule out too little, and few of these can link as a whole: the rows themselves, in one product.
+            compare(a.rows, b.rows)
         else:
-            # Both go down a level at once; the children's centres are compared in one product.
-            ka, ca, ra = (a.children, a.centres, a.radii) if a.children else ([a], None, np.array([a.radius]))
-            kb, cb, rb = (b.children, b.centres, b.radii) if b.children else ([b], None, np.array([b.radius]))
-            ca = x[a.rows[:1]] if ca is None else ca
-            cb = y[b.rows[:1]] if cb is None else cb
-            if not a.children:
-                ra = distances(x[a.rows], ca).max(0)
-            if not b.children:
-                rb = distances(y[b.rows], cb).max(0)
-            far = distances(ca, cb)
-            for i, j in np.argwhere(far <= ra[:, None] + rb[None] + limit + SLACK):
-                p, q = ka[i], kb[j]
-                if not a.children:
-                    p = _lone(a, float(ra[0]))
-                if not b.children:
-                    q = _lone(b, float(rb[0]))
-                stack.append((p, q, float(far[i, j])))
+            stack += [(ka[i], kb[j]) for i, j in np.argwhere(near)]
     if not out:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     return np.concatenate([i for i, _ in out]), np.concatenate([j for _, j in out])
 
 
-def _lone(node: Tree, radius: float) -> Tree:
-    """A node without children, seen from its first row."""
-    t = Tree.__new__(Tree)
-    t.rows, t.radius, t.children = node.rows, radius, []
-    return t
-
-
 def roots_of(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     """The smallest row that each of n rows hangs together with."""
     root = np.arange(n)
@@ -184,7 +194,8 @@ def _compare(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa
                     sides.append(sides[0])
                     break
             (p, m, u), (q, k, v) = sides
-            i, j = links(unit(u), unit(v), threshold, (u, v))
+            x = unit(u)
+            i, j = links(x, x if same else unit(v), threshold, (u, v))
             if same:
                 i, j = i[i != j], j[i != j]
                 pids, n = p, np.bincount(i, k[j], len(p))
@@ -276,13 +287,18 @@ def near_duplicates(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "
     points = entries.select("pid", "count", "vec", F.concat_ws("|", F.size("vec").cast("string"), F.regexp_replace("label", "[/!]", "_"), F.hex("label")).alias("node"))
     placed, pairs = _leaf_pairs(points, threshold)
     placed = saved(placed)
-    held = saved(placed.groupBy("node").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks")))
-    blocks = (placed.join(held, "node").withColumn("block", F.pmod(F.xxhash64("pid"), F.col("blocks")).cast("int"))
-              .groupBy("node", "block").agg(F.collect_list(F.struct("pid", "count", "vec")).alias("rows")))
-    blocks = saved(blocks.select("node", F.concat_ws("#", "node", F.col("block").cast("string")).alias("name"), "rows"))
-    names = blocks.select("node", "name")
-    a, b = (names.select(F.col("node").alias(s), F.col("name").alias(f"{s}_name")) for s in "ab")
-    meet = saved(pairs.join(a, "a").join(b, "b").where("a <> b OR a_name <= b_name").select("a_name", "b_name"))
+    # Blocks: small nodes of a label side by side, the rows of a large one (which could not be split) by hash.
+    held = placed.groupBy("node").agg(F.count(F.lit(1)).alias("held")).withColumn("of", F.regexp_replace(F.substring_index("node", "/", 1), "!$", ""))
+    so_far = F.sum(F.when(F.col("held") <= BLOCK, F.col("held")).otherwise(0)).over(Window.partitionBy("of").orderBy("node").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    shared = F.array(F.concat_ws("#", "of", F.floor(so_far / BLOCK).cast("string")))
+    alone = F.transform(F.sequence(F.lit(1), F.ceil(F.col("held") / BLOCK).cast("int")), lambda k: F.concat_ws("#", "node", k.cast("string"), F.lit("")))
+    names = saved(held.select("node", F.when(F.col("held") <= BLOCK, shared).otherwise(alone).alias("names")))
+    mine = F.element_at("names", (F.pmod(F.xxhash64("pid"), F.size("names")) + 1).cast("int"))
+    blocks = saved(placed.join(names, "node").select(mine.alias("name"), F.struct("pid", "count", "vec").alias("row")).groupBy("name").agg(F.collect_list("row").alias("rows")))
+    a, b = (names.select(F.col("node").alias(s), F.explode("names").alias(f"{s}_name")) for s in "ab")
+    # Each two blocks meet once, whichever of their nodes may have links.
+    meet = pairs.join(a, "a").join(b, "b").select(F.least("a_name", "b_name").alias("a_name"), F.greatest("a_name", "b_name").alias("b_name"))
+    meet = saved(meet.distinct())
     a, b = (blocks.select(F.col("name").alias(f"{s}_name"), F.col("rows").alias(f"{s}_rows")) for s in "ab")
     found = (meet.join(a, "a_name").join(b, "b_name").select(F.col("a_name").alias("a"), F.col("b_name").alias("b"), "a_rows", "b_rows")
              .mapInArrow(lambda it: _compare(it, threshold), "pid long, n long, root long"))

@@ -51,6 +51,49 @@ def test_against_brute_force(spark, monkeypatch, leaf, block):
     assert run(spark, rows) == brute(rows, 0.98)
 
 
+def clustered(n, clusters, dims=32, spread=0.02, seed=1):
+    rng = np.random.default_rng(seed)
+    centres = covertree.unit(rng.normal(size=(clusters, dims)))
+    return covertree.unit(centres[rng.integers(0, clusters, n)] + rng.normal(size=(n, dims)) * spread / np.sqrt(dims))
+
+
+@pytest.mark.parametrize("clusters", [5, 40, 300])
+def test_most_pairs_of_clustered_rows_are_never_compared(clusters):
+    x, y = clustered(1500, clusters), clustered(1200, clusters)[::-1].copy()
+    for z in (x, y):
+        seen = []
+        i, j = covertree.links(x, z, 0.98, compared=seen)
+        assert sum(seen) < 0.5 * len(x) * len(z)
+        assert len(i) == (x @ z.T >= 0.98).sum() and (x[i] * z[j]).sum(1).min() >= 0.98 - 1e-12
+
+
+def test_rows_that_are_all_apart_are_compared_in_few_products():
+    x = covertree.unit(np.random.default_rng(2).normal(size=(1500, 64)))
+    seen = []
+    i, j = covertree.links(x, x, 0.98, compared=seen)
+    assert (i == j).all() and len(i) == 1500 and len(seen) < 30
+
+
+@pytest.mark.parametrize("leaf,block", [(60, 200), (30, 10)])
+def test_clustered_nodes_meet_in_few_blocks(spark, monkeypatch, leaf, block):
+    monkeypatch.setattr(covertree, "LEAF", leaf)
+    monkeypatch.setattr(covertree, "BLOCK", block)
+    x = clustered(700, 14, dims=8, spread=0.05)
+    rows = [(i, [float(v) for v in r], i % 2) for i, r in enumerate(np.float32(x))]
+    assert run(spark, rows) == brute(rows, 0.98)
+
+
+def test_node_pairs_of_clustered_rows_are_ruled_out_in_spark(spark, monkeypatch):
+    from pyspark.sql import functions as F
+    monkeypatch.setattr(covertree, "LEAF", 60)
+    x = clustered(2000, 20, dims=16)
+    points = spark.createDataFrame([(i, 1, [float(v) for v in r], "16|l|6C") for i, r in enumerate(x)], "pid long, count long, vec array<double>, node string")
+    placed, pairs = covertree._leaf_pairs(points, 0.98)
+    nodes = placed.select("node").distinct().count()
+    assert nodes > 15 and pairs.count() < 0.5 * nodes * (nodes + 1) / 2
+    assert pairs.where(F.col("a") == F.col("b")).count() == nodes
+
+
 def test_identical_and_empty(spark):
     rows = [(i, [1.0, 2.0, 3.0], 1) for i in range(50)]
     assert run(spark, rows) == sorted([(i, 49, 0, i == 0) for i in range(50)], key=str)
