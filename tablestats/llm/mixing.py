@@ -6,10 +6,12 @@ size, and what is over is shared among the others by weight until none is above.
 
 A source gives as many whole copies of itself as its target holds. For the rest
 its documents are counted by exact size; each size gives its proportional share,
-rounded down; what then remains of the budget is filled with the largest sizes
-that fit while it is large, and at last by dynamic programming over the sizes
-left (a bounded knapsack, each size as often as documents are left), which hits
-the budget exactly if any choice does. Which documents of a size are taken is
+rounded down, or up while more than ``DP_BUDGET`` words remain. What then remains of the budget
+is filled by dynamic programming over the documents left (a bounded knapsack, each size as often as
+documents are left), which hits it exactly if any choice of them does. ``DP_BUDGET`` bounds the
+program's table, not what is mixed: shares rounded up always leave less than the table
+holds, unless the sizes that could be rounded up are themselves larger than what remains;
+then smaller documents are taken first. Which documents of a size are taken is
 decided by a seeded hash.
 
 Only counts by source and size meet in one task (as many rows as a source has
@@ -34,14 +36,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tablestats.llm.common import WORD_PATTERN, column, free_names, saved, written
+from tablestats.llm.common import WORD_PATTERN, broadcast_if_small, column, free_names, saved, written
 from tablestats.operators.chunks import with_row_index
 
 WEIGHTS = (5.0, 2.0, 1.0)
 MAX_COPIES = 3
 SEED = 20
-#: Largest remaining budget that dynamic programming is run for, in words.
-DP_BUDGET = 65_536
+#: Words that dynamic programming distributes at most.
+DP_BUDGET = 1 << 20
 
 
 def word_count(text: Column) -> Column:
@@ -78,13 +80,14 @@ def fit_budget(sizes: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray
     take[sizes <= 0] = 0
     left = budget - int((take * sizes).sum())
     order = np.argsort(-sizes)
-    for i in order:  # the largest first, as long as the budget is too large for the table
-        if left <= DP_BUDGET:
-            break
-        if sizes[i] > 0:
-            n = min(int(counts[i] - take[i]), (left - DP_BUDGET + int(sizes[i]) - 1) // int(sizes[i]), left // int(sizes[i]))
-            take[i] += n
-            left -= n * int(sizes[i])
+    for rounded in (True, False):  # shares rounded up; only then any documents
+        for i in order:
+            if left <= DP_BUDGET:
+                break
+            if sizes[i] > 0:
+                n = min(int(counts[i] - take[i]), (left - DP_BUDGET + int(sizes[i]) - 1) // int(sizes[i]), left // int(sizes[i]), 1 if rounded else left)
+                take[i] += n
+                left -= n * int(sizes[i])
     # reach[s]: the item that first made the sum s; items are powers of two of a size.
     reach = np.full(left + 1, -2, np.int64)
     reach[0] = -1
@@ -142,7 +145,7 @@ def mix_rows(rows: DataFrame, seed: int = SEED, weights: Sequence[float] = WEIGH
     joined = counts.join(aims.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).drop("s")
     plan = saved(joined.groupBy("source").applyInPandas(_plan, "source string, size long, n long, source_size long, target double, copies long, extra long"))
     # A seeded order within each size: by bucket, then by hash; about sqrt(n) buckets of sqrt(n) documents.
-    dealt = _by_size(rows, plan).withColumn("h", F.xxhash64(F.lit(seed), "doc_id")).withColumn("bucket", F.pmod("h", F.ceil(F.sqrt("n")))).withColumnRenamed("extra", "need")
+    dealt = _by_size(rows, broadcast_if_small(plan, plan)).withColumn("h", F.xxhash64(F.lit(seed), "doc_id")).withColumn("bucket", F.pmod("h", F.ceil(F.sqrt("n")))).withColumnRenamed("extra", "need")
     dealt = saved(dealt)
     last = _last(dealt.where("need > 0"), "bucket", "h", "doc_id")
     # Rows of that id, if only some are taken: the same again by text and row number.
@@ -150,7 +153,8 @@ def mix_rows(rows: DataFrame, seed: int = SEED, weights: Sequence[float] = WEIGH
     g = F.xxhash64(F.lit(seed), "text_hash", "row")
     split = _by_size(dealt, last.where("of < same")).where(at == end).withColumn("need", F.col("of")).withColumn("g", g).withColumn("part", F.pmod("g", F.ceil(F.sqrt("same"))))
     last_rows = _last(split.select("source", "size", "need", "part", "g", "row"), "part", "g", "row").drop("same", "of")
-    out = _by_size(dealt, _by_size(last, last_rows, "left"), "left")
+    ends = saved(_by_size(last, last_rows, "left"))
+    out = _by_size(dealt, broadcast_if_small(ends, ends), "left")
     some = F.struct(F.pmod(g, F.ceil(F.sqrt("same"))), g, F.col("row")) <= F.struct("last_part", "last_g", "last_row")
     more = F.when(F.col("of").isNull() | (at > end), False).when((at < end) | (F.col("of") == F.col("same")), True).otherwise(some)
     return out.select("row", "doc_id", "source", "size", "source_size", "target", (F.col("copies") + more.cast("long")).alias("copies"))

@@ -36,6 +36,37 @@ def test_large_budgets_go_to_the_largest_sizes_first(monkeypatch):
         assert (take <= counts).all() and 0 <= gap < sizes[take < counts].min()
 
 
+def test_rests_above_the_old_table_are_fitted_exactly():
+    """Budgets whose rest after whole shares is far above 65,536 words: the sum is hit, and shares are rounded up at most once."""
+    rng = np.random.default_rng(2)
+    sizes = np.unique(rng.integers(1, 20_000, 3000))
+    counts = rng.integers(1, 40, len(sizes))
+    whole = int((sizes * counts).sum())
+    for budget in (whole // 3, whole // 2 + 1, 2 * whole // 3 + 7):
+        share = np.array([int(c) * budget // whole for c in counts])
+        rest = budget - int((share * sizes).sum())
+        assert rest > 2_000_000
+        take = mixing.fit_budget(sizes, counts, budget)
+        assert int((take * sizes).sum()) == budget and (take <= counts).all() and (take >= share).all()
+        assert (take - share > 1).sum() < 30  # but for the few that the last words are made of
+
+
+@pytest.mark.parametrize("seed", range(5))
+def test_large_tables_equal_brute_force(seed):
+    """Few large documents, budgets above 65,536 words: every reachable sum is tried."""
+    rng = np.random.default_rng(seed)
+    sizes = np.unique(rng.integers(20_000, 90_000, 9))
+    counts = rng.integers(1, 3, len(sizes))
+    whole = int((sizes * counts).sum())
+    budget = int(rng.integers(100_000, whole))
+    take = mixing.fit_budget(sizes, counts, budget)
+    share = np.array([int(c) * budget // whole for c in counts])
+    sums = {int((share * sizes).sum())}
+    for s, c in zip(sizes, counts - share):
+        sums = {x + int(s) * k for x in sums for k in range(c + 1)}
+    assert int((take * sizes).sum()) == max(x for x in sums if x <= budget)
+
+
 def slow_targets(sizes):
     order = sorted((s for s in sizes if s is not None)) + ([None] if None in sizes else [])
     weight = {s: (5, 2, 1)[k % 3] for k, s in enumerate(order)}

@@ -7,6 +7,7 @@ import pytest
 
 import corpus_pipeline
 from tablestats.llm import bpe, line_dedup, mixing, quality, simhash
+from tablestats.llm.common import work_dir
 
 SF = "/root/testdata/sf0.001"
 
@@ -82,3 +83,52 @@ def test_encoding(stages):
 
 def test_run_is_the_stages_in_order(spark, stages):
     assert Counter(map(tuple, corpus_pipeline.run(spark, SF).collect())) == Counter(map(tuple, stages[4][2]))
+
+
+def documents(spark, rows, more="fp long, row_ long, copies int, n_lines int, `a.b` string"):
+    full = [(i, t, "en", s, None if t is None else len(t), 1, 2, 3, 4, "x") for i, t, s in rows]
+    return spark.createDataFrame(full, f"doc_id long, text string, lang string, source string, n_chars long, {more}")
+
+
+def folder_of(spark, docs, labels):
+    path = work_dir(spark, "edges")
+    docs.repartition(3).write.parquet(f"{path}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{path}/labels.parquet")
+    return path
+
+
+def test_nulls_repeats_long_texts_and_clashing_columns(spark):
+    rng = np.random.default_rng(9)
+    prose = lambda n: " ".join(f"w{k}" for k in rng.integers(0, 400, n))
+    copy = prose(60)
+    rows = [(i, "site header\n" + prose(40) + f"\nend {i}", f"s{i % 3}") for i in range(60)]
+    rows += [(None, copy, None), (None, copy, None), (70, copy, "s1"), (70, copy, "s1"), (71, None, "s1"), (None, None, None), (72, "", "s2"), (73, "\n\n", None), (5, prose(30), "s0"), (74, prose(30_000), "s2")]
+    docs = documents(spark, rows)
+    labels = [(i, int(i % 7 != 0), 0) for i in range(60)]
+    path = folder_of(spark, docs, labels)
+    now = spark.read.parquet(f"{path}/documents.parquet")
+    kept = []
+    for name, f in corpus_pipeline.STAGES[:-1]:
+        after = f(spark, now, path)
+        assert after.columns == docs.columns and after.dtypes == docs.dtypes, name
+        now = spark.createDataFrame(after.collect(), docs.schema)
+        kept.append(now.collect())
+    assert all(r["a.b"] == "x" and (r["fp"], r["row_"], r["copies"], r["n_lines"]) == (1, 2, 3, 4) for k in kept for r in k)
+    assert not any("site header" in (r["text"] or "") for r in kept[1])
+    copies = [r["doc_id"] for r in kept[2] if r["text"] == copy]
+    assert copies in ([70], []) and sum(not (r["text"] or "").split() for r in kept[2]) <= 1
+    got = Counter(map(tuple, corpus_pipeline.run(spark, path).collect()))
+    enc = bpe.encoding(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    want = Counter()
+    for r in kept[3]:
+        ids = enc.encode_ordinary(r["text"] or "")
+        want[r["doc_id"], len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256((r["text"] or "").encode()).hexdigest()] += 1
+    assert got == want and got
+
+
+def test_empty_tables(spark):
+    none = documents(spark, [])
+    assert corpus_pipeline.run(spark, folder_of(spark, none, [])).collect() == []
+    # Documents without any label: nothing is rejected.
+    path = folder_of(spark, documents(spark, [(1, "one two three", "a"), (2, None, "a")]), [])
+    assert [r["doc_id"] for r in corpus_pipeline.run(spark, path).collect() if r["n_tokens"]] == [1]
