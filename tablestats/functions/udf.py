@@ -104,7 +104,9 @@ def udf_grouped_stream(df: DataFrame, keys, order_by, start: Callable[[], object
         if key is not None and finish and (out := finish(state, dict(zip(keys, key)))) is not None and len(out):
             yield out
 
-    return df.repartition(*keys).sortWithinPartitions(*keys, *order_by).mapInPandas(run, schema)
+    # A stated number of partitions, which adaptive execution leaves as it is: the work is in the function, not in the bytes.
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(n, *keys).sortWithinPartitions(*keys, *order_by).mapInPandas(run, schema)
 
 
 class Aggregate(Protocol):

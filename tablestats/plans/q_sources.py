@@ -143,10 +143,10 @@ def q_infer_schema_profile(spark, sf_dir):
     return prof.withColumn("pos", F.col("pos").cast("bigint"))
 
 
-@register("header_split", "SELECT pos, name, (SELECT count(*) FROM nation) AS body_rows FROM (VALUES "
-                          "(0::BIGINT, 'n_nationkey'), (1::BIGINT, 'n_name'), (2::BIGINT, 'n_regionkey')) h(pos, name)")
+@register("header_split", "SELECT pos, name, (SELECT count(*) FROM orders) AS body_rows FROM (VALUES "
+                          "(0::BIGINT, 'o_orderkey'), (1::BIGINT, 'o_orderstatus'), (2::BIGINT, 'o_totalprice')) h(pos, name)")
 def q_header_split(spark, sf_dir):
-    path = _written(spark, table(spark, sf_dir, "nation"), "nation-csv")
+    path = _written(spark, table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice"), "header-csv")
     names = TT.header_cells(spark, path)
     body = TT.read_cells(spark, path).agg(F.count(F.lit(1)).alias("body_rows"))
     return body.select(F.posexplode(F.array(*[F.lit(n) for n in names])).alias("pos", "name"), "body_rows") \

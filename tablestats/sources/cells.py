@@ -31,7 +31,7 @@ STRIP_RE = f"^{WS}+|{WS}+$"
 
 _WS_CHARS = " \t\n\x0b\f\r"
 # Plain cells, told without the whole grammar; Spark's casts read them as Python does.
-_PLAIN_INT = "^[+-]?[0-9]{1,18}$"
+_PLAIN_INT, _PLAIN_DECIMAL = "^[+-]?[0-9]{1,18}$", "^[+-]?[0-9]{1,38}$"
 _PLAIN_FLOAT = "^[+-]?[0-9]{1,17}([.][0-9]{1,17})?$"
 
 
@@ -124,7 +124,7 @@ def typed_cell(cell: Column, kind: str) -> Column:
     if kind == "bigint":
         return F.when(cell.rlike(_PLAIN_INT), cell.try_cast("bigint")).otherwise(info["i"])
     if kind == "decimal(38,0)":
-        return F.when(cell.rlike(_PLAIN_INT), cell.try_cast("decimal(38,0)")).otherwise(info["n"])
+        return F.when(cell.rlike(_PLAIN_DECIMAL), cell.try_cast("decimal(38,0)")).otherwise(info["n"])
     if kind in ("int", "smallint", "tinyint"):
         return F.when(cell.rlike(_PLAIN_INT), cell.try_cast(kind)).otherwise(info["n"].try_cast(kind))
     if kind in ("double", "float"):
