@@ -34,6 +34,7 @@ gives an empty store; other columns are ignored.
 
 from __future__ import annotations
 
+import bisect
 import functools
 import math
 import struct
@@ -120,6 +121,9 @@ class EliasFano:
         low = int.from_bytes(self.low[at // 8:(at + self.low_bits + 7) // 8].tobytes(), "little") >> at % 8 & (1 << self.low_bits) - 1
         return self.select(i) - i << self.low_bits | low
 
+    def __len__(self) -> int:
+        return self.n
+
     def values(self) -> np.ndarray:
         ones = np.flatnonzero(np.unpackbits(self.high, bitorder="little"))[: self.n].astype(np.uint64)
         out = (ones - np.arange(self.n, dtype=np.uint64)) << np.uint64(self.low_bits)
@@ -157,6 +161,13 @@ class Shard:
         start, end = self.bounds(i)
         return self.ids[start:end]
 
+    def find(self, doc_id: int) -> range:
+        """The documents with this id: a binary search whose every step is one select."""
+        if doc_id < self.base:
+            return range(0)
+        first = bisect.bisect_left(self.doc_ids, doc_id - self.base)
+        return range(self.n_null + first, self.n_null + bisect.bisect_right(self.doc_ids, doc_id - self.base, lo=first))
+
     def all_ids(self) -> list[int | None]:
         return [None] * self.n_null + [self.base + int(x) for x in self.doc_ids.values()]
 
@@ -370,6 +381,30 @@ def read_store(spark: SparkSession, folder: str) -> DataFrame:
             .join(F.broadcast(offsets), "part").select("doc_id", (F.col("offset") + F.col("at")).alias("start"), "n_tokens", "ids_crc32"))
 
 
+def read_documents(spark: SparkSession, folder: str, doc_ids: Iterable[int]) -> DataFrame:
+    """(doc_id, ids) of some documents of a store, their end ids included; one row for each time an id is stored.
+
+    ``doc_ids`` is a list the caller holds; every task gets it. Nothing but the documents asked for is
+    decoded: a shard's two sequences say by selects where they lie.
+    """
+    wanted = spark.sparkContext.broadcast(sorted({int(i) for i in doc_ids}))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for blob in b.column("blob"):
+                s = Shard(blob.as_py())
+                known = len(s.doc_ids)
+                if not known:
+                    continue
+                low = bisect.bisect_left(wanted.value, s.base + s.doc_ids[0])
+                high = bisect.bisect_right(wanted.value, s.base + s.doc_ids[known - 1])
+                found = [(i, s.document(k)) for i in wanted.value[low:high] for k in s.find(i)]
+                if found:
+                    yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in found], pa.int64()), pa.array([x.astype(np.int32) for _, x in found], pa.list_(pa.int32()))], ["doc_id", "ids"])
+
+    return spark.read.parquet(folder).select("blob").mapInArrow(run, "doc_id long, ids array<int>")
+
+
 def round_trip(docs: DataFrame, tokenizer_path: str, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Write a store under the shared checkpoint folder and read it back."""
     folder = work_dir(docs.sparkSession, "tokens") + "/store"

@@ -121,3 +121,16 @@ def test_round_trip_with_an_added_token(spark, docs_of):
         want.append((i, at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
         at += len(ids)
     assert got == want
+
+
+def test_some_documents_are_read_by_select(spark, docs_of, monkeypatch):
+    rows = [(i * 3 - 50, f"text number {i} " * (i % 7)) for i in range(120)] + [(None, "no id"), (10, "same id"), (10, None)]
+    folder = work_dir(spark, "some") + "/store"
+    token_store.write_store(docs_of(rows), folder, PATH)
+    asked = [-50, 10, 11, 40, 307, 9999, -9999]
+    got = sorted((r["doc_id"], r["ids"]) for r in token_store.read_documents(spark, folder, asked).collect())
+    assert got == sorted((i, unmodified(t or "") + [0]) for i, t in rows if i in asked)
+    assert token_store.read_documents(spark, folder, []).collect() == []
+    monkeypatch.setattr(token_store.EliasFano, "values", None)  # find needs no whole sequence
+    s = token_store.Shard(token_store.Shard.pack([None, 4, 4, 9], [1, 2, 3, 4], np.arange(10), 2, 0))
+    assert [list(s.find(i)) for i in (3, 4, 9, 10)] == [[], [1, 2], [3], []] and s.document(2).tolist() == [3, 4, 5]
