@@ -63,17 +63,19 @@ def split_cells(line) -> F.Column:
 
 
 def header_cells(spark: SparkSession, path: str) -> list[str]:
-    """A4: the header of the first file (in name order), stripped and split.
+    """A4: the header of the first file (in name order) that holds a line, stripped and split.
 
-    Reads one line of one file; the body never reaches the driver.
+    Reads one line of one file; the body never reaches the driver. Empty files, as a
+    writer's task without rows leaves them, have no header.
     """
     files = sorted(spark.read.text(path).inputFiles())
     if not files:
         raise FileNotFoundError(path)
-    first = spark.read.text(files[0]).first()
-    if first is None:
-        return []
-    return [c.strip() for c in first.value.strip().split(",")]
+    for file in files:
+        first = spark.read.text(file).first()
+        if first is not None:
+            return [c.strip() for c in first.value.strip().split(",")]
+    return []
 
 
 def read_cells(spark: SparkSession, path: str, header: bool = True) -> DataFrame:

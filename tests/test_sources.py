@@ -239,3 +239,30 @@ def test_layouts(spark):
     assert sorted(tuple(r) for r in TT.matrix_layout(long, ["b", "a"]).collect()) == [(1, 1.0, 0.5), (2, 0.5, 1.0)]
     px = spark.createDataFrame([(7, [1.0, 2.0, 3.0, 4.0])], "id int, px array<double>")
     assert TT.pixel_layout(px, "px", 2, keep=["id"]).first().asDict() == {"id": 7, "p1": 1.0, "p2": 2.0, "p3": 3.0, "p4": 4.0}
+
+
+def test_empty_files_have_no_header(spark, tmp_path):
+    for k, text in enumerate(["", "", "a,b\n1,x\n", "", "a,b\n2,\n"]):
+        (tmp_path / f"part-{k}.txt").write_text(text)
+    path = str(tmp_path)
+    assert TT.header_cells(spark, path) == ["a", "b"]
+    got = TT.read_table(spark, path, exact=True)
+    assert got.dtypes == [("a", "bigint"), ("b", "string")]
+    assert sorted(tuple(r) for r in got.collect()) == [(1, "x"), (2, "")]
+    assert TT.table_footprint(spark, path).first().columns == 2
+
+
+def test_scan_of_orders_whose_first_task_has_no_rows(spark, tmp_path):
+    """One row group read in several splits: only the split with its middle has rows."""
+    from tablestats.plans import QUERIES
+    n = 60_000
+    rows = spark.range(n, numPartitions=1).select(F.col("id").alias("o_orderkey"), F.lit("O").alias("o_orderstatus"), (F.rand(1) * 1000).alias("o_totalprice"))
+    rows.write.parquet(f"{tmp_path}/orders.parquet")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "100000")
+    try:
+        got = QUERIES["csv_scan"](spark, str(tmp_path))
+        assert got.columns == ["k", "label", "big", "x"]
+        assert got.agg(F.count("*"), F.count("big"), F.count("x")).first() == (n, n * 8 // 10, n * 8 // 10)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
