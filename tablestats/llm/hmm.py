@@ -13,10 +13,8 @@ joined in once.
 Training is Baum-Welch. In every round each task runs the scaled forward and backward
 recursions over its texts and sums the expected numbers of starts, transitions and
 emissions; the tasks' sums are added by class in a shuffle, and the new probabilities, whose size
-is bounded by the number of classes, are broadcast. The first rounds start from random
-emissions on a sample that grows with the corpus (a 64th of the training texts,
-and at least ``SAMPLE_DOCS``), which settles what the states stand for; the last ``ROUNDS`` count
-all training texts. Longer texts are trained on in segments of ``SEGMENT`` tokens; a segment that
+is bounded by the number of classes, are broadcast. The ``ROUNDS`` start from random
+emissions, and each counts all training texts. Longer texts are trained on in segments of ``SEGMENT`` tokens; a segment that
 goes on a text has a start distribution of its own. Texts are scored whole.
 
 The likelihood is the forward recursion's: at every token the state probabilities are
@@ -41,7 +39,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tablestats.llm.common import column, shuffle_partitions, small_batches, written
+from tablestats.llm.common import column, small_batches, written
 
 STATES = 8
 FREQUENT = 1_000_000
@@ -51,12 +49,13 @@ ENDINGS, ENDING_CHARS = 4096, 3
 ADDED = 0.1
 #: Tokens' worth of the corpus' own class frequencies added to every state's emissions.
 PRIOR = 50.0
-#: Rounds on the sample, then on all training texts.
-SAMPLE_ROUNDS, ROUNDS = 12, 2
-SAMPLE_DOCS, SAMPLE_SHARE = 4000, 1 / 64
+#: Rounds, each on all training texts, and a round's tasks.
+ROUNDS, TASKS_PER_CORE = 14, 2
 SEGMENT = 2048
 #: Tokens that run side by side, and distinct words a task counts before it passes them on.
 BLOCK_TOKENS, HELD_WORDS = 300_000, 300_000
+#: Blocks of tokens whose sequences are dealt out by length.
+HELD_BLOCKS = 8
 SEED = 7
 #: Rows of a round's sums that are no classes: a state's transitions are at -1 - state.
 _STARTS, _GOES_ON, _LOG = -1001, -1002, -1003
@@ -195,9 +194,14 @@ class Packed(NamedTuple):
 def pack(seqs: list[np.ndarray]) -> Packed:
     lengths = np.array([len(s) for s in seqs])
     order = np.argsort(-lengths, kind="stable")
-    step = np.concatenate([np.arange(n, dtype=np.int32) for n in lengths[order]])
-    tokens = np.concatenate([seqs[i] for i in order])[np.argsort(step, kind="stable")]
-    return Packed(order, tokens, np.cumsum(np.bincount(step)).tolist())
+    lengths = lengths[order]
+    flat = np.concatenate([seqs[i] for i in order])
+    step = np.arange(len(flat)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+    ends = np.cumsum(np.bincount(step))
+    # A step's tokens stand in the sequences' order, since those that have ended are the last.
+    tokens = np.empty_like(flat)
+    tokens[np.concatenate([[0], ends[:-1]])[step] + np.repeat(np.arange(len(seqs)), lengths)] = flat
+    return Packed(order, tokens, ends.tolist())
 
 
 def log_likelihoods(seqs: list[np.ndarray], model: Model) -> np.ndarray:
@@ -220,38 +224,68 @@ def log_likelihoods(seqs: list[np.ndarray], model: Model) -> np.ndarray:
     return out
 
 
-def expected(seqs: list[np.ndarray], later: np.ndarray, model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, float]:
+def room_for(tokens: int, states: int) -> np.ndarray:
+    """Working space of ``expected``, to be used block after block."""
+    return np.empty((3, tokens * states))
+
+
+def expected(seqs: list[np.ndarray], later: np.ndarray, model: Model, room: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, float]:
     """Expected state probabilities of the tokens with their classes, transitions, the two kinds of starts, and the log10 likelihood.
 
-    ``later``: 1 for sequences that go on a text, else 0.
+    ``later``: 1 for sequences that go on a text, else 0. What comes back may lie in ``room``.
     """
     p = pack(seqs)
-    emit = model.emit[p.tokens]
-    ahead, scale = np.empty_like(emit), np.empty(len(emit))
+    later = later[p.order]
+    n, size = len(model.move), len(p.tokens)
+    if room is None or room.shape[1] < n * size:
+        room = room_for(size, n)
+    # One row per state: a step's part of each row lies side by side.
+    emit, ahead, after = (x[:n * size].reshape(n, size) for x in room)
+    np.take(np.ascontiguousarray(model.emit.T), p.tokens, axis=1, out=emit, mode="clip")
+    scale = np.empty(size)
     starts = [0, *p.ends[:-1]]
-    for t, (a, b) in enumerate(zip(starts, p.ends)):
-        state = emit[a:b] * (model.start[later[p.order]] if t == 0 else ahead[starts[t - 1]:starts[t - 1] + b - a] @ model.move)
-        scale[a:b] = c = state.sum(1)
-        np.divide(state, c[:, None], out=ahead[a:b])
-    # Per token, its emission times what follows; back[t] is that passed to the token before.
-    emit /= scale[:, None]
-    after = np.ones_like(emit)
-    for t in range(len(p.ends) - 1, 0, -1):
-        a, b = starts[t], p.ends[t]
-        emit[a:b] *= after[a:b]
-        np.matmul(emit[a:b], model.move.T, out=after[starts[t - 1]:starts[t - 1] + b - a])
-    first = p.ends[0]
-    gaps = np.repeat(np.diff(starts), np.diff(p.ends))
-    before = np.arange(first, len(emit)) - gaps
-    moves = model.move * (ahead[before].T @ emit[first:])
-    seen = ahead * after
-    begin = np.array([seen[:first][later[p.order] == k].sum(0) for k in (0, 1)])
-    return p.tokens, seen, moves, begin, float(np.log10(scale).sum())
-
-
-def _blocks(batches: Iterator[pa.RecordBatch], name: str, segment: int | None) -> Iterator[tuple[list[np.ndarray], list[int], list[int]]]:
-    """Sequences of about BLOCK_TOKENS tokens with, for each, whether it goes on a text, and its row in the batch they came in last."""
+    spans = list(zip(starts, p.ends))
+    forward = np.ascontiguousarray(model.move.T)
+    ahead[:, :p.ends[0]] = model.start[later].T
+    for t, (a, b) in enumerate(spans):
+        state = ahead[:, a:b]
+        if t:
+            before = starts[t - 1]
+            np.matmul(forward, ahead[:, before:before + b - a], out=state)
+        state *= emit[:, a:b]
+        state /= np.add.reduce(state, axis=0, out=scale[a:b])
+    # Per token, its emission times what follows; after is that passed to the token before.
+    emit /= scale
+    after.fill(1.0)
+    moves = np.zeros((n, n))
+    for t in range(len(spans) - 1, 0, -1):
+        (a, b), before = spans[t], starts[t - 1]
+        follows = emit[:, a:b]
+        follows *= after[:, a:b]
+        moves += ahead[:, before:before + b - a] @ follows.T
+        np.matmul(model.move, follows, out=after[:, before:before + b - a])
+    moves *= model.move
+    seen = np.multiply(ahead, after, out=after)
+    begin = np.array([seen[:, :p.ends[0]][:, later == k].sum(1) for k in (0, 1)])
+    return p.tokens, seen.T, moves, begin, float(np.log10(scale).sum())
+
+
+def _blocks(batches: Iterator[pa.RecordBatch], name: str, segment: int | None) -> Iterator[tuple[list[np.ndarray], list[int]]]:
+    """Sequences of about BLOCK_TOKENS tokens with, for each, whether it goes on a text.
+
+    A few blocks' sequences are dealt out by length, so that those of a block end at about the same step.
+    """
     seqs, later, count = [], [], 0
+
+    def dealt() -> Iterator[tuple[list[np.ndarray], list[int]]]:
+        order = sorted(range(len(seqs)), key=lambda i: len(seqs[i]))
+        first, size = 0, 0
+        for at, i in enumerate(order, 1):
+            size += len(seqs[i])
+            if size >= BLOCK_TOKENS or at == len(order):
+                yield [seqs[j] for j in order[first:at]], [later[j] for j in order[first:at]]
+                first, size = at, 0
+
     for b in batches:
         lists = b.column(name)
         flat, ends = lists.flatten().to_numpy(), np.diff(lists.offsets.to_numpy())
@@ -261,25 +295,27 @@ def _blocks(batches: Iterator[pa.RecordBatch], name: str, segment: int | None) -
                 seqs.append(flat[at + k:at + min(n, k + (segment or n))])
                 later.append(int(k > 0))
                 count += len(seqs[-1])
-                if count >= BLOCK_TOKENS:
-                    yield seqs, later
-                    seqs, later, count = [], [], 0
             at += n
-    if seqs:
-        yield seqs, later
+        if count >= HELD_BLOCKS * BLOCK_TOKENS:
+            yield from dealt()
+            seqs, later, count = [], [], 0
+    yield from dealt()
 
 
 def sums(encoded: DataFrame, model: Model, segment: int = SEGMENT) -> DataFrame:
     """(class, s0, s1, ...): a round's expected counts, added up over the tasks."""
-    shared = encoded.sparkSession.sparkContext.broadcast(model)
+    # State by state in memory, as the recursions read it.
+    shared = encoded.sparkSession.sparkContext.broadcast(model._replace(emit=np.asfortranarray(model.emit)))
     n = len(model.move)
     names = [f"s{i}" for i in range(n)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         emits, moves, begins, log = np.zeros((n, len(m.emit))), np.zeros((n, n)), np.zeros((2, n)), 0.0
+        room = room_for(BLOCK_TOKENS + segment, n)
         for seqs, later in _blocks(batches, "classes", segment):
-            tokens, seen, move, begin, likelihood = expected(seqs, np.array(later), m)
+            tokens, seen, move, begin, likelihood = expected(seqs, np.array(later), m, room)
+            tokens = tokens.astype(np.intp)
             for s in range(n):
                 emits[s] += np.bincount(tokens, seen[:, s], len(m.emit))
             moves += move
@@ -311,18 +347,18 @@ def first_model(share: np.ndarray, n: int) -> Model:
     return Model(emit / emit.sum(0), np.full((n, n), 0.1 / n) + 0.9 * np.eye(n), np.full((2, n), 1 / n))
 
 
-def train(encoded: DataFrame, known: Classes, states: int = STATES, sample_rounds: int = SAMPLE_ROUNDS, rounds: int = ROUNDS) -> tuple[Model, list[float]]:
-    """A model of the sequences in ``encoded`` and the log10 likelihoods before each round."""
+def train(encoded: DataFrame, known: Classes, states: int = STATES, sample_rounds: int = 0, rounds: int = ROUNDS) -> tuple[Model, list[float]]:
+    """A model of the sequences in ``encoded`` and the log10 likelihoods before each round.
+
+    Every round counts all sequences; ``sample_rounds``, from when the first rounds took a sample, are further rounds.
+    """
     model, logs = first_model(known.share, states), []
-    docs, tokens = encoded.agg(F.count(F.lit(1)), F.coalesce(F.sum("n_tokens"), F.lit(0))).first()
-    if not docs:
+    if encoded.isEmpty():
         return model, logs
-    rate = min(1.0, max(SAMPLE_SHARE, SAMPLE_DOCS / docs))
-    chosen = F.pmod(F.xxhash64("doc_id", "row"), F.lit(1 << 30)) < int(rate * (1 << 30)) if rate < 1 else F.lit(True)
-    parts = max(1, min(shuffle_partitions(encoded.sparkSession), int(rate * tokens) // BLOCK_TOKENS))
-    sample = written(encoded.where(chosen).select("classes").repartition(parts))
-    for k in range(sample_rounds + rounds):
-        model, log = fitted(sums(sample if k < sample_rounds else encoded, model).toArrow(), known.share, states)
+    # A task's sums are as large as the classes it met, however few its texts: some tasks per core are enough.
+    dealt = encoded.select("classes").coalesce(TASKS_PER_CORE * encoded.sparkSession.sparkContext.defaultParallelism)
+    for _ in range(sample_rounds + rounds):
+        model, log = fitted(sums(dealt, model).toArrow(), known.share, states)
         logs.append(log)
     return model, logs
 

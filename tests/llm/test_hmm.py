@@ -158,3 +158,31 @@ def test_no_training_text_and_empty_table(spark):
     got = run(spark, [(alone, "some words")])
     assert got[0][:6] == (alone, True, 3, 0, 0, 0.0) and math.isfinite(got[0][6])
     assert run(spark, []) == []
+
+
+def test_every_round_counts_all_training_texts(spark):
+    """More texts than the 4,000 that the first rounds once took as a sample."""
+    df = spark.range(9000, numPartitions=3).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 2 == 0, "red green").otherwise("uno dos").alias("text"), F.lit(False).alias("held_out"))
+    known = hmm.classes(hmm.count_words(df))
+    encoded = hmm.encode(df, known).localCheckpoint()
+    model, logs = hmm.train(encoded, known, states=2, sample_rounds=2, rounds=1)
+    want, step = [], hmm.first_model(known.share, 2)
+    texts = [np.array(r[0], np.int32) for r in encoded.select("classes").collect()]
+    for _ in range(3):
+        want.append(hmm.log_likelihoods(texts, step).sum())
+        step, _ = hmm.fitted(hmm.sums(encoded, step).toArrow(), known.share, 2)
+    assert np.allclose(logs, want, rtol=1e-9) and np.allclose(model.emit, step.emit)
+
+
+def test_blocks_hold_every_sequence_once(monkeypatch):
+    monkeypatch.setattr(hmm, "BLOCK_TOKENS", 50)
+    rng = np.random.default_rng(3)
+    texts, at = [], 0
+    for n in rng.integers(1, 60, 200).tolist():
+        texts.append(np.arange(at, at + n, dtype=np.int32))
+        at += n
+    batches = [pa.RecordBatch.from_arrays([pa.array(texts[i:i + 30])], ["classes"]) for i in range(0, 200, 30)]
+    blocks = list(hmm._blocks(iter(batches), "classes", 25))
+    found = [(s[0], len(s), k) for seqs, later in blocks for s, k in zip(seqs, later)]
+    assert sorted(found) == sorted((t[k], len(t[k:k + 25]), int(k > 0)) for t in texts for k in range(0, len(t), 25))
+    assert len(blocks) > 20 and max(sum(map(len, seqs)) for seqs, _ in blocks) < 50 + 25
