@@ -77,38 +77,59 @@ def udf_grouped_stream(df: DataFrame, keys, order_by, start: Callable[[], object
     state; ``step(state, rows)`` gets the group's next rows, at most a batch, and
     returns the state to go on with and rows of the result (or None);
     ``finish(state, key)``, after the group's last rows, may return more rows. A task holds one
-    batch and one state, however large a group is. Rows that tie in ``order_by`` come in no fixed order.
+    batch, one state and ``HELD_ROWS`` of the result, however large a group is: the rows of many small
+    groups leave as one frame. Rows that tie in ``order_by`` come in no fixed order.
     """
     keys = [keys] if isinstance(keys, str) else list(keys)
     order_by = [order_by] if isinstance(order_by, (str, Column)) else list(order_by)
     if not keys:
         raise ValueError("a stream of groups needs keys")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def results(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame | None]:
         state, key = None, None
         for pdf in batches:
             if not len(pdf):
                 continue
             head = pdf[keys]
             same = (head.eq(head.shift()) | head.isna() & head.shift().isna()).all(axis=1).to_numpy()
-            cuts = np.flatnonzero(~same[1:]) + 1
-            for lo, hi in zip([0, *cuts], [*cuts, len(pdf)]):
-                own = tuple(None if pd.isna(x) else x for x in head.iloc[lo])
+            starts = [0, *(np.flatnonzero(~same[1:]) + 1)]
+            owners = zip(*[pdf[k].iloc[starts].tolist() for k in keys])
+            for own, lo, hi in zip(owners, starts, [*starts[1:], len(pdf)]):
+                own = tuple(None if pd.isna(x) else x for x in own)
                 if own != key:
-                    if key is not None and finish and (out := finish(state, dict(zip(keys, key)))) is not None and len(out):
-                        yield out
+                    if key is not None and finish:
+                        yield finish(state, dict(zip(keys, key)))
                     state, key = start(), own
                 state, out = step(state, pdf.iloc[lo:hi].reset_index(drop=True))
-                if out is not None and len(out):
-                    yield out
-        if key is not None and finish and (out := finish(state, dict(zip(keys, key)))) is not None and len(out):
-            yield out
+                yield out
+        if key is not None and finish:
+            yield finish(state, dict(zip(keys, key)))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[pd.DataFrame] = []
+        kind, size = None, 0
+        for out in results(batches):
+            if out is None or not len(out):
+                continue
+            # Only frames of the same types join: no value changes its type on the way.
+            own = (*out.columns, *out.dtypes)
+            if held and (own != kind or size + len(out) > HELD_ROWS):
+                yield pd.concat(held, ignore_index=True) if len(held) > 1 else held[0]
+                held, size = [], 0
+            held.append(out)
+            kind, size = own, size + len(out)
+        if held:
+            yield pd.concat(held, ignore_index=True) if len(held) > 1 else held[0]
 
     # A stated number of partitions, which adaptive execution leaves as it is: the work is in the function, not in the bytes.
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return df.repartition(n, *keys).sortWithinPartitions(*keys, *order_by).mapInPandas(run, schema)
 
 
+#: Rows of a stream of groups' result that a task sends at once.
+HELD_ROWS = 10_000
+
+
 class Aggregate(Protocol):
     """A user aggregate whose state only its own code understands. States are pickled; merging must be associative."""
 

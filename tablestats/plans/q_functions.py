@@ -79,7 +79,7 @@ def _streak(state: tuple, pdf: pd.DataFrame) -> tuple[tuple, pd.DataFrame]:
     at = np.arange(len(price))
     start = np.maximum.accumulate(np.where(rise, -1, at))
     out = np.where(start < 0, at + 1 + streak, at - start)
-    return (price[-1], int(out[-1])), pdf[["o_orderkey", "hot_key"]].assign(streak=out)
+    return (price[-1], int(out[-1])), pd.DataFrame({"o_orderkey": pdf["o_orderkey"], "hot_key": pdf["hot_key"], "streak": out})
 
 
 # One key holds a third of the orders.

@@ -86,6 +86,31 @@ def test_streamed_groups_see_their_rows_in_order_and_in_pieces(spark):
     assert {k: n for k, (n, _) in ends.items()} == dict(count) and ends["hot"][1] >= 10
 
 
+def test_results_of_small_groups_leave_together(spark):
+    """Thousands of groups of one row: one frame, and so one Arrow batch, for all but those of another type."""
+    class Dealt:
+        sparkSession = spark
+
+        def repartition(self, *args):
+            return self
+
+        sortWithinPartitions = repartition
+
+        def mapInPandas(self, run, schema):
+            return run
+
+    def step(state, pdf):
+        # The group 777 answers in floats, which must not touch the others' 54-bit integers.
+        return state, pdf.assign(v=[0.5]) if pdf["k"].iloc[0] == 777 else pdf
+
+    rows = pd.DataFrame({"k": np.arange(3000), "v": 2**53 + 1})
+    run = U.udf_grouped_stream(Dealt(), "k", "v", lambda: None, step, "k bigint, v bigint", lambda state, key: pd.DataFrame({"k": [key["k"]], "v": [-1]}))
+    out = list(run(iter([rows[:1000], rows[:0], rows[1000:]])))
+    assert [len(x) for x in out] == [2 * 777, 1, 2 * 3000 - 2 * 777 - 1]
+    v = pd.concat([out[0], out[2]])["v"]
+    assert v.dtype == np.int64 and sorted(set(v)) == [-1, 2**53 + 1] and out[1]["v"].tolist() == [0.5]
+
+
 def brute_top(keys, k):
     return sorted(Counter(keys).items(), key=lambda x: (-x[1], x[0] is not None, x[0] or ""))[:k]
 
