@@ -2,7 +2,7 @@
 
 An image is one row holding an ``array<double>`` of S*S pixels (row-major,
 index i*S+j) - never S*S columns. The filters are one numpy stencil over the flat
-buffer of an Arrow batch, all its images at once; reshaping is a per-row
+buffer of an Arrow batch, ``PIXELS`` of it at once; reshaping is a per-row
 expression. Nothing is shuffled.
 
 Fixed semantics of the source programs:
@@ -31,6 +31,8 @@ from tablestats.operators.rows import row_length_filter
 SOBEL_GX = [[-1, 0, 1], [-2, 0, 2], [-1, 0, 1]]
 SOBEL_GY = [[-1, -2, -1], [0, 0, 0], [1, 2, 1]]
 SOBEL_CLIP = 255.0
+#: Pixels a kernel works on at once: it holds some arrays of that size.
+PIXELS = 1 << 18
 
 
 def grid_reshape(px: Column, size: int) -> Column:
@@ -76,8 +78,12 @@ def _filtered(rows: pa.Array, size: int, kernel) -> pa.Array:
     """A kernel over the rows that are images; the others become NULL."""
     area = size * size
     fits = pc.fill_null(pc.equal(pc.list_value_length(rows), area), False)
-    flat = rows.filter(fits).flatten().to_numpy(zero_copy_only=False)
-    out = kernel(np.asarray(flat, np.float64).reshape(-1, size, size)).reshape(-1)
+    pixels = (rows if pc.all(fits).as_py() else rows.filter(fits)).flatten()
+    out = np.empty(len(pixels))
+    step = max(1, PIXELS // area) * area
+    for at in range(0, len(pixels), step):
+        some = np.asarray(pixels.slice(at, step).to_numpy(zero_copy_only=False), np.float64)
+        out[at:at + step] = kernel(some.reshape(-1, size, size)).reshape(-1)
     offsets = np.concatenate([[0], np.cumsum(fits.to_numpy(zero_copy_only=False).astype(np.int32) * area)])
     return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(out, from_pandas=True), mask=pc.invert(fits))
 
@@ -128,9 +134,13 @@ def _image_chain(df: DataFrame, cells_col: str, size: int, kernel) -> DataFrame:
     kept = row_length_filter(cast, cells_col, size * size)
     at = kept.columns.index(cells_col)
 
+    step = max(1, PIXELS // (size * size))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield b.set_column(at, cells_col, _filtered(b.column(at), size, kernel))
+            for k in range(0, b.num_rows, step):
+                some = b.slice(k, step)
+                yield some.set_column(at, cells_col, _filtered(some.column(at), size, kernel))
 
     return kept.mapInArrow(run, kept.schema)
 

@@ -1,5 +1,7 @@
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -144,3 +146,19 @@ def test_coerce_drop(spark):
     assert [tuple(r) for r in R.cast_numeric_coerce_drop(df).collect()] == [(1.0, 2.0), (4.0, 5.0)]
     with pytest.raises(Exception):
         R.cast_numeric_strict(df).collect()
+
+
+def test_a_kernel_holds_a_bounded_number_of_pixels(monkeypatch):
+    """Batches of any size go through in pieces, with the same pixels as all at once."""
+    rng = np.random.default_rng(5)
+    images = [rng.integers(0, 255, 16).astype(float).tolist() if k % 7 else [1.0] * (k % 5) for k in range(200)]
+    rows = pa.array([*images, None], pa.list_(pa.float64()))
+    whole = {f: G._filtered(rows, 4, f) for f in (G.mean_pixels, G.sobel_pixels)}
+    held = []
+    monkeypatch.setattr(G, "PIXELS", 100)
+    for f, want in whole.items():
+        def seen(img, f=f):
+            held.append(img.size)
+            return f(img)
+        assert G._filtered(rows, 4, seen).equals(want)
+    assert max(held) <= 100 and len(held) > 20
