@@ -51,6 +51,8 @@ ADDED = 0.1
 PRIOR = 50.0
 #: Rounds, each on all training texts, and a round's tasks.
 ROUNDS, TASKS_PER_CORE = 14, 2
+#: Tokens a round's task has at least, where there are several.
+TASK_TOKENS = 3_000_000
 SEGMENT = 2048
 #: Tokens that run side by side, and distinct words a task counts before it passes them on.
 BLOCK_TOKENS, HELD_WORDS = 300_000, 300_000
@@ -224,25 +226,25 @@ def log_likelihoods(seqs: list[np.ndarray], model: Model) -> np.ndarray:
     return out
 
 
-def room_for(tokens: int, states: int) -> np.ndarray:
+def room_for(tokens: int, states: int, kind: type = np.float64) -> np.ndarray:
     """Working space of ``expected``, to be used block after block."""
-    return np.empty((3, tokens * states))
+    return np.empty((3, tokens * states), kind)
 
 
 def expected(seqs: list[np.ndarray], later: np.ndarray, model: Model, room: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, float]:
     """Expected state probabilities of the tokens with their classes, transitions, the two kinds of starts, and the log10 likelihood.
 
-    ``later``: 1 for sequences that go on a text, else 0. What comes back may lie in ``room``.
+    In the precision of ``model``. ``later``: 1 for sequences that go on a text, else 0. What comes back may lie in ``room``.
     """
     p = pack(seqs)
     later = later[p.order]
     n, size = len(model.move), len(p.tokens)
     if room is None or room.shape[1] < n * size:
-        room = room_for(size, n)
+        room = room_for(size, n, model.emit.dtype)
     # One row per state: a step's part of each row lies side by side.
     emit, ahead, after = (x[:n * size].reshape(n, size) for x in room)
     np.take(np.ascontiguousarray(model.emit.T), p.tokens, axis=1, out=emit, mode="clip")
-    scale = np.empty(size)
+    scale = np.empty(size, emit.dtype)
     starts = [0, *p.ends[:-1]]
     spans = list(zip(starts, p.ends))
     forward = np.ascontiguousarray(model.move.T)
@@ -267,7 +269,7 @@ def expected(seqs: list[np.ndarray], later: np.ndarray, model: Model, room: np.n
     moves *= model.move
     seen = np.multiply(ahead, after, out=after)
     begin = np.array([seen[:, :p.ends[0]][:, later == k].sum(1) for k in (0, 1)])
-    return p.tokens, seen.T, moves, begin, float(np.log10(scale).sum())
+    return p.tokens, seen.T, moves, begin, float(np.log10(scale).sum(dtype=np.float64))
 
 
 def _blocks(batches: Iterator[pa.RecordBatch], name: str, segment: int | None) -> Iterator[tuple[list[np.ndarray], list[int]]]:
@@ -304,15 +306,16 @@ def _blocks(batches: Iterator[pa.RecordBatch], name: str, segment: int | None) -
 
 def sums(encoded: DataFrame, model: Model, segment: int = SEGMENT) -> DataFrame:
     """(class, s0, s1, ...): a round's expected counts, added up over the tasks."""
-    # State by state in memory, as the recursions read it.
-    shared = encoded.sparkSession.sparkContext.broadcast(model._replace(emit=np.asfortranarray(model.emit)))
+    # State by state in memory, as the recursions read it; they add and multiply nothing but
+    # positive numbers scaled at every token, so single precision does. The sums are double.
+    shared = encoded.sparkSession.sparkContext.broadcast(Model(*[np.asfortranarray(x, np.float32) for x in model]))
     n = len(model.move)
     names = [f"s{i}" for i in range(n)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         emits, moves, begins, log = np.zeros((n, len(m.emit))), np.zeros((n, n)), np.zeros((2, n)), 0.0
-        room = room_for(BLOCK_TOKENS + segment, n)
+        room = room_for(BLOCK_TOKENS + segment, n, m.emit.dtype)
         for seqs, later in _blocks(batches, "classes", segment):
             tokens, seen, move, begin, likelihood = expected(seqs, np.array(later), m, room)
             tokens = tokens.astype(np.intp)
@@ -355,8 +358,9 @@ def train(encoded: DataFrame, known: Classes, states: int = STATES, sample_round
     model, logs = first_model(known.share, states), []
     if encoded.isEmpty():
         return model, logs
-    # A task's sums are as large as the classes it met, however few its texts: some tasks per core are enough.
-    dealt = encoded.select("classes").coalesce(TASKS_PER_CORE * encoded.sparkSession.sparkContext.defaultParallelism)
+    # A task's sums are as large as the classes it met, however few its texts: some tasks per core are enough, fewer for few texts.
+    parts = min(TASKS_PER_CORE * encoded.sparkSession.sparkContext.defaultParallelism, known.tokens // TASK_TOKENS)
+    dealt = encoded.select("classes").coalesce(max(1, parts))
     for _ in range(sample_rounds + rounds):
         model, log = fitted(sums(dealt, model).toArrow(), known.share, states)
         logs.append(log)

@@ -171,7 +171,17 @@ def test_every_round_counts_all_training_texts(spark):
     for _ in range(3):
         want.append(hmm.log_likelihoods(texts, step).sum())
         step, _ = hmm.fitted(hmm.sums(encoded, step).toArrow(), known.share, 2)
-    assert np.allclose(logs, want, rtol=1e-9) and np.allclose(model.emit, step.emit)
+    assert np.allclose(logs, want, rtol=1e-6) and np.allclose(model.emit, step.emit, rtol=1e-4)
+
+
+def test_single_precision_counts_as_double_does():
+    rng = np.random.default_rng(4)
+    model, seqs = model_of(500, 8), [rng.integers(0, 500, n).astype(np.int32) for n in (1, 40, 2048, 2048)]
+    later = np.array([0, 0, 0, 1])
+    fine = hmm.expected(seqs, later, model)
+    rough = hmm.expected(seqs, later, hmm.Model(*[x.astype(np.float32) for x in model]))
+    assert rough[1].dtype == np.float32 and np.allclose(rough[1], fine[1], rtol=1e-4, atol=1e-6)
+    assert np.allclose(rough[2], fine[2], rtol=1e-5) and math.isclose(rough[4], fine[4], rel_tol=1e-6)
 
 
 def test_blocks_hold_every_sequence_once(monkeypatch):
