@@ -27,10 +27,10 @@ def saved(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def written(df: DataFrame) -> DataFrame:
-    """The rows written once as a compressed table in the shared checkpoint folder, and read back."""
+def written(df: DataFrame, **options: str) -> DataFrame:
+    """The rows written once as a compressed table in the shared checkpoint folder, and read back; ``options`` are the writer's."""
     path = work_dir(df.sparkSession, "table") + "/rows"
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.options(**options).option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

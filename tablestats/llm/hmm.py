@@ -10,14 +10,15 @@ that of its class there times its own within the class. The second factor does n
 depend on the state: only classes pass through the recursions, and a rare word's count is
 joined in once.
 
-Training is Baum-Welch. In every round each task runs the scaled forward and backward
-recursions over its texts and sums the expected numbers of starts, transitions and
+Training is Baum-Welch. The training texts are laid side by side in blocks once, and written in that form.
+In every round each task runs the scaled forward and backward
+recursions over its blocks and sums the expected numbers of starts, transitions and
 emissions; the tasks' sums are added by class in a shuffle, and the new probabilities, whose size
 is bounded by the number of classes, are broadcast. The ``ROUNDS`` start from random
 emissions, and each counts all training texts. Longer texts are trained on in segments of ``SEGMENT`` tokens; a segment that
 goes on a text has a start distribution of its own. Texts are scored whole.
 
-The likelihood is the forward recursion's: at every token the state probabilities are
+The likelihood is the forward recursion's: at every few tokens the state probabilities are
 normalised, and the logarithms of the normalisers add up to the text's. Texts run side by
 side, longest first, so that a step is one small matrix product for all of them.
 
@@ -54,10 +55,16 @@ ROUNDS, TASKS_PER_CORE = 14, 2
 #: Tokens a round's task has at least, where there are several.
 TASK_TOKENS = 3_000_000
 SEGMENT = 2048
-#: Tokens that run side by side, and distinct words a task counts before it passes them on.
-BLOCK_TOKENS, HELD_WORDS = 300_000, 300_000
-#: Blocks of tokens whose sequences are dealt out by length.
-HELD_BLOCKS = 8
+#: Tokens that run side by side (what the recursions touch then stays in a core's cache), and distinct words a task counts before it passes them on.
+BLOCK_TOKENS, HELD_WORDS = 100_000, 300_000
+#: Blocks of tokens whose sequences are dealt out by length, and those that share a row and its list of classes.
+HELD_BLOCKS, ROW_BLOCKS = 24, 6
+#: Tokens between two normalisations, and the smallest sum that training may meet there (single precision ends at 1e-38).
+SCALED_EVERY, SMALLEST = 4, 1e-18
+#: Columns of one product in the sums of transitions, which are in the model's precision within it, and tokens whose emissions are added at a time.
+MOVE_TOKENS, ADDED_TOKENS = 16_384, 50_000
+#: How the rows of blocks, of about a megabyte each, are written: in row groups of a few rows, as a reader holds one.
+_ROWS_OF_BLOCKS = {"parquet.block.size": str(16 << 20), "parquet.page.size.row.check.min": "4", "parquet.enable.dictionary": "false"}
 SEED = 7
 #: Rows of a round's sums that are no classes: a state's transitions are at -1 - state.
 _STARTS, _GOES_ON, _LOG = -1001, -1002, -1003
@@ -210,16 +217,21 @@ def log_likelihoods(seqs: list[np.ndarray], model: Model) -> np.ndarray:
     """log10 of each sequence's probability."""
     p = pack(seqs)
     logs = np.zeros(len(seqs))
+    # A row per state, as in ``recursions``.
+    emits, forward = np.ascontiguousarray(model.emit.T), np.ascontiguousarray(model.move.T)
     state, at, held, first = None, 0, None, 0
-    for end in p.ends:
-        if held is None or end > first + len(held):  # emissions for some steps at a time
+    for t, end in enumerate(p.ends, 1):
+        if held is None or end > first + held.shape[1]:  # emissions for some steps at a time
             first = at
-            held = model.emit[p.tokens[at:max(end, at + BLOCK_TOKENS // 4)]]
+            held = emits.take(p.tokens[at:max(end, at + BLOCK_TOKENS // 4)], axis=1)
         n = end - at
-        state = held[at - first:end - first] * (model.start[0] if state is None else state[:n] @ model.move)
-        scale = state.sum(1)
-        state /= scale[:, None]
-        logs[:n] += np.log10(scale)
+        after = p.ends[t] - end if t < len(p.ends) else 0  # sequences that go on
+        state = held[:, at - first:end - first] * (model.start[0][:, None] if state is None else forward @ state[:, :n])
+        done = 0 if t % SCALED_EVERY == 0 else after
+        if done < n:
+            scale = state[:, done:].sum(0)
+            state[:, done:] /= scale
+            logs[done:n] += np.log10(scale)
         at = end
     out = np.empty(len(seqs))
     out[p.order] = logs
@@ -237,39 +249,74 @@ def expected(seqs: list[np.ndarray], later: np.ndarray, model: Model, room: np.n
     In the precision of ``model``. ``later``: 1 for sequences that go on a text, else 0. What comes back may lie in ``room``.
     """
     p = pack(seqs)
-    later = later[p.order]
-    n, size = len(model.move), len(p.tokens)
+    emits, peaks = peaked(model.emit.T)
+    ahead, after, moves, begin, log = recursions(p.tokens, p.ends, later[p.order], model, emits, room)
+    return p.tokens, np.multiply(ahead, after, out=after).T, moves, begin, log + float(np.log10(peaks)[p.tokens].sum())
+
+
+def peaked(emits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Emissions, a row per state, over each class's largest, and those in double precision."""
+    peaks = emits.max(0)
+    return np.ascontiguousarray(emits / peaks), peaks.astype(np.float64)
+
+
+def recursions(tokens: np.ndarray, ends: list[int], later: np.ndarray, model: Model, emits: np.ndarray, room: np.ndarray | None = None,
+               every: int = SCALED_EVERY) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, float]:
+    """Of packed sequences, two factors of the state probabilities (a row per state), the transitions, the two kinds of starts, and the log10 likelihood.
+
+    ``tokens`` number the columns of ``emits``, as ``peaked`` makes them; ``later`` is in the packed order. State
+    probabilities are normalised at every ``every``-th token; should they become small between, at every token.
+    """
+    n, size = len(model.move), len(tokens)
     if room is None or room.shape[1] < n * size:
-        room = room_for(size, n, model.emit.dtype)
+        room = room_for(size, n, emits.dtype)
     # One row per state: a step's part of each row lies side by side.
     emit, ahead, after = (x[:n * size].reshape(n, size) for x in room)
-    np.take(np.ascontiguousarray(model.emit.T), p.tokens, axis=1, out=emit, mode="clip")
-    scale = np.empty(size, emit.dtype)
-    starts = [0, *p.ends[:-1]]
-    spans = list(zip(starts, p.ends))
+    np.take(emits, tokens, axis=1, out=emit, mode="clip")
+    starts, scales = [0, *ends[:-1]], []
     forward = np.ascontiguousarray(model.move.T)
-    ahead[:, :p.ends[0]] = model.start[later].T
-    for t, (a, b) in enumerate(spans):
-        state = ahead[:, a:b]
-        if t:
-            before = starts[t - 1]
-            np.matmul(forward, ahead[:, before:before + b - a], out=state)
-        state *= emit[:, a:b]
-        state /= np.add.reduce(state, axis=0, out=scale[a:b])
+    ahead[:, :ends[0]] = model.start[later].T
+    before = 0
+    for t, (a, b) in enumerate(zip(starts, ends), 1):
+        state, own = ahead[:, a:b], emit[:, a:b]
+        if a:
+            np.matmul(forward, ahead[:, before:before + b - a], state)
+        np.multiply(state, own, state)
+        if t % every == 0:
+            total = np.add.reduce(state, 0)
+            np.divide(state, total, state)
+            np.divide(own, total, own)
+            scales.append(total)
+        before = a
+    # The last tokens of sequences: the longest is the first.
+    widths = np.diff(ends, prepend=0)
+    ended = widths - np.append(widths[1:], 0)
+    last = np.repeat(np.array(ends) - widths, ended) + np.arange(widths[0])[::-1]
+    whole = ahead[:, last].sum(0)
+    scales = np.concatenate([*scales, whole])
+    if every > 1 and not scales.min() > SMALLEST:
+        return recursions(tokens, ends, later, model, emits, room, 1)
     # Per token, its emission times what follows; after is that passed to the token before.
-    emit /= scale
-    after.fill(1.0)
-    moves = np.zeros((n, n))
-    for t in range(len(spans) - 1, 0, -1):
-        (a, b), before = spans[t], starts[t - 1]
+    after[:, last] = 1 / whole
+    for t in range(len(ends) - 1, 0, -1):
+        a, b, before = starts[t], ends[t], starts[t - 1]
         follows = emit[:, a:b]
-        follows *= after[:, a:b]
-        moves += ahead[:, before:before + b - a] @ follows.T
-        np.matmul(model.move, follows, out=after[:, before:before + b - a])
+        np.multiply(follows, after[:, a:b], follows)
+        np.matmul(model.move, follows, after[:, before:before + b - a])
+    moves = np.zeros((n, n))
+    # Within a run of steps of one width, the token before lies that width before: one product for many steps.
+    cuts = [1, *(np.flatnonzero(np.diff(widths[1:])) + 2).tolist(), len(widths)]
+    for lo, hi in zip(cuts, cuts[1:]):
+        if lo < hi:
+            a, b, before, w = starts[lo], ends[hi - 1], starts[lo - 1], int(widths[lo])
+            moves += ahead[:, before:before + w] @ emit[:, a:a + w].T
+            for c in range(a, b - w, MOVE_TOKENS):
+                d = min(b - w, c + MOVE_TOKENS)
+                moves += ahead[:, c:d] @ emit[:, c + w:d + w].T
     moves *= model.move
-    seen = np.multiply(ahead, after, out=after)
-    begin = np.array([seen[:, :p.ends[0]][:, later == k].sum(1) for k in (0, 1)])
-    return p.tokens, seen.T, moves, begin, float(np.log10(scale).sum(dtype=np.float64))
+    first = ahead[:, :ends[0]] * after[:, :ends[0]]
+    begin = np.array([first[:, later == k].sum(1) for k in (0, 1)])
+    return ahead, after, moves, begin, float(np.log10(scales).sum(dtype=np.float64))
 
 
 def _blocks(batches: Iterator[pa.RecordBatch], name: str, segment: int | None) -> Iterator[tuple[list[np.ndarray], list[int]]]:
@@ -304,32 +351,82 @@ def _blocks(batches: Iterator[pa.RecordBatch], name: str, segment: int | None) -
     yield from dealt()
 
 
+def packed(encoded: DataFrame, segment: int = SEGMENT) -> DataFrame:
+    """Rows of some blocks of the sequences in ``encoded``, as arrays in bytes.
+
+    ``classes``: those in the row, the most frequent first; ``tokens``: their numbers in that list, block by block in packed order;
+    ``widths``: of every step its tokens; ``steps``: of every block its steps; ``later``: of every sequence whether it goes on a text.
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[Packed, np.ndarray]] = []
+
+        def row() -> pa.RecordBatch:
+            tokens = np.concatenate([p.tokens for p, _ in held])
+            counts = np.bincount(tokens)
+            found = np.argsort(-counts, kind="stable")[:np.count_nonzero(counts)]
+            place = np.zeros(len(counts), np.uint16 if len(found) <= 1 << 16 else np.uint32)
+            place[found] = np.arange(len(found))
+            widths = [np.diff(p.ends, prepend=0) for p, _ in held]
+            parts = [found.astype(np.int32), place[tokens], np.concatenate(widths).astype(np.int32), np.array([len(x) for x in widths], np.int32),
+                     np.concatenate([x for _, x in held]).astype(np.int8)]
+            return pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in parts], ["classes", "tokens", "widths", "steps", "later"])
+
+        for seqs, later in _blocks(batches, "classes", segment):
+            p = pack(seqs)
+            held.append((p, np.array(later)[p.order]))
+            if len(held) == ROW_BLOCKS:
+                yield row()
+                held.clear()
+        if held:
+            yield row()
+
+    return encoded.select("classes").mapInArrow(run, "classes binary, tokens binary, widths binary, steps binary, later binary")
+
+
 def sums(encoded: DataFrame, model: Model, segment: int = SEGMENT) -> DataFrame:
     """(class, s0, s1, ...): a round's expected counts, added up over the tasks."""
+    return _sums(packed(encoded, segment), model, segment)
+
+
+def _sums(blocks: DataFrame, model: Model, segment: int = SEGMENT) -> DataFrame:
     # State by state in memory, as the recursions read it; they add and multiply nothing but
     # positive numbers scaled at every token, so single precision does. The sums are double.
-    shared = encoded.sparkSession.sparkContext.broadcast(Model(*[np.asfortranarray(x, np.float32) for x in model]))
+    shared = blocks.sparkSession.sparkContext.broadcast(Model(*[np.asfortranarray(x, np.float32) for x in model]))
     n = len(model.move)
     names = [f"s{i}" for i in range(n)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         emits, moves, begins, log = np.zeros((n, len(m.emit))), np.zeros((n, n)), np.zeros((2, n)), 0.0
-        room = room_for(BLOCK_TOKENS + segment, n, m.emit.dtype)
-        for seqs, later in _blocks(batches, "classes", segment):
-            tokens, seen, move, begin, likelihood = expected(seqs, np.array(later), m, room)
-            tokens = tokens.astype(np.intp)
-            for s in range(n):
-                emits[s] += np.bincount(tokens, seen[:, s], len(m.emit))
-            moves += move
-            begins += begin
-            log += likelihood
+        room, fine = room_for(BLOCK_TOKENS + segment, n, m.emit.dtype), np.empty(ADDED_TOKENS)
+        for b in batches:
+            for i in range(b.num_rows):
+                read = lambda name, kind: np.frombuffer(b.column(name)[i].as_buffer(), kind)  # noqa: B023, E731
+                found, widths, later = read("classes", np.int32), read("widths", np.int32), read("later", np.int8)
+                tokens = read("tokens", np.uint16 if len(found) <= 1 << 16 else np.uint32)
+                (known, peaks), own = peaked(m.emit.T[:, found]), np.zeros((n, len(found)))
+                log += float(np.bincount(tokens, minlength=len(found)) @ np.log10(peaks))
+                step = token = text = 0
+                for steps in read("steps", np.int32).tolist():
+                    ends = np.cumsum(widths[step:step + steps]).tolist()
+                    codes = tokens[token:token + ends[-1]].astype(np.intp)
+                    ahead, after, move, begin, likelihood = recursions(codes, ends, later[text:text + ends[0]], m, known, room)
+                    for c in range(0, len(codes), ADDED_TOKENS):
+                        some = slice(c, c + ADDED_TOKENS)
+                        seen = fine[:len(codes[some])]
+                        for s in range(n):
+                            np.add.at(own[s], codes[some], np.multiply(ahead[s, some], after[s, some], out=seen))
+                    moves += move
+                    begins += begin
+                    log += likelihood
+                    step, token, text = step + steps, token + ends[-1], text + ends[0]
+                emits[:, found] += own
         held = np.flatnonzero(emits.any(0))
         keys = [*(-1 - np.arange(n)), _STARTS, _GOES_ON, _LOG, *held]
         rows = np.concatenate([moves, begins, [[log] + [0.0] * (n - 1)], emits[:, held].T])
         yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int32()), *[pa.array(rows[:, s]) for s in range(n)]], ["class", *names])
 
-    parts = encoded.select("classes").mapInArrow(run, "class int, " + ", ".join(f"{x} double" for x in names))
+    parts = blocks.mapInArrow(run, "class int, " + ", ".join(f"{x} double" for x in names))
     return parts.groupBy("class").agg(*[F.sum(x).alias(x) for x in names])
 
 
@@ -360,16 +457,16 @@ def train(encoded: DataFrame, known: Classes, states: int = STATES, sample_round
         return model, logs
     # A task's sums are as large as the classes it met, however few its texts: some tasks per core are enough, fewer for few texts.
     parts = min(TASKS_PER_CORE * encoded.sparkSession.sparkContext.defaultParallelism, known.tokens // TASK_TOKENS)
-    dealt = encoded.select("classes").coalesce(max(1, parts))
+    blocks = written(packed(encoded.coalesce(max(1, parts))), **_ROWS_OF_BLOCKS).coalesce(max(1, parts))
     for _ in range(sample_rounds + rounds):
-        model, log = fitted(sums(dealt, model).toArrow(), known.share, states)
+        model, log = fitted(_sums(blocks, model).toArrow(), known.share, states)
         logs.append(log)
     return model, logs
 
 
 def _scored(encoded: DataFrame, model: Model, known: Classes) -> DataFrame:
     """(row, doc_id, held_out, n_tokens, n_known, base, hidden): hidden leaves out the counts of rare words."""
-    shared = encoded.sparkSession.sparkContext.broadcast((model, known.logs))
+    shared = encoded.sparkSession.sparkContext.broadcast((model._replace(emit=np.asfortranarray(model.emit)), known.logs))
     plain = ["row", "doc_id", "held_out", "n_tokens", "n_known", "base"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -196,3 +196,76 @@ def test_blocks_hold_every_sequence_once(monkeypatch):
     found = [(s[0], len(s), k) for seqs, later in blocks for s, k in zip(seqs, later)]
     assert sorted(found) == sorted((t[k], len(t[k:k + 25]), int(k > 0)) for t in texts for k in range(0, len(t), 25))
     assert len(blocks) > 20 and max(sum(map(len, seqs)) for seqs, _ in blocks) < 50 + 25
+
+
+def test_rows_of_blocks_hold_every_sequence_once(monkeypatch):
+    monkeypatch.setattr(hmm, "BLOCK_TOKENS", 100)
+    monkeypatch.setattr(hmm, "HELD_BLOCKS", 4)
+    monkeypatch.setattr(hmm, "ROW_BLOCKS", 3)
+    rng = np.random.default_rng(5)
+    texts = [rng.integers(0, 40, n).astype(np.int32) for n in [*rng.integers(1, 60, 80).tolist(), 181]]
+
+    class Here:  # runs the function of mapInArrow in this process, where the sizes are changed
+        def select(self, *names):
+            return self
+
+        def mapInArrow(self, run, schema):  # noqa: N802
+            batches = [pa.RecordBatch.from_arrays([pa.array(texts[i:i + 30])], ["classes"]) for i in range(0, len(texts), 30)]
+            return pa.Table.from_batches(run(iter(batches))).to_pylist()
+
+    seqs, later, blocks = [], [], 0
+    got = hmm.packed(Here(), 32)
+    for r in got:
+        kinds = {"classes": np.int32, "tokens": np.uint16, "widths": np.int32, "steps": np.int32, "later": np.int8}
+        found, tokens, widths, steps, goes_on = (np.frombuffer(r[c], k) for c, k in kinds.items())
+        counts = np.bincount(tokens, minlength=len(found))
+        assert counts.min() > 0 and (np.diff(counts) <= 0).all() and len(set(found)) == len(found)
+        own, words, text = found[tokens].tolist(), widths.tolist(), 0
+        for n in steps.tolist():
+            block = [[] for _ in range(words[0])]
+            for w in words[:n]:
+                for i, x in enumerate(own[:w]):
+                    block[i].append(x)
+                own = own[w:]
+            words = words[n:]
+            seqs += block
+            later += goes_on[text:text + len(block)].tolist()
+            text, blocks = text + len(block), blocks + 1
+        assert not own and not words and text == len(goes_on)
+    want = [(x[k:k + 32].tolist(), int(k > 0)) for x in texts for k in range(0, len(x), 32)]
+    assert sorted(zip(seqs, later)) == sorted(want) and blocks > len(got) > 3
+
+
+def test_texts_are_packed_once_for_all_rounds(spark, monkeypatch):
+    df = spark.createDataFrame(corpus(80), "doc_id long, text string").withColumn("held_out", F.lit(False))
+    known = hmm.classes(hmm.count_words(df))
+    encoded = hmm.encode(df, known).localCheckpoint()
+    made = []
+    monkeypatch.setattr(hmm, "packed", lambda *a, _packed=hmm.packed: made.append(1) or _packed(*a))
+    _, logs = hmm.train(encoded, known, states=2, rounds=3)
+    assert len(made) == 1 and len(logs) == 3
+
+
+@pytest.mark.parametrize("kind, rtol", [(np.float64, 1e-9), (np.float32, 1e-3)])
+def test_normalising_every_few_tokens_counts_as_at_every_token(kind, rtol):
+    model, later = model_of(5, 3), np.array([0, 1, 0, 1, 0])
+    m = hmm.Model(*[x.astype(kind) for x in model])
+    p = hmm.pack(SEQS)
+    emits, peaks = hmm.peaked(m.emit.T)
+    assert np.allclose(emits.max(0), 1)
+    ways = [hmm.recursions(p.tokens, p.ends, later[p.order], m, emits, None, every) for every in (1, 2, 4, 100)]
+    for ahead, after, *rest in ways[1:]:
+        assert np.allclose(ahead * after, ways[0][0] * ways[0][1], rtol=rtol)
+        assert all(np.allclose(x, y, rtol=rtol) for x, y in zip(rest, ways[0][2:]))
+
+
+def test_sums_too_small_for_single_precision_are_normalised_at_every_token():
+    emit = np.full((4, 2), 1e-9)
+    emit[[0, 1], [0, 1]] = 0.4  # a class of either state alone, and almost no way from one to the other
+    move = np.array([[1 - 1e-9, 1e-9], [1e-9, 1 - 1e-9]])
+    model = hmm.Model(emit, move, np.full((2, 2), 0.5))
+    seqs = [np.array([0, 1] * 40, np.int32), np.array([1, 0, 1, 0, 1, 0, 1], np.int32)]
+    fine = hmm.expected(seqs, np.array([0, 0]), model)
+    rough = hmm.expected(seqs, np.array([0, 0]), hmm.Model(*[x.astype(np.float32) for x in model]))
+    assert math.isclose(fine[4], hmm.log_likelihoods(seqs, model).sum(), rel_tol=1e-9)
+    assert np.isfinite(rough[1]).all() and np.allclose(rough[1], fine[1], atol=1e-4) and math.isclose(rough[4], fine[4], rel_tol=1e-5)
