@@ -55,14 +55,14 @@ ROUNDS, TASKS_PER_CORE = 14, 2
 #: Tokens a round's task has at least, where there are several.
 TASK_TOKENS = 3_000_000
 SEGMENT = 2048
-#: Tokens that run side by side (what the recursions touch then stays in a core's cache), and distinct words a task counts before it passes them on.
-BLOCK_TOKENS, HELD_WORDS = 100_000, 300_000
+#: Tokens that run side by side, and distinct words a task counts before it passes them on.
+BLOCK_TOKENS, HELD_WORDS = 300_000, 300_000
 #: Blocks of tokens whose sequences are dealt out by length, and those that share a row and its list of classes.
-HELD_BLOCKS, ROW_BLOCKS = 24, 6
+HELD_BLOCKS, ROW_BLOCKS = 8, 2
 #: Tokens between two normalisations, and the smallest sum that training may meet there (single precision ends at 1e-38).
 SCALED_EVERY, SMALLEST = 4, 1e-18
-#: Columns of one product in the sums of transitions, which are in the model's precision within it, and tokens whose emissions are added at a time.
-MOVE_TOKENS, ADDED_TOKENS = 16_384, 50_000
+#: Columns of one product in the sums of transitions, which are in the model's precision within it.
+MOVE_TOKENS = 4_000
 #: How the rows of blocks, of about a megabyte each, are written: in row groups of a few rows, as a reader holds one.
 _ROWS_OF_BLOCKS = {"parquet.block.size": str(16 << 20), "parquet.page.size.row.check.min": "4", "parquet.enable.dictionary": "false"}
 SEED = 7
@@ -398,7 +398,7 @@ def _sums(blocks: DataFrame, model: Model, segment: int = SEGMENT) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         emits, moves, begins, log = np.zeros((n, len(m.emit))), np.zeros((n, n)), np.zeros((2, n)), 0.0
-        room, fine = room_for(BLOCK_TOKENS + segment, n, m.emit.dtype), np.empty(ADDED_TOKENS)
+        room, fine = room_for(BLOCK_TOKENS + segment, n, m.emit.dtype), np.empty(BLOCK_TOKENS + segment)
         for b in batches:
             for i in range(b.num_rows):
                 read = lambda name, kind: np.frombuffer(b.column(name)[i].as_buffer(), kind)  # noqa: B023, E731
@@ -411,11 +411,10 @@ def _sums(blocks: DataFrame, model: Model, segment: int = SEGMENT) -> DataFrame:
                     ends = np.cumsum(widths[step:step + steps]).tolist()
                     codes = tokens[token:token + ends[-1]].astype(np.intp)
                     ahead, after, move, begin, likelihood = recursions(codes, ends, later[text:text + ends[0]], m, known, room)
-                    for c in range(0, len(codes), ADDED_TOKENS):
-                        some = slice(c, c + ADDED_TOKENS)
-                        seen = fine[:len(codes[some])]
-                        for s in range(n):
-                            np.add.at(own[s], codes[some], np.multiply(ahead[s, some], after[s, some], out=seen))
+                    seen = fine[:len(codes)]
+                    for s in range(n):
+                        part = np.bincount(codes, np.multiply(ahead[s], after[s], out=seen))
+                        own[s, :len(part)] += part
                     moves += move
                     begins += begin
                     log += likelihood
