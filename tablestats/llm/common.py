@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,7 +16,7 @@ from tablestats.session import checkpoint_root, work_dir
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 
 __all__ = ["WORD_PATTERN", "table", "saved", "written", "checkpoint_root", "work_dir", "column", "free_names", "small_batches",
-           "shuffle_partitions", "broadcast_if_small"]
+           "shuffles_released", "shuffle_partitions", "broadcast_if_small"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -49,6 +51,24 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(_BATCH, str(BATCH_ROWS))
 
 
+_RELEASE = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def shuffles_released(spark: SparkSession) -> Iterator[None]:
+    """Within it, shuffle files go when the query that made them ends, not when the driver next collects garbage.
+
+    For steps that are saved or written each: later ones read the saved rows.
+    Before Spark 4.1 the setting is unknown and does nothing.
+    """
+    before = spark.conf.get(_RELEASE, None)
+    spark.conf.set(_RELEASE, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(_RELEASE) if before is None else spark.conf.set(_RELEASE, before)
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 

@@ -1,5 +1,7 @@
+import glob
 import hashlib
 import random
+import time
 from collections import Counter
 
 import pytest
@@ -52,3 +54,40 @@ def test_edges(docs_of):
 
 def test_same_document_overlap(docs_of):
     check(docs_of, [(1, "x y z " * 30 + "q " + " ".join(str(i) for i in range(50)))], 35, 8)
+
+
+def shuffle_files(spark):
+    folders = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()
+    return {f for d in folders for f in glob.glob(f"{d.getPath()}/*/shuffle_*")}
+
+
+def test_disk(docs_of, spark, monkeypatch):
+    """A text is dealt out once to meet its seeds, and the steps leave no shuffle files."""
+    plans, own = [], substring.written
+
+    def seen(df, **options):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return own(df, **options)
+
+    monkeypatch.setattr(substring, "written", seen)
+    passage = " ".join(f"w{i}" for i in range(50))
+    docs, before = docs_of([(i, f"{passage} {i}") for i in range(20)] + [(i, f"own{i}") for i in range(20, 40)]), shuffle_files(spark)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = substring.substring_dedup(docs)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    until = time.time() + 10
+    while (left := shuffle_files(spark) - before) and time.time() < until:
+        time.sleep(0.1)
+    assert not left
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
+    held = next(p for p in plans if "seeds" in p and "MapInArrow" in p)
+    above = held[:held.index("MapInArrow")]
+    assert above.count("Exchange") == 1
+    assert sorted(r.n_removed for r in out.collect()) == [0] * 20 + [50] * 20
+
+
+def test_packed():
+    for raw in (b"", b"a", "\u00e9 \0 ".encode() * 5000):
+        assert substring.unpacked(substring.packed(raw)) == raw
